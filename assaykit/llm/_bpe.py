@@ -33,10 +33,10 @@ POWER, INVERSE = 0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)
 def kinds() -> np.ndarray:
     """LETTER, NUMBER, OTHER or SPACE of each code point."""
     out = np.full(0x110000, OTHER, np.uint8)
-    category = [unicodedata.category(chr(i))[0] for i in range(0x110000)]
-    names = np.array(category)
-    out[names == "L"] = LETTER
-    out[names == "N"] = NUMBER
+    for k in range(0, 0x110000, 1 << 16):
+        names = np.array([unicodedata.category(chr(i))[0] for i in range(k, k + (1 << 16))])
+        out[k : k + (1 << 16)][names == "L"] = LETTER
+        out[k : k + (1 << 16)][names == "N"] = NUMBER
     out[WHITE_SPACE] = SPACE
     return out
 
@@ -190,7 +190,7 @@ def vocabulary(path: str) -> Vocabulary:
 class Encoder:
     """Encodes batches of texts, each distinct pre-token once; keeps about ``limit`` of them between batches."""
 
-    def __init__(self, vocab: Vocabulary, limit: int = 500_000):
+    def __init__(self, vocab: Vocabulary, limit: int = 200_000):
         self.vocab, self.limit = vocab, limit
         self.clear()
 

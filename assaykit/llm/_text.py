@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task; a single longer text is handled alone.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 
 def project(df: DataFrame, **columns: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 ``bpe_encode`` turns texts into token ids and ``bpe_decode`` ids into text, as the tokenizer file at ``path`` says. The
 merges run in batched numpy rounds (see ``_bpe``); Spark deals the rows. Rows are independent: no shuffle takes place, and a
-task holds about 2 MB of text (or one longer text) and the encodings of about half a million distinct pre-tokens.
+task holds about 1 MB of text (or one longer text) and the encodings of about 200,000 distinct pre-tokens.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text. The strings of special tokens become those
 tokens, as the library does by default. Repeated rows, ties and null keys are passed through. Other columns are dropped.

@@ -8,17 +8,40 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assaykit.llm import bpe, packing, records
+from assaykit.llm import bpe, langid, packing, records, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out() -> Column:
+    """Whether a document is kept from learning."""
+    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(~held_out()))
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = toxicity.learn(docs.where(~held_out()), table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, lexicon)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -49,7 +72,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_pack_sequences, op9_token_records, op10_bpe_codec)}
+    return {f.__name__: f for f in (op1_language_id, op4_simhash_groups, op7_toxicity, op8_pack_sequences, op9_token_records, op10_bpe_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
