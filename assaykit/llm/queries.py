@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assaykit.llm import ann, bpe, htmltext, langid, maxscore, packing, records, simhash, toxicity
+from assaykit.llm import ann, bpe, htmltext, langid, lmscore, maxscore, packing, records, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,17 @@ def op2_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search_tree(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)[0]
 
 
+#: Labelled ids that are broadcast at most; beyond it they meet the documents by a shuffle.
+FEW = 2_000_000
+
+
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1 and doc_id is not null").select("doc_id", F.lit(True).alias("target")).distinct()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.join(F.broadcast(good) if good.count() <= FEW else good, "doc_id", "left")
+    return lmscore.score(docs, lmscore.fit(docs, "target"))
+
+
 def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -100,7 +111,7 @@ SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 10
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_ann_search, op4_simhash_groups, op5_html_extract, op6_maxscore_topk, op7_toxicity, op8_pack_sequences, op9_token_records, op10_bpe_codec)}
+    return {f.__name__: f for f in (op1_language_id, op2_ann_search, op3_lm_score, op4_simhash_groups, op5_html_extract, op6_maxscore_topk, op7_toxicity, op8_pack_sequences, op9_token_records, op10_bpe_codec)}
 
 
 def oracle_sql() -> dict[str, str]:

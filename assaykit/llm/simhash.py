@@ -42,6 +42,8 @@ WIDTHS = (21, 21, 22)
 BLOCK = 2048
 #: Keys with more fingerprints than BLOCK, up to this many, are broadcast; beyond it they are joined by a shuffle.
 HOT_KEYS = 100_000
+#: Keys of dropped rows that are broadcast at most.
+FEW = 2_000_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -232,3 +234,21 @@ def near_duplicate_groups(df: DataFrame, bits: int = 4, words: int = 4, key: str
     least = keep(named.groupBy("_label").agg(F.min("_least").alias("component_id")))
     by_fp = keep(named.join(least, "_label").select("fp", "component_id"))
     return docs.join(by_fp, "fp").select(key, "fp", "component_id")
+
+
+def drop_near_duplicates(df: DataFrame, bits: int = 4, words: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of df whose key is the smallest of their group; every column stays.
+
+    Only keys and fingerprints take part in the grouping. The keys that go are broadcast up to ``FEW`` of them; beyond that
+    they meet the rows by a shuffle. Of repeated rows (same key, or no key, and same text) one stays.
+    """
+    groups = keep(near_duplicate_groups(df, bits, words, key, text))
+    gone = keep(groups.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct())
+    kept = df.join(F.broadcast(gone) if gone.count() <= FEW else gone, df[key] == gone["_gone"], "left_anti")
+    lost = groups.where(F.col(key).isNull() & F.col("component_id").isNotNull()).count()
+    again = keep(groups.groupBy(key).count().where("count > 1").select(F.col(key).alias("_again")))
+    if again.count() + lost == 0:
+        return kept
+    some = F.broadcast(again) if again.count() <= FEW else again
+    same = kept[key].eqNullSafe(again["_again"])
+    return kept.join(some, same, "left_anti").unionByName(kept.join(some, same, "left_semi").dropDuplicates([key, text]))

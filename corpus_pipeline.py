@@ -1,10 +1,48 @@
-"""A corpus pipeline of four stages."""
+"""A corpus pipeline: language ID, toxicity, near-duplicates, packing, each over all that the stage before it kept."""
 
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from assaykit.llm import langid, packing, simhash, toxicity
+
+#: SQL can express none of the four stages: naive Bayes, a learned lexicon, Golay keys with components, and subset sums.
 ORACLE_SQL = None
-STAGES = []
+
+#: A document stays if its language is known and likelier than all others together.
+LEAST_SURE = 0.5
+#: A document goes if it is toxic with at least this probability.
+TOXIC = 0.7
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter and those whose language is a guess. Learns from the documents that have ``lang``."""
+    judged = langid.predict(docs, langid.fit(docs), lang="_lang", score="_score")
+    return judged.where((F.col("_lang") != langid.UNKNOWN) & (F.col("_score") >= LEAST_SURE)).select(docs.columns)
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops toxic documents. Learns from ``labels`` on the documents at hand."""
+    lexicon = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.attach(docs, lexicon, out="_toxic").where(F.col("_toxic") < TOXIC).select(docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each group of near-duplicates (one of several rows with that id)."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all documents' tokens in sequences of 2048."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("language ID", known_language), ("toxicity", not_toxic), ("SimHash near-dedup", one_of_each), ("best-fit packing", packed)]
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
