@@ -182,11 +182,11 @@ def outstanding_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.outstanding(planned, j, ["user_id", "event_type", "replicate"]).groupBy("event_type", "replicate").agg(F.count(F.lit(1)).alias("missing"))
 
 
-@query("""WITH c AS (SELECT user_id, epoch_ms(ts) AS s, epoch_ms(ts) + 1000 * CAST(json_extract_string(props, '$.k') AS BIGINT) AS e FROM events WHERE event_type = 'view'), m AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM c)
+@query("""WITH c AS (SELECT user_id, epoch_us(ts) AS s, epoch_us(ts) + 1000000 * CAST(json_extract_string(props, '$.k') AS BIGINT) AS e FROM events WHERE event_type = 'view'), m AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM c)
 SELECT user_id, prev AS gap_start, s AS gap_end FROM m WHERE prev IS NOT NULL AND s > prev""")
 def interval_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What lies between intervals (milliseconds), whatever their overlaps."""
-    s = F.timestamp_diff("MILLISECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts"))
-    c = read(spark, sf_dir, "events").where("event_type = 'view'").select("user_id", s.alias("s"), (s + 1000 * F.get_json_object("props", "$.k").cast("long")).alias("e"))
+    """What lies between intervals (microseconds), whatever their overlaps."""
+    s = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts"))
+    c = read(spark, sf_dir, "events").where("event_type = 'view'").select("user_id", s.alias("s"), (s + 1_000_000 * F.get_json_object("props", "$.k").cast("long")).alias("e"))
     prev = F.max("e").over(Window.partitionBy("user_id").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1))
     return c.withColumn("gap_start", prev).where("gap_start is not null and s > gap_start").select("user_id", "gap_start", F.col("s").alias("gap_end"))
