@@ -44,17 +44,29 @@ INVISIBLE = [0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF]
 HARMLESS = ("trash can", "trash bin", "trash bag", "clown fish", "sore loser", "pond scum", "soap scum")
 
 TABLE = str.maketrans(LOOK_ALIKE | {chr(c): None for c in INVISIBLE})
-INSIDE = re.compile(r"(?<=[^\W\d_])[0-9@$!|€+]{1,3}(?=[^\W\d_])|(?<![\w@$!|€+])[0-9@$!|€+]{1,2}(?=[^\W\d_]{2})|(?<=[^\W\d_]{2})[013457@$](?![\w@$!|€+%&*#])")
+SIGN = re.compile(r"[0-9@$!|€+]")
+#: A run of letters and signs that has a sign; it is taken whole, from its start.
+RUN = re.compile(r"(?<![\w@$!|€+])[\w@$!|€+]*[0-9@$!|€+][\w@$!|€+]*")
 SIGN_TABLE = str.maketrans(SIGNS)
 GAPS = re.compile(r"[\W_]+")
 
 
+def _letters(m: re.Match) -> str:
+    """A run with its signs as letters; signs at its end, and runs with hardly a letter, stay what they are."""
+    core = m[0].rstrip("@$!|€+")
+    if sum(c.isalpha() for c in core) < 2:
+        return m[0]
+    return core.translate(SIGN_TABLE) + m[0][len(core) :]
+
+
 def fold(text: str) -> str:
     """Words in folded form, with one blank before, between and after them."""
     text = text.lower()
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text).translate(TABLE)
-    return " " + GAPS.sub(" ", INSIDE.sub(lambda m: m[0].translate(SIGN_TABLE), text)).strip() + " "
+    if SIGN.search(text):
+        text = RUN.sub(_letters, text)
+    return " " + GAPS.sub(" ", text).strip() + " "
 
 
 @dataclass
