@@ -10,9 +10,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("struct<same long, inserted long, deleted long, blocks long>")
+def _struct(**fields: T.DataType) -> T.StructType:
+    """A struct type, built without a session (so that importing this module needs none)."""
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+
+
+@F.pandas_udf(_struct(same=T.LongType(), inserted=T.LongType(), deleted=T.LongType(), blocks=T.LongType()))
 def word_diff(before: pd.Series, after: pd.Series) -> pd.DataFrame:
     """Words kept, inserted and deleted between two texts, and the number of changed runs. Null counts as empty."""
     out = []
@@ -24,7 +30,7 @@ def word_diff(before: pd.Series, after: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["same", "inserted", "deleted", "blocks"])
 
 
-@F.pandas_udf("struct<start long, stop long, matches long>")
+@F.pandas_udf(_struct(start=T.LongType(), stop=T.LongType(), matches=T.LongType()))
 def find_span(text: pd.Series, span: pd.Series) -> pd.DataFrame:
     """Where a span stands in a text, whatever its white space; start and stop only if it stands there once."""
     out = []
@@ -35,7 +41,7 @@ def find_span(text: pd.Series, span: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["start", "stop", "matches"]).astype("Int64")
 
 
-@F.pandas_udf("struct<how string, position double>")
+@F.pandas_udf(_struct(how=T.StringType(), position=T.DoubleType()))
 def locate(text: pd.Series, quote: pd.Series) -> pd.DataFrame:
     """How a quote is found in a text, and where (0 to 1): whole, by its first 80, 50 or 30 characters, or a word that occurs once."""
     out = []
@@ -55,7 +61,7 @@ def locate(text: pd.Series, quote: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["how", "position"])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def without_span(text: pd.Series, span: pd.Series) -> pd.Series:
     """A text without a span that stands in it once: lines left empty go, and numbered lists are numbered anew; null if not."""
 
@@ -63,12 +69,13 @@ def without_span(text: pd.Series, span: pd.Series) -> pd.Series:
         if not t or not s or t.count(s) != 1:
             return None
         lines, n = [], 0
-        for line in t.replace(s, "\n" if "\n" in s else "").split("\n"):
-            if not line.strip(" \t.,;-0123456789)") and line.strip() != line.strip(" \t.,;-"):
+        for line in t.replace(s, "\0").split("\n"):
+            kept = line.replace("\0", "")
+            if kept != line and not re.search(r"[^\W\d]", kept):
                 continue
-            m = re.match(r"(\s*)(\d+)([.)]\s+)(.*)", line)
+            m = re.match(r"(\s*)(\d+)([.)]\s+)(.*)", kept)
             n = n + 1 if m else 0
-            lines.append(f"{m[1]}{n}{m[3]}{m[4]}" if m else re.sub(r"[ \t]{2,}", " ", line).rstrip())
+            lines.append(f"{m[1]}{n}{m[3]}{m[4]}" if m else re.sub(r"[ \t]{2,}", " ", kept).rstrip())
         return "\n".join(lines)
 
     return pd.Series([cut(t, s) for t, s in zip(text, span, strict=True)], dtype=object)
@@ -169,7 +176,7 @@ def spread(df: DataFrame, keys: list[str], item: str, n: int) -> DataFrame:
 def boschloo(a: Column, b: Column, c: Column, d: Column, points: int = 200) -> Column:
     """Boschloo's exact test (two-sided by doubling the smaller tail's p, at most 1) of two shares a/(a+b) and c/(c+d)."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         from math import comb
 

@@ -57,8 +57,8 @@ def answers(lines: DataFrame, column: str = "value", pattern: str = r"^\s*(\d+)\
     """(item, answer, note, problem) of answer-sheet lines; an item answered twice, or a line of another form, is a problem."""
     item = F.regexp_extract(column, pattern, 1)
     found = lines.where(F.trim(column) != "").select(F.when(item != "", item.cast("long")).alias("item"), F.upper(F.regexp_extract(column, pattern, 2)).alias("answer"), F.regexp_extract(column, pattern, 3).alias("note"))
-    n = found.groupBy("item").agg(F.count(F.lit(1)).alias("_n"))
-    joined = found.join(n, found["item"].eqNullSafe(n["item"]), "left").select(found["item"], "answer", "note", "_n")
+    n = found.where("item is not null").groupBy(F.col("item").alias("_item")).agg(F.count(F.lit(1)).alias("_n"))
+    joined = found.join(n, F.col("item") == F.col("_item"), "left")
     return joined.select("item", F.when(F.col("item").isNotNull(), F.col("answer")).alias("answer"), "note", F.when(F.col("item").isNull(), "unreadable").when(F.col("_n") > 1, "answered twice").alias("problem"))
 
 
