@@ -6,9 +6,11 @@ md5(seed|d|s) modulo their count. Draws and slots are joined to clusters by numb
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assaykit.operators.numbering import numbered
+
 
 def bootstrap(clusters: DataFrame, cluster: str, num: str, den: str, draws: int = 200, seed: str = "7", least: int = 20) -> DataFrame:
     """(clusters, valid, estimate, low, high): ratio of sums and its 95 % percentile interval.
@@ -17,12 +19,12 @@ def bootstrap(clusters: DataFrame, cluster: str, num: str, den: str, draws: int
     formed where slots meet clusters; the table of draws by slots is what grows: draws times the number of clusters.
     """
     spark = clusters.sparkSession
-    numbered = clusters.select(F.col(cluster).alias("_c"), F.col(num).alias("_num"), F.col(den).alias("_den")).withColumn("_i", F.row_number().over(Window.orderBy("_c")) - 1)  # one row for each cluster
-    n = numbered.count()
+    rows = numbered(clusters.select(F.col(cluster).alias("_c"), F.col(num).alias("_num"), F.col(den).alias("_den")), "_c", "_i")
+    n = rows.count()
     slots = spark.range(draws * n).select(F.floor(F.col("id") / F.lit(max(n, 1))).cast("long").alias("draw"), (F.col("id") % F.lit(max(n, 1))).alias("slot"))
     hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "draw", "slot").cast("binary")), 1, 8), 16, 10).cast("long")
     picked = slots.select("draw", (hashed % F.lit(max(n, 1))).alias("_i"))
-    per = picked.join(numbered, "_i").groupBy("draw").agg(F.sum("_num").alias("_num"), F.sum("_den").alias("_den"))
+    per = picked.join(rows, "_i").groupBy("draw").agg(F.sum("_num").alias("_num"), F.sum("_den").alias("_den"))
     value = F.col("_num") / F.nullif(F.col("_den"), F.lit(0))
     point = clusters.agg((F.sum(num) / F.nullif(F.sum(den), F.lit(0))).alias("estimate")).withColumn("_k", F.lit(1))
     interval = per.select(value.alias("v")).agg(F.count("v").alias("valid"), F.percentile("v", F.lit(0.025)).alias("_low"), F.percentile("v", F.lit(0.975)).alias("_high")).withColumn("_k", F.lit(1))

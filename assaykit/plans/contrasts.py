@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assaykit.functions import stats, text
 from assaykit.operators import bootstrap, metrics, notes, records, sampling
+from assaykit.operators.numbering import numbered
 from assaykit.plans.aggregates import _rounded
 from assaykit.plans.judging import N, T, low_high_sql, now, pairs
 from assaykit.plans.registry import query
@@ -192,7 +193,7 @@ def bootstrap_standard_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bootstrap_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval of an AUC, which no sums per cluster give: scores are counted per draw, and each draw's curve is its own group."""
     j = now(spark, sf_dir)
-    clusters = j.select("user_id").distinct().withColumn("_i", F.row_number().over(Window.orderBy("user_id")) - 1)  # one row for each consultation
+    clusters = numbered(j.select("user_id").distinct(), "user_id", "_i")
     n = clusters.count()
     slots = spark.range(100 * n).select(F.floor(F.col("id") / max(n, 1)).cast("long").alias("draw"), (F.col("id") % max(n, 1)).alias("slot"))
     hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("7"), "draw", "slot").cast("binary")), 1, 8), 16, 10).cast("long")

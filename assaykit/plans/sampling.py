@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assaykit.operators import records, sampling
+from assaykit.operators.numbering import numbered
 from assaykit.plans.judging import N, now
 from assaykit.plans.registry import query
 from assaykit.sources.tables import JUDGEMENTS_SQL, judgements, read
@@ -83,17 +84,11 @@ def target_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{N}, k AS (SELECT DISTINCT user_id, event_type FROM j), i AS (SELECT *, row_number() OVER (ORDER BY user_id, event_type) - 1 AS item FROM k) SELECT user_id, event_type, item, CAST(7 * 100000 + item * 10 AS BIGINT) AS seed, CAST(floor(item / 25) AS BIGINT) AS chunk FROM i""")
 def item_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stable item numbers over distinct notes, with seeds and chunks of 25.
-
-    Numbers come from counts: a note's number is the notes of smaller consultations plus its place in its own, so no task sorts
-    all notes; only consultations' counts are summed in order.
-    """
-    notes = now(spark, sf_dir).select("user_id", "event_type").distinct()
-    per = notes.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
-    before = per.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("user_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = F.row_number().over(Window.partitionBy("user_id").orderBy("event_type")) - 1
-    item = (F.col("_before") + own).cast("long")
-    return notes.join(before, "user_id").select("user_id", "event_type", item.alias("item")).select("*", (7 * 100_000 + F.col("item") * 10).alias("seed"), F.floor(F.col("item") / 25).cast("long").alias("chunk"))
+    """Stable item numbers over distinct notes, with seeds and chunks of 25."""
+    place = F.expr("5 * user_id + CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END")
+    notes = now(spark, sf_dir).select("user_id", "event_type").distinct().withColumn("_place", place)  # in the order of both keys
+    items = numbered(notes, "_place", "item")
+    return items.select("user_id", "event_type", "item", (7 * 100_000 + F.col("item") * 10).alias("seed"), F.floor(F.col("item") / 25).cast("long").alias("chunk"))
 
 
 @query("""WITH e AS (SELECT user_id % 8 AS run, event_id, ts, CAST(floor(value * 100) AS BIGINT) AS cents FROM events), r AS (SELECT *, sum(cents) OVER (PARTITION BY run ORDER BY ts, event_id) AS spent FROM e), b AS (SELECT run, CAST(sum(cents) AS BIGINT) AS total, min(struct_pack(ts := ts, id := event_id)) FILTER (spent > 100000) AS w, min(struct_pack(ts := ts, id := event_id)) FILTER (spent > 500000) AS s FROM r GROUP BY run)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from assaykit.functions import stats, text
 from assaykit.operators import aggregate, bootstrap, metrics, notes, provenance, records, sampling
+from assaykit.operators.numbering import numbered
 
 
 def one(spark, row, **columns):
@@ -164,6 +165,16 @@ def test_records(spark):
     assert records.allowed(b, names, "k").count() == 1 and records.missing(names, b, "k").first()["k"] == "z"
 
 
+def test_numbering(spark):
+    rnd = random.Random(5)
+    keys = rnd.sample(range(10**6), 500)
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    for part in (7, 60, 10_000):
+        assert [r["k"] for r in numbered(df, "k", "i", part).orderBy("i").collect()] == sorted(keys)
+        assert numbered(df, "k", "i", part).agg(F.max("i")).first()[0] == 499
+    assert numbered(df.limit(0), "k", "i").count() == 0
+
+
 def test_apportion(spark):
     rows = spark.createDataFrame([("a", 1), ("b", 50), ("c", 49)], "s string, n long")
     seats = {r["s"]: r["seats"] for r in sampling.apportion(rows, "s", "n", 10).collect()}
