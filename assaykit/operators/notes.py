@@ -199,3 +199,102 @@ def boschloo(a: Column, b: Column, c: Column, d: Column, points: int = 200) -> C
             yield pd.Series(out, dtype=float)
 
     return run(a, b, c, d)
+
+
+@F.pandas_udf(_struct(start=T.LongType(), excerpt=T.StringType(), hits=T.LongType()))
+def excerpt(text: pd.Series, wanted: pd.Series, size: pd.Series) -> pd.DataFrame:
+    """The run of ``size`` words that holds most distinct words (four letters or more) of another text, the first of equals."""
+    out = []
+    for t, q, n in zip(text, wanted, size, strict=True):
+        words, keys = (t or "").split(), set(re.findall(r"[a-z0-9]{4,}", (q or "").lower()))
+        marks = [next(iter(re.findall(r"[a-z0-9]{4,}", w.lower())), "") for w in words]
+        seen: dict[str, int] = {}
+        best, hits = 0, -1
+        for i, m in enumerate(marks):
+            if m in keys:
+                seen[m] = seen.get(m, 0) + 1
+            if i >= n and marks[i - n] in keys:
+                seen[marks[i - n]] -= 1
+                if not seen[marks[i - n]]:
+                    del seen[marks[i - n]]
+            if len(seen) > hits:
+                best, hits = max(0, i - n + 1), len(seen)
+        out.append((best, " ".join(words[best : best + n]), max(hits, 0)))
+    return pd.DataFrame(out, columns=["start", "excerpt", "hits"])
+
+
+def speaker_turns(df: DataFrame, key: str, text: str, longest: int = 400) -> DataFrame:
+    """(key, turn, speaker, part, said): lines ``Name: words``; turns longer than ``longest`` characters are cut after sentences.
+
+    A line without a name goes on with the turn before; lines before the first name are dropped.
+    """
+
+    @F.pandas_udf(T.ArrayType(_struct(turn=T.LongType(), speaker=T.StringType(), part=T.LongType(), said=T.StringType())))
+    def parse(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            turns: list[list[str]] = []
+            for line in (t or "").split("\n"):
+                m = re.match(r"\s*([A-Za-z][\w ]{0,30}):\s*(.*)", line)
+                if m:
+                    turns.append([m[1].strip(), m[2].strip()])
+                elif turns and line.strip():
+                    turns[-1][1] = f"{turns[-1][1]} {line.strip()}".strip()
+            rows = []
+            for n, (who, said) in enumerate(turns):
+                parts = [""]
+                for sentence in re.findall(r"[^.!?]+[.!?]*\s*", said) or [said]:
+                    if parts[-1] and len(parts[-1]) + len(sentence.rstrip()) > longest:
+                        parts.append("")
+                    parts[-1] += sentence
+                rows += [{"turn": n, "speaker": who, "part": i, "said": p.strip()} for i, p in enumerate(parts)]
+            out.append(rows)
+        return pd.Series(out)
+
+    return df.select(key, F.explode(parse(text)).alias("_t")).select(key, "_t.*")
+
+
+def edit_checks(before: Column, after: Column, removed: Column, kept: Column) -> Column:
+    """Problems of an edit: new words, a removed span still there, a kept span gone, or nothing changed."""
+
+    def words(c: Column) -> Column:
+        return F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+
+    new = F.size(F.array_except(words(after), words(before))) > 0
+    still = F.exists(removed, lambda s: F.contains(after, s))
+    gone = F.exists(kept, lambda s: ~F.contains(after, s))
+    flags = F.array(F.when(new, "new words"), F.when(still, "removed span still there"), F.when(gone, "kept span gone"), F.when(before == after, "nothing changed"))
+    return F.array_compact(flags)
+
+
+def allocate(supply: DataFrame, row: str, column: str, item: str, matched: str, caps: dict[tuple[str, str], int]) -> DataFrame:
+    """(row, column, item, by): items for the cells of a grid up to each cell's cap, each item once.
+
+    Cells with the least to choose from come first, and prefer items whose ``matched`` key another chosen item has; what is
+    left open takes any unused item in a second pass. Of each cell no more than the sum of all caps, in item order and with the
+    matched ones first, can ever be chosen, so only these meet in one task.
+    """
+    need = sum(caps.values())
+    shared = F.count(F.lit(1)).over(Window.partitionBy(matched)) > 1
+    order = Window.partitionBy(row, column).orderBy(F.desc("_shared"), item)
+    pool = supply.select(row, column, item, matched).withColumn("_shared", shared).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= need).withColumn("_all", F.lit("all"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        cells = {c: rows[(rows[row] == c[0]) & (rows[column] == c[1])].sort_values(item) for c in caps}
+        used, keys, out = set(), set(), []
+        for passing, by in ((True, "matched"), (False, "relaxed")):
+            for cell in sorted(caps, key=lambda c: (len(cells[c]), c)):
+                left = caps[cell] - sum(o[:2] == cell for o in out)
+                for r in cells[cell].to_dict("records"):
+                    if left <= 0:
+                        break
+                    if r[item] in used or (passing and keys and r[matched] not in keys):
+                        continue
+                    used.add(r[item])
+                    keys.add(r[matched])
+                    out.append((*cell, r[item], by))
+                    left -= 1
+        return pd.DataFrame(out, columns=[row, column, item, "by"])
+
+    kinds = dict(supply.dtypes)
+    return pool.groupBy("_all").applyInPandas(run, f"{row} {kinds[row]}, {column} {kinds[column]}, {item} {kinds[item]}, by string")

@@ -199,3 +199,33 @@ def span_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = F.element_at(text.units(F.col("note")), -1)
     t = talks(spark, sf_dir).where("note is not null").select("conv_id", "note", last.alias("span"))
     return t.select("conv_id", notes.find_span("note", "span").alias("at"), F.md5(notes.without_span("note", "span")).alias("rest")).select("conv_id", "at.*", "rest")
+
+
+@query()
+def best_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forty words of each transcript that say most of what its note says."""
+    t = talks(spark, sf_dir).where("note is not null")
+    return t.select("conv_id", notes.excerpt("transcript", "note", F.lit(40)).alias("e")).select("conv_id", "e.*")
+
+
+@query()
+def speaker_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").where("text is not null")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(": ", "role", "text").alias("l")))), lambda s: s["l"])
+    return notes.speaker_turns(turns.groupBy("conv_id").agg(F.array_join(lines, "\n").alias("script")), "conv_id", "script")
+
+
+@query(f"""WITH {TALK_SQL}, e AS (SELECT conv_id, note, replace(note, 'the ', 'our ') AS edited FROM t WHERE note IS NOT NULL), w AS (SELECT *, list_filter(string_split(regexp_replace(lower(note), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') AS a, list_filter(string_split(regexp_replace(lower(edited), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') AS b FROM e)
+SELECT conv_id, concat_ws('; ', CASE WHEN len(list_filter(b, lambda x: NOT list_contains(a, x))) > 0 THEN 'new words' END, CASE WHEN contains(edited, 'and ') THEN 'removed span still there' END, CASE WHEN NOT contains(edited, 'the ') THEN 'kept span gone' END, CASE WHEN note = edited THEN 'nothing changed' END) AS problems FROM w""")
+def edit_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mechanical checks of an edit that puts one word for another."""
+    t = talks(spark, sf_dir).where("note is not null").withColumn("edited", F.replace("note", F.lit("the "), F.lit("our ")))
+    found = notes.edit_checks(F.col("note"), F.col("edited"), F.array(F.lit("and ")), F.array(F.lit("the ")))
+    return t.select("conv_id", F.array_join(found, "; ").alias("problems"))
+
+
+@query()
+def grid_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three judgements for each cell of pair type and severity, preferring consultations that are chosen already."""
+    caps = {(p, s): 3 for p in ("add", "change", "omit") for s in ("critical", "supporting", "peripheral")}
+    return notes.allocate(now(spark, sf_dir).where("role = 'errored'"), "pair_type", "severity", "event_id", "user_id", caps)

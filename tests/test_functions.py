@@ -237,3 +237,21 @@ def test_provenance(spark):
     arms = spark.createDataFrame([("x", r, i) for r in (1, 2, 3) for i in (1, 2)] + [("y", 1, 1), ("y", 1, 1)], "arm string, rep int, item int")
     got = {r["arm"]: (r["replicates"], r["complete"]) for r in provenance.complete_arms(arms, ["arm"], "rep", "item", 2).collect()}
     assert got == {"x": (3, True), "y": (0, False)}
+
+
+def test_excerpts_turns_and_edits(spark):
+    df = spark.createDataFrame([("one two alpha beta three four", "Alpha beta!"), ("", "x"), (None, None)], "t string, q string")
+    got = [tuple(r["e"]) for r in df.select(notes.excerpt("t", "q", F.lit(2)).alias("e")).collect()]
+    assert got == [(2, "alpha beta", 2), (0, "", 0), (0, "", 0)]
+    script = spark.createDataFrame([(1, "lost\nDoctor: Hello there. How are you?\nPatient: fine\nthanks"), (2, None)], "k int, t string")
+    rows = [(r["turn"], r["speaker"], r["part"], r["said"]) for r in notes.speaker_turns(script, "k", "t", longest=15).orderBy("turn", "part").collect()]
+    assert rows == [(0, "Doctor", 0, "Hello there."), (0, "Doctor", 1, "How are you?"), (1, "Patient", 0, "fine thanks")]
+    edit = spark.createDataFrame([("a b c", "a c", ["b"], ["c"]), ("a b c", "a x b", ["b"], ["c"]), ("a", "a", [], [])], "x string, y string, r array<string>, k array<string>")
+    assert [r["p"] for r in edit.select(notes.edit_checks(*map(F.col, "xyrk")).alias("p")).collect()] == [[], ["new words", "removed span still there", "kept span gone"], ["nothing changed"]]
+
+
+def test_allocation(spark):
+    rows = [("r", "c", i, i % 2) for i in range(6)] + [("r", "d", 6, 0), ("r", "d", 7, 9)]
+    df = spark.createDataFrame(rows, "a string, b string, i int, m int")
+    got = sorted((r["b"], r["i"], r["by"]) for r in notes.allocate(df, "a", "b", "i", "m", {("r", "c"): 2, ("r", "d"): 2}).collect())
+    assert got == [("c", 0, "matched"), ("c", 2, "matched"), ("d", 6, "matched"), ("d", 7, "relaxed")]
