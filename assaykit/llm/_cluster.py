@@ -28,10 +28,3 @@ def keep(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint, so that what was computed is neither repeated nor lost."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder that this job has made, wherever the cluster keeps it."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
