@@ -12,7 +12,8 @@ def table(spark, n=600, dims=12, seed=0, hot=0.3):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(n, dims)) * rng.uniform(0.2, 2.0, size=(n, 1))
     x[: int(hot * n)] = x[0] + rng.normal(size=(int(hot * n), dims)) * 0.01
-    x[5] = x[6] = x[7]
+    if n > 7:
+        x[5] = x[6] = x[7]
     x = x.astype(np.float32)
     rows = [(int(i), [float(c) for c in v], "clash") for i, v in enumerate(x)]
     bad = [(n, None, "c"), (n + 20, [NAN] * dims, "c"), (n + 40, [INF, *[0.0] * (dims - 1)], "c"), (n + 60, [None, *[1.0] * (dims - 1)], "c"), (None, [1.0] * dims, "c"), (n + 80, [], "c")]
