@@ -242,7 +242,11 @@ def drop_near_duplicates(df: DataFrame, bits: int = 4, words: int = 4, key: str
     Only keys and fingerprints take part in the grouping. The keys that go are broadcast up to ``FEW`` of them; beyond that
     they meet the rows by a shuffle. Of repeated rows (same key, or no key, and same text) one stays.
     """
-    groups = keep(near_duplicate_groups(df, bits, words, key, text))
+    return keep_least(df, keep(near_duplicate_groups(df, bits, words, key, text)), key, text)
+
+
+def keep_least(df: DataFrame, groups: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of df whose key is their component_id in ``groups`` (which has a row for each of them)."""
     gone = keep(groups.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct())
     kept = df.join(F.broadcast(gone) if gone.count() <= FEW else gone, df[key] == gone["_gone"], "left_anti")
     lost = groups.where(F.col(key).isNull() & F.col("component_id").isNotNull()).count()

@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import langid, packing, simhash, toxicity
+from assaykit.llm import langid, nearcopies, packing, toxicity
 
-#: SQL can express none of the four stages: naive Bayes, a learned lexicon, Golay keys with components, and subset sums.
+#: SQL can express none of the four stages: naive Bayes, a learned lexicon, softly decoded Golay keys with components, and subset sums.
 ORACLE_SQL = None
 
 #: A document stays if its language is known and likelier than all others together.
@@ -30,8 +30,8 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near-duplicates (one of several rows with that id)."""
-    return simhash.drop_near_duplicates(docs)
+    """Keeps the document with the smallest doc_id of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return nearcopies.drop_near_copies(docs, words=5, similarity=0.8)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from assaykit.llm import htmltext, langid, lmscore, simhash, toxicity
+from assaykit.llm import htmltext, langid, lmscore, nearcopies, simhash, toxicity
 
 SF, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
@@ -148,6 +149,72 @@ def test_one_of_each_group_stays(spark):
     assert ("None", "alone without a key today") in got
 
 
+# near copies
+
+
+def brute_copies(texts, words=5, similarity=0.8):
+    """For each text the smallest position reachable over links of that Jaccard similarity."""
+    sets, by, at = [], {}, list(range(len(texts)))
+    for i, t in enumerate(texts):
+        parts = re.findall("[^ \t-\r]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
+        sets.append(frozenset(tuple(parts[k : k + words]) for k in range(max(1, len(parts) - words + 1))) if parts else frozenset())
+        for x in sets[-1]:
+            by.setdefault(x, []).append(i)
+
+    def root(i):
+        while at[i] != i:
+            i = at[i]
+        return i
+
+    empty = [i for i, s in enumerate(sets) if not s]
+    for i, s in enumerate(sets):
+        common = Counter(j for x in s for j in by[x] if j < i)
+        linked = [j for j, n in common.items() if n >= similarity * (len(s) + len(sets[j]) - n)]
+        for j in linked + (empty[:1] if not s else []):
+            a, b = sorted((root(i), root(j)))
+            at[b] = a
+    return [root(i) for i in range(len(texts))]
+
+
+def components_of(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    return [r["component_id"] for r in nearcopies.near_copy_groups(df).orderBy("doc_id").collect()]
+
+
+def test_near_copies_on_documents(spark):
+    texts = [r[0] for r in spark.read.parquet(f"{MIDDLE}/documents.parquet").orderBy("doc_id").select("text").collect()]
+    assert components_of(spark, texts) == brute_copies(texts)
+
+
+@pytest.mark.parametrize("many, block", [(64, 2048), (4, 16)])
+def test_near_copies_of_all_kinds(spark, many, block, monkeypatch):
+    monkeypatch.setattr(nearcopies, "MANY", many)
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rnd = random.Random(8)
+    vocabulary = ["".join(rnd.choices("abcdefgh", k=4)) for _ in range(500)]
+    texts = [None, "", " \t ", "one", "ONE", "a b c d e", "A b C d e", "a b c d e f", "x " * 30000, "\u00c9 a", "\u00e9 a"]
+    for _ in range(12):
+        base = rnd.choices(vocabulary, k=rnd.choice([12, 60, 150, 400]))
+        for _ in range(rnd.choice([2, 5, 30])):
+            copy = list(base)
+            for _ in range(rnd.randint(0, max(1, len(base) // 40))):
+                copy[rnd.randrange(len(copy))] = rnd.choice(vocabulary)
+            texts += [" ".join(copy)] * rnd.choice([1, 1, 3])
+    assert components_of(spark, texts) == brute_copies(texts)
+
+
+def test_one_near_copy_of_each_group_stays(spark):
+    text = "so then the old boat left the quiet harbour while nobody on the long pier was looking at it again today and the water stayed flat"
+    rows = [(1, text, "x"), (2, text.upper(), "y"), (2, text.upper(), "y"), (4, text + " still", "z"), (5, "other words", "q"), (5, "other words", "q"), (None, text, "n"), (None, "alone here", "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    kept = nearcopies.drop_near_copies(df)
+    assert kept.columns == df.columns
+    got = sorted((str(r["doc_id"]), r["text"]) for r in kept.collect())
+    assert [g for g in got if g[0] != "None"] == [("1", text), ("5", "other words")]
+    assert ("None", "alone here") in got
+    assert nearcopies.near_copy_groups(df.limit(0)).count() == 0
+
+
 # LM scoring
 
 
@@ -308,7 +375,7 @@ def test_pipeline_on_small_tables(spark, tmp_path):
     clean = {r[0] for r in spark.read.parquet(f"{MIDDLE}/labels.parquet").where("toxic = 0").select("doc_id").collect()}
     assert not (first - second) & clean
     third = spark.read.parquet(f"{tmp_path}/2")
-    fps = np.array([simhash.fingerprint(r[0]) for r in third.select("text").collect()], np.int64).view(np.uint64)
-    apart = np.bitwise_count(fps[:, None] ^ fps[None, :]) + 64 * np.eye(len(fps), dtype=np.int64)
-    assert apart.min() > 4
+    before = [(r[0], r[1]) for r in spark.read.parquet(f"{tmp_path}/1").orderBy("doc_id").select("doc_id", "text").collect()]
+    roots = brute_copies([t for _, t in before])
+    assert sorted(r[0] for r in third.select("doc_id").collect()) == [d for i, (d, _) in enumerate(before) if roots[i] == i]
     assert sizes[2] == sizes[3] == third.count()
