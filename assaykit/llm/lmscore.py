@@ -2,10 +2,15 @@
 
 A target model and a background model, both interpolated bigram models with the same vocabulary, order and weights, give each
 token of a document its loss; the document's score is the mean difference, target less background: the lower, the more it
-reads like the target texts. The vocabulary is every word with at least a share ``WORD_SHARE`` of all tokens of both sides, so
-it has at most 1 / WORD_SHARE words whatever the size of the corpus; other words are one unknown word. Bigrams with at least a
-share ``PAIR_SHARE`` of a side's tokens are kept, at most 1 / PAIR_SHARE a side; the rest is left to unigrams. All documents
-are counted: tasks count their own words and pairs, Spark adds up. What is broadcast is bounded by the two shares.
+reads like the target texts. The vocabulary is every word of both sides; only a word that no text of the fit has is unknown.
+Every bigram that one side has ``LEAST`` times or more is kept, at every size; the rest is left to unigrams.
+
+Both tables are Spark tables of counts by side, and grow with the corpus. A token's loss is its word's term plus, where its bigram
+is kept, the bigram's, so a document sends its own counts of words and bigrams to the terms by a shuffle, and adds up what comes
+back. Words with at least a share ``WORD_SHARE`` of all tokens and bigrams with at least ``PAIR_SHARE`` of a side's are broadcast
+instead, so that no key of the shuffle is hot; the shares bound what is broadcast, not what is counted.
+
+Words and bigrams are named by 64-bit hashes in the shuffles; two kept names of 10^9 meet with a chance of about 0.03.
 
 Defined cases: a null, empty or blank text has no token and scores 0; with no text on one side its model is uniform over the
 vocabulary; repeated rows count as often as they occur; a row whose flag is null is background.
@@ -16,10 +21,12 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,34 +34,60 @@ from assaykit.llm._cluster import keep
 from assaykit.llm._text import bounded, project, segment_sums
 
 WORD_SHARE, PAIR_SHARE = 2.0**-16, 2.0**-20
+#: Times that one side must have a bigram.
+LEAST = 2
 #: Weight of bigrams against unigrams, and what is added to each unigram count.
 BIGRAM, ADDED = 0.6, 0.1
 #: Different words, or pairs, that a task holds before it hands on its counts.
 HELD = 400_000
+#: What stands before a text's first word.
+START = np.int64(-1)
 
 
 @dataclass
 class Models:
-    """Both models. Word numbers: the vocabulary's, then the unknown word, then the start of a document (only before a word)."""
+    """Both models: tables of counts and terms, what is broadcast of them, and the loss of an unknown word (side)."""
+
+    counts: DataFrame  # item, id, n0, n1
+    terms: DataFrame  # key, word, l0, l1: what one occurrence adds to the losses; word is 1 for words, 0 for bigrams
+    hot: tuple[np.ndarray, np.ndarray, np.ndarray]  # keys in order, word, side x key losses
+    unknown: np.ndarray
 
-    words: list[str]
-    unigram: np.ndarray  # side x word
-    pairs: np.ndarray  # sorted keys: number before * (len(words) + 2) + number
-    bigram: np.ndarray  # side x pair, given the number before
+    @property
+    def words(self) -> list[str]:
+        """The whole vocabulary, for looking at small models."""
+        return [r["item"] for r in self.counts.select("item").orderBy("item").collect()]
 
 
 def tokens(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def numbers(index: dict[str, int], texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word numbers of all texts, the number before each, and each text's length."""
-    unknown = len(index)
+class Ids(dict):
+    """64-bit hashes of words."""
+
+    def __missing__(self, w: str) -> int:
+        if len(self) >= HELD:
+            self.clear()
+        self[w] = n = int.from_bytes(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+        return n
+
+
+def mixed(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Keys of bigrams."""
+    x = before.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = ((x ^ (x >> np.uint64(29))) + word.view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
+
+
+def numbers(ids: Ids, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all texts' words, the hash before each, and each text's length."""
     parts = [tokens(t) for t in texts]
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    word = np.fromiter((index.get(w, unknown) for p in parts for w in p), np.int64, int(sizes.sum()))
-    before = np.concatenate(([unknown + 1], word[:-1])) if len(word) else word
-    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = unknown + 1
+    word = np.fromiter((ids[w] for p in parts for w in p), np.int64, int(sizes.sum()))
+    before = np.concatenate(([START], word[:-1])) if len(word) else word
+    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = START
     return word, before, sizes
 
 
@@ -62,24 +95,32 @@ def flagged(df: DataFrame, target: str, key: str, text: str) -> DataFrame:
     return project(df, _key=key, _text=text, _target=target).select("_key", "_text", F.coalesce(F.col("_target").cast("boolean"), F.lit(False)).cast("int").alias("_side"))
 
 
-def _sides(counts: DataFrame) -> DataFrame:
-    """(item, n0, n1): background and target counts, added up over tasks."""
-    return counts.groupBy("item").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+def _sides(counts: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n0, n1): background and target counts, added up over tasks."""
+    return counts.groupBy(*keys).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def _counted(pairs: DataFrame, by: str, counts: DataFrame, common: DataFrame, names: tuple[str, str]) -> DataFrame:
+    """pairs with the counts of the word in ``by``: common words' from a broadcast, the others' by a shuffle."""
+    few = F.broadcast(common.select(F.col("id").alias("_few"), F.col("n0").alias("_f0"), F.col("n1").alias("_f1")))
+    out = pairs.join(few, pairs[by] == F.col("_few"), "left")
+    # rows that are served go anywhere; what they meet there doesn't count
+    out = out.withColumn("_at", F.when(F.col("_few").isNull(), F.col(by)).otherwise(F.xxhash64("before", "word")))
+    rest = counts.select(F.col("id").alias("_at"), F.col("n0").alias("_r0"), F.col("n1").alias("_r1"))
+    out = out.join(rest, "_at", "left")
+    return out.select(*pairs.columns, *(F.coalesce(F.col(f"_f{s}"), F.col(f"_r{s}")).alias(n) for s, n in enumerate(names)))
 
 
 def fit(df: DataFrame, target: str, key: str = "doc_id", text: str = "text") -> Models:
     """Counts every row of df; ``target`` is a boolean column that tells the two sides apart."""
     rows = flagged(df, target, key, text).select("_text", "_side")
 
-    def batch(items: list, both: list, kind: pa.DataType) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(items, kind), *(pa.array(n, pa.int64()) for n in both)], names=["item", "n0", "n1"])
-
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
 
         def flush() -> pa.RecordBatch:
-            items = list(seen[0].keys() | seen[1].keys())
-            out = batch(items, [[c[w] for w in items] for c in seen], pa.string())
+            items, ids = list(seen[0].keys() | seen[1].keys()), Ids()
+            out = pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array([ids[w] for w in items], pa.int64()), *(pa.array([c[w] for w in items], pa.int64()) for c in seen)], names=["item", "id", "n0", "n1"])
             for c in seen:
                 c.clear()
             return out
@@ -94,72 +135,105 @@ def fit(df: DataFrame, target: str, key: str = "doc_id", text: str = "text") ->
                 yield flush()
         yield flush()
 
-    words = keep(_sides(rows.mapInArrow(count_words, "item string, n0 long, n1 long")))
-    marks = {r["item"]: np.array([r["n0"], r["n1"]], float) for r in words.where(F.col("item").isin("", " ")).collect()}
+    found = keep(_sides(rows.mapInArrow(count_words, "item string, id long, n0 long, n1 long"), "item", "id"))
+    marks = {r["item"]: np.array([r["n0"], r["n1"]], float) for r in found.where(F.col("item").isin("", " ")).collect()}
     total, texts = marks.get("", np.zeros(2)), marks.get(" ", np.zeros(2))
-    common = words.where(~F.col("item").isin("", " ") & (F.col("n0") + F.col("n1") >= F.lit(float(total.sum()) * WORD_SHARE)))
-    found = common.orderBy("item").toPandas()  # at most 1 / WORD_SHARE rows
-    vocabulary = found["item"].tolist()
-    v = len(vocabulary)
-    known = found[["n0", "n1"]].to_numpy(float).T if v else np.zeros((2, 0))
-    count = np.concatenate((known, (total - known.sum(axis=1))[:, None]), axis=1)
-    unigram = (count + ADDED) / (count.sum(axis=1, keepdims=True) + ADDED * (v + 1))
-    shared = rows.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(vocabulary)})
+    counts = found.where(~F.col("item").isin("", " "))
+    whole = total + ADDED * (counts.count() + 1)
+    often = counts.where(F.col("n0") + F.col("n1") >= F.lit(float(total.sum()) * WORD_SHARE))  # at most 1 / WORD_SHARE rows
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # rows: key, background, target
+        held: list[np.ndarray] = []  # rows: before, word, background, target
+        ids = Ids()
 
         def merged() -> np.ndarray:
-            whole = np.concatenate(held, axis=1)
-            keys, at = np.unique(whole[0], return_inverse=True)
-            return np.stack((keys, *(np.bincount(at, weights=whole[k], minlength=len(keys)).astype(np.int64) for k in (1, 2))))
+            every = np.concatenate(held, axis=1)
+            _, first, at = np.unique(mixed(every[0], every[1]), return_index=True, return_inverse=True)
+            return np.stack((every[0][first], every[1][first], *(np.bincount(at, weights=every[k], minlength=len(first)).astype(np.int64) for k in (2, 3))))
+
+        def batch(out: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["before", "word", "n0", "n1"])
 
         for b in bounded(batches, "_text"):
-            word, before, sizes = numbers(shared.value, b.column(0).to_pylist())
+            word, before, sizes = numbers(ids, b.column(0).to_pylist())
             side = np.repeat(b.column(1).to_numpy(), sizes)
-            held.append(np.stack((before * (v + 2) + word, side == 0, side == 1)).astype(np.int64))
+            held.append(np.stack((before, word, side == 0, side == 1)).astype(np.int64))
             if sum(x.shape[1] for x in held) > 4 * HELD:
                 held[:] = [merged()]
                 if held[0].shape[1] > HELD:
-                    yield batch(*(held[0][0], [held[0][1], held[0][2]]), pa.int64())
+                    yield batch(held[0])
                     held.clear()
         if held:
-            out = merged()
-            yield batch(out[0], [out[1], out[2]], pa.int64())
-
-    pairs = _sides(rows.mapInArrow(count_pairs, "item long, n0 long, n1 long"))
-    least = np.maximum(total * PAIR_SHARE, 2)
-    often = pairs.where((F.col("n0") >= F.lit(float(least[0]))) | (F.col("n1") >= F.lit(float(least[1])))).toPandas().sort_values("item")  # at most 2 / PAIR_SHARE rows
-    keys = often["item"].to_numpy(np.int64)
-    given = np.concatenate((count, texts[:, None]), axis=1)[:, keys // (v + 2)]
-    return Models(vocabulary, unigram, keys, often[["n0", "n1"]].to_numpy(float).T / np.maximum(given, 1))
-
-
-def losses(models: Models, index: dict[str, int], texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's number of tokens, and its mean loss on both sides."""
-    word, before, sizes = numbers(index, texts)
-    key = before * (len(index) + 2) + word
-    at = np.searchsorted(models.pairs, key)
-    at[at == len(models.pairs)] = 0
-    hit = models.pairs[at] == key if len(models.pairs) else np.zeros(len(key), bool)
-    out = np.zeros((2, len(sizes)))
-    for side in (0, 1):
-        p = (1 - BIGRAM) * models.unigram[side][word]
-        p[hit] += BIGRAM * models.bigram[side][at[hit]]
-        out[side] = segment_sums(-np.log(p), sizes) / np.maximum(sizes, 1)
-    return sizes, out
+            yield batch(merged())
+
+    pairs = _sides(rows.mapInArrow(count_pairs, "before long, word long, n0 long, n1 long"), "before", "word").where((F.col("n0") >= LEAST) | (F.col("n1") >= LEAST))
+    start = rows.sparkSession.createDataFrame([(int(START), int(texts[0]), int(texts[1]))], "id long, n0 long, n1 long")
+    common = often.select("id", "n0", "n1").union(start)
+    pairs = _counted(_counted(pairs, "before", counts, common, ("g0", "g1")), "word", counts, common, ("u0", "u1"))
+
+    def unigram(n: Column, side: int) -> Column:
+        return (1 - BIGRAM) * (n + F.lit(ADDED)) / F.lit(float(whole[side]))
+
+    @F.pandas_udf("long")
+    def key_of(before, word):
+        return before.__class__(mixed(before.to_numpy(np.int64), word.to_numpy(np.int64)))
+
+    kept = keep(pairs.select(
+        key_of("before", "word").alias("key"), F.lit(0).alias("word"),
+        *((-F.log1p(BIGRAM * F.col(f"n{s}") / F.greatest(F.col(f"g{s}"), F.lit(1)) / unigram(F.col(f"u{s}"), s))).alias(f"l{s}") for s in (0, 1)),
+        ((F.col("n0") >= F.lit(float(total[0] * PAIR_SHARE))) | (F.col("n1") >= F.lit(float(total[1] * PAIR_SHARE)))).alias("hot"),
+    ))
+    single = [F.col("id").alias("key"), F.lit(1).alias("word"), *((-F.log(unigram(F.col(f"n{s}"), s))).alias(f"l{s}") for s in (0, 1))]
+    hot = kept.where("hot").drop("hot").union(often.select(*single)).toPandas().sort_values("key")  # at most 2 / PAIR_SHARE + 1 / WORD_SHARE rows
+    held = hot["key"].to_numpy(np.int64), hot["word"].to_numpy(np.int64), hot[["l0", "l1"]].to_numpy(float).T.copy()
+    return Models(counts, kept.drop("hot").union(counts.select(*single)), held, -np.log((1 - BIGRAM) * ADDED / whole))
 
 
 def score(df: DataFrame, models: Models, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, h_target, h_background, score) of every row's whole text."""
     rows = project(df, **{key: key, "_text": text})
-    shared = df.sparkSession.sparkContext.broadcast(models)
-    schema = T.StructType([rows.schema[key], T.StructField("n_tokens", T.LongType(), False), *(T.StructField(n, T.DoubleType(), False) for n in ("h_target", "h_background", "score"))])
+    shared = df.sparkSession.sparkContext.broadcast(models.hot)
+    schema = T.StructType([T.StructField(n, t) for n, t in (("_doc", rows.schema[key].dataType), ("_row", T.LongType()), ("key", T.LongType()), ("_n", T.LongType()), ("_size", T.LongType()), ("_l0", T.DoubleType()), ("_l1", T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = {w: i for i, w in enumerate(shared.value.words)}
-        for b in bounded(batches, "_text"):
-            sizes, h = losses(shared.value, index, b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(h[1]), pa.array(h[0]), pa.array(h[1] - h[0])], names=[key, "n_tokens", "h_target", "h_background", "score"])
+        """A row of each text with what hot terms add and the number of its other words (_n); and rows of its other keys, whose _size is null."""
+        hot, _, loss = shared.value
+        ids, number = Ids(), TaskContext.get().partitionId() << 36
 
-    return rows.mapInArrow(run, schema)
+        def found(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = np.searchsorted(hot, k)
+            at[at == len(hot)] = 0
+            return at, hot[at] == k if len(hot) else np.zeros(len(k), bool)
+
+        for b in bounded(batches, "_text"):
+            word, before, sizes = numbers(ids, b.column(1).to_pylist())
+            line = np.arange(number, number + len(sizes))
+            number += len(sizes)
+            owner = np.repeat(line, sizes)
+            ways = [(k, *found(k)) for k in (word, mixed(before, word))]
+            known = np.zeros((2, len(sizes)))
+            for _, at, hit in ways:
+                for s in (0, 1):
+                    known[s] += segment_sums(np.where(hit, loss[s][at], 0.0) if len(hot) else np.zeros(len(at)), sizes)
+            cold = segment_sums((~ways[0][2]).astype(float), sizes).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x) for x in (line, mixed(line, line), cold, sizes, known[0], known[1]))], names=schema.names)
+            keys, owners = np.concatenate([k[~hit] for k, _, hit in ways]), np.concatenate([owner[~hit] for _, _, hit in ways])
+            if not len(keys):
+                continue
+            order = np.lexsort((keys, owners))
+            keys, owners = keys[order], owners[order]
+            new = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1]))))
+            n = len(new)
+            none = [pa.nulls(n, t) for t in (pa.int64(), pa.float64(), pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, b.schema.field(0).type), pa.array(owners[new]), pa.array(keys[new]), pa.array(np.diff(np.append(new, len(keys)))), *none], names=schema.names)
+
+    met = rows.mapInArrow(run, schema).join(models.terms, "key", "left")
+    base = F.col("_size").isNotNull()
+    by_row = met.groupBy("_row").agg(
+        F.first("_doc", ignorenulls=True).alias(key), F.max("_size").alias("n_tokens"),
+        F.sum(F.when(base, F.col("_n")).otherwise(-F.col("_n") * F.coalesce("word", F.lit(0)))).alias("_unknown"),
+        *(F.sum(F.when(base, F.col(f"_l{s}")).otherwise(F.coalesce(F.col("_n") * F.col(f"l{s}"), F.lit(0.0)))).alias(f"_sum{s}") for s in (0, 1)),
+    )
+    mean = [(F.col(f"_sum{s}") + F.col("_unknown") * F.lit(float(models.unknown[s]))) / F.greatest("n_tokens", F.lit(1)) for s in (0, 1)]
+    out = by_row.select(key, "n_tokens", mean[1].alias("h_target"), mean[0].alias("h_background"))
+    return out.withColumn("score", F.col("h_target") - F.col("h_background"))

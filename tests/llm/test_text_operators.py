@@ -256,6 +256,25 @@ def test_lm_scores_by_brute_force(spark):
     assert lmscore.score(df.limit(0), lmscore.fit(df.limit(0), "target")).count() == 0
 
 
+def test_lm_scores_hold_when_nothing_is_common_enough_to_broadcast(spark, monkeypatch):
+    rnd = random.Random(7)
+    rows = [(i if i % 9 else None, talk(rnd, EN if i % 2 else DE, 25) + f" rare{i % 13} once{i}", i % 2 == 1) for i in range(60)] + [(1, "", True), (2, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, target boolean")
+    other = spark.createDataFrame([(1, "words nobody saw"), (2, "the unseen")], "doc_id long, text string")
+
+    def scored():
+        m = lmscore.fit(df, "target")
+        return [sorted(([-1 if x is None else x for x in r] for r in lmscore.score(d, m).collect()), key=lambda r: (r[0], r[1], round(r[4], 9))) for d in (df, other)]
+
+    whole = scored()
+    assert [len(x) for x in whole] == [62, 2] and all(r[2] > 0 for r in whole[1])
+    monkeypatch.setattr(lmscore, "WORD_SHARE", 0.5)
+    monkeypatch.setattr(lmscore, "PAIR_SHARE", 0.5)
+    for a, b in zip(whole, scored(), strict=True):
+        for x, y in zip(a, b, strict=True):
+            assert x == pytest.approx(y)
+
+
 # toxicity
 
 
