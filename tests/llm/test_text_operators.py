@@ -176,6 +176,20 @@ def brute_copies(texts, words=5, similarity=0.8):
     return [root(i) for i in range(len(texts))]
 
 
+@pytest.mark.parametrize("common, own", [(80, 10), (8, 1)])
+def test_links_at_the_threshold_have_a_common_key(common, own):
+    rng, missed, n = np.random.default_rng(5), 0, 500
+    for _ in range(10):
+        both = rng.integers(0, 2**64, (n, common), dtype=np.uint64)
+        left, right = (np.concatenate((both, rng.integers(0, 2**64, (n, own), dtype=np.uint64)), axis=1) for _ in range(2))
+        a, b = (np.stack([nearcopies.signed_sums(x) for x in side]) for side in (left, right))
+        x, y = nearcopies.soft_decode(a), nearcopies.soft_decode(b)
+        shared = (x[..., :, None] == y[..., None, :]).any(axis=(2, 3)).reshape(n, -1, 2).all(axis=2).any(axis=1)
+        near = ((a[:, :128] > 0) != (b[:, :128] > 0)).sum(axis=1) <= nearcopies.FAR
+        missed += int((~(shared & near)).sum())
+    assert missed <= 5  # of 5,000 pairs; six pairs of segments miss about 50
+
+
 def components_of(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     return [r["component_id"] for r in nearcopies.near_copy_groups(df).orderBy("doc_id").collect()]
