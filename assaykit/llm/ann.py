@@ -7,7 +7,7 @@ nearest is opened next. How many leaves are visited is calibrated: for a bounded
 all vectors are found by brute force, and visits are widened until the wanted share of these lies in the leaves visited.
 
 Each leaf's vectors are dealt over shards of bounded size; a query goes to all shards of the leaves that it visits, and the
-shards' best are merged. Only the tree and the calibration queries are broadcast; both are bounded by parameters.
+shards' best are merged. A query whose leaves hold too few vectors for its answer opens further ones. Only the tree and the calibration queries are broadcast; both are bounded by parameters.
 
 Defined cases: vectors that are null, empty or zero or hold null or non-finite components, and rows with null ids, take no
 part; ties go to the smaller id; repeated ids are candidates each; fewer candidates than asked for give that many rows.
@@ -95,19 +95,20 @@ class Tree:
             todo += [(kid, rows[near == kid]) for kid in kids.tolist()]
         return out
 
-    def visit(self, queries: np.ndarray, most: int) -> np.ndarray:
-        """The first ``most`` leaves of each query, best bin first; a query is lifted by 0."""
+    def visit(self, queries: np.ndarray, most: int, sizes: np.ndarray | None = None, least: int = 0) -> list[list[int]]:
+        """The first ``most`` leaves of each query, best bin first, and more until their ``sizes`` add up to ``least``; a query is lifted by 0."""
         far = ((self.points**2).sum(axis=1) / 2 - np.concatenate((queries, np.zeros((len(queries), 1))), axis=1) @ self.points.T).tolist()
-        out = np.zeros((len(queries), min(most, self.leaves)), np.int64)
-        for n, d in enumerate(far):
-            queue, found = [(0.0, 0)], 0
-            while found < out.shape[1]:
+        out = []
+        for d in far:
+            queue, found, held = [(0.0, 0)], [], 0
+            while queue and (len(found) < most or held < least):
                 node = heapq.heappop(queue)[1]
                 if self.leaf[node] >= 0:
-                    out[n, found] = self.leaf[node]
-                    found += 1
+                    found.append(self.leaf[node])
+                    held += 0 if sizes is None else int(sizes[self.leaf[node]])
                 for kid in self.children[node]:
                     heapq.heappush(queue, (d[kid], kid))
+            out.append(found)
         return out
 
 
@@ -146,7 +147,9 @@ def search_tree(df: DataFrame, asks: Column, k: int = 20, recall: float = 0.95,
     visits, reached = _calibrate(placed, queries, tree, k, recall, n)
 
     sizes = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}  # bounded by the tree
-    parts = np.array([max(1, -(-sizes.get(i, 0) // SHARD)) for i in range(tree.leaves)])
+    held = np.array([sizes.get(i, 0) for i in range(tree.leaves)])
+    own = queries.groupBy("vec_id").count().agg(F.max("count")).first()[0] or 1  # rows of a query's own id are no candidates
+    parts = np.maximum(1, -(-held // SHARD))
     first = np.cumsum(parts) - parts
     base = F.element_at(F.array(*map(F.lit, first.tolist())), F.col("leaf").cast("int") + 1)
     of = F.element_at(F.array(*map(F.lit, parts.tolist())), F.col("leaf").cast("int") + 1)
@@ -156,9 +159,9 @@ def search_tree(df: DataFrame, asks: Column, k: int = 20, recall: float = 0.95,
         for b in batches:
             for s in range(0, b.num_rows, 512):
                 part = b.slice(s, 512)
-                leaves = shared.value.visit(matrix(part.column(1)), visits)
-                row = np.repeat(np.arange(part.num_rows), parts[leaves].sum(axis=1))
-                shard = np.concatenate([np.arange(first[i], first[i] + parts[i]) for i in leaves.ravel()])
+                leaves = shared.value.visit(matrix(part.column(1)), visits, held, k + own)
+                row = np.repeat(np.arange(part.num_rows), [parts[own_leaves].sum() for own_leaves in leaves])
+                shard = np.concatenate([np.arange(first[i], first[i] + parts[i]) for own_leaves in leaves for i in own_leaves])
                 yield pa.RecordBatch.from_arrays([pa.array(shard), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row))], names=["shard", "vec_id", "vector"])
 
     asked = queries.mapInArrow(to_shards, f"shard long, vec_id long, vector {kind}")
@@ -213,7 +216,7 @@ def _calibrate(placed: DataFrame, queries: DataFrame, tree: Tree, k: int, recall
     truth = near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).select("row", "leaf").collect()
     if not truth:
         return 1, 1.0
-    visited = tree.visit(vectors, tree.leaves)
+    visited = np.array(tree.visit(vectors, tree.leaves))
     place = np.argsort(visited, axis=1)  # at each leaf, when it is visited
     when = np.array([place[r["row"], r["leaf"]] for r in truth])
     share = np.cumsum(np.bincount(when, minlength=tree.leaves)) / len(when)

@@ -54,6 +54,18 @@ def test_tree_search_of_few(spark):
     assert ann.search_tree(df.limit(0), F.col("vec_id") % 20 == 0)[0].count() == 0
 
 
+def test_tree_search_opens_leaves_until_the_answer_is_full(spark, monkeypatch):
+    monkeypatch.setattr(ann, "_calibrate", lambda *a: (1, 1.0))
+    rng = np.random.default_rng(9)
+    x = np.eye(8)[np.arange(600) % 6] * 5 + rng.normal(size=(600, 8)) * 0.01
+    x[[0, 1, 2, 40]] = np.eye(8)[7] * 5 + rng.normal(size=(4, 8)) * 0.01  # a leaf of its own
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(40, x[40].tolist())]
+    found, info = ann.search_tree(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0)
+    assert info["leaves"] > 1
+    got = {r["query_id"]: r["count"] for r in found.groupBy("query_id").count().collect()}
+    assert got == {q: 20 for q in range(0, 600, 20)}
+
+
 def test_maxscore_is_exact(spark, monkeypatch):
     monkeypatch.setattr(maxscore, "SHARD", 150)
     monkeypatch.setattr(maxscore, "SEED", 20)
