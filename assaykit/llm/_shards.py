@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 VECTOR = "array<double>"
 
@@ -17,6 +18,12 @@ def usable(vector: str) -> Column:
     return F.col(vector).isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
+def padded(vector: str, dims: int, kind: T.ArrayType) -> Column:
+    """The vector with zeros up to ``dims`` components."""
+    zero = F.lit(0).cast(kind.elementType)
+    return F.when(F.size(vector) < dims, F.concat(vector, F.array_repeat(zero, F.lit(dims) - F.size(vector)))).otherwise(F.col(vector))
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     """Rows of a column of lists of equal length, in double precision."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)

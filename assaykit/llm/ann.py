@@ -10,7 +10,8 @@ Each leaf's vectors are dealt over shards of bounded size; a query goes to all s
 shards' best are merged. A query whose leaves hold too few vectors for its answer opens further ones. Only the tree and the calibration queries are broadcast; both are bounded by parameters.
 
 Defined cases: vectors that are null, empty or zero or hold null or non-finite components, and rows with null ids, take no
-part; ties go to the smaller id; repeated ids are candidates each; fewer candidates than asked for give that many rows.
+part; a vector shorter than the longest has zeros in the components that it lacks; ties go to the smaller id; repeated ids are
+candidates each; fewer candidates than asked for give that many rows.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaykit.llm._cluster import keep
-from assaykit.llm._shards import best, matrix, search, usable
+from assaykit.llm._shards import best, matrix, padded, search, usable
 from assaykit.llm._text import project
 
 #: Bounds: vectors that the tree is fitted on, queries that calibrate, branches of a node, and the share of the sample in a leaf.
@@ -131,7 +132,7 @@ def search_tree(df: DataFrame, asks: Column, k: int = 20, recall: float = 0.95,
     if not n:
         empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
         return empty, {"rows": 0, "leaves": 0, "visits": 0, "recall": 1.0}
-    rows = rows.where(F.size("vector") == dims)
+    rows = rows.withColumn("vector", padded("vector", dims, rows.schema["vector"].dataType))
     kind = rows.schema["vector"].dataType.simpleString()
     sample = np.array([r["vector"] for r in hashed_sample(rows, n, SAMPLE, "tree").collect()] or [rows.first()["vector"]])
     tree = Tree(sample, float(np.sqrt(longest)))

@@ -9,7 +9,8 @@ by term group, only for rows whose score so far plus the most that the remaining
 their best, and these are merged. All sums are integers in double precision below 2**53, so they are exact.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components, and rows with null ids, take no part; zero
-vectors do; ties go to the smaller id; repeated ids are candidates each; fewer candidates than k give that many rows.
+vectors do; a vector shorter than the longest has zeros in the components that it lacks; ties go to the smaller id; repeated ids
+are candidates each; fewer candidates than k give that many rows.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.llm._cluster import keep
-from assaykit.llm._shards import VECTOR, search, usable
+from assaykit.llm._shards import VECTOR, padded, search, usable
 from assaykit.llm._text import project
 from assaykit.llm.ann import ranked
 
@@ -75,7 +76,7 @@ def search_exact(df: DataFrame, asks: Column, k: int = 10, scale: int = 1024, ke
     rows = project(df, vec_id=key, vector=vector).select(F.col("vec_id").cast("long"), "vector")
     rows = keep(rows.where(F.col("vec_id").isNotNull() & usable("vector")).select("vec_id", quantize("vector", scale).alias("vector")))
     n, dims = rows.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
-    rows = rows.where(F.size("vector") == (dims or 0))
+    rows = rows.withColumn("vector", padded("vector", dims or 0, rows.schema["vector"].dataType))
     shards = max(1, -(-n // SHARD))
     tasks = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.select(F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards)).alias("shard"), "vec_id", "vector")

@@ -66,6 +66,22 @@ def test_tree_search_opens_leaves_until_the_answer_is_full(spark, monkeypatch):
     assert got == {q: 20 for q in range(0, 600, 20)}
 
 
+def test_vectors_of_other_lengths_take_part(spark):
+    x, df, rows = table(spark, n=60, hot=0)
+    wide = np.concatenate((x, np.zeros((60, 3))), axis=1)
+    more = np.stack((np.ones(15), np.concatenate(([2.0], np.zeros(14)))))
+    whole = np.concatenate((wide, more))
+    both = df.where("vec_id < 60").select("vec_id", "embedding").unionByName(spark.createDataFrame([(60, [1.0] * 15), (61, [2.0])], "vec_id long, embedding array<float>"))
+    for exact in (False, True):
+        k, data = (10, np.floor(1024 * whole)) if exact else (20, whole)
+        asks = F.col("vec_id") % 20 == 0
+        found = maxscore.search_exact(both, asks) if exact else ann.search_tree(both, asks, recall=1.0)[0]
+        got = {}
+        for r in found.orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["vec_id"])
+        assert got == {q: brute(data, q, k)[0].tolist() for q in (0, 20, 40, 60)}
+
+
 def test_maxscore_is_exact(spark, monkeypatch):
     monkeypatch.setattr(maxscore, "SHARD", 150)
     monkeypatch.setattr(maxscore, "SEED", 20)
