@@ -246,7 +246,7 @@ def labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def near_copy_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, node, component_id) of every row: documents reachable over links of that similarity share a component, named by
+    """(key, node, th, component_id) of every row, th being a hash of its text: documents reachable over links of that similarity share a component, named by
     its smallest key. ``similarity`` of 0.8 or more: the keys are made for that."""
     if not 0.8 <= similarity <= 1:
         raise ValueError("the keys find links of a similarity from 0.8 to 1")
@@ -281,7 +281,7 @@ def near_copy_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, key
     final = keep(labelled(nodes, edges).select("node", F.col("label").alias("_label"), F.col("doc.key").alias("_least")))
     least = final.groupBy("_label").agg(F.min("_least").alias("component_id"))
     named = keep(final.join(least, "_label").select("node", "component_id"))
-    return docs.select(key, "node").join(named, "node").select(key, "node", "component_id")
+    return docs.select(key, "node", "th").join(named, "node").select(key, "node", "th", "component_id")
 
 
 def drop_near_copies(df: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -74,15 +74,18 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return int(np.packbits(2 * total > n).view(">i8")[0])
 
 
-def fingerprints(df: DataFrame, words: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp long) of every whole text."""
+def fingerprints(df: DataFrame, words: int = 4, key: str = "doc_id", text: str = "text", hashed: bool = False) -> DataFrame:
+    """(key, fp long) of every whole text; ``hashed`` adds th, a hash of the text as it is."""
     rows = project(df, **{key: key, "_text": text})
+    more = ["th"] if hashed else []
+    if hashed:
+        rows = rows.withColumn("th", F.xxhash64("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches, "_text"):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t, words) for t in b.column(1).to_pylist()], pa.int64())], names=[key, "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t, words) for t in b.column(1).to_pylist()], pa.int64()), *b.columns[2:]], names=[key, "fp", *more])
 
-    return rows.mapInArrow(run, T.StructType([rows.schema[key], T.StructField("fp", T.LongType(), False)]))
+    return rows.mapInArrow(run, T.StructType([rows.schema[key], *(T.StructField(n, T.LongType(), False) for n in ("fp", *more))]))
 
 
 def remainder(word: np.ndarray) -> np.ndarray:
@@ -223,9 +226,9 @@ def links(distinct: DataFrame, bits: int = 4) -> DataFrame:
     return dealt.mapInArrow(compare, "u long, v long")
 
 
-def near_duplicate_groups(df: DataFrame, bits: int = 4, words: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp long, component_id) of every row."""
-    docs = keep(fingerprints(df, words, key, text))
+def near_duplicate_groups(df: DataFrame, bits: int = 4, words: int = 4, key: str = "doc_id", text: str = "text", hashed: bool = False) -> DataFrame:
+    """(key, fp long, component_id) of every row; ``hashed`` adds th, a hash of its text."""
+    docs = keep(fingerprints(df, words, key, text, hashed))
     nodes = keep(docs.groupBy("fp").agg(F.min(key).alias("_least")))
     edges = keep(links(nodes, bits).distinct())
     labels = label_components(edges)  # only fingerprints with links
@@ -233,7 +236,7 @@ def near_duplicate_groups(df: DataFrame, bits: int = 4, words: int = 4, key: str
     named = keep(named)
     least = keep(named.groupBy("_label").agg(F.min("_least").alias("component_id")))
     by_fp = keep(named.join(least, "_label").select("fp", "component_id"))
-    return docs.join(by_fp, "fp").select(key, "fp", "component_id")
+    return docs.join(by_fp, "fp").select(key, "fp", *(["th"] if hashed else []), "component_id")
 
 
 def drop_near_duplicates(df: DataFrame, bits: int = 4, words: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -242,13 +245,15 @@ def drop_near_duplicates(df: DataFrame, bits: int = 4, words: int = 4, key: str
     Only keys and fingerprints take part in the grouping. The keys that go are broadcast up to ``FEW`` of them; beyond that
     they meet the rows by a shuffle. Of repeated rows (same key, or no key, and same text) one stays.
     """
-    return keep_least(df, keep(near_duplicate_groups(df, bits, words, key, text)), key, text)
+    return keep_least(df, keep(near_duplicate_groups(df, bits, words, key, text, hashed=True)), key, text)
 
 
 def keep_least(df: DataFrame, groups: DataFrame, key: str, text: str) -> DataFrame:
-    """The rows of df whose key is their component_id in ``groups`` (which has a row for each of them)."""
-    gone = keep(groups.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct())
-    kept = df.join(F.broadcast(gone) if gone.count() <= FEW else gone, df[key] == gone["_gone"], "left_anti")
+    """The rows of df whose key is their component_id in ``groups``, which has a row for each of them, with th, a hash of its text:
+    different texts may share a key, and only those go that have a copy."""
+    gone = keep(groups.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone"), F.col("th").alias("_th")).distinct())
+    same = (df[key] == gone["_gone"]) & (F.xxhash64(df[text]) == gone["_th"])
+    kept = df.join(F.broadcast(gone) if gone.count() <= FEW else gone, same, "left_anti")
     lost = groups.where(F.col(key).isNull() & F.col("component_id").isNotNull()).count()
     again = keep(groups.groupBy(key).count().where("count > 1").select(F.col(key).alias("_again")))
     if again.count() + lost == 0:

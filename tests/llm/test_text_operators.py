@@ -229,6 +229,15 @@ def test_one_near_copy_of_each_group_stays(spark):
     assert nearcopies.near_copy_groups(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("drop", [nearcopies.drop_near_copies, simhash.drop_near_duplicates])
+def test_texts_that_share_a_key_go_one_by_one(spark, drop):
+    text = "so then the old boat left the quiet harbour while nobody on the long pier was looking at it again today"
+    other = "a wholly different sentence about mountain goats and the price of cheese in some far valley"
+    df = spark.createDataFrame([(1, text), (2, text), (2, other), (3, None)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"]) for r in drop(df).collect() if r["text"]) == [(1, text), (2, other)]
+    assert drop(df).where("doc_id = 3").count() == 1
+
+
 # LM scoring
 
 
