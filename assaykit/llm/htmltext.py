@@ -9,7 +9,9 @@ that ``labelled_pages`` composes in many layouts, with known labels; a page's la
 The model is a table of ``1 << BITS`` weights for each label, broadcast whole. Pages are independent: no shuffle takes place.
 
 Defined cases: null and empty pages give the empty text; broken or cut markup is read as far as it goes, elements left open
-end with their parents or the page; repeated rows and null keys are passed through; other columns are dropped.
+end with their parents or the page; an element without text that is never closed ends at its start tag, as svg does where
+that ends in "/", but script and style go on to the page's end; a tag ends at the first ">" outside a value that is quoted after
+"="; repeated rows and null keys are passed through; other columns are dropped.
 """
 
 from __future__ import annotations
@@ -30,15 +32,15 @@ from assaykit.llm._text import bounded, project
 
 BITS = 14
 #: Fixed values of HTML: elements whose content is no text, that never have content, and that don't start a block.
-SILENT = ("script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "math")
+SILENT = ("script", "style", "template", "svg", "iframe")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mspace mpadded semantics".split())
 #: Elements that end when one of the named elements starts.
 ENDED_BY = {"p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 #: Elements that an open p, li and the like is not looked for beyond.
 SCOPE = frozenset("ul ol dl table div article section aside main body blockquote td".split())
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=(?!\s*[\"']))*+)(?:>|\Z)", re.S)
 NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PARTS = re.compile(r"[A-Za-z][a-z]+|[A-Z]+")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
@@ -91,9 +93,9 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
                         break
             continue
         if name in SILENT:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            if name not in ("svg", "math"):
+            end = None if name == "svg" and m[3].endswith("/") else re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            at = end.end() if end else len(page) if name in ("script", "style") else at
+            if name != "svg":
                 close()
             continue
         if name in INLINE:

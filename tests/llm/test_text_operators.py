@@ -359,6 +359,21 @@ def test_blocks_of_broken_markup():
     assert htmltext.blocks("no markup at all")[0][1] == "no markup at all"
 
 
+def test_blocks_keep_text_around_odd_markup():
+    def texts(page):
+        return [t for _, t, _ in htmltext.blocks(page)]
+
+    assert texts('<p>a <svg viewBox="0 0 1 1"/>b</p><p>c <svg><path d="x"/></svg>d') == ["a b", "c d"]
+    assert texts("<p>so <math/>on <math><mi>x</mi><mo>=</mo><mn>2</mn></math></p><p>c") == ["so on x=2", "c"]
+    assert texts("<p>x</p><iframe src=a><p>y</p>") == ["x", "y"]
+    for name in ("noscript", "object", "canvas"):
+        assert texts(f"<p>x</p><{name}><p>y</p>") == texts(f"<p>x</p><{name}><p>y</p></{name}>") == ["x", "y"]
+    assert texts("<p>x<script>if (a < b) {} </p><p>y") == ["x"]
+    assert texts('<p><a href="x"">l</a> more</p><p>z</p>') == ["l more", "z"]
+    assert texts("<p title=it's>one</p><p>two's</p>") == ["one", "two's"]
+    assert texts("<p title=\"x>y\" id = 'b>c'>t</p>") == ["t"]
+
+
 def test_chain_gradient_and_decoding():
     rng = np.random.default_rng(1)
     m = htmltext.Chain()
