@@ -5,17 +5,20 @@ bits in each bit of a SimHash, far more than a search for exact distances can co
 part: a document gets ``SEGMENTS`` segments of 23 sums, and each is decoded softly to the three codewords of the (23, 12) Golay
 code that agree best with the sums, not with their signs alone. Near copies at the threshold share one of their three in about
 0.73 of all segments, both of two neighbours in about 0.54. Codeword indices of two neighbouring segments make a key, nine a
-pair of segments. The search is probabilistic: of 70,000 made links at the threshold, twelve pairs of segments left 5 without a
-common key (0.007 %; six pairs left about 1 %); a test counts such links. Documents that share a key
-and differ in ``FAR`` or fewer of 128 bits are verified: the Jaccard similarity is computed on their whole sets of hashes.
-
-No pairs of a large group are made. Keys with few documents give all their candidates. Keys with ``MANY`` or more are done in
-three rounds: each document with the first that resembles it; then the closest pair of each two components that meet in a task;
-then all that is left between different components. Links that cannot change the components are never formed. Such keys are
-dealt in blocks of ``simhash.BLOCK``, so that a task compares two blocks at most.
+pair of segments. The search is probabilistic: about 7 of 100,000 links exactly at the threshold have no common key, and fewer
+above it (a test counts such links); a link that is missed is still found where both documents fall into one cluster.
+
+1. Documents with a common key that may link by their first ``64 * SKETCH`` bits and their sizes fall into one cluster. Tasks hand
+   on spanning forests of such pairs (``_forest``), so a cluster holds every link of its documents, and no pairs are formed.
+2. Each cluster's sets of hashes are brought together, one document for each different set, every set once. A task goes through
+   a cluster's documents from one to those it links with, and compares a document exactly, by an index of the cluster's
+   shingles, only with documents that are not reached yet.
+3. Clusters over ``BLOCK`` documents or ``HASHES`` hashes are cut into parts. Parts are gone through alone, then one document of each
+   component found so far, in ever fewer parts; this joins a large group of near copies. Where different components are left,
+   the largest is compared with all the others, part by part, and the others with each other, so no link is lost.
 
 Exact copies are one node (a 64-bit hash of the set of hashes) from the first aggregation on. Texts are read again only for
-nodes that have candidates, one document a node.
+documents in clusters.
 
 Defined cases: texts with fewer words than a shingle's have one shingle of them all; null, empty and blank texts have the
 empty set and are copies of each other; A-Z count as a-z; repeated rows are copies; an empty table gives an empty result.
@@ -29,25 +32,25 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assaykit.llm import simhash
 from assaykit.llm._cluster import keep
 from assaykit.llm._components import label_components
+from assaykit.llm._forest import forest_links
 from assaykit.llm._text import bounded, project
 
 #: Segments of 23 sums, decoded in pairs, and codewords kept of each.
 SEGMENTS, BEST = 24, 3
-#: Words of 64 sums that hold the segments.
-WORDS = -(-SEGMENTS * 23 // 64)
-#: Differing bits of the first 128 up to which documents with a common key are verified.
-FAR = 44
-#: Documents of a key from which it is compared in rounds.
-MANY = 64
-#: Documents that may stand for others in one block of a key in the first round.
-LEADERS = 64
+#: Words of 64 sums that hold the segments, and those whose bits are compared.
+WORDS, SKETCH = -(-SEGMENTS * 23 // 64), 3
+#: Differing bits of the sketch up to which documents fall into one cluster: over six deviations more than links at 0.8 have.
+#: Sets of fewer than SMALL hashes have ``MORE``, since sums of few hashes are often zero.
+FAR, SMALL, MORE = 62, 16, 12
+#: Documents, and hashes of documents, that a task goes through at once.
+BLOCK, HASHES = 2048, 2_000_000
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -104,145 +107,168 @@ def soft_decode(sums: np.ndarray) -> np.ndarray:
 
 
 def described(df: DataFrame, words: int, key: str, text: str) -> DataFrame:
-    """(key, th, node, a, b, codes) of every row; th is a hash of the text as it is."""
+    """(key, th, node, n, s0.., codes) of every row; th is a hash of the text as it is, n the number of different shingles."""
     rows = project(df, **{key: key, "_text": text}).select(key, "_text", F.xxhash64("_text").alias("th"))
+    bits = [f"s{i}" for i in range(SKETCH)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches, "_text"):
             sets = [shingle_set(t, words) for t in b.column(1).to_pylist()]
             sums = np.stack([signed_sums(s) for s in sets])
             node = np.array([xxhash.xxh64_intdigest(s.tobytes(), 1) for s in sets], np.uint64).view(np.int64)
-            bits = np.packbits(sums[:, :128] > 0, axis=1).view(">i8").astype(np.int64)
+            sketch = np.packbits(sums[:, : 64 * SKETCH] > 0, axis=1).view(">i8").astype(np.int64)
             codes = [c.tobytes() for c in soft_decode(sums)]
-            columns = [b.column(0), b.column(2), pa.array(node), pa.array(bits[:, 0]), pa.array(bits[:, 1]), pa.array(codes, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=[key, "th", "node", "a", "b", "codes"])
+            columns = [b.column(0), b.column(2), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x) for x in sketch.T), pa.array(codes, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "th", "node", "n", *bits, "codes"])
 
-    schema = T.StructType([rows.schema[key], *T.StructType.fromDDL("th long, node long, a long, b long, codes binary").fields])
+    schema = T.StructType([rows.schema[key], *T.StructType.fromDDL(f"th long, node long, n long, {', '.join(f'{c} long' for c in bits)}, codes binary").fields])
     return rows.mapInArrow(run, schema)
 
 
 def keyed(nodes: DataFrame) -> DataFrame:
-    """(key, node, label, a, b): nine keys for each pair of neighbouring segments."""
+    """(key, node, n, s0..): nine keys for each pair of neighbouring segments."""
+    names = ["node", "n", *(f"s{i}" for i in range(SKETCH))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = SEGMENTS // 2
         for batch in batches:
             for k in range(0, batch.num_rows, 4096):
                 b = batch.slice(k, 4096)
-                codes = np.frombuffer(b"".join(b.column(4).to_pylist()), np.int16).reshape(-1, pairs, 2, BEST).astype(np.int64)
+                codes = np.frombuffer(b"".join(b.column(len(names)).to_pylist()), np.int16).reshape(-1, pairs, 2, BEST).astype(np.int64)
                 keys = (np.arange(pairs) << 24)[None, :, None, None] | (codes[:, :, 0, :, None] << 12) | codes[:, :, 1, None, :]
-                times = np.repeat(np.arange(b.num_rows), pairs * BEST * BEST)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(b.column(i).take(pa.array(times)) for i in range(4))], names=["key", "node", "label", "a", "b"])
-
-    return nodes.select("node", "label", "a", "b", "codes").mapInArrow(run, "key long, node long, label long, a long, b long")
-
-
-def differing(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a[i] ^ a[j]).astype(np.int16) + np.bitwise_count(b[i] ^ b[j])
-
-
-def all_candidates(group: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of rows to verify, in many small groups at once; equal groups are neighbours."""
-    left, right, at, k = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.arange(len(group)), 1
-    while True:
-        at = at[at + k < len(group)]
-        at = at[group[at] == group[at + k]]
-        if not len(at):
-            return np.concatenate(left), np.concatenate(right)
-        near = at[differing(a, b, at, at + k) <= FAR]
-        left.append(near)
-        right.append(near + k)
-        k += 1
-
-
-def candidates(label: np.ndarray, a: np.ndarray, b: np.ndarray, how: str) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one large key to verify. ``how``: leaders, closest (of each two labels) or apart (all of different labels)."""
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    if how == "leaders":
-        rest = np.arange(len(label))
-        for _ in range(LEADERS):
-            if len(rest) < 2:
-                break
-            near = differing(a, b, rest[:1], rest[1:]) <= FAR
-            left.append(np.full(int(near.sum()), rest[0]))
-            right.append(rest[1:][near])
-            rest = rest[1:][~near]
-        return np.concatenate(left), np.concatenate(right)
-    ends = np.searchsorted(label, label, "right")  # rows are sorted by label, so those with another one follow its run
-    for i in np.flatnonzero(ends < len(label)).tolist():
-        j = np.arange(ends[i], len(label))
-        j = j[differing(a, b, np.array([i]), j) <= FAR]
-        left.append(np.full(len(j), i))
-        right.append(j)
-    i, j = np.concatenate(left), np.concatenate(right)
-    if how == "closest" and len(i):
-        order = np.lexsort((differing(a, b, i, j), label[j], label[i]))
-        i, j = i[order], j[order]
-        first = np.concatenate(([True], (label[i][1:] != label[i][:-1]) | (label[j][1:] != label[j][:-1])))
-        i, j = i[first], j[first]
-    return i, j
-
-
-def compared(rows: DataFrame, how: str) -> DataFrame:
-    """(u, v) distinct candidate pairs among (key, block, node, label, a, b), u < v."""
+                times = pa.array(np.repeat(np.arange(b.num_rows), pairs * BEST * BEST))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(b.column(i).take(times) for i in range(len(names)))], names=["key", *names])
+
+    return nodes.select(*names, "codes").mapInArrow(run, ", ".join(f"{c} long" for c in ["key", *names]))
+
+
+def may_link(columns: list[np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes and sketches (n, s0, ..) may have that Jaccard similarity."""
+    n, *sketch = columns
+    less, more = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+    apart = sum(np.bitwise_count((s.view(np.uint64))[i] ^ (s.view(np.uint64))[j]).astype(np.int16) for s in sketch)
+    return (less / np.maximum(more, 1) >= similarity) & (apart <= FAR + MORE * (less < SMALL))
+
+
+def reached(label: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(label, the smallest label that it reaches over links of that similarity), for each label that reaches a smaller one.
+
+    Goes from one set to all that it links with, and from these on. An index lists, for each hash, the sets that are not reached
+    yet; it is built anew whenever half of them are.
+    """
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    names, group = np.unique(label, return_inverse=True)
+    members = np.split(np.argsort(group, kind="stable"), np.cumsum(np.bincount(group))[:-1])
+    hashes, term = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(term, np.cumsum(sizes)[:-1])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(term, kind="stable")
+    term, owner = term[order], owner[order]
+    left = np.ones(len(sets), bool)
+    ends = np.append(0, np.cumsum(np.bincount(term, minlength=len(hashes))))
+    indexed, u, v = len(sets), [], []
+    for g in range(len(names)):
+        if not left[members[g][0]]:
+            continue
+        queue = [members[g]]
+        left[members[g]] = False
+        while queue:
+            for d in queue.pop().tolist():
+                rest = int(left.sum())
+                if not rest:
+                    return np.array(u, np.int64), np.array(v, np.int64)
+                if 2 * rest <= indexed:
+                    stay = left[owner]
+                    term, owner, indexed = term[stay], owner[stay], rest
+                    ends = np.append(0, np.cumsum(np.bincount(term, minlength=len(hashes))))
+                at, n = ends[own[d]], ends[own[d] + 1] - ends[own[d]]
+                where = np.repeat(at - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                common = np.bincount(owner[where], minlength=len(sets))
+                hit = np.flatnonzero(left & (common > 0))
+                hit = hit[common[hit] / (sizes[d] + sizes[hit] - common[hit]) >= similarity]
+                for other in np.unique(group[hit]).tolist():
+                    u.append(names[other])
+                    v.append(names[g])
+                    left[members[other]] = False
+                    queue.append(members[other])
+    return np.array(u, np.int64), np.array(v, np.int64)
+
+
+def linked(rows: DataFrame, similarity: float) -> DataFrame:
+    """(u, v) for each label u in a block that reaches a smaller one over links within the block; v is the smallest of these.
+
+    rows: (cluster, block, label, hashes), a bounded number in each block.
+    """
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(tasks, "key", "block").sortWithinPartitions("key", "block", "label", "node")
+    dealt = rows.select("cluster", "block", "label", "hashes").repartition(tasks, "cluster", "block").sortWithinPartitions("cluster", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-
-        def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            key, block, node, label, a, b = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            bits_a, bits_b = a.view(np.uint64), b.view(np.uint64)
-            starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (block[1:] != block[:-1]))))
-            ends = np.append(starts[1:], len(key))
-            if not last:  # the last group may go on in the next batch
-                held.append([x[starts[-1] :] for x in (key, block, node, label, a, b)])
-                starts, ends = starts[:-1], ends[:-1]
-            if how == "all":
-                stop = int(ends[-1]) if len(ends) else 0
-                i, j = all_candidates(np.repeat(np.arange(len(ends)), ends - starts), bits_a[:stop], bits_b[:stop])
-            else:
-                found = [(s, candidates(label[s:e], bits_a[s:e], bits_b[s:e], how)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-                i, j = (np.concatenate([np.zeros(0, np.int64), *(s + f[side] for s, f in found)]) for side in (0, 1))
-            pairs = np.unique(np.stack((np.minimum(node[i], node[j]), np.maximum(node[i], node[j]))), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
-
-        for r in batches:
-            held.append([r.column(c).to_numpy(zero_copy_only=False) for c in range(6)])
-            if sum(len(x[0]) for x in held) >= 200_000:
-                yield from flush(False)
-        if held:
-            yield from flush(True)
-
-    return dealt.select("key", "block", "node", "label", "a", "b").mapInArrow(run, "u long, v long").where("u <> v").distinct()
-
-
-def verified(pairs: DataFrame, nodes: DataFrame, df: DataFrame, words: int, similarity: float, key: str, text: str) -> DataFrame:
-    """The pairs whose sets have that Jaccard similarity or more."""
-    wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    wanted = keep(wanted.join(nodes, "node").select("node", F.col("doc.key").alias("_key"), F.col("doc.th").alias("_th")))
+        now, label, sets = None, [], []
+
+        def links() -> Iterator[pa.RecordBatch]:
+            if len(sets) > 1:
+                u, v = reached(np.array(label), sets, similarity)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+        for b in batches:
+            for cluster, block, own, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (cluster, block) != now:
+                    yield from links()
+                    now, label, sets = (cluster, block), [], []
+                label.append(own)
+                sets.append(np.frombuffer(blob, np.int64))
+        yield from links()
+
+    return dealt.mapInArrow(run, "u long, v long")
+
+
+def relabelled(rows: DataFrame, to: DataFrame) -> DataFrame:
+    """rows, whose ``label`` is now what ``to``, with two columns, gives for theirs."""
+    to = to.toDF("_at", "_to")
+    return rows.join(to, rows["label"] == to["_at"], "left").withColumn("label", F.coalesce("_to", "label")).drop("_at", "_to")
+
+
+def sets_of(clusters: DataFrame, nodes: DataFrame, df: DataFrame, words: int, key: str, text: str) -> DataFrame:
+    """(node, cluster, hashes) of the nodes in ``clusters``, from one of each node's texts."""
+    wanted = keep(clusters.join(nodes, "node").select("node", "cluster", F.col("doc.key").alias("_key"), F.col("doc.th").alias("_th")))
     few = F.broadcast(wanted) if wanted.count() <= simhash.FEW else wanted
     rows = project(df, **{key: key, "_text": text})
-    rows = rows.join(few, rows[key].eqNullSafe(few["_key"]) & (F.xxhash64("_text") == few["_th"])).select("node", "_text")
+    rows = rows.join(few, rows[key].eqNullSafe(few["_key"]) & (F.xxhash64("_text") == few["_th"])).select("node", "cluster", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches, "_text"):
-            sets = [shingle_set(t, words).view(np.int64) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
+            blobs = [shingle_set(t, words).tobytes() for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(blobs, pa.binary())], names=["node", "cluster", "hashes"])
+
+    return rows.mapInArrow(run, "node long, cluster long, hashes binary")
+
 
-    sets = keep(rows.mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"]))
-    one = pairs.join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("y")), "v")
-    both = one.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("x")), "u")
-    common = both.select("u", "v", F.size(F.array_intersect("x", "y")).alias("_n"), (F.size("x") + F.size("y")).alias("_all"))
-    return keep(common.where(F.col("_n") >= F.lit(similarity) * (F.col("_all") - F.col("_n"))).select("u", "v"))
+def dealt_in_parts(rows: DataFrame) -> DataFrame:
+    """rows with ``parts`` of their cluster, and the ``block`` that is theirs."""
+    size = rows.groupBy("cluster").agg(F.greatest(F.lit(1).cast("long"), F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.length("hashes")) / (8 * HASHES))).alias("parts"))
+    return rows.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")))
 
 
-def labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes with the label of their component."""
-    labels = label_components(edges).withColumnsRenamed({"node": "_at", "label": "_label"})
-    return nodes.join(labels, nodes["node"] == labels["_at"], "left").select(nodes["*"], F.coalesce("_label", "node").alias("label"))
+def across(rows: DataFrame) -> DataFrame:
+    """rows of clusters with several labels, in blocks that hold every pair of nodes with different labels together: the largest
+    label's parts against the others' parts, and these against each other."""
+    by_label = rows.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("hashes")).alias("bytes"))
+    by_cluster = by_label.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
+    sides = by_label.join(by_cluster.where("labels > 1"), "cluster").groupBy("cluster", "main", (F.col("label") == F.col("main")).alias("large"))
+    parts = sides.agg(F.greatest(F.ceil(2 * F.sum("n") / BLOCK), F.ceil(F.sum("bytes") / (4 * HASHES))).alias("p"))
+    parts = parts.groupBy("cluster", "main").agg(*(F.max(F.when(side, F.col("p"))).alias(name) for side, name in ((F.col("large"), "of_main"), (~F.col("large"), "of_rest"))))
+    met = rows.join(parts, "cluster")
+    large = F.col("label") == F.col("main")
+    mine = F.pmod(F.xxhash64("node"), F.when(large, F.col("of_main")).otherwise(F.col("of_rest")))
+
+    def upto(n: str) -> Column:
+        return F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+
+    # block numbers: rest's part times main's parts plus main's part; those of two parts of the rest are below zero
+    with_rest = F.transform(upto("of_rest"), lambda o: o * F.col("of_main") + mine)
+    with_main = F.transform(upto("of_main"), lambda m: mine * F.col("of_main") + m)
+    each_other = F.transform(F.filter(upto("of_rest"), lambda o: o != mine), lambda o: -1 - (F.least(mine, o) * F.col("of_rest") + F.greatest(mine, o)))
+    return met.withColumn("block", F.explode(F.when(large, with_rest).otherwise(F.concat(with_main, each_other))))
 
 
 def near_copy_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -251,34 +277,24 @@ def near_copy_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, key
     if not 0.8 <= similarity <= 1:
         raise ValueError("the keys find links of a similarity from 0.8 to 1")
     docs = keep(described(df, words, key, text))
-    same = docs.groupBy("node").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "th")).alias("doc"), *(F.first(c).alias(c) for c in ("a", "b", "codes")))
-    nodes = keep(same)
-    plain = nodes.withColumn("label", F.col("node"))
-    sizes = keyed(plain).groupBy("key").count()
-    big = keep(sizes.where(F.col("count") >= MANY).select(F.col("key").alias("_key"), F.ceil(F.col("count") / simhash.BLOCK).alias("blocks")))
-    if big.count() <= simhash.HOT_KEYS:
-        big = F.broadcast(big)
-
-    def of_big(rows: DataFrame) -> DataFrame:
-        all_keys = keyed(rows)
-        return all_keys.join(big, all_keys["key"] == big["_key"]).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
-
-    def with_others(rows: DataFrame) -> DataFrame:
-        other, mine, blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)), F.col("mine"), F.col("blocks")
-        return of_big(rows).withColumn("_o", other).withColumn("block", F.least(mine, "_o") * blocks + F.greatest(mine, "_o"))
-
-    every = keyed(plain)
-    small = every.join(big, every["key"] == big["_key"], "left_anti").withColumn("block", F.lit(0).cast("long"))
-    pairs = keep(compared(small, "all").unionByName(compared(of_big(plain).withColumn("block", F.col("mine")), "leaders")).distinct())
-    edges = verified(pairs, nodes, df, words, similarity, key, text)
-    for how in ("closest", "apart"):
-        current = keep(labelled(nodes, edges))
-        more = keep(compared(with_others(current), how).join(pairs, ["u", "v"], "left_anti"))
-        if more.isEmpty():
-            continue
-        edges = keep(edges.unionByName(verified(more, nodes, df, words, similarity, key, text)))
-        pairs = keep(pairs.unionByName(more))
-    final = keep(labelled(nodes, edges).select("node", F.col("label").alias("_label"), F.col("doc.key").alias("_least")))
+    first = [F.first(c).alias(c) for c in ("n", *(f"s{i}" for i in range(SKETCH)), "codes")]
+    nodes = keep(docs.groupBy("node").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "th")).alias("doc"), *first))
+    clusters = label_components(forest_links(keyed(nodes), lambda columns, i, j: may_link(columns, i, j, similarity)))
+    sets = keep(sets_of(clusters.withColumnRenamed("label", "cluster"), nodes, df, words, key, text).dropDuplicates(["node"]))
+    rows = dealt_in_parts(sets.withColumn("label", F.col("node")))
+    labels = keep(relabelled(rows, keep(linked(rows, similarity))).select("node", "cluster", "label", "parts"))
+    large = labels.where("parts > 1")
+    parts, before = large.agg(F.max("parts")).first()[0], None
+    if parts:
+        hot = keep(large.select("node", "label").join(sets, "node"))
+        while parts > 1 and (before is None or parts <= before / 2):
+            ones = keep(dealt_in_parts(hot.where(F.col("node") == F.col("label"))))
+            hot = keep(relabelled(hot, keep(linked(ones, similarity))))
+            before, parts = parts, ones.agg(F.max("parts")).first()[0]
+        hot = relabelled(hot, label_components(linked(across(hot), similarity)))
+        labels = keep(labels.where("parts = 1").select("node", "label").unionByName(hot.select("node", "label")))
+    of_sets = labels.select("node", F.col("label").alias("_label"))
+    final = keep(nodes.select("node", "doc").join(of_sets, "node", "left").select("node", F.coalesce("_label", "node").alias("_label"), F.col("doc.key").alias("_least")))
     least = final.groupBy("_label").agg(F.min("_least").alias("component_id"))
     named = keep(final.join(least, "_label").select("node", "component_id"))
     return docs.select(key, "node", "th").join(named, "node").select(key, "node", "th", "component_id")

@@ -8,8 +8,7 @@ differing bits at most two fall outside the segment that has most of them, so so
 altogether. Two words that differ in up to two bits share a codeword at distance four or less, and a word has one (nearest at
 distance 0 to 2) or six such codewords (nearest at distance 3). So each fingerprint gets keys from the codeword indices of
 each pair of segments, and linked fingerprints share at least one. Fingerprints that share a key are compared bit by bit; each
-task gives a spanning forest of the links it finds, never all pairs of a group. Keys with more than ``BLOCK`` fingerprints are
-cut into blocks, and each pair of blocks is compared by itself, so that no task holds an unbounded group.
+task gives a spanning forest of the links it finds, never all pairs of a group (``_forest``).
 
 Work is done on distinct fingerprints: exact copies meet in an aggregation. Labels spread over links by minima and pointer
 jumping, with each round checkpointed in the shared folder; nothing of all documents comes to the driver.
@@ -33,15 +32,12 @@ from pyspark.sql import types as T
 
 from assaykit.llm._cluster import keep
 from assaykit.llm._components import label_components
+from assaykit.llm._forest import forest_links
 from assaykit.llm._text import bounded, project
 
 #: The Golay code's generator polynomial, and the width of the segments of a fingerprint.
 GENERATOR = 0b101011100011
 WIDTHS = (21, 21, 22)
-#: Fingerprints of one key that a task compares with each other at once.
-BLOCK = 2048
-#: Keys with more fingerprints than BLOCK, up to this many, are broadcast; beyond it they are joined by a shuffle.
-HOT_KEYS = 100_000
 #: Keys of dropped rows that are broadcast at most.
 FEW = 2_000_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -126,56 +122,6 @@ def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(rows)
 
 
-def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The smallest member of each item's component, for links between items 0..n-1."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[left], label[right])
-        new = label.copy()
-        np.minimum.at(new, left, low)
-        np.minimum.at(new, right, low)
-        np.minimum.at(new, label[left], low)
-        np.minimum.at(new, label[right], low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
-def links_of_sorted(keys: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fingerprint, smallest one of its component) among rows with equal keys; rows are sorted by key, then fingerprint."""
-    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    sizes = np.diff(np.append(starts, len(keys)))
-    value = fps.astype(np.uint64)
-    left, right = [], []
-    small = np.repeat(sizes < 64, sizes)
-    at, k = np.flatnonzero(small), 1
-    while True:
-        at = at[at + k < len(keys)]
-        at = at[keys[at] == keys[at + k]]
-        if not len(at):
-            break
-        hit = at[np.bitwise_count(value[at] ^ value[at + k]) <= bits]
-        left.append(hit)
-        right.append(hit + k)
-        k += 1
-    for s, n in zip(starts[sizes >= 64].tolist(), sizes[sizes >= 64].tolist(), strict=True):
-        own = value[s : s + n]
-        for k in range(0, n, 512):
-            i, j = np.nonzero(np.bitwise_count(own[k : k + 512, None] ^ own[None, k + 1 :]) <= bits)
-            i, j = i + k, j + k + 1
-            i, j = i[i < j], j[i < j]
-            left.append(i + s)
-            right.append(j + s)
-    if not left or not sum(map(len, left)):
-        return fps[:0], fps[:0]
-    label = forest(len(keys), np.concatenate(left), np.concatenate(right))
-    moved = np.flatnonzero(label != np.arange(len(keys)))
-    pairs = np.unique(np.stack((fps[moved], fps[label[moved]])), axis=1)
-    pairs = pairs[:, pairs[0] != pairs[1]]
-    return pairs[0], pairs[1]
-
-
 def links(distinct: DataFrame, bits: int = 4) -> DataFrame:
     """(u, v): links whose components are those of all pairs of fingerprints that differ in at most ``bits`` (4 at most) bits."""
     if not 0 <= bits <= 4:
@@ -186,51 +132,21 @@ def links(distinct: DataFrame, bits: int = 4) -> DataFrame:
             fps = b.column(0).to_numpy()
             for k in range(0, len(fps), 4096):
                 keys, rows = golay_keys(fps[k : k + 4096])
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[k : k + 4096][rows])], names=["key", "fp"])
-
-    keyed = distinct.select("fp").mapInArrow(to_keys, "key long, fp long")
-    hot = keep(keyed.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).alias("blocks")))
-    if few := hot.count() <= HOT_KEYS:
-        hot = F.broadcast(hot)
-    both = keyed.join(hot, "key", "left")
-    mine = F.pmod(F.xxhash64("fp"), F.col("blocks"))
-    with_block = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.concat_ws("-", F.least(mine, j), F.greatest(mine, j)))
-    dealt = both.select("key", "fp", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(""))).otherwise(with_block)).alias("block"))
-    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(tasks, "key", "block").sortWithinPartitions("key", "block", "fp")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            keys, blocks, fps = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            names, codes = np.unique(blocks.astype(str), return_inverse=True)
-            group = keys * (len(names) + 1) + codes
-            stop = len(group)
-            if not last:  # the last group may go on in the next batch
-                stop = int(np.flatnonzero(group != group[-1])[-1]) + 1 if (group != group[-1]).any() else 0
-                if stop < len(group):
-                    held.append((keys[stop:], blocks[stop:], fps[stop:]))
-            if stop:
-                u, v = links_of_sorted(group[:stop], fps[:stop], bits)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[k : k + 4096][rows])], names=["key", "node"])
 
-        for b in batches:
-            held.append((b.column(0).to_numpy(), b.column(2).to_numpy(zero_copy_only=False), b.column(1).to_numpy()))
-            if sum(len(x[0]) for x in held) >= 200_000:
-                yield from flush(False)
-        if held:
-            yield from flush(True)
+    def near(columns: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        fps = columns[0].view(np.uint64)
+        return np.bitwise_count(fps[i] ^ fps[j]) <= bits
 
-    return dealt.mapInArrow(compare, "u long, v long")
+    keyed = distinct.select("fp").mapInArrow(to_keys, "key long, node long")
+    return forest_links(keyed.withColumn("fp", F.col("node")), near)
 
 
 def near_duplicate_groups(df: DataFrame, bits: int = 4, words: int = 4, key: str = "doc_id", text: str = "text", hashed: bool = False) -> DataFrame:
     """(key, fp long, component_id) of every row; ``hashed`` adds th, a hash of its text."""
     docs = keep(fingerprints(df, words, key, text, hashed))
     nodes = keep(docs.groupBy("fp").agg(F.min(key).alias("_least")))
-    edges = keep(links(nodes, bits).distinct())
+    edges = keep(links(nodes, bits))
     labels = label_components(edges)  # only fingerprints with links
     named = nodes.join(labels.withColumnsRenamed({"node": "fp"}), "fp", "left").select("fp", "_least", F.coalesce("label", "fp").alias("_label"))
     named = keep(named)

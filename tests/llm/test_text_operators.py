@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from assaykit.llm import htmltext, langid, lmscore, nearcopies, simhash, toxicity
+from assaykit.llm import _forest, htmltext, langid, lmscore, nearcopies, simhash, toxicity
 
 SF, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
@@ -122,11 +122,11 @@ def test_golay_keys_lose_no_link():
 
 @pytest.mark.parametrize("block", [2048, 5])
 def test_links_give_the_components_of_all_pairs(spark, block, monkeypatch):
-    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(_forest, "BLOCK", block)
     fps = sorted(set(near_fingerprints(2)))
     edges = simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long")).collect()
     at = {x: i for i, x in enumerate(fps)}
-    got = simhash.forest(len(fps), np.array([at[e["u"]] for e in edges]), np.array([at[e["v"]] for e in edges]))
+    got = _forest.forest(len(fps), np.array([at[e["u"]] for e in edges]), np.array([at[e["v"]] for e in edges]))
     assert got.tolist() == brute_components(fps, 4)
 
 
@@ -176,7 +176,7 @@ def brute_copies(texts, words=5, similarity=0.8):
     return [root(i) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("common, own", [(80, 10), (8, 1)])
+@pytest.mark.parametrize("common, own", [(400, 50), (80, 10), (8, 1)])
 def test_links_at_the_threshold_have_a_common_key(common, own):
     rng, missed, n = np.random.default_rng(5), 0, 500
     for _ in range(10):
@@ -185,7 +185,9 @@ def test_links_at_the_threshold_have_a_common_key(common, own):
         a, b = (np.stack([nearcopies.signed_sums(x) for x in side]) for side in (left, right))
         x, y = nearcopies.soft_decode(a), nearcopies.soft_decode(b)
         shared = (x[..., :, None] == y[..., None, :]).any(axis=(2, 3)).reshape(n, -1, 2).all(axis=2).any(axis=1)
-        near = ((a[:, :128] > 0) != (b[:, :128] > 0)).sum(axis=1) <= nearcopies.FAR
+        bits = [np.packbits(s[:, : 64 * nearcopies.SKETCH] > 0, axis=1).view(">i8").astype(np.int64) for s in (a, b)]
+        columns = [np.full(2 * n, common + own), *np.concatenate(bits).T]
+        near = nearcopies.may_link(columns, np.arange(n), np.arange(n, 2 * n), 0.8)
         missed += int((~(shared & near)).sum())
     assert missed <= 5  # of 5,000 pairs; six pairs of segments miss about 50
 
@@ -200,10 +202,10 @@ def test_near_copies_on_documents(spark):
     assert components_of(spark, texts) == brute_copies(texts)
 
 
-@pytest.mark.parametrize("many, block", [(64, 2048), (4, 16)])
-def test_near_copies_of_all_kinds(spark, many, block, monkeypatch):
-    monkeypatch.setattr(nearcopies, "MANY", many)
-    monkeypatch.setattr(simhash, "BLOCK", block)
+@pytest.mark.parametrize("block", [2048, 8])
+def test_near_copies_of_all_kinds(spark, block, monkeypatch):
+    monkeypatch.setattr(nearcopies, "BLOCK", block)
+    monkeypatch.setattr(_forest, "BLOCK", block)
     rnd = random.Random(8)
     vocabulary = ["".join(rnd.choices("abcdefgh", k=4)) for _ in range(500)]
     texts = [None, "", " \t ", "one", "ONE", "a b c d e", "A b C d e", "a b c d e f", "x " * 30000, "\u00c9 a", "\u00e9 a"]
