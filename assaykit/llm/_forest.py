@@ -38,7 +38,7 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def links_of_sorted(group: np.ndarray, node: np.ndarray, columns: list[np.ndarray], near: Near) -> tuple[np.ndarray, np.ndarray]:
-    """Links (node, one of its component) among rows with equal groups, which are neighbours; no link twice."""
+    """Links (node, smallest of its component) among rows with equal groups, which are neighbours; no link twice."""
     starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     sizes = np.diff(np.append(starts, len(group)))
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -64,8 +64,11 @@ def links_of_sorted(group: np.ndarray, node: np.ndarray, columns: list[np.ndarra
     order = np.argsort(node, kind="stable")
     same = order[1:][node[order[1:]] == node[order[:-1]]], order[:-1][node[order[1:]] == node[order[:-1]]]
     label = forest(len(group), np.concatenate([*left, same[0]]), np.concatenate([*right, same[1]]))
-    moved = np.flatnonzero(node != node[label])
-    pairs = np.unique(np.stack((node[moved], node[label[moved]])), axis=1)
+    least = node.copy()
+    np.minimum.at(least, label, node)
+    least = least[label]  # tasks that meet the same group name it alike
+    moved = np.flatnonzero(node != least)
+    pairs = np.unique(np.stack((node[moved], least[moved])), axis=1)
     return pairs[0], pairs[1]
 
 

@@ -20,6 +20,14 @@ def project(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(F.col(f"`{src}`").alias(dst) for dst, src in columns.items()))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores behind it until no column of df has it, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bounded(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold at most ``limit`` bytes of ``column`` (or one row)."""
     for batch in batches:

@@ -142,6 +142,15 @@ def fit(df: DataFrame, target: str, key: str = "doc_id", text: str = "text") ->
     whole = total + ADDED * (counts.count() + 1)
     often = counts.where(F.col("n0") + F.col("n1") >= F.lit(float(total.sum()) * WORD_SHARE))  # at most 1 / WORD_SHARE rows
 
+    # common words get small numbers, which take little room in a shuffle; their counts are at hand everywhere
+    start = rows.sparkSession.createDataFrame([(int(START), int(texts[0]), int(texts[1]))], "id long, n0 long, n1 long")
+    common = often.select("id", "n0", "n1").union(start).toPandas().sort_values("id").drop_duplicates("id").reset_index(drop=True)
+    known = common["id"].to_numpy(np.int64)
+
+    def numbered(x: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+        return np.where(known[at] == x, at, x)
+
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []  # rows: before, word, background, target
         ids = Ids()
@@ -152,12 +161,13 @@ def fit(df: DataFrame, target: str, key: str = "doc_id", text: str = "text") ->
             return np.stack((every[0][first], every[1][first], *(np.bincount(at, weights=every[k], minlength=len(first)).astype(np.int64) for k in (2, 3))))
 
         def batch(out: np.ndarray) -> pa.RecordBatch:
+            out = out[:, np.lexsort((out[1], out[0]))]
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["before", "word", "n0", "n1"])
 
         for b in bounded(batches, "_text"):
             word, before, sizes = numbers(ids, b.column(0).to_pylist())
             side = np.repeat(b.column(1).to_numpy(), sizes)
-            held.append(np.stack((before, word, side == 0, side == 1)).astype(np.int64))
+            held.append(np.stack((numbered(before), numbered(word), side == 0, side == 1)).astype(np.int64))
             if sum(x.shape[1] for x in held) > 4 * HELD:
                 held[:] = [merged()]
                 if held[0].shape[1] > HELD:
@@ -166,10 +176,16 @@ def fit(df: DataFrame, target: str, key: str = "doc_id", text: str = "text") ->
         if held:
             yield batch(merged())
 
-    pairs = _sides(rows.mapInArrow(count_pairs, "before long, word long, n0 long, n1 long"), "before", "word").where((F.col("n0") >= LEAST) | (F.col("n1") >= LEAST))
-    start = rows.sparkSession.createDataFrame([(int(START), int(texts[0]), int(texts[1]))], "id long, n0 long, n1 long")
-    common = often.select("id", "n0", "n1").union(start)
-    pairs = _counted(_counted(pairs, "before", counts, common, ("g0", "g1")), "word", counts, common, ("u0", "u1"))
+    pairs = keep(_sides(rows.mapInArrow(count_pairs, "before long, word long, n0 long, n1 long"), "before", "word").where((F.col("n0") >= LEAST) | (F.col("n1") >= LEAST)))
+    few = rows.sparkSession.createDataFrame(common.reset_index(names="number"), "number long, id long, n0 long, n1 long")
+    at_before = F.broadcast(few.toDF("_b", "_bid", "g0", "g1"))
+    at_word = F.broadcast(few.toDF("_w", "_wid", "u0", "u1"))
+    met = pairs.join(at_before, pairs["before"] == at_before["_b"], "left").join(at_word, pairs["word"] == at_word["_w"], "left")
+    met = met.select(F.coalesce("_bid", "before").alias("before"), F.coalesce("_wid", "word").alias("word"), "n0", "n1", "g0", "g1", "u0", "u1")
+    served = F.col("g0").isNotNull() & F.col("u0").isNotNull()
+    small = few.select("id", "n0", "n1")
+    rest = _counted(_counted(met.where(~served).select("before", "word", "n0", "n1"), "before", counts, small, ("g0", "g1")), "word", counts, small, ("u0", "u1"))
+    pairs = met.where(served).unionByName(rest)
 
     def unigram(n: Column, side: int) -> Column:
         return (1 - BIGRAM) * (n + F.lit(ADDED)) / F.lit(float(whole[side]))
@@ -227,8 +243,8 @@ def score(df: DataFrame, models: Models, key: str = "doc_id", text: str = "text"
             none = [pa.nulls(n, t) for t in (pa.int64(), pa.float64(), pa.float64())]
             yield pa.RecordBatch.from_arrays([pa.nulls(n, b.schema.field(0).type), pa.array(owners[new]), pa.array(keys[new]), pa.array(np.diff(np.append(new, len(keys)))), *none], names=schema.names)
 
-    met = rows.mapInArrow(run, schema).join(models.terms, "key", "left")
     base = F.col("_size").isNotNull()
+    met = rows.mapInArrow(run, schema).join(models.terms, "key", "left").where(base | F.col("l0").isNotNull())  # bigrams that neither side keeps add nothing
     by_row = met.groupBy("_row").agg(
         F.first("_doc", ignorenulls=True).alias(key), F.max("_size").alias("n_tokens"),
         F.sum(F.when(base, F.col("_n")).otherwise(-F.col("_n") * F.coalesce("word", F.lit(0)))).alias("_unknown"),

@@ -295,7 +295,7 @@ def near_copy_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, key
         labels = keep(labels.where("parts = 1").select("node", "label").unionByName(hot.select("node", "label")))
     of_sets = labels.select("node", F.col("label").alias("_label"))
     final = keep(nodes.select("node", "doc").join(of_sets, "node", "left").select("node", F.coalesce("_label", "node").alias("_label"), F.col("doc.key").alias("_least")))
-    least = final.groupBy("_label").agg(F.min("_least").alias("component_id"))
+    least = keep(final.groupBy("_label").agg(F.min("_least").alias("component_id")))  # kept: the join then stands on exchanges
     named = keep(final.join(least, "_label").select("node", "component_id"))
     return docs.select(key, "node", "th").join(named, "node").select(key, "node", "th", "component_id")
 

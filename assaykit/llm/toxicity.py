@@ -2,13 +2,14 @@
 
 Texts are folded first: compatibility forms, look-alike letters of other scripts, invisible characters, and digits or signs
 that stand for letters inside a word. The lexicon is learned from labelled texts: words and word beginnings that occur in
-many more toxic than clean texts, with their log odds as weights, and exception phrases: longer words or word pairs around an
+toxic texts much more than in clean ones, with their log odds as weights, and exception phrases: longer words or word pairs around an
 entry that clean texts use as often. One automaton holds both; where entries overlap the longest counts, and an exception
 counts nothing. The matched weight is normalised by the text's length, and a logistic curve fitted on the labelled texts
 turns weight and normalised weight into a score.
 
-Bounds: at most about ``per_class`` texts of each label are learned from, and the lexicon has at most ``entries`` entries, so
-what is broadcast doesn't grow with the data. Every whole text is scored.
+Bounds: at most about ``per_class`` texts of each label are learned from, so that what is broadcast doesn't grow with the data. An
+entry must have more evidence (its occurrences in toxic texts times its log odds) than the best of as many terms by chance, so
+that a few texts can make an entry where few terms are tried. Every whole text is scored.
 
 Defined cases: null and empty texts score as texts without a match; without labels of both kinds every score is 0; a text
 with several labels is toxic if one says so; repeated rows are scored each.
@@ -30,10 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assaykit.llm._cluster import keep
 from assaykit.llm._text import bounded, project
 from assaykit.llm.langid import sample
 
-#: Look-alike letters, signs that stand for letters, and phrases in which a listed word is harmless.
+#: Look-alike letters, and signs that stand for letters.
 LOOK_ALIKE = {
     "а": "a", "в": "b", "е": "e", "ё": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ї": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ԛ": "q", "ԝ": "w", "һ": "h", "ѵ": "v", "ӏ": "l", "г": "r", "п": "n", "ь": "b",
     "α": "a", "β": "b", "γ": "y", "ε": "e", "η": "n", "ι": "i", "κ": "k", "μ": "u", "ν": "v", "ο": "o", "ρ": "p", "σ": "o", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ϲ": "c", "ϳ": "j",
@@ -41,7 +43,9 @@ LOOK_ALIKE = {
 }
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i", "€": "e", "+": "t"}
 INVISIBLE = [0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF]
-HARMLESS = ("trash can", "trash bin", "trash bag", "clown fish", "sore loser", "pond scum", "soap scum")
+
+#: Times that one text counts a term when the lexicon is learned.
+PER_TEXT = 3
 
 TABLE = str.maketrans(LOOK_ALIKE | {chr(c): None for c in INVISIBLE})
 SIGN = re.compile(r"[0-9@$!|€+]")
@@ -107,14 +111,15 @@ def features(automaton: ahocorasick.Automaton, text: str | None) -> tuple[float,
     return math.log1p(total), math.log1p(100 * total / words), float(n)
 
 
-def candidates(folded: str) -> set[str]:
-    """What may become an entry: each word, each beginning of a word, from four letters to twelve."""
-    out = set()
-    for w in set(folded.split()):
+def candidates(folded: str) -> Counter:
+    """What may become an entry: each word, each beginning of a word, from four letters to twelve; with how often, ``PER_TEXT`` at most."""
+    out: Counter = Counter()
+    for w, n in Counter(folded.split()).items():
         if len(w) > 3:
-            out.update(" " + w[:k] for k in range(4, min(len(w), 12) + 1))
-            out.add(f" {w} ")
-    return out
+            for k in range(4, min(len(w), 12) + 1):
+                out[" " + w[:k]] += n
+            out[f" {w} "] += n
+    return Counter({t: min(n, PER_TEXT) for t, n in out.items()})
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
@@ -122,8 +127,8 @@ def _labelled(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
     return docs.join(F.broadcast(chosen), "_key").select("_text", "_toxic")  # bounded by per_class
 
 
-def learn(df: DataFrame, labels: DataFrame, per_class: int = 4000, entries: int = 2000, least: int = 6, evidence: float = 25.0, key: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Lexicon:
-    """Learns from at most about ``per_class`` texts of each label; an entry occurs in ``least`` toxic texts or more."""
+def learn(df: DataFrame, labels: DataFrame, per_class: int = 4000, margin: float = 0.0, key: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Lexicon:
+    """Learns from at most about ``per_class`` texts of each label. An entry's evidence exceeds the logarithm of the number of terms by ``margin``."""
     rows = _labelled(project(df, _key=key, _text=text), project(labels, _key=key, _toxic=toxic).where(F.col("_key").isNotNull() & F.col("_toxic").isNotNull()), per_class)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,50 +150,54 @@ def learn(df: DataFrame, labels: DataFrame, per_class: int = 4000, entries: int
         yield flush()
 
     terms = rows.mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    terms = terms.where((F.col("toxic") >= least) | (F.col("term") == ""))
+    terms = keep(terms.where("term <> ''"))
     n = rows.groupBy().agg(F.count_if(F.col("_toxic") > 0).alias("toxic"), F.count_if(F.col("_toxic") <= 0).alias("clean")).first()
     if not n["toxic"] or not n["clean"]:
         return Lexicon()
-    odds = F.log(((F.col("toxic") + 0.5) / (n["toxic"] + 1)) / ((F.col("clean") + 0.5) / (n["clean"] + 1)))
-    top = terms.where("term <> ''").withColumn("odds", odds).withColumn("gain", F.col("toxic") * F.col("odds")).where((F.col("odds") > 1) & (F.col("gain") > evidence))
-    found = [tuple(r) for r in top.orderBy(F.desc("gain"), F.desc(F.length("term")), "term").limit(8 * entries).select("term", "toxic", "clean", "odds", "gain").collect()]
+    odds = F.log(((F.col("toxic") + 0.5) / (n["toxic"] + 1)) / ((F.col("clean") + 0.5) / (n["clean"] + 1)))  # by occurrences a text
+    evidence = PER_TEXT * (math.log(max(1, terms.count())) + margin)
+    top = terms.withColumn("odds", odds).withColumn("gain", F.col("toxic") * F.col("odds")).where((F.col("odds") > 1) & (F.col("gain") > evidence))
+    found = [tuple(r) for r in top.select("term", "odds", "gain").collect()]  # bounded by the sample
     # a beginning stands for its longer forms, unless these tell more; of equal ones the longest beginning
-    found.sort(key=lambda r: (-r[4], r[0].endswith(" "), -len(r[0]), r[0]))
+    found.sort(key=lambda r: (-r[2], r[0].endswith(" "), -len(r[0]), r[0]))
     chosen: dict[str, float] = {}
-    for term, _, _, w, _ in found:
-        if len(chosen) < entries and not any(term.startswith(c) or c.startswith(term) for c in chosen):
+    begun: set[str] = set()  # beginnings of what is chosen
+    for term, w, _ in found:
+        own = [term[:k] for k in range(1, len(term) + 1)]
+        if term not in begun and not any(x in chosen for x in own):
             chosen[term] = w
-    harmless = [f" {GAPS.sub(' ', x)} " for x in HARMLESS] + _exceptions(rows, list(chosen), n)
-    lexicon = Lexicon(chosen, harmless)
+            begun.update(own)
+    lexicon = Lexicon(chosen)
+    lexicon.harmless = _exceptions(rows, lexicon, n)
     got = _features(rows, lexicon).toPandas()
     lexicon.curve = _logistic(np.column_stack([np.ones(len(got)), got["a"], got["b"], got["c"] > 0]), (got["_toxic"] > 0).to_numpy(float))
     return lexicon
 
 
-def _exceptions(rows: DataFrame, entries: list[str], n: dict) -> list[str]:
+def _exceptions(rows: DataFrame, lexicon: Lexicon, n: dict) -> list[str]:
     """Whole words and word pairs that hold an entry and that clean texts have no less than toxic ones, in three texts or more."""
-    plain = sorted(entries)
+    shared = rows.sparkSession.sparkContext.broadcast(lexicon)
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = re.compile("(?=(" + "|".join(re.escape(e) for e in plain) + "))") if plain else None
+        finder = shared.value.automaton()
         seen: list[Counter] = [Counter(), Counter()]
         for b in bounded(batches, "_text"):
             for t, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 folded, own = fold(t or ""), set()
-                for m in finder.finditer(folded) if finder else ():
-                    stop = folded.index(" ", m.start() + len(m[1].rstrip()))
-                    word = folded[m.start() : stop + 1]
-                    own.add(word)
+                for end, (length, _) in finder.iter(folded) if len(finder) else ():
+                    start = end - length + 1
+                    stop = folded.index(" ", max(start + 1, end))
+                    own.add(folded[start : stop + 1])
                     nxt = folded.find(" ", stop + 1)
                     if nxt > 0:
-                        own.add(folded[m.start() : nxt + 1])
+                        own.add(folded[start : nxt + 1])
                 seen[label > 0].update(own)
         terms = list(seen[0].keys() | seen[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in seen)], names=["term", "clean", "toxic"])
 
     counts = rows.mapInArrow(around, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     usual = counts.where((F.col("clean") >= 3) & (F.col("clean") / n["clean"] >= F.col("toxic") / n["toxic"]))
-    return [r["term"] for r in usual.orderBy(F.desc("clean"), "term").limit(2000).collect()]
+    return sorted(r["term"] for r in usual.collect())  # bounded by the sample
 
 
 def _features(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
