@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.llm import langid, nearcopies, packing, toxicity
+from assaykit.llm._text import unused
 
 #: SQL can express none of the four stages: naive Bayes, a learned lexicon, softly decoded Golay keys with components, and subset sums.
 ORACLE_SQL = None
@@ -19,14 +20,16 @@ TOXIC = 0.7
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those whose language is a guess. Learns from the documents that have ``lang``."""
-    judged = langid.predict(docs, langid.fit(docs), lang="_lang", score="_score")
-    return judged.where((F.col("_lang") != langid.UNKNOWN) & (F.col("_score") >= LEAST_SURE)).select(docs.columns)
+    lang, score = unused(docs, "lang_found"), unused(docs, "lang_score")
+    judged = langid.predict(docs, langid.fit(docs), lang=lang, score=score)
+    return judged.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= LEAST_SURE)).drop(lang, score)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops toxic documents. Learns from ``labels`` on the documents at hand."""
     lexicon = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.attach(docs, lexicon, out="_toxic").where(F.col("_toxic") < TOXIC).select(docs.columns)
+    score = unused(docs, "toxic_score")
+    return toxicity.attach(docs, lexicon, out=score).where(F.col(score) < TOXIC).drop(score)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
