@@ -133,6 +133,7 @@ def of_path(path: tuple[str, ...]) -> tuple[int, ...]:
         tag, *words = element.split(" ")
         out.add(f"in {tag}")
         out.update(f"word {w}" for w in words)
+        out.update(f"stem {w[:5]}" for w in words)
         if n >= len(path) - 2:
             out.add(f"{len(path) - n} {tag}")
             out.update(f"near {w}" for w in words)
@@ -143,11 +144,14 @@ def of_path(path: tuple[str, ...]) -> tuple[int, ...]:
 NOTICE = re.compile(r"cookie|consent|subscrib|newsletter|sign up|log ?in|advert|sponsor|all rights|privacy|terms of|copyright|©|share this|related|read more|comment|reply", re.I)
 
 
+STOP = re.compile(r"[.!?…](?:\s|$)")
+
+
 def of_text(text: str, linked: float, place: float) -> list[int]:
     """Features of a block's own text."""
     words = text.count(" ") + 1
-    stops = len(re.findall(r"[.!?…](?:\s|$)", text[:2000]))
-    out = [f"words {min(8, words.bit_length())}", f"links {int(linked * 4 + 0.5)}", f"stops {min(3, stops)}", f"ends {text[-1] in '.!?…:;'}", f"notice {bool(NOTICE.search(text[:400])) and words < 40}", f"place {int(place * 5)}"]
+    stops = len(STOP.findall(text))
+    out = [f"words {min(8, words.bit_length())}", f"links {int(linked * 4 + 0.5)}", f"stops {min(3, stops)}", f"ends {text[-1] in '.!?…:;'}", f"notice {words < 40 and bool(NOTICE.search(text))}", f"place {int(place * 5)}"]
     return [bucket(f) for f in out]
 
 
@@ -235,7 +239,7 @@ class Chain:
         return node, edge
 
 
-def labelled_pages(n: int = 240, seed: int = 11) -> Iterator[tuple[str, set[str]]]:
+def labelled_pages(n: int = 400, seed: int = 11) -> Iterator[tuple[str, set[str]]]:
     """Composed pages in varied layouts, each with the texts of its main blocks."""
     rnd = random.Random(seed)
     syllables = "ba co de fi gu la me no pe ri so tu va ze al en is or un st".split()
@@ -262,6 +266,7 @@ def labelled_pages(n: int = 240, seed: int = 11) -> Iterator[tuple[str, set[str]
 
     for _ in range(n):
         main: set[str] = set()
+        bare = rnd.choice([0, 0, 0, 0.1, 0.9])  # share of paragraphs that are plain div elements
 
         def keep(text: str, main: set[str] = main) -> str:
             main.add(text)
@@ -272,6 +277,8 @@ def labelled_pages(n: int = 240, seed: int = 11) -> Iterator[tuple[str, set[str]
             if rnd.random() < 0.15:
                 head, _, rest = text.partition(" ")
                 text = f"<{(t := rnd.choice(['b', 'em', 'a href=x', 'strong']))}>{head}</{t.split()[0]}> {rest}"
+            if rnd.random() < bare:
+                return f"<div>{text}</div>\n"
             end = "</p>" if rnd.random() < 0.85 else ""
             return f"<p>{'<b>' if rnd.random() < 0.1 else ''}{text}{rnd.choice(['', '', '<br>'])}{end}\n"
 
@@ -284,7 +291,8 @@ def labelled_pages(n: int = 240, seed: int = 11) -> Iterator[tuple[str, set[str]
                 elif kind < 0.86:
                     out.append(f"<h2>{keep(words(2, 6).capitalize())}</h2>{paragraph()}")
                 elif kind < 0.91:
-                    out.append("<ul>" + "".join(f"<li>{keep(sentences(1, 1))}</li>" for _ in range(rnd.randint(2, 5))) + "</ul>")
+                    full = rnd.random() < 0.5
+                    out.append("<ul>" + "".join(f"<li>{keep(sentences(1, 1) if full else words(1, 5))}</li>" for _ in range(rnd.randint(2, 5))) + "</ul>")
                 elif kind < 0.95:
                     out.append(f"<blockquote>{keep(sentences(1, 3))}</blockquote>")
                 elif kind < 0.97:
@@ -292,20 +300,22 @@ def labelled_pages(n: int = 240, seed: int = 11) -> Iterator[tuple[str, set[str]
                 else:
                     out.append(f"<table><tr><td>{keep(words(1, 3))}</td><td>{keep(words(1, 3))}</td></tr></table>")
                 if rnd.random() < 0.06:
-                    out.append(box("div aside", "ad advert sponsored promo banner", sentences(1, 2)))
+                    out.append(box("div aside", "ad advert advertisement sponsored promo banner", rnd.choice([sentences(1, 2), f"<p>{sentences(1, 2)}</p>"])))
                 if rnd.random() < 0.04:
                     out.append(box("div aside", "related newsletter share-buttons social", links(2, 4, "span")))
             return "".join(out)
 
         article = box("article article article main div section div", "- - article post-content entry-content content story article-body main text", body())
-        if rnd.random() < 0.2:
+        if bare > 0.5 and rnd.random() < 0.6:  # no element around the text
+            article = body() if rnd.random() < 0.6 else "".join(paragraph() for _ in range(rnd.randint(1, 6)))
+        elif rnd.random() < 0.2:
             article = f"<main>{article}</main>"
-        comments = maybe(0.35, lambda: box("section div ol ul", "comments comment-list responses discussion", f"<h3>{rnd.randint(2, 40)} comments</h3>" + "".join(box("div li article", "comment reply comment-body", f"<b>{person()}</b><p>{sentences(1, 4)}</p>") for _ in range(rnd.randint(1, 5)))))
+        comments = maybe(0.35, lambda: box("section div ol ul", "comments comment-list responses discussion feedback user-comments", f"<h3>{rnd.randint(2, 40)} comments</h3>" + "".join(box("div li article p", "- comment reply comment-body response post-comment feedback-item", f"<b>{person()}</b><p>{sentences(1, 4)}</p>") for _ in range(rnd.randint(1, 5)))))
         menu = maybe(0.9, lambda: box("nav nav nav div ul", "- menu navbar navigation nav top-links", f"<ul>{links(3, 8)}</ul>"))
         header = maybe(0.5, lambda: box("header header div", "- header site-header masthead top", f"<div>{words(1, 3).title()}</div><span>{sentences(1, 1)}</span>"))
         side = maybe(0.5, lambda: box("aside aside div", "- sidebar side widget rail", f"<h3>{words(1, 3).title()}</h3><p>{sentences(1, 3)}</p><ul>{links(2, 6)}</ul>"))
         notice = maybe(0.4, lambda: box("div div section p", "cookie-banner notice consent cookie-notice alert popup gdpr", f"{rnd.choice(['We use cookies. ', 'By going on you consent. ', ''])}{sentences(1, 2)}<button>{words(1, 2)}</button>"))
-        ad = maybe(0.5, lambda: box("div div aside", "ad ads advert sponsor ad-slot promo", sentences(1, 3)))
+        ad = maybe(0.5, lambda: box("div div aside", "ad ads advert advertisement sponsor ad-slot promo", sentences(1, 3)))
         form = maybe(0.25, lambda: f"<form action=/x><label>{words(1, 3)}</label><select><option>{words(1, 2)}<option>{words(1, 2)}</select><p>{sentences(1, 1)}</p><button>{words(1, 1)}</button></form>")
         crumbs = maybe(0.2, lambda: box("div nav ol", "breadcrumbs breadcrumb", links(2, 4, "span")))
         footer = maybe(0.9, lambda: box("footer footer footer div", "- footer site-footer bottom", f"{rnd.choice(['&copy; ', ''])}{sentences(1, 2)}{maybe(0.4, lambda: f'<ul>{links(2, 5)}</ul>')}"))
@@ -319,7 +329,7 @@ def labelled_pages(n: int = 240, seed: int = 11) -> Iterator[tuple[str, set[str]
 
 
 @lru_cache(maxsize=1)
-def trained(n: int = 240, seed: int = 11) -> Chain:
+def trained(n: int = 400, seed: int = 11) -> Chain:
     """The model, trained on n composed pages."""
     pages = []
     for page, main in labelled_pages(n, seed):

@@ -1,5 +1,6 @@
 """Language ID, LM scoring, SimHash groups, extraction, toxicity and the pipeline."""
 
+import html
 import math
 import random
 import re
@@ -407,6 +408,45 @@ def test_extraction_on_pages_not_learned_from():
     assert right / n > 0.98
 
 
+DAY = "It was a long day near the river and nobody came. We waited until the evening."
+
+
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        (f'<article><h1>A day</h1><p>{DAY}</p><div class="advertisement"><p>Buy our fine boats today. Now cheaper.</p></div><p>{DAY} {DAY}</p></article>', ["A day", DAY, f"{DAY} {DAY}"]),
+        (f'<article><h1>A day</h1><p>{DAY}</p></article><div class="comments"><p>I liked this very much.</p><p>Me too, thanks for it.</p></div>', ["A day", DAY]),
+        (f'<article><h1>A day</h1><p>{DAY}</p></article><div id="user-feedback"><div class="post">I liked this very much.</div><div class="post">Me too, thanks.</div></div>', ["A day", DAY]),
+        (f"<article><h1>A day</h1><p>{DAY}</p><ul><li>one</li><li>two</li></ul><p>{DAY}</p></article>", ["A day", DAY, "one", "two", DAY]),
+        (f"<div>{DAY}</div><div>{DAY} {DAY}</div>", [DAY, f"{DAY} {DAY}"]),
+        (f"<article><p title=don't>{DAY}</p><p>{DAY}</p><p class='it's'>{DAY}</p></article>", [DAY, DAY, DAY]),
+        (f"<article><p>{DAY}</p><p>" + "word and more of it. " * 400 + "</p></article>", [DAY, ("word and more of it. " * 400).strip()]),
+    ],
+)
+def test_pages_of_another_make(body, want):
+    page = f"<html><body><nav><ul><li><a href=/>Home</a></li><li><a href=/a>About us</a></li></ul></nav>{body}<footer>All rights reserved 2024.</footer></body></html>"
+    assert htmltext.main_text(htmltext.trained(), page).split("\n\n") == want
+
+
+def plain_article(page):
+    """The article element of the driver's pages by plain cuts: a reference that shares no code with the operator."""
+    inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    for gone in (r"<!--.*?-->", r"<(script|style|aside|form|nav)\b.*?</\1>", r'<(div|section)\s+(?:class|id)="?(?:ad|promo|comments?)\b.*?</\1>'):
+        inner = re.sub(gone, "\n\n", inner, flags=re.S)
+    inner = re.sub(r"<br[^>]*>", " ", inner)
+    inner = re.sub(r"</?(?:p|h[1-6]|div|ul|ol|li|blockquote|pre|table|tr|td|section|figure)\b[^>]*>", "\0", inner)
+    parts = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", x)).split()) for x in inner.split("\0")]
+    return [x for x in parts if x]
+
+
+def test_pages_of_the_tables_against_a_plain_extractor(spark):
+    pages = [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect()]
+    pages = [p for p in pages if p and len(re.findall("<article>", p)) == 1 and "</article>" in p]
+    model = htmltext.trained()
+    same = [[x for x in htmltext.main_text(model, p).split("\n\n") if x] == plain_article(p) for p in pages]
+    assert len(pages) > 20 and sum(same) >= 0.97 * len(same)
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<html><body><nav><a href=x>Home</a></nav><article><h1>Title here</h1><p>First&nbsp;  one.\n\tGoes on.</p><p>Second one.</p></article><footer>&copy; x</footer>", "t"), (2, None, None, "t"), (3, "u", "", "t"), (3, "u", "", "t")], "page_id long, url string, html string, text string")
     got = sorted((r["page_id"], r["text"]) for r in htmltext.extract(pages).collect())
