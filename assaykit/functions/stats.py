@@ -44,6 +44,13 @@ def holm(df: DataFrame, p: str, family: str, label: str) -> DataFrame:
     return df.withColumn("_step", step).withColumn("p_holm", F.max("_step").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_step")
 
 
+def paired_wald(b: str, c: str, n: str, z: float = 1.96) -> tuple[Column, Column, Column]:
+    """Difference of two paired rates, b and c being the discordant pairs of n, and its Wald interval."""
+    net = F.col(b) - F.col(c)
+    delta, half = net / F.col(n), z * F.sqrt(F.greatest(F.col(b) + F.col(c) - net * net / F.col(n), F.lit(0.0))) / F.col(n)
+    return delta, delta - half, delta + half
+
+
 def two_proportion_z(k1: Column | str, n1: Column | str, k2: Column | str, n2: Column | str) -> Column:
     """Pooled z of two shares; null where its standard error is 0."""
     k1, n1, k2, n2 = (_c(x).cast("double") for x in (k1, n1, k2, n2))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def last_match(text: Column, pattern: str, group: int = 1) -> Column:
@@ -114,10 +118,17 @@ def leaks(text: Column, other: Column, width: int = 120) -> Column:
     return (F.length(text) >= width) & F.exists(probes(text, width), lambda p: F.contains(other, p))
 
 
+@F.pandas_udf(T.StringType())
+def composed(text: pd.Series) -> pd.Series:
+    """Normal form C, which built-in functions can't give."""
+    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+
+
 def units(text: Column) -> Column:
-    """Lines, with a header that ends in a colon by itself and prose cut after sentences."""
-    marked = F.regexp_replace(F.regexp_replace(text, r"([.!?])[ ]+", "$1\n"), r"(?m)^([A-Za-z ]{1,40}:)[ ]+", "$1\n")
-    return F.filter(F.transform(F.split(marked, "\n", -1), F.trim), lambda u: u != "")
+    """Lines with single blanks; a line that ends in a colon is one unit, others are cut after sentences."""
+    lines = F.transform(F.split(text, "\n", -1), lambda x: F.trim(F.regexp_replace(x, r"[ \t\r\f\x0b]+", " ")))
+    parts = F.transform(lines, lambda x: F.when(F.endswith(x, F.lit(":")), F.array(x)).otherwise(F.split(x, r"(?<=[.!?]) (?=[A-Z0-9(])", -1)))
+    return F.filter(F.flatten(parts), lambda u: u != "")
 
 
 def keyed_seed(key: Column) -> Column:

@@ -72,9 +72,17 @@ def best_at(curve: DataFrame, groups: list[str], cap: float, prefer: str = "dete
     """The point of each curve with the best detection among those with false alarms at most ``cap``.
 
     prefer: of equal detection ``detection`` takes fewer false alarms, then the higher threshold; ``first`` the lowest
-    threshold; ``largest`` takes the largest feasible threshold whatever it detects.
+    threshold; ``largest`` takes the largest feasible threshold whatever it detects, and minus infinity, which flags nothing, for
+    curves without one.
     """
-    order = {"detection": [F.desc("det"), F.asc("fa"), F.desc("threshold"), F.desc("side")], "first": [F.desc("det"), F.asc("threshold"), F.asc("side")], "largest": [F.desc("threshold"), F.desc("side")]}[prefer]
+    if prefer == "largest":
+        point = ["threshold", "side", "hits", "false_alarms", "det", "fa"]
+        best = F.max(F.when(F.col("fa") <= cap + 1e-12, F.struct(*point)))
+        zero = F.lit(0).cast("long")
+        none = F.struct(F.lit(float("-inf")).alias("threshold"), F.lit("below").alias("side"), zero.alias("hits"), zero.alias("false_alarms"), F.lit(0.0).alias("det"), F.lit(0.0).alias("fa"))
+        per = curve.where("n_pos > 0 and n_neg > 0").groupBy(*groups, "n_pos", "n_neg").agg(F.coalesce(best, none).alias("_p"))
+        return per.select(*groups, *(f"_p.{c}" for c in point[:4]), "n_pos", "n_neg", "_p.det", "_p.fa")
+    order = {"detection": [F.desc("det"), F.asc("fa"), F.desc("threshold"), F.desc("side")], "first": [F.desc("det"), F.asc("threshold"), F.asc("side")]}[prefer]
     ranked = curve.where(F.col("fa") <= cap).withColumn("_n", F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
     return ranked.where("_n = 1").drop("_n")
 

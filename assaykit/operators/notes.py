@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assaykit.functions.text import flat
+
 
 def _struct(**fields: T.DataType) -> T.StructType:
     """A struct type, built without a session (so that importing this module needs none)."""
@@ -41,50 +44,76 @@ def find_span(text: pd.Series, span: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["start", "stop", "matches"]).astype("Int64")
 
 
-@F.pandas_udf(_struct(how=T.StringType(), position=T.DoubleType()))
-def locate(text: pd.Series, quote: pd.Series) -> pd.DataFrame:
-    """How a quote is found in a text, and where (0 to 1): whole, by its first 80, 50 or 30 characters, or a word that occurs once."""
-    out = []
-    for t, q in zip(text, quote, strict=True):
-        t, q = (re.sub(r"\s+", " ", x or "").strip().lower() for x in (t, q))
-        best = (None, None)
-        if t and q:
-            for how, part in [("exact", q), *((f"prefix {n}", q[:n]) for n in (80, 50, 30) if len(q) > n)]:
-                if (at := t.find(part)) >= 0:
-                    best = (how, at / len(t))
-                    break
-            else:
-                words = [w for w in sorted(set(re.findall(r"[a-z0-9]{5,}", q)), key=lambda w: (-len(w), w)) if t.count(w) == 1]
-                if words:
-                    best = ("word", t.find(words[0]) / len(t))
-        out.append(best)
-    return pd.DataFrame(out, columns=["how", "position"])
+def locate(text: Column, quote: Column) -> Column:
+    """(how, position from 0 to 1): a quote found whole, by its first 80, 50 or 30 characters, by one of its six longest words of
+    six letters or more that occurs once, or by one that occurs at all; ``no_quote`` and ``not_found`` have no position.
+
+    Texts are compared in lower case with single blanks. Words of equal length come in alphabetical order.
+    """
+    t, q = (flat(F.coalesce(x, F.lit(""))) for x in (text, quote))
+
+    def at(part: Column) -> Column:
+        return (F.position(part, t) - 1) / F.length(t)
+
+    def found(how: str, part: Column, holds: Column) -> Column:
+        return F.when(holds, F.struct(F.lit(how).alias("how"), at(part).alias("position")))
+
+    long = F.array_distinct(F.filter(F.split(q, " "), lambda w: F.length(w) >= 6))
+    words = F.transform(F.slice(F.array_sort(F.transform(long, lambda w: F.struct(-F.length(w), w.alias("w")))), 1, 6), lambda s: s["w"])
+    once = F.filter(words, lambda w: F.length(t) - F.length(F.replace(t, w, F.lit(""))) == F.length(w))
+    some = F.filter(words, lambda w: F.contains(t, w))
+    none = F.lit(None).cast("double").alias("position")
+    heads = [found(f"prefix{n}", F.substring(q, 1, n), (F.length(q) > n) & F.contains(t, F.substring(q, 1, n))) for n in (80, 50, 30)]
+    return F.coalesce(
+        F.when(q.isin("", "-", "n/a", "none") | (t == ""), F.struct(F.lit("no_quote").alias("how"), none)),
+        found("exact", q, F.contains(t, q)),
+        *heads,
+        found("unique_word", F.try_element_at(once, F.lit(1)), F.size(once) > 0),
+        found("word", F.try_element_at(some, F.lit(1)), F.size(some) > 0),
+        F.struct(F.lit("not_found").alias("how"), none),
+    )
+
+
+NUMBERED = re.compile(r"(\s*)(\d+)([.)]\s)")
 
 
 @F.pandas_udf(T.StringType())
 def without_span(text: pd.Series, span: pd.Series) -> pd.Series:
-    """A text without a span that stands in it once: lines left empty go, and numbered lists are numbered anew; null if not."""
+    """A text without a span that stands in it once, else null. Lines that the span doesn't touch stay as they are.
+
+    A line that held nothing else goes whole; a blank left before a blank or a mark closes. Where the text's numbered lines
+    ran from 1 without a gap, they do so again.
+    """
 
     def cut(t: str | None, s: str | None) -> str | None:
-        if not t or not s or t.count(s) != 1:
+        t, s = (unicodedata.normalize("NFC", x or "") for x in (t, s))
+        if not s or t.count(s) != 1:
             return None
-        lines, n = [], 0
-        for line in t.replace(s, "\0").split("\n"):
-            kept = line.replace("\0", "")
-            if kept != line and not re.search(r"[^\W\d]", kept):
-                continue
-            m = re.match(r"(\s*)(\d+)([.)]\s+)(.*)", kept)
-            n = n + 1 if m else 0
-            lines.append(f"{m[1]}{n}{m[3]}{m[4]}" if m else re.sub(r"[ \t]{2,}", " ", kept).rstrip())
+        left, right = t.split(s)
+        line = left.rpartition("\n")[2], right.partition("\n")[0]
+        if not "".join(line).strip():
+            left, right = left[: len(left) - len(line[0])], right[len(line[1]) + 1 :]
+        elif left.endswith(" ") and right.startswith((" ", ".", ",", ";")):
+            left = left.rstrip(" ")
+        rest = (left + right).strip()
+        before = [int(m[2]) for m in map(NUMBERED.match, t.split("\n")) if m]
+        if before != list(range(1, len(before) + 1)):
+            return rest
+        n, lines = 0, rest.split("\n")
+        for i, x in enumerate(lines):
+            if m := NUMBERED.match(x):
+                n += 1
+                lines[i] = f"{m[1]}{n}{m[3]}{x[m.end() :]}"
         return "\n".join(lines)
 
     return pd.Series([cut(t, s) for t, s in zip(text, span, strict=True)], dtype=object)
 
 
 def greedy_clusters(df: DataFrame, group: str, key: str, text: str, least: float = 0.5) -> DataFrame:
-    """(group, key, cluster): items in key order join the first cluster whose words they overlap by Jaccard ``least``.
+    """(group, key, cluster): items in key order join the cluster whose words they overlap most, if by Jaccard ``least``.
 
-    A cluster's words grow with its members, so the order matters; a group is one note's items and stays small by nature.
+    Of equal clusters the first counts; items without a word are in none. A cluster's words grow with its members, so the order
+    matters; a group is one note's items and stays small by nature.
     """
 
     def run(items: pd.DataFrame) -> pd.DataFrame:
@@ -92,13 +121,15 @@ def greedy_clusters(df: DataFrame, group: str, key: str, text: str, least: float
         out = []
         for k, t in sorted(zip(items[key], items[text].fillna(""), strict=True)):
             words = set(re.findall(r"[a-z0-9]+", t.lower()))
-            for n, have in enumerate(found):
-                if words and len(words & have) >= least * len(words | have):
-                    have |= words
-                    break
+            if not words:
+                continue
+            overlap = [len(words & have) / len(words | have) for have in found]
+            n = int(np.argmax(overlap)) if found else 0
+            if found and overlap[n] >= least:
+                found[n] |= words
             else:
                 n = len(found)
-                found.append(set(words))
+                found.append(words)
             out.append((items[group].iloc[0], k, n))
         return pd.DataFrame(out, columns=[group, key, "cluster"])
 
@@ -106,6 +137,25 @@ def greedy_clusters(df: DataFrame, group: str, key: str, text: str, least: float
     return df.select(group, key, text).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {key} {kinds[key]}, cluster long")
 
 
+def apart(df: DataFrame, group: str, key: str, text: str, least: float = 0.5) -> DataFrame:
+    """(group, key, place, moved): items in key order, but none next to one that shares words by Jaccard ``least`` while another
+    can stand there; then the next such one is moved up. A group is one pick's items and stays small by nature."""
+
+    def run(items: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(zip(items[key], items[text].fillna(""), strict=True))
+        rest = [(k, set(re.findall(r"[a-z0-9]+", t.lower()))) for k, t in rows]
+        out, last = [], set()
+        while rest:
+            free = (i for i, (_, w) in enumerate(rest) if not (w and last and len(w & last) >= least * len(w | last)))
+            i = next(free, 0)
+            k, last = rest.pop(i)
+            out.append((items[group].iloc[0], k, len(out) + 1, i > 0))
+        return pd.DataFrame(out, columns=[group, key, "place", "moved"])
+
+    kinds = dict(df.dtypes)
+    return df.select(group, key, text).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {key} {kinds[key]}, place long, moved boolean")
+
+
 def cosine_groups(df: DataFrame, note: list[str], key: str, vector: str, levels: tuple[float, ...] = (0.8, 0.85, 0.9)) -> DataFrame:
     """(note, level, items, groups): near-duplicate groups of each note's vectors at several cosines, linked transitively.
 
@@ -149,7 +199,7 @@ def medoids(df: DataFrame, cluster: str, key: str, vector: str) -> DataFrame:
 
 
 def spread(df: DataFrame, keys: list[str], item: str, n: int) -> DataFrame:
-    """n items chosen one by one so that the values of all keys stay balanced; ties by item.
+    """n items chosen one by one so that the values of the keys stay balanced, the first key before the others; ties by item.
 
     Of items with the same values the smallest is taken first, so the first n of each combination are all that can be chosen;
     only these meet in one task.
@@ -160,7 +210,7 @@ def spread(df: DataFrame, keys: list[str], item: str, n: int) -> DataFrame:
         left = pool.sort_values(item).to_dict("records")
         chosen = []
         while left and len(chosen) < n:
-            best = min(left, key=lambda r: (sum(c.get(r[k], 0) for c, k in zip(counts, keys, strict=True)), r[item]))
+            best = min(left, key=lambda r: (*(c.get(r[k], 0) for c, k in zip(counts, keys, strict=True)), r[item]))
             left.remove(best)
             chosen.append((best[item], len(chosen) + 1))
             for c, k in zip(counts, keys, strict=True):
@@ -201,30 +251,35 @@ def boschloo(a: Column, b: Column, c: Column, d: Column, points: int = 200) -> C
     return run(a, b, c, d)
 
 
-@F.pandas_udf(_struct(start=T.LongType(), excerpt=T.StringType(), hits=T.LongType()))
+#: Words that an excerpt's overlap leaves out.
+LITTLE = frozenset("a an and are as at be been but by did do does for from had has have he her his i in is it its me my no not of on or our she so that the their them they this to was we were with you your".split())
+
+
+def _told(x: str) -> set[str]:
+    return {w for w in re.findall(r"[a-z']+", x.lower()) if len(w) > 2 and w not in LITTLE}
+
+
+@F.pandas_udf(_struct(first=T.LongType(), last=T.LongType(), excerpt=T.StringType()))
 def excerpt(text: pd.Series, wanted: pd.Series, size: pd.Series) -> pd.DataFrame:
-    """The run of ``size`` words that holds most distinct words (four letters or more) of another text, the first of equals."""
+    """The lines around the one that shares most words with another text, grown on the side that shares more (above, of equals)
+    until they have ``size`` characters; cuts are marked."""
     out = []
     for t, q, n in zip(text, wanted, size, strict=True):
-        words, keys = (t or "").split(), set(re.findall(r"[a-z0-9]{4,}", (q or "").lower()))
-        marks = [next(iter(re.findall(r"[a-z0-9]{4,}", w.lower())), "") for w in words]
-        seen: dict[str, int] = {}
-        best, hits = 0, -1
-        for i, m in enumerate(marks):
-            if m in keys:
-                seen[m] = seen.get(m, 0) + 1
-            if i >= n and marks[i - n] in keys:
-                seen[marks[i - n]] -= 1
-                if not seen[marks[i - n]]:
-                    del seen[marks[i - n]]
-            if len(seen) > hits:
-                best, hits = max(0, i - n + 1), len(seen)
-        out.append((best, " ".join(words[best : best + n]), max(hits, 0)))
-    return pd.DataFrame(out, columns=["start", "excerpt", "hits"])
+        lines, keys = (t or "").splitlines() or [""], _told(q or "")
+        shared = [len(keys & _told(x)) for x in lines]
+        first = last = int(np.argmax(shared))
+        while sum(map(len, lines[first : last + 1])) < n and last - first + 1 < len(lines):
+            above = shared[first - 1] if first else -1
+            below = shared[last + 1] if last + 1 < len(lines) else -1
+            first, last = (first - 1, last) if above >= below else (first, last + 1)
+        marked = ["[...]"] * (first > 0) + ["\n".join(lines[first : last + 1]).strip()] + ["[...]"] * (last + 1 < len(lines))
+        out.append((first, last, "\n".join(marked)))
+    return pd.DataFrame(out, columns=["first", "last", "excerpt"])
 
 
 def speaker_turns(df: DataFrame, key: str, text: str, longest: int = 400) -> DataFrame:
-    """(key, turn, speaker, part, said): lines ``Name: words``; turns longer than ``longest`` characters are cut after sentences.
+    """(key, turn, speaker, part, said): lines ``Name: words``; turns longer than ``longest`` characters are cut after the
+    last sentence that fits, or hard where none does.
 
     A line without a name goes on with the turn before; lines before the first name are dropped.
     """
@@ -242,11 +297,12 @@ def speaker_turns(df: DataFrame, key: str, text: str, longest: int = 400) -> Dat
                     turns[-1][1] = f"{turns[-1][1]} {line.strip()}".strip()
             rows = []
             for n, (who, said) in enumerate(turns):
-                parts = [""]
-                for sentence in re.findall(r"[^.!?]+[.!?]*\s*", said) or [said]:
-                    if parts[-1] and len(parts[-1]) + len(sentence.rstrip()) > longest:
-                        parts.append("")
-                    parts[-1] += sentence
+                parts = []
+                while len(said) > longest:
+                    stop = said.rfind(". ", 0, longest) + 1
+                    parts.append(said[: stop or longest].strip())
+                    said = said[stop or longest :].strip()
+                parts.append(said)
                 rows += [{"turn": n, "speaker": who, "part": i, "said": p.strip()} for i, p in enumerate(parts)]
             out.append(rows)
         return pd.Series(out)

@@ -67,7 +67,7 @@ def by_content(ours: DataFrame, theirs: DataFrame, columns: list[str]) -> DataFr
     """Rows of ours whose content hash theirs lacks."""
 
     def hashed(df: DataFrame) -> DataFrame:
-        return df.withColumn("_hash", F.sha2(F.concat_ws("\x1f", *columns), 256))
+        return df.withColumn("_hash", F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256))
 
     return hashed(ours).join(hashed(theirs).select("_hash").distinct(), "_hash", "left_anti").drop("_hash")
 

@@ -245,14 +245,20 @@ def sign_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{N}, g AS (SELECT stratum, count(*) FILTER (role = 'errored' AND flagged) AS k1, count(*) FILTER (role = 'errored') AS n1, count(*) FILTER (role = 'clean' AND flagged) AS k2, count(*) FILTER (role = 'clean') AS n2 FROM j GROUP BY stratum), p AS (SELECT *, CAST(k1 + k2 AS DOUBLE) / (n1 + n2) AS q FROM g)
-SELECT stratum, k1, n1, k2, n2, round(CASE WHEN n1 > 0 AND n2 > 0 AND q * (1 - q) > 0 THEN (CAST(k1 AS DOUBLE) / n1 - CAST(k2 AS DOUBLE) / n2) / sqrt(q * (1 - q) * (1.0 / n1 + 1.0 / n2)) END, 7) AS z,
-  round(CAST(k1 AS DOUBLE) / n1 - CAST(k2 AS DOUBLE) / n2 - 1.96 * sqrt(CAST(k1 AS DOUBLE) / n1 * (1 - CAST(k1 AS DOUBLE) / n1) / n1 + CAST(k2 AS DOUBLE) / n2 * (1 - CAST(k2 AS DOUBLE) / n2) / n2), 7) AS wald_low FROM p""")
+SELECT stratum, k1, n1, k2, n2, round(CASE WHEN n1 > 0 AND n2 > 0 AND q * (1 - q) > 0 THEN (CAST(k1 AS DOUBLE) / n1 - CAST(k2 AS DOUBLE) / n2) / sqrt(q * (1 - q) * (1.0 / n1 + 1.0 / n2)) END, 7) AS z FROM p""")
 def two_proportions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, f = F.col("role") == "errored", F.col("flagged")
     g = now(spark, sf_dir).groupBy("stratum").agg(F.count_if(e & f).alias("k1"), F.count_if(e).alias("n1"), F.count_if(~e & f).alias("k2"), F.count_if(~e).alias("n2"))
-    p1, p2 = F.col("k1") / F.col("n1"), F.col("k2") / F.col("n2")
-    wald = p1 - p2 - 1.96 * F.sqrt(p1 * (1 - p1) / F.col("n1") + p2 * (1 - p2) / F.col("n2"))
-    return g.withColumns({"z": F.round(stats.two_proportion_z("k1", "n1", "k2", "n2"), 7), "wald_low": F.round(wald, 7)})
+    return g.withColumns({"z": F.round(stats.two_proportion_z("k1", "n1", "k2", "n2"), 7)})
+
+
+@query(f"""{T}, d AS (SELECT pair_type, replicate, count(*) AS n, count(*) FILTER (flagged AND NOT clean_flagged) AS b, count(*) FILTER (NOT flagged AND clean_flagged) AS c FROM tw GROUP BY ALL), w AS (SELECT *, CAST(b - c AS DOUBLE) / n AS delta, sqrt(greatest(b + c - CAST((b - c) * (b - c) AS DOUBLE) / n, 0)) / n AS se FROM d)
+SELECT pair_type, replicate, n, b, c, round(delta, 6) AS delta, round(delta - 1.96 * se, 6) AS low, round(delta + 1.96 * se, 6) AS high FROM w""")
+def paired_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flag rate of errored notes less that of their clean twins, with the Wald interval on discordant pairs."""
+    f, c = F.col("flagged"), F.col("clean_flagged")
+    d = pairs(spark, sf_dir).groupBy("pair_type", "replicate").agg(F.count(F.lit(1)).alias("n"), F.count_if(f & ~c).alias("b"), F.count_if(~f & c).alias("c"))
+    return d.withColumns({k: F.round(v, 6) for k, v in zip(("delta", "low", "high"), stats.paired_wald("b", "c", "n"), strict=True)})
 
 
 def hyper(x: str) -> str:

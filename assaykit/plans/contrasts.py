@@ -95,13 +95,18 @@ def split_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train.agg(F.count(F.lit(1)).alias("train_pairs")).withColumn("_k", F.lit(1)).join(counts, "_k").drop("_k")
 
 
-@query(f"""WITH {TALK_SQL}, q AS (SELECT conv_id, lower(trim(regexp_replace(transcript, '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g'), ' ')) AS t, lower(trim(regexp_replace(note, '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g'), ' ')) AS n FROM t WHERE note IS NOT NULL)
-SELECT conv_id, CASE WHEN contains(t, n || '!') THEN 'whole' WHEN contains(t, substr(n, 1, 60)) THEN 'head' ELSE 'absent' END AS rescue FROM q""")
+@query(f"""WITH {TALK_SQL}, q AS (SELECT conv_id, lower(trim(regexp_replace(transcript, '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g'), ' ')) AS t, lower(trim(regexp_replace(note, '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g'), ' ')) AS n FROM t WHERE note IS NOT NULL), v AS (SELECT conv_id, t, trim(CASE conv_id % 4 WHEN 0 THEN n WHEN 1 THEN n || ' ...' WHEN 2 THEN reverse(n) ELSE substr(n, 1, 7) END, ' ') AS n FROM q)
+SELECT conv_id, CASE WHEN length(n) < 8 THEN 'absent' WHEN contains(t, n) THEN 'whole' WHEN contains(t, substr(n, 1, 60)) THEN 'head' ELSE 'absent' END AS rescue FROM v""")
 def quote_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fact called absent is rescued only by a quote that stands in the text, whole or by its first 60 characters."""
-    t, n = text.flat(F.col("transcript")), text.flat(F.col("note"))
-    how = F.when(F.contains(t, F.concat(n, F.lit("!"))), "whole").when(F.contains(t, F.substring(n, 1, 60)), "head").otherwise("absent")
-    return talks(spark, sf_dir).where("note is not null").select("conv_id", how.alias("rescue"))
+    """A fact called absent is rescued only by a quote of eight characters or more that stands in the text, whole or by its first 60.
+
+    Quotes are the note as it is, with an ellipsis, backwards, or its first seven characters, by conversation.
+    """
+    n, kind = text.flat(F.col("note")), F.col("conv_id") % 4
+    quote = F.trim(F.when(kind == 0, n).when(kind == 1, F.concat(n, F.lit(" ..."))).when(kind == 2, F.reverse(n)).otherwise(F.substring(n, 1, 7)))
+    how = F.when(F.length("q") < 8, "absent").when(F.contains("t", "q"), "whole").when(F.contains("t", F.substring("q", 1, 60)), "head").otherwise("absent")
+    asked = talks(spark, sf_dir).where("note is not null").select("conv_id", text.flat(F.col("transcript")).alias("t"), quote.alias("q"))
+    return asked.select("conv_id", how.alias("rescue"))
 
 
 @query(f"""{N}, v AS (SELECT user_id, event_type, count(*) FILTER (flagged) AS fails, count(*) AS runs, max(score) AS top FROM j GROUP BY ALL) SELECT user_id, event_type, fails >= 2 AS failed, CASE WHEN 2 * fails > runs THEN 'drop' WHEN runs - fails >= 2 THEN 'keep' ELSE 'again' END AS fate, top FROM v""")
@@ -331,10 +336,8 @@ def vector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def near_duplicate_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Critical facts clustered within their conversation, so that an order can keep near-duplicates apart."""
-    c = notes.greedy_clusters(read(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 0.5)
-    w = Window.partitionBy("conv_id", "cluster").orderBy("turn")
-    return c.withColumn("round", F.row_number().over(w)).withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy("round", "cluster")))
+    """A conversation's turns in order, but near-duplicates not next to each other where another turn can stand between."""
+    return notes.apart(read(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 0.3)
 
 
 @query(f"""WITH {REPLIES_SQL} SELECT k % 5 AS kind, count(*) AS calls, count(DISTINCT reply) AS different FROM (SELECT p.reply, r.k FROM p JOIN r USING (event_id)) GROUP BY 1""")

@@ -130,17 +130,18 @@ def best_sql(rule: str, cap: float, order: str) -> str:
     return f"{points_sql(rule)} SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY curve, replicate ORDER BY {order}) AS n FROM sw WHERE fa <= {cap}) WHERE n = 1"
 
 
-@query(best_sql("both", 0.1, "det DESC, fa, threshold DESC, side DESC"))
+@query(best_sql("both", 0.5, "det DESC, fa, threshold DESC, side DESC"))
 def best_at_false_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.best_at(metrics.sweep(_counts(spark, sf_dir), CURVE, "both"), CURVE, 0.1)
+    return metrics.best_at(metrics.sweep(_counts(spark, sf_dir), CURVE, "both"), CURVE, 0.5)
 
 
-@query(best_sql("inclusive", 0.1, "det DESC, threshold, side"))
+@query(best_sql("inclusive", 0.5, "det DESC, threshold, side"))
 def best_at_false_alarms_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.best_at(metrics.sweep(_counts(spark, sf_dir), CURVE, "inclusive"), CURVE, 0.1, "first")
+    return metrics.best_at(metrics.sweep(_counts(spark, sf_dir), CURVE, "inclusive"), CURVE, 0.5, "first")
 
 
-@query(best_sql("inclusive", 0.2, "threshold DESC, side DESC"))
+@query(f"""{points_sql("inclusive")}, b AS (SELECT curve, replicate, n_pos, n_neg, max(threshold) FILTER (fa <= 0.2 + 1e-12) AS best FROM sw WHERE n_pos > 0 AND n_neg > 0 GROUP BY ALL)
+SELECT b.curve, b.replicate, coalesce(best, CAST('-inf' AS DOUBLE)) AS threshold, coalesce(side, 'below') AS side, coalesce(hits, 0) AS hits, coalesce(false_alarms, 0) AS false_alarms, b.n_pos, b.n_neg, coalesce(det, 0.0) AS det, coalesce(fa, 0.0) AS fa FROM b LEFT JOIN sw ON sw.curve = b.curve AND sw.replicate = b.replicate AND sw.threshold = b.best""")
 def largest_feasible_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.best_at(metrics.sweep(_counts(spark, sf_dir), CURVE, "inclusive"), CURVE, 0.2, "largest")
 

@@ -50,11 +50,24 @@ def note_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return talks(spark, sf_dir).where("note is not null").select("conv_id", notes.word_diff("transcript", "note").alias("d")).select("conv_id", "d.*")
 
 
-@query(f"""WITH {TALK_SQL}, n AS (SELECT conv_id, lower(trim(regexp_replace(transcript, '\\s+', ' ', 'g'))) AS t, lower(trim(regexp_replace(note, '\\s+', ' ', 'g'))) AS q FROM t WHERE note IS NOT NULL)
-SELECT conv_id, 'exact' AS how, round((instr(t, q) - 1) / CAST(length(t) AS DOUBLE), 9) AS position FROM n WHERE q <> '' AND t <> ''""")
+QUOTES_SQL = f"""WITH {TALK_SQL}, n AS (SELECT conv_id, lower(trim(regexp_replace(transcript, '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g'), ' ')) AS t, lower(trim(regexp_replace(note, '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g'), ' ')) AS n FROM t WHERE note IS NOT NULL),
+q AS (SELECT conv_id, t, trim(CASE conv_id % 6 WHEN 0 THEN n WHEN 1 THEN substr(n, 1, 85) || ' zzz' WHEN 2 THEN substr(n, 1, 35) || ' zzz' WHEN 3 THEN array_to_string(list_reverse(string_split(n, ' ')), ' ') WHEN 4 THEN 'none' ELSE 'qqzzqq vvzzvv' END, ' ') AS q FROM n),
+w AS (SELECT *, list_transform(list_sort(list_transform(list_distinct(list_filter(string_split(q, ' '), lambda w: length(w) >= 6)), lambda w: {{'n': -length(w), 'w': w}}))[1:6], lambda s: s.w) AS w FROM q),
+f AS (SELECT *, list_filter(w, lambda x: length(t) - length(replace(t, x, '')) = length(x)) AS once, list_filter(w, lambda x: contains(t, x)) AS held FROM w),
+h AS (SELECT *, CASE WHEN q IN ('', '-', 'n/a', 'none') OR t = '' THEN 'no_quote' WHEN contains(t, q) THEN 'exact' WHEN length(q) > 80 AND contains(t, substr(q, 1, 80)) THEN 'prefix80' WHEN length(q) > 50 AND contains(t, substr(q, 1, 50)) THEN 'prefix50' WHEN length(q) > 30 AND contains(t, substr(q, 1, 30)) THEN 'prefix30' WHEN len(once) > 0 THEN 'unique_word' WHEN len(held) > 0 THEN 'word' ELSE 'not_found' END AS how FROM f),
+p AS (SELECT *, CASE how WHEN 'exact' THEN q WHEN 'prefix80' THEN substr(q, 1, 80) WHEN 'prefix50' THEN substr(q, 1, 50) WHEN 'prefix30' THEN substr(q, 1, 30) WHEN 'unique_word' THEN once[1] WHEN 'word' THEN held[1] END AS part FROM h)
+SELECT conv_id, how, round(CASE WHEN part IS NOT NULL THEN (instr(t, part) - 1) / CAST(length(t) AS DOUBLE) END, 9) AS position FROM p"""
+
+
+@query(QUOTES_SQL)
 def quote_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = talks(spark, sf_dir).where("note is not null").select("conv_id", notes.locate("transcript", "note").alias("l"))
-    return found.select("conv_id", "l.how", F.round("l.position", 9).alias("position")).where("how is not null")
+    """Where quotes stand: the note itself, its beginnings with something added, its words backwards, no quote, and words it lacks."""
+    n, kind = text.flat(F.col("note")), F.col("conv_id") % 6
+    added = [F.concat(F.substring(n, 1, k), F.lit(" zzz")) for k in (85, 35)]
+    quote = F.when(kind == 0, n).when(kind == 1, added[0]).when(kind == 2, added[1]).when(kind == 3, F.array_join(F.reverse(F.split(n, " ")), " ")).when(kind == 4, "none").otherwise("qqzzqq vvzzvv")
+    asked = talks(spark, sf_dir).where("note is not null").select("conv_id", "transcript", quote.alias("quote"))
+    found = asked.select("conv_id", notes.locate(F.col("transcript"), F.col("quote")).alias("l"))
+    return found.select("conv_id", "l.how", F.round("l.position", 9).alias("position"))
 
 
 @query()
@@ -203,9 +216,9 @@ def span_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def best_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The forty words of each transcript that say most of what its note says."""
+    """The lines of each transcript that say most of what its note says."""
     t = talks(spark, sf_dir).where("note is not null")
-    return t.select("conv_id", notes.excerpt("transcript", "note", F.lit(40)).alias("e")).select("conv_id", "e.*")
+    return t.select("conv_id", notes.excerpt("transcript", "note", F.lit(400)).alias("e")).select("conv_id", "e.*")
 
 
 @query()

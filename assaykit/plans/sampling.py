@@ -56,10 +56,14 @@ def consultation_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.split(judgements(read(spark, sf_dir, "events")), "stratum", "user_id", 0.2)
 
 
-@query(f"""{N}, r AS (SELECT *, row_number() OVER (PARTITION BY pair_type ORDER BY md5('batch' || event_id), event_id) AS i FROM j WHERE role = 'errored') SELECT event_id, pair_type FROM r WHERE i <= CASE pair_type WHEN 'omit' THEN 8 ELSE 4 END""")
+@query(f"""{N}, r AS (SELECT *, row_number() OVER (PARTITION BY pair_type ORDER BY md5('batch' || event_id), event_id) <= CASE pair_type WHEN 'omit' THEN 8 ELSE 4 END AS quota FROM j WHERE role = 'errored'),
+f AS (SELECT event_id, pair_type, quota, row_number() OVER (ORDER BY quota DESC, md5('batch' || event_id), event_id) AS i FROM r) SELECT event_id, pair_type, quota FROM f WHERE i <= 20""")
 def quota_minibatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = sampling.in_turn(now(spark, sf_dir).where("role = 'errored'"), "pair_type", [sampling.stable(F.col("event_id"), "batch"), F.col("event_id")])
-    return r.where(F.col("turn") <= F.when(F.col("pair_type") == "omit", 8).otherwise(4)).select("event_id", "pair_type")
+    """Twenty errored notes: eight omissions and four of each other type, and what is left over from all others."""
+    order = [sampling.stable(F.col("event_id"), "batch"), F.col("event_id")]
+    r = sampling.in_turn(now(spark, sf_dir).where("role = 'errored'"), "pair_type", order)
+    r = r.withColumn("quota", F.col("turn") <= F.when(F.col("pair_type") == "omit", 8).otherwise(4))
+    return r.orderBy(F.desc("quota"), *order).limit(20).select("event_id", "pair_type", "quota")
 
 
 @query(f"""{N}, c AS (SELECT user_id FROM j GROUP BY user_id HAVING count(DISTINCT event_type) = 5), r AS (SELECT user_id, user_id % 4 AS s, row_number() OVER (PARTITION BY user_id % 4 ORDER BY md5('stable' || user_id), user_id) AS i FROM c) SELECT user_id, s AS stratum FROM r WHERE i <= 3""")

@@ -90,10 +90,10 @@ def leakage_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return talks(spark, sf_dir).where("note is not null").select("conv_id", text.leaks(F.col("note"), F.col("transcript")).alias("leaks"))
 
 
-@query(r"""WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(text, '([.!?])[ ]+', '\1' || chr(10), 'g'), '(?m)^([A-Za-z ]{1,40}:)[ ]+', '\1' || chr(10), 'g') AS m FROM documents WHERE text IS NOT NULL),
-u AS (SELECT doc_id, list_filter(list_transform(string_split(m, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS u FROM m) SELECT doc_id, CAST(len(u) AS BIGINT) AS n_units, md5(array_to_string(u, '|')) AS digest FROM u""")
+@query(r"""WITH l AS (SELECT doc_id, list_transform(string_split(nfc_normalize(text), chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r\f\x0b]+', ' ', 'g'), ' ')) AS l FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, list_filter(flatten(list_transform(l, lambda x: CASE WHEN ends_with(x, ':') THEN [x] ELSE string_split(regexp_replace(x, '([.!?]) ([A-Z0-9(])', '\1' || chr(1) || '\2', 'g'), chr(1)) END)), lambda x: x <> '') AS u FROM l) SELECT doc_id, CAST(len(u) AS BIGINT) AS n_units, md5(array_to_string(u, '|')) AS digest FROM u""")
 def unit_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = text.units(F.col("text"))
+    u = text.units(text.composed(F.col("text")))
     return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.size(u).cast("long").alias("n_units"), F.md5(F.array_join(u, "|")).alias("digest"))
 
 
