@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +27,11 @@ def wilson(hits: Column | str, n: Column | str, z: float = Z95, clamp: bool = Tr
 
 
 def log_factorial(n: Column) -> Column:
-    """ln n!, as a sum of logarithms (0 for 0 and 1)."""
-    return F.when(n < 2, F.lit(0.0)).otherwise(F.aggregate(F.sequence(F.lit(2).cast("long"), F.greatest(n, F.lit(2)).cast("long")), F.lit(0.0), lambda a, i: a + F.log(i.cast("double"))))
+    """ln n!: exact below 16, else by Stirling's series, whose first term left out is under 2e-14."""
+    small, x = n.cast("int"), F.greatest(n, F.lit(16)).cast("double")
+    series = x * F.log(x) - x + F.log(2 * math.pi * x) / 2 + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+    exact = F.array(*(F.lit(math.log(math.factorial(i))) for i in range(16)))
+    return F.when(n < 16, F.get(exact, F.greatest(small, F.lit(0)))).otherwise(series)
 
 
 def binomial_two_sided(b: Column | str, c: Column | str) -> Column:

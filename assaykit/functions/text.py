@@ -90,19 +90,30 @@ def tfidf(df: DataFrame, key: str, text: str) -> DataFrame:
     return tf.join(idf, "word").select(key, "word", "tf", "idf", (F.col("tf") * F.col("idf")).alias("weight"))
 
 
+#: Hashes that are broadcast at most.
+FEW = 2_000_000
+
+
+def having(rows: DataFrame, others: DataFrame, hash: str) -> DataFrame:
+    """The rows whose hash the others have, or all rows where the others have too many hashes to broadcast."""
+    known = others.select(hash).distinct()
+    return rows.join(F.broadcast(known), hash, "left_semi") if known.count() <= FEW else rows
+
+
 def containment(left: DataFrame, right: DataFrame, lkey: str, rkey: str, text: str, n: int = 8) -> DataFrame:
     """(lkey, rkey, shared, n_left, n_right, jaccard) for texts of both sides that share a word n-gram.
 
-    Shingles meet by their hash and text in an equi join; a shingle that many rows of both sides share is split by adaptive
-    execution. Counts are formed before the shuffle.
+    ``right`` is the smaller side. Shingles of ``left`` whose hash it lacks go before the shuffle, as long as its hashes are at most
+    ``FEW``; what is left meets by hash and text in an equi join, which adaptive execution splits where many rows of both
+    sides share a shingle. Counts are formed before the last shuffle.
     """
 
     def exploded(df: DataFrame, key: str, size: str) -> DataFrame:
         s = df.select(F.col(key), shingles(F.col(text), n).alias("_s"))
-        return s.select(key, F.size("_s").alias(size), F.explode("_s").alias("_g"))
+        return s.select(key, F.size("_s").alias(size), F.explode("_s").alias("_g")).withColumn("_h", F.xxhash64("_g"))
 
     a, b = exploded(left, lkey, "n_left"), exploded(right, rkey, "n_right")
-    out = a.join(b, "_g").groupBy(lkey, rkey, "n_left", "n_right").agg(F.count(F.lit(1)).alias("shared"))
+    out = having(a, b, "_h").join(b, ["_h", "_g"]).groupBy(lkey, rkey, "n_left", "n_right").agg(F.count(F.lit(1)).alias("shared"))
     return out.withColumn("jaccard", F.col("shared") / (F.col("n_left") + F.col("n_right") - F.col("shared")))
 
 

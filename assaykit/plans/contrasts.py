@@ -267,9 +267,9 @@ def tfidf_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, count(*) AS runs, CAST(count(*) AS DOUBLE) / any_value(n) AS share, count(*) >= 15 OR CAST(count(*) AS DOUBLE) / any_value(n) >= 0.2 AS fails FROM dx JOIN bx USING (g) GROUP BY doc_id""")
 def leak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word runs of twelve shared with withheld texts; fifteen runs or a fifth of a text fail."""
-    held = read(spark, sf_dir, "benchmark").select(F.explode(text.shingles(F.col("text"), 12)).alias("_g")).distinct()
-    s = read(spark, sf_dir, "documents").select("doc_id", text.shingles(F.col("text"), 12).alias("_s")).select("doc_id", F.size("_s").alias("_n"), F.explode("_s").alias("_g"))
-    hit = s.join(held, "_g").groupBy("doc_id").agg(F.count(F.lit(1)).alias("runs"), (F.count(F.lit(1)) / F.max("_n")).alias("share"))
+    held = read(spark, sf_dir, "benchmark").select(F.explode(text.shingles(F.col("text"), 12)).alias("_g")).distinct().withColumn("_h", F.xxhash64("_g"))
+    s = read(spark, sf_dir, "documents").select("doc_id", text.shingles(F.col("text"), 12).alias("_s")).select("doc_id", F.size("_s").alias("_n"), F.explode("_s").alias("_g")).withColumn("_h", F.xxhash64("_g"))
+    hit = text.having(s, held, "_h").join(held, ["_h", "_g"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("runs"), (F.count(F.lit(1)) / F.max("_n")).alias("share"))
     return hit.withColumn("fails", (F.col("runs") >= 15) | (F.col("share") >= 0.2))
 
 
