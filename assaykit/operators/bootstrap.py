@@ -1,43 +1,54 @@
 """Cluster bootstrap from sufficient statistics, with draws by hash so that any engine gets the same ones.
 
-A statistic that is a ratio of sums needs two sums per cluster. Clusters are numbered; draw d's slot s takes the cluster number
+A statistic is an expression over sums, so that a cluster is one row with its own sums, and a draw one row with theirs. Clusters are numbered; draw d's slot s takes the cluster number
 md5(seed|d|s) modulo their count. Draws and slots are joined to clusters by number and added up per draw.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.operators.numbering import numbered
 
 
-def bootstrap(clusters: DataFrame, cluster: str, num: str, den: str, draws: int = 200, seed: str = "7", least: int = 20) -> DataFrame:
-    """(clusters, valid, estimate, low, high): ratio of sums and its 95 % percentile interval.
+def resampled(clusters: DataFrame, cluster: str, sums: list[str], value: Column, draws: int = 200, seed: str = "7", least: int = 20) -> DataFrame:
+    """(clusters, valid, estimate, low, high): ``value``, an expression over the sums, and its 95 % percentile interval.
 
-    Fewer than two clusters, or fewer than ``least`` draws with a non-zero denominator, give no interval. Each draw's sums are
-    formed where slots meet clusters; the table of draws by slots is what grows: draws times the number of clusters.
+    Fewer than two clusters, or fewer than ``least`` draws with a value, give no interval. Each draw's sums are formed where slots
+    meet clusters; the table of draws by slots is what grows: draws times the number of clusters.
     """
     spark = clusters.sparkSession
-    rows = numbered(clusters.select(F.col(cluster).alias("_c"), F.col(num).alias("_num"), F.col(den).alias("_den")), "_c", "_i")
+    rows = numbered(clusters.select(F.col(cluster).alias("_c"), *sums), "_c", "_i")
     n = rows.count()
     slots = spark.range(draws * n).select(F.floor(F.col("id") / F.lit(max(n, 1))).cast("long").alias("draw"), (F.col("id") % F.lit(max(n, 1))).alias("slot"))
     hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "draw", "slot").cast("binary")), 1, 8), 16, 10).cast("long")
     picked = slots.select("draw", (hashed % F.lit(max(n, 1))).alias("_i"))
-    per = picked.join(rows, "_i").groupBy("draw").agg(F.sum("_num").alias("_num"), F.sum("_den").alias("_den"))
-    value = F.col("_num") / F.nullif(F.col("_den"), F.lit(0))
-    point = clusters.agg((F.sum(num) / F.nullif(F.sum(den), F.lit(0))).alias("estimate")).withColumn("_k", F.lit(1))
-    interval = per.select(value.alias("v")).agg(F.count("v").alias("valid"), F.percentile("v", F.lit(0.025)).alias("_low"), F.percentile("v", F.lit(0.975)).alias("_high")).withColumn("_k", F.lit(1))
+    added = [F.sum(c).alias(c) for c in sums]
+    point = clusters.agg(*added).select(value.alias("estimate")).withColumn("_k", F.lit(1))
+    per = picked.join(rows, "_i").groupBy("draw").agg(*added).select(value.alias("v"))
+    interval = per.agg(F.count("v").alias("valid"), F.percentile("v", F.lit(0.025)).alias("_low"), F.percentile("v", F.lit(0.975)).alias("_high")).withColumn("_k", F.lit(1))
     ok = (F.col("valid") >= least) & F.lit(n >= 2)
     return point.join(interval, "_k").select(F.lit(n).cast("long").alias("clusters"), "valid", "estimate", F.when(ok, F.col("_low")).alias("low"), F.when(ok, F.col("_high")).alias("high"))
 
 
-def draws_sql(clusters: str, draws: int = 200, seed: str = "7", least: int = 20) -> str:
-    """The same for DuckDB, from a query that gives (c, num, den)."""
+def bootstrap(clusters: DataFrame, cluster: str, num: str, den: str, draws: int = 200, seed: str = "7", least: int = 20) -> DataFrame:
+    """``resampled`` for a ratio of two sums."""
+    return resampled(clusters, cluster, [num, den], F.col(num) / F.nullif(F.col(den), F.lit(0)), draws, seed, least)
+
+
+def resampled_sql(clusters: str, sums: list[str], value: str, draws: int = 200, seed: str = "7", least: int = 20) -> str:
+    """The same for DuckDB, from a query that gives c and the sums, and an expression over them."""
+    added = ", ".join(f"CAST(sum({c}) AS DOUBLE) AS {c}" for c in sums)
     return f"""cl AS (SELECT *, row_number() OVER (ORDER BY c) - 1 AS i FROM ({clusters})), nn AS (SELECT count(*) AS n FROM cl),
 sl AS (SELECT id // n AS draw, id % n AS slot, n FROM nn, LATERAL (SELECT unnest(range({draws} * n)) AS id)),
 pk AS (SELECT draw, CAST('0x' || substr(md5('{seed}|' || draw || '|' || slot), 1, 8) AS BIGINT) % n AS i FROM sl),
-dr AS (SELECT draw, CAST(sum(num) AS DOUBLE) / nullif(sum(den), 0) AS v FROM pk JOIN cl USING (i) GROUP BY draw),
+dr AS (SELECT {value} AS v FROM (SELECT draw, {added} FROM pk JOIN cl USING (i) GROUP BY draw)),
 iv AS (SELECT count(v) AS valid, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM dr),
-pt AS (SELECT CAST(sum(num) AS DOUBLE) / nullif(sum(den), 0) AS estimate FROM cl)
+pt AS (SELECT {value} AS estimate FROM (SELECT {added} FROM cl))
 SELECT n AS clusters, valid, round(estimate, 9) AS estimate, round(CASE WHEN valid >= {least} AND n >= 2 THEN lo END, 9) AS low, round(CASE WHEN valid >= {least} AND n >= 2 THEN hi END, 9) AS high FROM nn, iv, pt"""
+
+
+def draws_sql(clusters: str, draws: int = 200, seed: str = "7", least: int = 20) -> str:
+    """``bootstrap`` for DuckDB, from a query that gives (c, num, den)."""
+    return resampled_sql(clusters, ["num", "den"], "num / nullif(den, 0)", draws, seed, least)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assaykit.functions import stats
@@ -330,5 +330,66 @@ def bootstrap_class_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(bootstrap.bootstrap(per, "user_id", "num", "den"))
 
 
+CHANCE = "((a + b) * (a + e) + (e + d) * (b + d)) / (m * m)"
+CONFUSION_SQL = "SELECT user_id AS c, count(*) FILTER (flagged AND clean_flagged) AS a, count(*) FILTER (flagged AND NOT clean_flagged) AS b, count(*) FILTER (NOT flagged AND clean_flagged) AS e, count(*) FILTER (NOT flagged AND NOT clean_flagged) AS d, count(*) AS m FROM tw GROUP BY user_id"
+
+
+@query(f"{T}, {bootstrap.resampled_sql(CONFUSION_SQL, ['a', 'b', 'e', 'd', 'm'], f'((a + d) / m - {CHANCE}) / nullif(1 - {CHANCE}, 0)', least=100)}")
+def bootstrap_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interval of Cohen's kappa between flags on errored notes and on their twins; half of the draws must have a kappa."""
+    f, c = F.col("flagged"), F.col("clean_flagged")
+    per = pairs(spark, sf_dir).groupBy("user_id").agg(F.count_if(f & c).alias("a"), F.count_if(f & ~c).alias("b"), F.count_if(~f & c).alias("e"), F.count_if(~f & ~c).alias("d"), F.count(F.lit(1)).alias("m"))
+    a, b, e, d, m = (F.col(x).cast("double") for x in "abedm")
+    chance = ((a + b) * (a + e) + (e + d) * (b + d)) / (m * m)
+    return _rounded(bootstrap.resampled(per, "user_id", list("abedm"), ((a + d) / m - chance) / F.nullif(1 - chance, F.lit(0.0)), least=100))
+
+
+MEANS, DIFFERENCE = ["s1", "n1", "s2", "n2"], "s1 / nullif(n1, 0) - s2 / nullif(n2, 0)"
+STRATA_SQL = "SELECT user_id AS c, sum(score) FILTER (severity = 'critical') AS s1, count(*) FILTER (severity = 'critical') AS n1, sum(score) FILTER (severity <> 'critical') AS s2, count(*) FILTER (severity <> 'critical') AS n2 FROM j GROUP BY user_id"
+FLAGGED_SQL = "SELECT user_id AS c, sum(score) FILTER (flagged) AS s1, count(*) FILTER (flagged) AS n1, sum(score) AS s2, count(*) AS n2 FROM j GROUP BY user_id"
+
+
+def _difference() -> Column:
+    return F.col("s1") / F.nullif(F.col("n1"), F.lit(0)) - F.col("s2") / F.nullif(F.col("n2"), F.lit(0))
+
+
+@query(f"{N}, {bootstrap.resampled_sql(STRATA_SQL, MEANS, DIFFERENCE)}")
+def bootstrap_two_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean score of critical facts less that of the others, resampling consultations that may hold both."""
+    critical, other = F.col("severity") == "critical", F.col("severity") != "critical"
+    per = now(spark, sf_dir).groupBy("user_id").agg(F.sum(F.when(critical, F.col("score"))).alias("s1"), F.count_if(critical).alias("n1"), F.sum(F.when(other, F.col("score"))).alias("s2"), F.count_if(other).alias("n2"))
+    return _rounded(bootstrap.resampled(per, "user_id", MEANS, _difference()))
+
+
+@query(f"{N}, {bootstrap.resampled_sql(FLAGGED_SQL, MEANS, DIFFERENCE)}")
+def bootstrap_verified_minus_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean of what was flagged less the mean of all, each draw taking both from the same consultations."""
+    per = now(spark, sf_dir).groupBy("user_id").agg(F.sum(F.when(F.col("flagged"), F.col("score"))).alias("s1"), F.count_if("flagged").alias("n1"), F.sum("score").alias("s2"), F.count(F.lit(1)).alias("n2"))
+    return _rounded(bootstrap.resampled(per, "user_id", MEANS, _difference()))
+
+
+@query(f"""{T}, m AS (SELECT pair_type, w.score AS ws, l.score AS ls, w.clean_score AS wc, l.clean_score AS lc, w.flagged AS wf, l.flagged AS lf FROM tw w JOIN tw l USING (user_id, event_type, pair_type) WHERE w.replicate = 2 AND l.replicate = 1),
+o AS (SELECT pair_type, CAST(2 * (ws < wc)::INT + (ws = wc)::INT AS BIGINT) AS hw, CAST(2 * (ls < lc)::INT + (ls = lc)::INT AS BIGINT) AS hl, wf, lf FROM m),
+g AS (SELECT pair_type, count(*) AS n, CAST(sum(hw) AS DOUBLE) / (2 * count(*)) AS winner, CAST(sum(hl) AS DOUBLE) / (2 * count(*)) AS baseline, count(*) FILTER (wf AND NOT lf) AS b1, count(*) FILTER (lf AND NOT wf) AS c1, count(*) FILTER (hw > hl) AS b2, count(*) FILTER (hw < hl) AS c2 FROM o GROUP BY pair_type),
+f AS (SELECT *, b1 AS b, c1 AS c FROM g), f1 AS (SELECT *, CASE WHEN b + c = 0 THEN 1.0 ELSE {MCNEMAR} END AS p_flags FROM f), s AS (SELECT * EXCLUDE (b, c), b2 AS b, c2 AS c FROM f1)
+SELECT pair_type, n, winner, baseline, round(winner - baseline, 9) AS delta, b1 AS flags_gained, c1 AS flags_lost, round(p_flags, 7) AS p_flags, b2 AS pairs_gained, c2 AS pairs_lost, round(CASE WHEN b + c = 0 THEN 1.0 ELSE {MCNEMAR} END, 7) AS p_pairs FROM s""")
+def winner_against_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One arm (the second replicate) against another on the same pairs: discrimination, flags by McNemar's test, pairs by the sign test."""
+
+    def half(score: str, clean: str) -> Column:
+        return 2 * (F.col(score) < F.col(clean)).cast("long") + (F.col(score) == F.col(clean)).cast("long")
+
+    arms = pairs(spark, sf_dir).select("user_id", "event_type", "pair_type", "replicate", "flagged", half("score", "clean_score").alias("h"))
+    arm = [F.first(F.when(F.col("replicate") == r, F.col(c)), True).alias(f"{c}{r}") for r in (1, 2) for c in ("h", "flagged")]
+    both = arms.where("replicate in (1, 2)").groupBy("user_id", "event_type", "pair_type").agg(*arm).where("h1 is not null and h2 is not null")
+    g = both.groupBy("pair_type").agg(
+        F.count(F.lit(1)).alias("n"), (F.sum("h2") / (2 * F.count(F.lit(1)))).alias("winner"), (F.sum("h1") / (2 * F.count(F.lit(1)))).alias("baseline"),
+        F.count_if(F.col("flagged2") & ~F.col("flagged1")).alias("flags_gained"), F.count_if(F.col("flagged1") & ~F.col("flagged2")).alias("flags_lost"),
+        F.count_if(F.col("h2") > F.col("h1")).alias("pairs_gained"), F.count_if(F.col("h2") < F.col("h1")).alias("pairs_lost"),
+    )
+    p = {f"p_{k}": F.round(stats.binomial_two_sided(f"{k}_gained", f"{k}_lost"), 7) for k in ("flags", "pairs")}
+    return g.withColumns({"delta": F.round(F.col("winner") - F.col("baseline"), 9), **p})
+
+
 def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.round(c, 9) for c in ("estimate", "low", "high")})

@@ -84,14 +84,15 @@ def corrected_twin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("conv_id", F.md5(F.array_join(twin, " ")).alias("twin"))
 
 
-@query(f"""{N}, k AS (SELECT DISTINCT user_id, md5('split' || user_id) < '4' AS test FROM j), p AS (SELECT j.*, k.test FROM j JOIN k USING (user_id)) SELECT count(DISTINCT user_id) FILTER (test) AS test_consultations, count(*) FILTER (NOT test AND role = 'errored') AS train_pairs, CAST(0 AS BIGINT) AS leaked FROM p""")
+@query(f"""{N}, k AS (SELECT DISTINCT user_id, md5('split' || user_id) < '4' AS test FROM j), p AS (SELECT j.*, k.test FROM j JOIN k USING (user_id)) SELECT count(DISTINCT user_id) FILTER (test) AS test_consultations, count(*) FILTER (role = 'errored' AND (NOT test OR event_id % 97 = 0)) AS train_pairs, count(DISTINCT user_id) FILTER (test AND role = 'errored' AND event_id % 97 = 0) AS leaked FROM p""")
 def split_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training pairs are those whose consultation is in no test pair; consultations on both sides are counted (0)."""
+    """Training pairs are those whose consultation is in no test pair, and some that break the rule; consultations on both sides are counted."""
     j = now(spark, sf_dir)
     test = j.where(sampling.stable(F.col("user_id"), "split") < "4").select("user_id").distinct()
-    train = j.where("role = 'errored'").join(test, "user_id", "left_anti")
+    errored = j.where("role = 'errored'")
+    train = errored.join(test, "user_id", "left_anti").unionByName(errored.where("event_id % 97 = 0").join(test, "user_id", "left_semi"))
     sides = test.withColumn("s", F.lit(1)).unionByName(train.select("user_id").distinct().withColumn("s", F.lit(2))).groupBy("user_id").agg(F.bit_or("s").alias("s"))
-    counts = sides.agg(F.count_if(F.col("s") == 1).alias("test_consultations"), F.count_if(F.col("s") == 3).alias("leaked")).withColumn("_k", F.lit(1))
+    counts = sides.agg(F.count_if(F.col("s").isin(1, 3)).alias("test_consultations"), F.count_if(F.col("s") == 3).alias("leaked")).withColumn("_k", F.lit(1))
     return train.agg(F.count(F.lit(1)).alias("train_pairs")).withColumn("_k", F.lit(1)).join(counts, "_k").drop("_k")
 
 
@@ -290,11 +291,11 @@ def distinct_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.agg(F.sum(F.coalesce("items", F.lit(0))).alias("items"), F.sum(F.coalesce("groups", F.lit(0))).alias("distinct_items"), F.count_if(F.col("items").isNull()).alias("unmerged_notes"))
 
 
-@query(f"""{N}, s AS (SELECT DISTINCT stratum, user_id FROM j), d AS (SELECT DISTINCT user_id FROM j WHERE replicate = 1 AND flagged), q AS (SELECT * FROM s ANTI JOIN d USING (user_id)) SELECT stratum, user_id, row_number() OVER (PARTITION BY stratum ORDER BY user_id) AS sequence, count(*) OVER (PARTITION BY stratum) AS queued FROM q""")
+@query(f"""{N}, s AS (SELECT DISTINCT stratum, user_id FROM j), d AS (SELECT DISTINCT user_id FROM j WHERE replicate = 1 AND flagged AND severity = 'critical' AND score <= 1), q AS (SELECT * FROM s ANTI JOIN d USING (user_id)) SELECT stratum, user_id, row_number() OVER (PARTITION BY stratum ORDER BY user_id) AS sequence, count(*) OVER (PARTITION BY stratum) AS queued FROM q""")
 def capture_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources not yet captured, with their place in the queue."""
     j = now(spark, sf_dir)
-    q = records.outstanding(j.select("stratum", "user_id").distinct(), j.where("replicate = 1 and flagged"), ["user_id"])
+    q = records.outstanding(j.select("stratum", "user_id").distinct(), j.where("replicate = 1 and flagged and severity = 'critical' and score <= 1"), ["user_id"])
     w = Window.partitionBy("stratum")
     return q.select("stratum", "user_id", F.row_number().over(w.orderBy("user_id")).cast("long").alias("sequence"), F.count(F.lit(1)).over(w).alias("queued"))
 

@@ -142,11 +142,11 @@ def cohort_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.select("doc_id", F.lit("labelled").alias("cohort")).unionByName(rest.withColumn("cohort", F.lit("unlabelled")))
 
 
-@query("""SELECT (SELECT count(*) FROM (SELECT c_custkey FROM customer INTERSECT SELECT o_custkey FROM orders)) AS both_sides, (SELECT count(*) FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders)) AS only_customers, (SELECT count(*) FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer)) AS only_orders""")
+@query("""SELECT (SELECT count(*) FROM (SELECT c_custkey FROM customer WHERE c_acctbal > 0 INTERSECT SELECT o_custkey FROM orders WHERE o_totalprice > 300000)) AS both_sides, (SELECT count(*) FROM (SELECT c_custkey FROM customer WHERE c_acctbal > 0 EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000)) AS only_customers, (SELECT count(*) FROM (SELECT o_custkey FROM orders WHERE o_totalprice > 300000 EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal > 0)) AS only_orders""")
 def set_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys in both sets and in either alone, from one pass over each."""
-    a = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.lit(1).alias("s"))
-    b = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.lit(2).alias("s"))
+    """Customers in credit and customers with a large order: in both sets and in either alone, from one pass over each."""
+    a = read(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k"), F.lit(1).alias("s"))
+    b = read(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("k"), F.lit(2).alias("s"))
     sides = a.unionByName(b).groupBy("k").agg(F.bit_or("s").alias("s"))
     return sides.agg(*(F.count_if(F.col("s") == v).alias(n) for v, n in ((3, "both_sides"), (1, "only_customers"), (2, "only_orders"))))
 

@@ -117,14 +117,14 @@ def distinct_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").where("text is not null").groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
 
 
-@query(f"""WITH {TALK_SQL}, a AS (SELECT conv_id, unnest({WORDS.format(t="note")}) AS w FROM t WHERE note IS NOT NULL), b AS (SELECT conv_id, unnest({WORDS.format(t="transcript")}) AS w FROM t WHERE note IS NOT NULL),
+@query(f"""WITH {TALK_SQL}, a AS (SELECT conv_id, unnest({WORDS.format(t="note")}) AS w FROM t WHERE note IS NOT NULL), b AS (SELECT conv_id, unnest({WORDS.format(t="left(transcript, length(transcript) // 2)")}) AS w FROM t WHERE note IS NOT NULL),
 x AS (SELECT conv_id, w, count(*) AS n FROM a GROUP BY ALL), y AS (SELECT conv_id, w, count(*) AS m FROM b GROUP BY ALL)
 SELECT conv_id, CAST(sum(n) AS BIGINT) AS words, CAST(sum(greatest(0, n - coalesce(m, 0))) AS BIGINT) AS new_words FROM x LEFT JOIN y USING (conv_id, w) GROUP BY conv_id""")
 def new_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Multiset difference: words of the note beyond those of its transcript."""
+    """Multiset difference: words of the note beyond those of the first half of its transcript."""
     t = talks(spark, sf_dir).where("note is not null")
     x = t.select("conv_id", F.explode(text.words(F.col("note"))).alias("w")).groupBy("conv_id", "w").agg(F.count(F.lit(1)).alias("n"))
-    y = t.select("conv_id", F.explode(text.words(F.col("transcript"))).alias("w")).groupBy("conv_id", "w").agg(F.count(F.lit(1)).alias("m"))
+    y = t.select("conv_id", F.explode(text.words(F.substr("transcript", F.lit(1), F.floor(F.length("transcript") / 2).cast("int")))).alias("w")).groupBy("conv_id", "w").agg(F.count(F.lit(1)).alias("m"))
     return x.join(y, ["conv_id", "w"], "left").groupBy("conv_id").agg(F.sum("n").alias("words"), F.sum(F.greatest(F.lit(0), F.col("n") - F.coalesce("m", F.lit(0)))).alias("new_words"))
 
 
