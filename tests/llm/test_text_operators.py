@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from assaykit.llm import _forest, htmltext, langid, lmscore, nearcopies, simhash, toxicity
+from assaykit.llm._components import label_components
 
 SF, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
@@ -478,3 +479,32 @@ def test_pipeline_on_small_tables(spark, tmp_path):
     roots = brute_copies([t for _, t in before])
     assert sorted(r[0] for r in third.select("doc_id").collect()) == [d for i, (d, _) in enumerate(before) if roots[i] == i]
     assert sizes[2] == sizes[3] == third.count()
+
+
+def test_pipeline_with_clashing_columns_and_no_rows(spark):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(30)
+    clash = docs.withColumns({"lang_found": F.lit(1), "LANG_SCORE": F.lit(2), "toxic_score": F.lit(3), "_label": F.lit(4), "_text": F.lit(5)})
+    for _, stage in p.STAGES[:3]:
+        out = stage(spark, clash, SF)
+        assert out.columns == clash.columns and 0 < out.count() <= 30
+        assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+@pytest.mark.parametrize("size, links", [(1, 0), (200, 140), (40, None)])
+def test_components_of_links(spark, size, links):
+    rnd = random.Random(3)
+    edges = [(i, i + 1) for i in range(size - 1)] if links is None else [(rnd.randrange(size), rnd.randrange(size)) for _ in range(links)]
+    at = list(range(size))
+
+    def root(i):
+        while at[i] != i:
+            i = at[i]
+        return i
+
+    for e in edges:
+        a, b = sorted(map(root, e))
+        at[b] = a
+    got = {r["node"]: r["label"] for r in label_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {x: root(x) for e in edges for x in e if e[0] != e[1]}
