@@ -7,6 +7,8 @@ again after a failure writes the same version again from the same predecessor.
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,10 +42,10 @@ def running_total(stream: DataFrame, key: str, amount: str) -> DataFrame:
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that the session names for checkpoints; the temporary folder only where it names none."""
+    """A new folder below the one that the session names for checkpoints; a temporary one only where a local session names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        import tempfile
-
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="assaykit-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
