@@ -17,7 +17,7 @@ BLOCK = 2048
 HOT_KEYS = 100_000
 #: Rows that a task compares between two hand-overs.
 HELD = 200_000
-#: (columns, positions, positions) -> whether the rows at both positions link.
+#: (columns from node on, positions, positions) -> whether the rows at both positions link.
 Near = Callable[[list[np.ndarray], np.ndarray, np.ndarray], np.ndarray]
 
 
@@ -37,8 +37,9 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         label = new
 
 
-def links_of_sorted(group: np.ndarray, node: np.ndarray, columns: list[np.ndarray], near: Near) -> tuple[np.ndarray, np.ndarray]:
+def links_of_sorted(group: np.ndarray, columns: list[np.ndarray], near: Near) -> tuple[np.ndarray, np.ndarray]:
     """Links (node, smallest of its component) among rows with equal groups, which are neighbours; no link twice."""
+    node = columns[0]
     starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     sizes = np.diff(np.append(starts, len(group)))
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -75,7 +76,7 @@ def links_of_sorted(group: np.ndarray, node: np.ndarray, columns: list[np.ndarra
 def forest_links(keyed: DataFrame, near: Near) -> DataFrame:
     """(u, v): links whose components are those of all pairs of rows that share a key and are ``near``.
 
-    keyed: (key long, node long, further numbers, which ``near`` gets as arrays). Keys with more than ``BLOCK`` rows are cut
+    keyed: (key long, node long, further numbers); ``near`` gets all but the key as arrays. Keys with more than ``BLOCK`` rows are cut
     into blocks, and each pair of blocks is compared by itself, so that no task holds an unbounded group.
     """
     names = keyed.columns
@@ -99,7 +100,7 @@ def forest_links(keyed: DataFrame, near: Near) -> DataFrame:
             if stop < len(group):  # the last group may go on in the next batch
                 held.append([c[stop:] for c in columns])
             if stop:
-                u, v = links_of_sorted(group[:stop], columns[1][:stop], [c[:stop] for c in columns[2:-1]], near)
+                u, v = links_of_sorted(group[:stop], [c[:stop] for c in columns[1:-1]], near)
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
         for b in batches:

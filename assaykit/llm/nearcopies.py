@@ -279,7 +279,7 @@ def near_copy_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, key
     docs = keep(described(df, words, key, text))
     first = [F.first(c).alias(c) for c in ("n", *(f"s{i}" for i in range(SKETCH)), "codes")]
     nodes = keep(docs.groupBy("node").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "th")).alias("doc"), *first))
-    clusters = label_components(forest_links(keyed(nodes), lambda columns, i, j: may_link(columns, i, j, similarity)))
+    clusters = label_components(forest_links(keyed(nodes), lambda columns, i, j: may_link(columns[1:], i, j, similarity)))
     sets = keep(sets_of(clusters.withColumnRenamed("label", "cluster"), nodes, df, words, key, text).dropDuplicates(["node"]))
     rows = dealt_in_parts(sets.withColumn("label", F.col("node")))
     labels = keep(relabelled(rows, keep(linked(rows, similarity))).select("node", "cluster", "label", "parts"))

@@ -139,7 +139,7 @@ def links(distinct: DataFrame, bits: int = 4) -> DataFrame:
         return np.bitwise_count(fps[i] ^ fps[j]) <= bits
 
     keyed = distinct.select("fp").mapInArrow(to_keys, "key long, node long")
-    return forest_links(keyed.withColumn("fp", F.col("node")), near)
+    return forest_links(keyed, near)
 
 
 def near_duplicate_groups(df: DataFrame, bits: int = 4, words: int = 4, key: str = "doc_id", text: str = "text", hashed: bool = False) -> DataFrame:
