@@ -14,8 +14,12 @@ BAD = "_corrupt_record"
 
 def json_documents(spark: SparkSession, path: str, item: T.StructType, wrappers: tuple[str, ...] = ("pairs", "items")) -> DataFrame:
     """Items of JSON files that are an array of items, an object with such an array under one of ``wrappers``, or one item."""
+    return documents_in(spark.read.text(path, wholetext=True), item, wrappers)
+
+
+def documents_in(raw: DataFrame, item: T.StructType, wrappers: tuple[str, ...] = ("pairs", "items")) -> DataFrame:
+    """The same for JSON documents in a column ``value``, such as one document a line."""
     many = T.ArrayType(item)
-    raw = spark.read.text(path, wholetext=True)
     tries = [F.from_json(F.when(F.col("value").rlike(r"^\s*\["), F.col("value")), many)]
     tries += [F.from_json(F.get_json_object("value", f"$.{w}"), many) for w in wrappers]
     single = F.from_json("value", item)
@@ -42,8 +46,13 @@ def csv_release(spark: SparkSession, path: str, schema: T.StructType, pattern: s
 def named_texts(spark: SparkSession, path: str) -> DataFrame:
     """(source, id, text) of files ``<source>__<id>.txt``; names with a third part are variants and left out."""
     files = spark.read.text(path, wholetext=True).select("value", F.regexp_replace(F.element_at(F.split("_metadata.file_path", "/"), -1), r"\.txt$", "").alias("_n"))
-    parts = F.split(F.url_decode("_n"), "__")
-    return files.where(F.size(parts) == 2).select(parts[0].alias("source"), parts[1].alias("id"), F.col("value").alias("text"))
+    return named(files.withColumn("_n", F.url_decode("_n")), "_n", "value")
+
+
+def named(df: DataFrame, name: str, text: str) -> DataFrame:
+    """(source, id, text) of rows named ``<source>__<id>``; names with more or fewer parts are left out."""
+    parts = F.split(name, "__")
+    return df.where(F.size(parts) == 2).select(parts[0].alias("source"), parts[1].alias("id"), F.col(text).alias("text"))
 
 
 def report_rows(spark: SparkSession, path: str, pattern: str = r"(?m)^\|\s*([^|\n]+?)\s*\|\s*([^|\n]+?)\s*\|") -> DataFrame:

@@ -7,8 +7,8 @@ from math import comb
 import pytest
 from pyspark.sql import functions as F
 
-from assaykit.functions import stats, text
-from assaykit.operators import aggregate, bootstrap, metrics, notes, provenance, records, sampling
+from assaykit.functions import replies, stats, text
+from assaykit.operators import aggregate, bootstrap, decisions, metrics, notes, provenance, records, sampling
 from assaykit.operators.numbering import numbered
 
 
@@ -274,3 +274,46 @@ def test_allocation(spark):
     df = spark.createDataFrame(rows, "a string, b string, i int, m int")
     got = sorted((r["b"], r["i"], r["by"]) for r in notes.allocate(df, "a", "b", "i", "m", {("r", "c"): 2, ("r", "d"): 2}).collect())
     assert got == [("c", 0, "matched"), ("c", 2, "matched"), ("d", 6, "matched"), ("d", 7, "relaxed")]
+
+
+def test_lists_in_replies(spark):
+    sheet = 'x {"facts": [{"id": "F1", "fact": " a "}, "plain", {"id": "f1", "fact": "b", "evidence": "e"}, {"fact": ""}, {"fact": "c"}, 7]} y'
+    rows = spark.createDataFrame([(sheet,), ("none",), ('{"facts": []}',), ('{"facts": "no list"}',), (None,)], "r string").select(replies.facts(F.col("r")).alias("f")).collect()
+    assert [tuple(f) for f in rows[0]["f"]][:4] == [("f1", "a", ""), ("f2", "plain", ""), ("f1_3", "b", "e"), ("f4", "c", "")]
+    assert [r["f"] for r in rows[1:]] == [None] * 4
+    wanted = F.array(*map(F.lit, ("a", "B", "c")))
+    audit = '{"facts": [{"id": "A", "fact": "x", "severity": "Critical"}, {"id": "a", "fact": "y"}, {"id": "b", "fact": "z", "severity": "huge"}, {"id": "q", "fact": "z"}], "dropped": [{"id": "C"}, {"id": "zz"}]}'
+    r = one(spark, {"r": audit}, k=replies.audited(F.col("r"), wanted), d=replies.dropped(F.col("r"), wanted))
+    assert [tuple(k) for k in r["k"]] == [("a", "x", "critical", False), ("b", "z", "supporting", True)] and r["d"] == ["c"]
+    claims = spark.createDataFrame([('{"verdicts": {"A": {"found": "yes", "quote": "q q"}, "b": "absent", "c": "huh", "z": "full"}}',), ('{"a": "partial"}',), ('{"z": "full"}',)], "r string")
+    got = [r["c"] and [tuple(c) for c in r["c"]] for r in claims.select(replies.refuted(F.col("r"), wanted).alias("c")).collect()]
+    assert got == [[("a", "full", "q q"), ("b", "no", "")], [("a", "partial", "")], None]
+
+
+def test_diff_runs(spark):
+    got = one(spark, {"d": "@@ one\n-a\n-\n+c\n@@ two\n+d\n-- e"}, r=replies.hunk_runs(F.col("d")))["r"]
+    assert [(x["sign"], x["lines"]) for x in got] == [("-", ["a", ""]), ("+", ["c"]), ("+", ["d"]), ("-", ["- e"])]
+    for bad in ("-a\n\n+b", "plain"):
+        with pytest.raises(Exception, match="a diff line without"):
+            one(spark, {"d": bad}, r=replies.hunk_runs(F.col("d")))
+
+
+def test_decided_notes(spark):
+    facts = spark.createDataFrame([(n, f, w) for n in "abc" for f, w in ((1, 3.0), (2, 1.0))], "note string, fact int, weight double")
+    checked = spark.createDataFrame([("a", 1, "absent"), ("a", 2, "full"), ("b", 1, "partial"), ("c", 1, "absent"), ("c", 2, "absent")], "note string, fact int, verdict string")
+    retried = spark.createDataFrame([("a", 1, "full"), ("c", 2, "full")], "note string, fact int, verdict string")
+    claims = spark.createDataFrame([("a", 1, "full", "The  whole quote"), ("c", 1, "partial", "never said so"), ("c", 2, "full", "short"), ("b", 1, "full", "The whole quote")], "note string, fact int, found string, quote string")
+    texts = spark.createDataFrame([(n, "... the whole\nquote, short") for n in "abc"], "note string, text string")
+    got = {r["note"]: r for r in decisions.decide(facts, checked, retried, claims, texts, {"full": 1.0, "partial": 0.5, "absent": 0.0}).collect()}
+    assert (got["a"]["aggregate"], got["a"]["flips"], got["a"]["unproved"], got["a"]["retried"]) == (1.0, 1, 0, False)
+    assert (got["b"]["aggregate"], got["b"]["n_open"], got["b"]["flips"], got["b"]["retried"]) == (None, 1, None, True)
+    assert (got["c"]["aggregate"], got["c"]["absent"], got["c"]["flips"], got["c"]["unproved"]) == (0.0, 2, 0, 2)
+
+
+def test_sweeps_must_be_reviewed(spark):
+    df = spark.createDataFrame([(1, "she and she"), (2, "nobody"), (3, "she"), (4, None)], "id int, text string")
+    hits = decisions.reviewed_hits(df, "id", "text", r"\bshe\b", df.where("id = 1"))
+    assert sorted(map(tuple, hits.collect())) == [(1, 2, True), (3, 1, False)]
+    with pytest.raises(ValueError, match="3"):
+        decisions.must_be_reviewed(hits, "id")
+    assert decisions.must_be_reviewed(hits.where("id = 1"), "id").count() == 1
