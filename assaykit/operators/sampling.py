@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaykit.operators.numbering import hex_cut, ranked
+
 
 def stable(key: Column, salt: str = "") -> Column:
     """An order that looks random and that every engine gets alike."""
@@ -29,23 +31,22 @@ def apportion(strata: DataFrame, stratum: str, size: str, total: int, ties: str
     return q.select(stratum, size, (F.col("_seats") + extra).cast("long").alias("seats"))
 
 
-def terciles(df: DataFrame, order: list[str], groups: list[str] | None = None, parts: int = 3) -> DataFrame:
-    """Part floor(i * parts / n) + 1 by rank, which deals remainders otherwise than ntile."""
-    g = groups or []
-    i = F.row_number().over(Window.partitionBy(*g).orderBy(*order)) - 1
-    n = F.count(F.lit(1)).over(Window.partitionBy(*g))
-    return df.withColumn("part", (F.floor(i * parts / n) + 1).cast("long"))
+def terciles(df: DataFrame, order: list[Column], groups: list[str], cut: Column, parts: int = 3) -> DataFrame:
+    """Part floor(i * parts / n) + 1 by rank, which deals remainders otherwise than ntile; ``cut`` as for ranks."""
+    r = ranked(df, groups, order, cut, "_rank", "_rows")
+    return r.withColumn("part", (F.floor((F.col("_rank") - 1) * parts / F.col("_rows")) + 1).cast("long")).drop("_rank", "_rows")
 
 
 def fractional_order(df: DataFrame, stratum: str, key: str) -> DataFrame:
-    """(i + 1/2) / n within each stratum: any prefix of this order is nearly proportional."""
-    w = Window.partitionBy(stratum)
-    return df.withColumn("place", (F.row_number().over(w.orderBy(key)) - 0.5) / F.count(F.lit(1)).over(w))
+    """(i + 1/2) / n within each stratum, by a numeric key: any prefix of this order is nearly proportional."""
+    r = ranked(df, [stratum], [F.col(key)], F.col(key), "_rank", "_rows")
+    return r.withColumn("place", (F.col("_rank") - 0.5) / F.col("_rows")).drop("_rank", "_rows")
 
 
-def in_turn(df: DataFrame, stratum: str, order: list[Column]) -> DataFrame:
-    """Turn of each row within its stratum; sorted by turn and stratum this is a round robin."""
-    return df.withColumn("turn", F.row_number().over(Window.partitionBy(stratum).orderBy(*order)))
+def in_turn(df: DataFrame, stratum: str, key: str, salt: str) -> DataFrame:
+    """Turn of each row within its stratum by stable order of the key; sorted by turn and stratum this is a round robin."""
+    digest = stable(F.col(key), salt)
+    return ranked(df, [stratum], [digest, F.col(key)], hex_cut(digest), "turn")
 
 
 def first_n(df: DataFrame, stratum: list[str], n: int, order: list[Column]) -> DataFrame:

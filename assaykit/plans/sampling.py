@@ -37,7 +37,8 @@ def apportionment_reverse_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH l AS (SELECT doc_id, lang, length(text) AS n, row_number() OVER (PARTITION BY lang ORDER BY length(text), doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS m FROM documents) SELECT doc_id, lang, CAST(floor(i * 3 / m) + 1 AS BIGINT) AS part FROM l""")
 def rank_terciles(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").select("doc_id", "lang", F.length("text").alias("_n"))
-    return sampling.terciles(d, ["_n", "doc_id"], ["lang"]).drop("_n")
+    squeezed = F.col("doc_id") / (1 + F.abs("doc_id")) / 2  # rises with doc_id and stays below the next length
+    return sampling.terciles(d, [F.col("_n"), F.col("doc_id")], ["lang"], F.col("_n") + squeezed).drop("_n")
 
 
 @query("SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 0.5)::DOUBLE / count(*) OVER (PARTITION BY source) AS place FROM documents")
@@ -47,7 +48,7 @@ def stratified_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{N} SELECT event_id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY md5('turn' || event_id), event_id) AS turn FROM j")
 def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.in_turn(now(spark, sf_dir).select("event_id", "stratum"), "stratum", [sampling.stable(F.col("event_id"), "turn"), F.col("event_id")]).withColumn("turn", F.col("turn").cast("long"))
+    return sampling.in_turn(now(spark, sf_dir).select("event_id", "stratum"), "stratum", "event_id", "turn")
 
 
 @query(f"""{W}, k AS (SELECT DISTINCT stratum, user_id FROM raw), r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('split' || user_id), user_id) AS i, count(*) OVER (PARTITION BY stratum) AS n FROM k)
@@ -61,7 +62,7 @@ f AS (SELECT event_id, pair_type, quota, row_number() OVER (ORDER BY quota DESC,
 def quota_minibatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty errored notes: eight omissions and four of each other type, and what is left over from all others."""
     order = [sampling.stable(F.col("event_id"), "batch"), F.col("event_id")]
-    r = sampling.in_turn(now(spark, sf_dir).where("role = 'errored'"), "pair_type", order)
+    r = sampling.in_turn(now(spark, sf_dir).where("role = 'errored'"), "pair_type", "event_id", "batch")
     r = r.withColumn("quota", F.col("turn") <= F.when(F.col("pair_type") == "omit", 8).otherwise(4))
     return r.orderBy(F.desc("quota"), *order).limit(20).select("event_id", "pair_type", "quota")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assaykit.functions import replies, stats, text
 from assaykit.operators import aggregate, bootstrap, decisions, metrics, notes, provenance, records, sampling
-from assaykit.operators.numbering import numbered
+from assaykit.operators.numbering import numbered, ranked
 
 
 def one(spark, row, **columns):
@@ -175,6 +175,20 @@ def test_numbering(spark):
     assert numbered(df.limit(0), "k", "i").count() == 0
 
 
+def test_ranks_in_hot_groups(spark):
+    rnd = random.Random(6)
+    rows = [(rnd.choice(["a", "a", "a", "b", None]), rnd.choice([None, *range(40)]), i) for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, x int, i long")
+    want = {}
+    for g in ("a", "b", None):
+        of = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        want |= {r[2]: (n, len(of)) for n, r in enumerate(of, 1)}
+    for part in (5, 90, 10_000):
+        got = ranked(df, ["g"], [F.col("x"), F.col("i")], F.col("x"), "r", "n", part).collect()
+        assert {r["i"]: (r["r"], r["n"]) for r in got} == want and len(got) == 600
+    assert ranked(df.limit(0), ["g"], [F.col("x")], F.col("x"), "r").count() == 0
+
+
 def test_apportion(spark):
     rows = spark.createDataFrame([("a", 1), ("b", 50), ("c", 49)], "s string, n long")
     seats = {r["s"]: r["seats"] for r in sampling.apportion(rows, "s", "n", 10).collect()}
@@ -184,7 +198,7 @@ def test_apportion(spark):
     tie = spark.createDataFrame([("a", 5), ("b", 5)], "s string, n long")
     assert {r["s"]: r["seats"] for r in sampling.apportion(tie, "s", "n", 1).collect()} == {"a": 1, "b": 0}
     assert {r["s"]: r["seats"] for r in sampling.apportion(tie, "s", "n", 1, "desc").collect()} == {"a": 0, "b": 1}
-    parts = [r["part"] for r in sampling.terciles(spark.createDataFrame([(i,) for i in range(7)], "i int"), ["i"]).orderBy("i").collect()]
+    parts = [r["part"] for r in sampling.terciles(spark.createDataFrame([(i,) for i in range(7)], "i int"), [F.col("i")], [], F.col("i")).orderBy("i").collect()]
     assert parts == [i * 3 // 7 + 1 for i in range(7)]
 
 
