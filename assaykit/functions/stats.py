@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaykit.operators.numbering import ranked
+
 Z95 = 1.959963984540054
 
 
@@ -99,16 +101,15 @@ def average_rank(column: str, *groups: str) -> Column:
 
 
 def spearman(df: DataFrame, x: str, y: str, groups: list[str]) -> DataFrame:
-    ranked = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_x", average_rank(x, *groups)).withColumn("_y", average_rank(y, *groups))
-    return ranked.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.corr("_x", "_y").alias("rho"))
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_x", average_rank(x, *groups)).withColumn("_y", average_rank(y, *groups))
+    return both.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.corr("_x", "_y").alias("rho"))
 
 
 def ks_uniform(df: DataFrame, x: str, group: str) -> DataFrame:
     """Largest distance of the empirical distribution of x in [0, 1] from the uniform one."""
-    i = F.row_number().over(Window.partitionBy(group).orderBy(x))
-    n = F.count(F.lit(1)).over(Window.partitionBy(group))
-    gap = F.greatest(i / n - F.col(x), F.col(x) - (i - 1) / n)
-    return df.where(F.col(x).isNotNull()).withColumn("_gap", gap).groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.max("_gap").alias("d"))
+    r = ranked(df.where(F.col(x).isNotNull()).select(group, x), [group], [F.col(x)], F.col(x), "_i", "_n")
+    gap = F.greatest(F.col("_i") / F.col("_n") - F.col(x), F.col(x) - (F.col("_i") - 1) / F.col("_n"))
+    return r.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.max(gap).alias("d"))
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -7,6 +7,8 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaykit.streaming.latest import work_folder
+
 #: Rows that one task may number by itself.
 PART = 100_000
 
@@ -54,9 +56,14 @@ def ranked(df: DataFrame, groups: list[str], order: list[Column], cut: Column, r
 
     ``cut`` is a number that never falls along the order, nulls first, and that few rows share. Its quantiles cut every group, so that a
     task sorts about ``part`` rows even if one group holds most of the table; counts of the groups' parts give each part's first rank.
+    The rows with their parts are written once, to a folder below spark.checkpoint.dir.
     """
     x = df.withColumn("_cut", cut)
     x = x.withColumn("_part", _part(_cuts(x, F.col("_cut"), part), F.col("_cut"))).drop("_cut")
+    # a table, since a plan joined with counts of itself can let a filter on the part's expression lose its columns
+    folder = work_folder(df.sparkSession, "ranks")
+    x.write.parquet(folder)
+    x = df.sparkSession.read.schema(x.schema).parquet(folder)
     own = F.row_number().over(Window.partitionBy(*groups, "_part").orderBy(*order))
     every = Window.partitionBy(*groups)
     sizes = x.groupBy(*groups, "_part").agg(F.count(F.lit(1)).alias("_size"))

@@ -56,12 +56,11 @@ def first_n(df: DataFrame, stratum: list[str], n: int, order: list[Column]) -> D
 
 def split(df: DataFrame, stratum: str, key: str, share: float, salt: str = "split") -> DataFrame:
     """Distinct keys with ``valid``: about that share of each stratum by hash, at least one of three or more."""
-    keys = df.select(stratum, key).distinct()
-    w = Window.partitionBy(stratum)
-    n = F.count(F.lit(1)).over(w)
-    want = F.floor(n * share + 0.5)
-    want = F.when(n >= 3, F.greatest(F.lit(1), want)).otherwise(want)
-    return keys.withColumn("valid", F.row_number().over(w.orderBy(stable(F.col(key), salt), key)) <= want)
+    digest = stable(F.col(key), salt)
+    r = ranked(df.select(stratum, key).distinct(), [stratum], [digest, F.col(key)], hex_cut(digest), "_rank", "_rows")
+    want = F.floor(F.col("_rows") * share + 0.5)
+    want = F.when(F.col("_rows") >= 3, F.greatest(F.lit(1), want)).otherwise(want)
+    return r.withColumn("valid", F.col("_rank") <= want).drop("_rank", "_rows")
 
 
 def covered(df: DataFrame, cluster: str, vendor: str, vendors: int) -> DataFrame:
