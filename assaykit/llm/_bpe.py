@@ -1,5 +1,8 @@
 """Byte-pair encoding in batched numpy rounds.
 
+Classes of characters are asked of the tokenizers library, and texts with characters that are not in Unicode 3.2 are composed
+and lower-cased by it, so that ids equal the library's for every code point on every executor.
+
 Texts are cut into pre-tokens on one flat array of code points. Equal pre-tokens are found by a 64-bit rolling hash and
 encoded once. All symbols of the pre-tokens to encode lie in one flat array: a round finds every word's lowest-rank pair
 (ranks come from a binary search over the sorted pair keys), merges it wherever it occurs in that word, and looks up only
@@ -15,6 +18,7 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from assaykit.llm._text import code_points
 
@@ -29,18 +33,43 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 POWER, INVERSE = 0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)
 
 
+#: Planes of Unicode that hold characters; the others are unassigned or private.
+PLANES = (0, 1, 2, 3, 14)
+
+
+def matching(pattern: str) -> np.ndarray:
+    """Which code points the tokenizers library counts in a class of its regular expressions, whatever Unicode this Python knows."""
+    split, out = pre_tokenizers.Split(Regex(f"{pattern}+"), "removed"), np.zeros(0x110000, bool)
+    for plane in PLANES:
+        points = np.arange(plane << 16, (plane + 1) << 16)
+        points = points[(points < 0xD800) | (points > 0xDFFF)]
+        inside = np.ones(len(points), bool)
+        for _, (a, z) in split.pre_tokenize_str("".join(map(chr, points.tolist()))):
+            inside[a:z] = False
+        out[points[inside]] = True
+    return out
+
+
 @lru_cache(maxsize=1)
 def kinds() -> np.ndarray:
     """LETTER, NUMBER, OTHER or SPACE of each code point."""
     out = np.full(0x110000, OTHER, np.uint8)
-    for k in range(0, 0x110000, 1 << 16):
-        names = np.array([unicodedata.category(chr(i))[0] for i in range(k, k + (1 << 16))])
-        out[k : k + (1 << 16)][names == "L"] = LETTER
-        out[k : k + (1 << 16)][names == "N"] = NUMBER
+    out[matching(r"\p{L}")] = LETTER
+    out[matching(r"\p{N}")] = NUMBER
     out[WHITE_SPACE] = SPACE
     return out
 
 
+@lru_cache(maxsize=1)
+def recent() -> np.ndarray:
+    """Code points assigned after Unicode 3.2: of these, this Python and the library may know different ones."""
+    out = np.zeros(0x110000, bool)
+    for plane in PLANES:
+        for i in range(plane << 16, (plane + 1) << 16):
+            out[i] = unicodedata.ucd_3_2_0.category(chr(i)) == "Cn"
+    return out
+
+
 @lru_cache(maxsize=2)
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64; n is a power of two."""
@@ -82,6 +111,7 @@ class Vocabulary:
         keys = left * self.size + right
         self.order = np.argsort(keys, kind="stable").astype(np.int32)
         self.keys = keys[self.order]
+        self.library = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -145,6 +175,8 @@ class Vocabulary:
         if not self.words:
             return text
         if not text.isascii():
+            if recent()[code_points([text])[0]].any():
+                return self.library.normalize_str(text)
             text = unicodedata.normalize("NFC", text)
             if "Σ" in text:  # str.lower() looks at what surrounds a capital sigma
                 return "σ".join(x.lower() for x in text.split("Σ"))
@@ -188,10 +220,13 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class Encoder:
-    """Encodes batches of texts, each distinct pre-token once; keeps about ``limit`` of them between batches."""
+    """Encodes batches of texts, each distinct pre-token once; keeps about ``limit`` of them between batches.
+
+    Without ``specials`` the strings of special tokens are text like any other.
+    """
 
-    def __init__(self, vocab: Vocabulary, limit: int = 200_000):
-        self.vocab, self.limit = vocab, limit
+    def __init__(self, vocab: Vocabulary, limit: int = 200_000, specials: bool = True):
+        self.vocab, self.limit, self.specials = vocab, limit, specials
         self.clear()
 
     def clear(self) -> None:
@@ -217,7 +252,7 @@ class Encoder:
         for n, t in enumerate(texts):
             if not t:
                 continue
-            if "<|" in t and v.special:
+            if self.specials and "<|" in t and v.special:
                 for k, p in enumerate(v.specials.split(t)):
                     if p:
                         if k % 2:

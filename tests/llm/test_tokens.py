@@ -37,6 +37,26 @@ def test_encoding_equals_the_library(path):
     assert again.tolist() == ids.tolist()
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_every_code_point_encodes_as_in_the_library(path):
+    lib, enc = Tokenizer.from_file(path), Encoder(vocabulary(path))
+    points = [i for i in range(0x110000) if not 0xD800 <= i < 0xE000 and (i < 0x40000 or i >= 0xE0000 or i % 97 == 0)]
+    forms = ("{0}", "a{0}b 1{0}2", "{0}'t {0}\u0301", "\u8f3c{0}{0} {0}", "E\u0323{0}\u0307")
+    for form in forms:
+        for k in range(0, len(points), 65_536):
+            texts = ["|".join(form.format(chr(i)) for i in points[k : k + 65_536][n : n + 64]) for n in range(0, 65_536, 64)]
+            ids, counts = enc.texts(texts)
+            for t, e, own in zip(texts, lib.encode_batch(texts, add_special_tokens=False), np.split(ids, np.cumsum(counts)[:-1])):
+                assert own.tolist() == e.ids, ascii(t)
+
+
+def test_special_strings_as_text():
+    lib = Tokenizer.from_file(BYTE)
+    lib.encode_special_tokens = True
+    text = "a<|endoftext|> b"
+    assert Encoder(vocabulary(BYTE), specials=False).texts([text])[0].tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("path", [WORD, BYTE])
 def test_codec_rows(spark, path):
     lib = Tokenizer.from_file(path)
