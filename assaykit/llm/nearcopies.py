@@ -26,7 +26,7 @@ empty set and are copies of each other; A-Z count as a-z; repeated rows are copi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -51,6 +51,8 @@ WORDS, SKETCH = -(-SEGMENTS * 23 // 64), 3
 FAR, SMALL, MORE = 62, 16, 12
 #: Documents, and hashes of documents, that a task goes through at once.
 BLOCK, HASHES = 2048, 2_000_000
+#: Texts -> the sorted distinct hashes of each.
+Sets = Callable[[list[str | None]], list[np.ndarray]]
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -228,7 +230,7 @@ def relabelled(rows: DataFrame, to: DataFrame) -> DataFrame:
     return rows.join(to, rows["label"] == to["_at"], "left").withColumn("label", F.coalesce("_to", "label")).drop("_at", "_to")
 
 
-def sets_of(clusters: DataFrame, nodes: DataFrame, df: DataFrame, words: int, key: str, text: str) -> DataFrame:
+def sets_of(clusters: DataFrame, nodes: DataFrame, df: DataFrame, sets: Sets, key: str, text: str) -> DataFrame:
     """(node, cluster, hashes) of the nodes in ``clusters``, from one of each node's texts."""
     wanted = keep(clusters.join(nodes, "node").select("node", "cluster", F.col("doc.key").alias("_key"), F.col("doc.th").alias("_th")))
     few = F.broadcast(wanted) if wanted.count() <= simhash.FEW else wanted
@@ -237,7 +239,7 @@ def sets_of(clusters: DataFrame, nodes: DataFrame, df: DataFrame, words: int, ke
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches, "_text"):
-            blobs = [shingle_set(t, words).tobytes() for t in b.column(2).to_pylist()]
+            blobs = [x.tobytes() for x in sets(b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(blobs, pa.binary())], names=["node", "cluster", "hashes"])
 
     return rows.mapInArrow(run, "node long, cluster long, hashes binary")
@@ -271,28 +273,37 @@ def across(rows: DataFrame) -> DataFrame:
     return met.withColumn("block", F.explode(F.when(large, with_rest).otherwise(F.concat(with_main, each_other))))
 
 
-def near_copy_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, node, th, component_id) of every row, th being a hash of its text: documents reachable over links of that similarity share a component, named by
-    its smallest key. ``similarity`` of 0.8 or more: the keys are made for that."""
-    if not 0.8 <= similarity <= 1:
-        raise ValueError("the keys find links of a similarity from 0.8 to 1")
-    docs = keep(described(df, words, key, text))
-    first = [F.first(c).alias(c) for c in ("n", *(f"s{i}" for i in range(SKETCH)), "codes")]
-    nodes = keep(docs.groupBy("node").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "th")).alias("doc"), *first))
-    clusters = label_components(forest_links(keyed(nodes), lambda columns, i, j: may_link(columns[1:], i, j, similarity)))
-    sets = keep(sets_of(clusters.withColumnRenamed("label", "cluster"), nodes, df, words, key, text).dropDuplicates(["node"]))
-    rows = dealt_in_parts(sets.withColumn("label", F.col("node")))
+def within_clusters(clusters: DataFrame, nodes: DataFrame, df: DataFrame, sets: Sets, similarity: float, key: str, text: str) -> DataFrame:
+    """(node, label) of the nodes in ``clusters`` (node, cluster): those that links of that similarity join share a label.
+
+    nodes: (node, doc: the key and the hash of one of its texts in df). ``sets`` gives the hashes of texts.
+    """
+    rows_of = keep(sets_of(clusters, nodes, df, sets, key, text).dropDuplicates(["node"]))
+    rows = dealt_in_parts(rows_of.withColumn("label", F.col("node")))
     labels = keep(relabelled(rows, keep(linked(rows, similarity))).select("node", "cluster", "label", "parts"))
     large = labels.where("parts > 1")
     parts, before = large.agg(F.max("parts")).first()[0], None
     if parts:
-        hot = keep(large.select("node", "label").join(sets, "node"))
+        hot = keep(large.select("node", "label").join(rows_of, "node"))
         while parts > 1 and (before is None or parts <= before / 2):
             ones = keep(dealt_in_parts(hot.where(F.col("node") == F.col("label"))))
             hot = keep(relabelled(hot, keep(linked(ones, similarity))))
             before, parts = parts, ones.agg(F.max("parts")).first()[0]
         hot = relabelled(hot, label_components(linked(across(hot), similarity)))
         labels = keep(labels.where("parts = 1").select("node", "label").unionByName(hot.select("node", "label")))
+    return labels
+
+
+def near_copy_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, node, th, component_id) of every row, th being a hash of its text: documents reachable over links of that similarity share a component, named by
+    its smallest key. ``similarity`` of 0.8 or more: the keys are made for that."""
+    if not 0.8 <= similarity <= 1:
+        raise ValueError("the keys find links of a similarity from 0.8 to 1")
+    docs = keep(described(df, words, key, text))
+    first = [F.first(c).alias(c) for c in ("n", *(f"s{i}" for i in range(SKETCH)), "codes")]
+    nodes = keep(docs.groupBy("node").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "th")).alias("doc"), *first))
+    clusters = label_components(forest_links(keyed(nodes), lambda columns, i, j: may_link(columns[1:], i, j, similarity)))
+    labels = within_clusters(clusters.withColumnRenamed("label", "cluster"), nodes, df, lambda texts: [shingle_set(t, words) for t in texts], similarity, key, text)
     of_sets = labels.select("node", F.col("label").alias("_label"))
     final = keep(nodes.select("node", "doc").join(of_sets, "node", "left").select("node", F.coalesce("_label", "node").alias("_label"), F.col("doc.key").alias("_least")))
     least = keep(final.groupBy("_label").agg(F.min("_least").alias("component_id")))  # kept: the join then stands on exchanges

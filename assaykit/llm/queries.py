@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assaykit.llm import alignment, ann, audit, bpe, htmltext, langid, lmscore, maxscore, packing, records, simhash, toxicity
+from assaykit.llm import alignment, ann, audit, bpe, htmltext, jaccardjoin, langid, lmscore, maxscore, packing, records, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,6 +100,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), labels, good_lost=F.col("quality") == 1, toxic_lost=F.col("toxic") == 1)
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share 85 in 100 of their four-word shingles."""
+    return jaccardjoin.jaccard_groups(table(spark, sf_dir, "documents"), words=4, share=85)
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens, groups and links of a byte-level and a sentencepiece vocabulary in every text."""
     return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -121,6 +126,27 @@ SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 10
 """
 
 
+OP12 = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))) END AS s FROM words
+), nodes AS (
+  SELECT min(doc_id) AS node, s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s
+), shingles AS (
+  SELECT node, n, unnest(s) AS g FROM nodes
+), common AS (
+  SELECT a.node AS u, b.node AS v, count(*) AS c, any_value(a.n) AS m, any_value(b.n) AS n FROM shingles a JOIN shingles b ON a.g = b.g AND a.node < b.node GROUP BY a.node, b.node
+), links AS (
+  SELECT u, v FROM common WHERE 100 * c >= 85 * (m + n - c) UNION ALL SELECT v, u FROM common WHERE 100 * c >= 85 * (m + n - c)
+), reach AS (
+  WITH RECURSIVE r(node, label) AS (SELECT node, node FROM nodes UNION SELECT links.v, r.label FROM r JOIN links ON links.u = r.node) SELECT node, min(label) AS label FROM r GROUP BY node
+)
+SELECT sets.doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(reach.label, sets.doc_id) AS component_id
+FROM sets LEFT JOIN nodes ON sets.s = nodes.s LEFT JOIN reach ON reach.node = nodes.node
+"""
+
 OP11 = r"""
 WITH words AS (
   SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -152,8 +178,8 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redunda
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_ann_search, op3_lm_score, op4_simhash_groups, op5_html_extract, op6_maxscore_topk, op7_toxicity, op8_pack_sequences, op9_token_records, op10_bpe_codec, op11_filter_audit, op13_token_alignment)}
+    return {f.__name__: f for f in (op1_language_id, op2_ann_search, op3_lm_score, op4_simhash_groups, op5_html_extract, op6_maxscore_topk, op7_toxicity, op8_pack_sequences, op9_token_records, op10_bpe_codec, op11_filter_audit, op12_jaccard_join, op13_token_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_maxscore_topk": OP6, "op11_filter_audit": OP11}
+    return {"op6_maxscore_topk": OP6, "op11_filter_audit": OP11, "op12_jaccard_join": OP12}
