@@ -322,19 +322,6 @@ def arm_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([("F-bin-k1",), ("F-score-k8",), ("FC-score-k1",)], "cell string").select("cell", part[0].alias("family"), part[1].alias("form"), F.regexp_replace(part[2], "k", "").cast("int").alias("k"))
 
 
-@query()
-def vector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of vectors by PCA and bisecting k-means with a fixed seed: a stand-in for density clustering, which Spark lacks."""
-    from pyspark.ml.clustering import BisectingKMeans
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector
-
-    v = read(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    reduced = PCA(k=15, inputCol="v", outputCol="features").fit(v).transform(v)
-    placed = BisectingKMeans(k=8, seed=42, featuresCol="features", predictionCol="cluster").fit(reduced).transform(reduced)
-    return placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.count_distinct("label").alias("labels"))
-
-
 @query()
 def near_duplicate_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conversation's turns in order, but near-duplicates not next to each other where another turn can stand between."""

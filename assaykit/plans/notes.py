@@ -11,7 +11,7 @@ from assaykit.plans.judging import N, T, now, pairs
 from assaykit.plans.registry import query
 from assaykit.plans.texts import TALK_SQL, talks
 from assaykit.sources.tables import NEWEST_SQL, judgements, read
-from assaykit.streaming.latest import merge_newest, work_folder
+from assaykit.streaming.latest import newest_state, upsert_newest, work_folder
 
 
 @query(f"{N} SELECT event_id, user_id, event_type, replicate, score FROM j")
@@ -19,9 +19,9 @@ def streamed_supersession(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest judgement per note and replicate, from the event log read as a stream."""
     schema = read(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    folder = work_folder(spark, "newest")
-    last = merge_newest(judgements(stream), folder, ["user_id", "event_type", "replicate"], [F.desc("t"), F.desc("event_id")])
-    state = spark.read.parquet(f"{folder}/version={last}") if last >= 0 else judgements(read(spark, sf_dir, "events")).limit(0)
+    folder, log = work_folder(spark, "newest"), judgements(stream)
+    upsert_newest(log, folder, ["user_id", "event_type", "replicate"], [F.desc("t"), F.desc("event_id")], buckets=16)
+    state = newest_state(spark, folder, log.schema)
     return state.select("event_id", "user_id", "event_type", "replicate", "score")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from assaykit.operators.records import newest
 from assaykit.sources import files
-from assaykit.streaming.latest import merge_newest, running_total
+from assaykit.streaming.latest import merge_newest, newest_state, running_total, upsert_newest
 
 PAIR = T.StructType([T.StructField("id", T.StringType(), False), T.StructField("n", T.IntegerType())])
 ROW = T.StructType([T.StructField("key", T.StringType()), T.StructField("t", T.LongType()), T.StructField("v", T.IntegerType())])
@@ -69,6 +69,42 @@ def test_stream_keeps_the_newest(spark, tmp_path):
     assert got == sorted(map(tuple, newest(spark.createDataFrame(rows, ROW), ["key"], order).collect())) == [("a", 3, 3), ("b", 5, 5), ("c", 1, 6)]
 
 
+def test_keyed_state_rewrites_only_the_buckets_that_a_batch_touches(spark, tmp_path):
+    log, folder = tmp_path / "log", tmp_path / "state"
+    log.mkdir()
+    order = [F.desc("t"), F.desc("v")]
+    schema = "key string, t long, v long"
+
+    def batch(n, rows):
+        (log / f"{n}.json").write_text("".join(json.dumps(dict(zip(("key", "t", "v"), r))) + "\n" for r in rows))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(log))  # a new query each time: a restart
+        return upsert_newest(stream, str(folder), ["key"], order, buckets=8)
+
+    def files():
+        return {(p.parent.name, p.name) for p in (folder / "data").glob("version=*/bucket=*")}
+
+    def told():
+        return sorted(map(tuple, newest_state(spark, str(folder), spark.createDataFrame([], schema).schema).collect()))
+
+    assert newest_state(spark, str(folder), spark.createDataFrame([], schema).schema).count() == 0
+    rows = [(f"k{i}", 10, i) for i in range(60)]
+    assert batch(0, rows) == 0
+    first = files()
+    assert len(first) == 8 and told() == sorted(rows)
+    changed = [("k1", 11, 100), ("k1", 9, 101), ("k2", 3, 102)]  # newer, late, late
+    assert batch(1, changed) == 1
+    now = sorted([r for r in rows if r[0] != "k1"] + [("k1", 11, 100)])
+    assert told() == now
+    written = {f for f in files() if f[0] == "version=1"}
+    assert 1 <= len(written) <= 2  # the buckets of k1 and k2
+    assert batch(2, [("k1", 11, 100), ("new", 1, 1)]) == 2  # a repeated row and a new key
+    assert told() == sorted([*now, ("new", 1, 1)])
+    live = {f for f in files()}
+    assert len(live) <= 8 + 2 + 2 and len([f for f in live if f[0] == "version=0"]) == 8 - len(written)  # what batch 1 replaced has gone
+    assert len(list((folder / "manifest").glob("batch=*"))) == 2
+    assert batch(3, []) in (-1, 3) and told() == sorted([*now, ("new", 1, 1)])
+
+
 def test_running_total(spark, tmp_path):
     (tmp_path / "x.json").write_text('{"key": "a", "t": 1, "v": 2}\n{"key": "a", "t": 2, "v": 5}\n{"key": "b", "t": 2, "v": 1}\n')
     q = running_total(spark.readStream.schema(ROW).json(str(tmp_path)), "key", "v").writeStream.outputMode("complete").format("memory").queryName("totals").trigger(availableNow=True).start()
