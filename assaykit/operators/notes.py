@@ -1,10 +1,8 @@
-"""Order-dependent and diff-based operators: bounded groups or single rows in Python, dealt by Spark."""
+"""Order-dependent operators over notes: bounded groups or single rows in Python, dealt by Spark."""
 
 from __future__ import annotations
 
-import difflib
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,29 +19,6 @@ def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in fields.items()])
 
 
-@F.pandas_udf(_struct(same=T.LongType(), inserted=T.LongType(), deleted=T.LongType(), blocks=T.LongType()))
-def word_diff(before: pd.Series, after: pd.Series) -> pd.DataFrame:
-    """Words kept, inserted and deleted between two texts, and the number of changed runs. Null counts as empty."""
-    out = []
-    for a, b in zip(before.fillna(""), after.fillna(""), strict=True):
-        a, b = a.split(), b.split()
-        ops = [o for o in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if o[0] != "equal"]
-        gone, new = sum(o[2] - o[1] for o in ops), sum(o[4] - o[3] for o in ops)
-        out.append((len(a) - gone, new, gone, len(ops)))
-    return pd.DataFrame(out, columns=["same", "inserted", "deleted", "blocks"])
-
-
-@F.pandas_udf(_struct(start=T.LongType(), stop=T.LongType(), matches=T.LongType()))
-def find_span(text: pd.Series, span: pd.Series) -> pd.DataFrame:
-    """Where a span stands in a text, whatever its white space; start and stop only if it stands there once."""
-    out = []
-    for t, s in zip(text, span, strict=True):
-        words = re.split(r"\s+", s.strip()) if s and s.strip() else []
-        found = list(re.finditer(r"\s+".join(map(re.escape, words)), t)) if t and words else []
-        out.append((found[0].start(), found[0].end(), 1) if len(found) == 1 else (None, None, len(found)))
-    return pd.DataFrame(out, columns=["start", "stop", "matches"]).astype("Int64")
-
-
 def locate(text: Column, quote: Column) -> Column:
     """(how, position from 0 to 1): a quote found whole, by its first 80, 50 or 30 characters, by one of its six longest words of
     six letters or more that occurs once, or by one that occurs at all; ``no_quote`` and ``not_found`` have no position.
@@ -74,41 +49,6 @@ def locate(text: Column, quote: Column) -> Column:
     )
 
 
-NUMBERED = re.compile(r"(\s*)(\d+)([.)]\s)")
-
-
-@F.pandas_udf(T.StringType())
-def without_span(text: pd.Series, span: pd.Series) -> pd.Series:
-    """A text without a span that stands in it once, else null. Lines that the span doesn't touch stay as they are.
-
-    A line that held nothing else goes whole; a blank left before a blank or a mark closes. Where the text's numbered lines
-    ran from 1 without a gap, they do so again.
-    """
-
-    def cut(t: str | None, s: str | None) -> str | None:
-        t, s = (unicodedata.normalize("NFC", x or "") for x in (t, s))
-        if not s or t.count(s) != 1:
-            return None
-        left, right = t.split(s)
-        line = left.rpartition("\n")[2], right.partition("\n")[0]
-        if not "".join(line).strip():
-            left, right = left[: len(left) - len(line[0])], right[len(line[1]) + 1 :]
-        elif left.endswith(" ") and right.startswith((" ", ".", ",", ";")):
-            left = left.rstrip(" ")
-        rest = (left + right).strip()
-        before = [int(m[2]) for m in map(NUMBERED.match, t.split("\n")) if m]
-        if before != list(range(1, len(before) + 1)):
-            return rest
-        n, lines = 0, rest.split("\n")
-        for i, x in enumerate(lines):
-            if m := NUMBERED.match(x):
-                n += 1
-                lines[i] = f"{m[1]}{n}{m[3]}{x[m.end() :]}"
-        return "\n".join(lines)
-
-    return pd.Series([cut(t, s) for t, s in zip(text, span, strict=True)], dtype=object)
-
-
 def greedy_clusters(df: DataFrame, group: str, key: str, text: str, least: float = 0.5) -> DataFrame:
     """(group, key, cluster): items in key order join the cluster whose words they overlap most, if by Jaccard ``least``.
 
@@ -137,25 +77,6 @@ def greedy_clusters(df: DataFrame, group: str, key: str, text: str, least: float
     return df.select(group, key, text).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {key} {kinds[key]}, cluster long")
 
 
-def apart(df: DataFrame, group: str, key: str, text: str, least: float = 0.5) -> DataFrame:
-    """(group, key, place, moved): items in key order, but none next to one that shares words by Jaccard ``least`` while another
-    can stand there; then the next such one is moved up. A group is one pick's items and stays small by nature."""
-
-    def run(items: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(zip(items[key], items[text].fillna(""), strict=True))
-        rest = [(k, set(re.findall(r"[a-z0-9]+", t.lower()))) for k, t in rows]
-        out, last = [], set()
-        while rest:
-            free = (i for i, (_, w) in enumerate(rest) if not (w and last and len(w & last) >= least * len(w | last)))
-            i = next(free, 0)
-            k, last = rest.pop(i)
-            out.append((items[group].iloc[0], k, len(out) + 1, i > 0))
-        return pd.DataFrame(out, columns=[group, key, "place", "moved"])
-
-    kinds = dict(df.dtypes)
-    return df.select(group, key, text).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {key} {kinds[key]}, place long, moved boolean")
-
-
 def cosine_groups(df: DataFrame, note: list[str], key: str, vector: str, levels: tuple[float, ...] = (0.8, 0.85, 0.9)) -> DataFrame:
     """(note, level, items, groups): near-duplicate groups of each note's vectors at several cosines, linked transitively.
 
@@ -251,32 +172,6 @@ def boschloo(a: Column, b: Column, c: Column, d: Column, points: int = 200) -> C
     return run(a, b, c, d)
 
 
-#: Words that an excerpt's overlap leaves out.
-LITTLE = frozenset("a an and are as at be been but by did do does for from had has have he her his i in is it its me my no not of on or our she so that the their them they this to was we were with you your".split())
-
-
-def _told(x: str) -> set[str]:
-    return {w for w in re.findall(r"[a-z']+", x.lower()) if len(w) > 2 and w not in LITTLE}
-
-
-@F.pandas_udf(_struct(first=T.LongType(), last=T.LongType(), excerpt=T.StringType()))
-def excerpt(text: pd.Series, wanted: pd.Series, size: pd.Series) -> pd.DataFrame:
-    """The lines around the one that shares most words with another text, grown on the side that shares more (above, of equals)
-    until they have ``size`` characters; cuts are marked."""
-    out = []
-    for t, q, n in zip(text, wanted, size, strict=True):
-        lines, keys = (t or "").splitlines() or [""], _told(q or "")
-        shared = [len(keys & _told(x)) for x in lines]
-        first = last = int(np.argmax(shared))
-        while sum(map(len, lines[first : last + 1])) < n and last - first + 1 < len(lines):
-            above = shared[first - 1] if first else -1
-            below = shared[last + 1] if last + 1 < len(lines) else -1
-            first, last = (first - 1, last) if above >= below else (first, last + 1)
-        marked = ["[...]"] * (first > 0) + ["\n".join(lines[first : last + 1]).strip()] + ["[...]"] * (last + 1 < len(lines))
-        out.append((first, last, "\n".join(marked)))
-    return pd.DataFrame(out, columns=["first", "last", "excerpt"])
-
-
 def speaker_turns(df: DataFrame, key: str, text: str, longest: int = 400) -> DataFrame:
     """(key, turn, speaker, part, said): lines ``Name: words``; turns longer than ``longest`` characters are cut after the
     last sentence that fits, or hard where none does.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assaykit.functions import stats, text
-from assaykit.operators import bootstrap, metrics, notes, records, sampling
+from assaykit.operators import bootstrap, edits, metrics, records, sampling
 from assaykit.operators.numbering import numbered
 from assaykit.plans.aggregates import _rounded
 from assaykit.plans.judging import N, T, low_high_sql, now, pairs
@@ -322,10 +322,15 @@ def arm_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([("F-bin-k1",), ("F-score-k8",), ("FC-score-k1",)], "cell string").select("cell", part[0].alias("family"), part[1].alias("form"), F.regexp_replace(part[2], "k", "").cast("int").alias("k"))
 
 
-@query()
+@query("""WITH RECURSIVE w AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS w FROM conversations), e AS (SELECT conv_id, turn, len(w) AS n, unnest(w) AS g FROM w),
+m AS (SELECT a.conv_id, a.turn, b.turn AS other, count(*) AS c, any_value(a.n) AS n, any_value(b.n) AS k FROM e a JOIN e b ON a.conv_id = b.conv_id AND a.g = b.g AND a.turn <> b.turn GROUP BY ALL), nr AS (SELECT conv_id, turn, list(other) AS near FROM m WHERE c >= 0.3 * (n + k - c) GROUP BY ALL),
+s0 AS (SELECT conv_id, list(turn ORDER BY turn) AS rest FROM w GROUP BY conv_id),
+s AS (SELECT conv_id, rest, CAST(NULL AS BIGINT) AS turn, CAST(0 AS BIGINT) AS place, false AS moved FROM s0
+  UNION ALL SELECT s.conv_id, list_filter(s.rest, lambda x: x <> p.pick), p.pick, s.place + 1, p.pick <> s.rest[1] FROM s LEFT JOIN nr ON nr.conv_id = s.conv_id AND nr.turn = s.turn, LATERAL (SELECT coalesce(list_filter(s.rest, lambda x: NOT list_contains(coalesce(nr.near, []), x))[1], s.rest[1]) AS pick) p WHERE len(s.rest) > 0)
+SELECT conv_id, turn, place, moved FROM s WHERE place > 0""")
 def near_duplicate_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conversation's turns in order, but near-duplicates not next to each other where another turn can stand between."""
-    return notes.apart(read(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 0.3)
+    return edits.apart(read(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 0.3)
 
 
 @query(f"""WITH {REPLIES_SQL} SELECT k % 5 AS kind, count(*) AS calls, count(DISTINCT reply) AS different FROM (SELECT p.reply, r.k FROM p JOIN r USING (event_id)) GROUP BY 1""")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assaykit.functions import text
-from assaykit.operators import notes, provenance
+from assaykit.operators import edits, notes, provenance
 from assaykit.plans.judging import N, T, now, pairs
 from assaykit.plans.registry import query
 from assaykit.plans.texts import TALK_SQL, talks
@@ -46,8 +46,9 @@ def turn_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def note_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the note keeps of its transcript, word by word."""
-    return talks(spark, sf_dir).where("note is not null").select("conv_id", notes.word_diff("transcript", "note").alias("d")).select("conv_id", "d.*")
+    """What an edited note keeps of its transcript, word by word."""
+    t = talks(spark, sf_dir).where("note is not null").select("conv_id", "transcript", F.concat(F.lit("In short: "), F.replace("note", F.lit("the "), F.lit("our "))).alias("note"))
+    return edits.word_changes(t, "transcript", "note").drop("transcript", "note")
 
 
 QUOTES_SQL = f"""WITH {TALK_SQL}, n AS (SELECT conv_id, lower(trim(regexp_replace(transcript, '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g'), ' ')) AS t, lower(trim(regexp_replace(note, '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g'), ' ')) AS n FROM t WHERE note IS NOT NULL),
@@ -206,19 +207,95 @@ def first_source_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("conv_id", "turn", "digest", "source_rank")
 
 
-@query()
-def span_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each note without its last sentence, and where that sentence stands."""
-    last = F.element_at(text.units(F.col("note")), -1)
-    t = talks(spark, sf_dir).where("note is not null").select("conv_id", "note", last.alias("span"))
-    return t.select("conv_id", notes.find_span("note", "span").alias("at"), F.md5(notes.without_span("note", "span")).alias("rest")).select("conv_id", "at.*", "rest")
+FLAT_LINES = r"list_transform(string_split({t}, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r\f\x0b]+', ' ', 'g'), ' '))"
+UNITS = r"list_filter(flatten(list_transform(" + FLAT_LINES + r", lambda x: CASE WHEN ends_with(x, ':') THEN [x] ELSE string_split(regexp_replace(x, '([.!?]) ([A-Z0-9(])', '\1' || chr(1) || '\2', 'g'), chr(1)) END)), lambda x: x <> '')"
+NUMBERED_SQL = r"'^(\s*)(\d{1,9})([.)]\s)'"
+LISTED_SQL = r"'1. ' || note || chr(10) || '2. ' || replace(note, '. ', '.  ') || chr(10) || '3. end , here'"
 
 
-@query()
+@query(rf"""WITH {TALK_SQL}, n AS (SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN {LISTED_SQL} ELSE note END AS note, conv_id % 3 AS kind FROM t WHERE note IS NOT NULL),
+u AS (SELECT *, CASE kind WHEN 0 THEN CASE conv_id % 2 WHEN 0 THEN '3. end' ELSE 'end' END WHEN 1 THEN ({UNITS.format(t="note")})[-1] ELSE ' and ' END AS span FROM n),
+p AS (SELECT *, '(?i)' || array_to_string(list_transform(list_filter(string_split_regex(span, '\s+'), lambda w: w <> ''), lambda w: regexp_escape(w)), '\s+') AS rx FROM u),
+f AS (SELECT *, len(regexp_extract_all(note, rx)) AS matches, regexp_extract(note, rx) AS hit FROM p),
+g AS (SELECT *, CASE WHEN matches = 1 THEN instr(note, hit) - 1 END AS start, CASE WHEN matches = 1 THEN instr(note, hit) - 1 + length(hit) END AS stop FROM f),
+h AS (SELECT *, substr(note, 1, start) AS l, substr(note, stop + 1) AS r FROM g),
+i AS (SELECT *, string_split(l, chr(10))[-1] AS lh, string_split(r, chr(10))[1] AS rh FROM h),
+j AS (SELECT *, CASE WHEN trim(lh || rh, ' ') = '' THEN substr(l, 1, length(l) - length(lh)) || substr(r, length(rh) + 2) WHEN ends_with(l, ' ') AND regexp_matches(r, '^[ .,;]') THEN rtrim(l, ' ') || r ELSE l || r END AS rest FROM i),
+k AS (SELECT *, regexp_replace(rest, '^\s+|\s+$', '', 'g') AS cut, list_transform(list_filter(string_split(note, chr(10)), lambda x: regexp_matches(x, {NUMBERED_SQL})), lambda x: CAST(regexp_extract(x, {NUMBERED_SQL}, 2) AS INT)) AS nums FROM j),
+m AS (SELECT *, string_split(cut, chr(10)) AS ls FROM k)
+SELECT conv_id, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop, CAST(matches AS INTEGER) AS matches, md5(CASE WHEN start IS NULL THEN NULL WHEN len(nums) > 0 AND nums = range(1, len(nums) + 1) THEN array_to_string(list_transform(ls, lambda x, i: CASE WHEN regexp_matches(x, {NUMBERED_SQL}) THEN regexp_extract(x, {NUMBERED_SQL}, 1) || len(list_filter(ls[1:i], lambda y: regexp_matches(y, {NUMBERED_SQL}))) || regexp_extract(x, {NUMBERED_SQL}, 3) || regexp_replace(x, {NUMBERED_SQL}, '') ELSE x END), chr(10)) ELSE cut END) AS rest FROM m""")
+def span_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes without a span, whatever its white space: an item of a list or its end, the last sentence, and a word that may stand there often."""
+    note, kind = F.col("note"), F.col("conv_id") % 3
+    listed = F.concat(F.lit("1. "), note, F.lit("\n2. "), F.replace(note, F.lit(". "), F.lit(".  ")), F.lit("\n3. end , here"))
+    t = talks(spark, sf_dir).where("note is not null").select("conv_id", F.when(kind == 0, listed).otherwise(note).alias("note"))
+    span = F.when(kind == 0, F.when(F.col("conv_id") % 2 == 0, "3. end").otherwise("end")).when(kind == 1, F.element_at(text.units(note), -1)).otherwise(" and ")
+    t = t.withColumn("f", edits.find_span(note, span))
+    places = F.array(F.struct(F.col("f.start").alias("start"), F.col("f.stop").alias("stop")))
+    return t.select("conv_id", "f.*", F.md5(F.when(F.col("f.matches") == 1, edits.without_spans(note, places))).alias("rest"))
+
+
+@query(rf"""WITH {TALK_SQL}, n AS (SELECT conv_id, note, {UNITS.format(t="note")} AS u FROM t WHERE note IS NOT NULL),
+s AS (SELECT *, CASE conv_id % 5 WHEN 0 THEN u[-1] WHEN 1 THEN array_to_string(u[1:2], '   ') WHEN 2 THEN substr(u[1], 1, length(u[1]) // 2) WHEN 3 THEN 'zzqq nowhere' ELSE 'the' END AS span FROM n),
+p AS (SELECT *, '(?i)' || array_to_string(list_transform(list_filter(string_split_regex(span, '\s+'), lambda w: w <> ''), lambda w: regexp_escape(w)), '\s+') AS rx FROM s),
+f AS (SELECT *, len(regexp_extract_all(note, rx)) AS matches, regexp_extract(note, rx) AS hit FROM p),
+h AS (SELECT *, lower(trim(regexp_replace(hit, '[ \t\n\r\f\x0b]+', ' ', 'g'), ' ')) AS target, list_transform(u, lambda x: lower(x)) AS lu FROM f),
+k AS (SELECT *, CASE WHEN matches = 1 THEN list_filter(range(0, len(u)), lambda i: contains(target, lu[i + 1])) ELSE [] END AS held FROM h)
+SELECT conv_id, CAST(matches AS INTEGER) AS matches, CASE WHEN len(held) > 0 THEN held[-1] - held[1] + 1 = len(held) AND array_to_string(lu[held[1] + 1:held[-1] + 1], ' ') = target ELSE false END AS aligned, array_to_string(held, ' ') AS units FROM k""")
+def span_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a place in a note is one or more whole units: the last one, two with other white space, half of one, nothing, a frequent word."""
+    u, kind = text.units(F.col("note")), F.col("conv_id") % 5
+    first = F.element_at(u, 1)
+    span = F.when(kind == 0, F.element_at(u, -1)).when(kind == 1, F.array_join(F.slice(u, 1, 2), "   ")).when(kind == 2, F.substr(first, F.lit(1), F.floor(F.length(first) / 2).cast("int"))).when(kind == 3, "zzqq nowhere").otherwise("the")
+    t = talks(spark, sf_dir).where("note is not null").select("conv_id", "note", edits.find_span(F.col("note"), span).alias("f"))
+    t = t.select("conv_id", "f.matches", edits.unit_alignment(F.col("note"), F.col("f.start"), F.col("f.stop")).alias("a"))
+    return t.select("conv_id", "matches", "a.aligned", F.array_join(F.col("a.units").cast("array<string>"), " ").alias("units"))
+
+
+@query(rf"""WITH {TALK_SQL}, n AS (SELECT conv_id, note, {UNITS.format(t="note")} AS u, ['add', 'omit', 'change'][conv_id % 3 + 1] AS kind, conv_id // 3 % 6 AS how FROM t WHERE note IS NOT NULL),
+e AS (SELECT *, CASE how WHEN 0 THEN list_concat(u, ['Quite new zq1.', 'And zq2 more.']) WHEN 1 THEN u[1:len(u) - 1] WHEN 2 THEN list_concat([regexp_replace(u[1], '^[^ ]+', 'Zq3')], u[2:]) WHEN 3 THEN u WHEN 4 THEN list_concat(['Zq4 first.'], u[2:len(u)], ['Zq5 last.']) ELSE list_concat(u, list_transform(range(0, 9), lambda i: 'Zq' || i || ' more.')) END AS v FROM n),
+f AS (SELECT *, coalesce(list_max(list_filter(range(0, least(len(u), len(v)) + 1), lambda k: u[1:k] = v[1:k])), 0) AS head FROM e),
+g AS (SELECT *, coalesce(list_max(list_filter(range(0, least(len(u), len(v)) - head + 1), lambda k: u[len(u) - k + 1:] = v[len(v) - k + 1:])), 0) AS tail FROM f),
+h AS (SELECT *, u[head + 1:len(u) - tail] AS a, v[head + 1:len(v) - tail] AS b FROM g),
+i AS (SELECT *, len(a) + len(b) > 0 AND len(list_intersect(a, b)) = 0 AS one, string_split(array_to_string(a, ' '), ' ') AS wa, string_split(array_to_string(b, ' '), ' ') AS wb FROM h),
+j AS (SELECT *, CASE WHEN one THEN CASE WHEN len(a) = 0 THEN 'insert' WHEN len(b) = 0 THEN 'delete' ELSE 'replace' END END AS tag, coalesce(list_max(list_filter(range(0, least(len(wa), len(wb)) + 1), lambda k: wa[1:k] = wb[1:k])), 0) AS wh FROM i),
+k AS (SELECT *, coalesce(list_max(list_filter(range(0, least(len(wa), len(wb)) - wh + 1), lambda k: wa[len(wa) - k + 1:] = wb[len(wb) - k + 1:])), 0) AS wt FROM j),
+l AS (SELECT *, CASE WHEN tag = 'replace' THEN len(wa) + len(wb) - 2 * (wh + wt) END AS changed, CASE WHEN one THEN len(a) END AS units_out, CASE WHEN one THEN len(b) END AS units_in FROM k)
+SELECT conv_id, kind, one, tag, CAST(units_out AS INTEGER) AS units_out, CAST(units_in AS INTEGER) AS units_in, CAST(changed AS INTEGER) AS changed_words,
+  coalesce((kind = 'add' AND tag = 'insert' AND units_in <= 2) OR (kind = 'omit' AND tag = 'delete' AND units_out <= 2) OR (kind = 'change' AND tag = 'replace' AND units_out <= 2 AND units_in <= 2 AND changed <= 30), false) AS accepted_first,
+  coalesce((kind = 'add' AND tag = 'insert' AND units_in <= 6) OR (kind = 'omit' AND tag = 'delete' AND units_out <= 6) OR (tag = 'replace' AND units_out <= 3 AND units_in <= 3 AND changed <= 30), false) AS accepted_second FROM l""")
+def edit_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which edits both rules take: units added, dropped, one with another word, none, two places, and too many added; each of every kind."""
+    u, how = text.units(F.col("note")), F.floor(F.col("conv_id") / 3) % 6
+    kind = F.element_at(F.array(*map(F.lit, ("add", "omit", "change"))), (F.col("conv_id") % 3 + 1).cast("int"))
+    rest, many = F.slice(F.col("u"), 2, F.greatest(F.size("u") - 1, F.lit(0))), [F.lit(f"Zq{i} more.") for i in range(9)]
+    made = (
+        F.when(how == 0, F.concat("u", F.array(F.lit("Quite new zq1."), F.lit("And zq2 more."))))
+        .when(how == 1, F.slice("u", 1, F.greatest(F.size("u") - 1, F.lit(0))))
+        .when(how == 2, F.concat(F.array(F.regexp_replace(F.element_at("u", 1), "^[^ ]+", "Zq3")), rest))
+        .when(how == 3, F.col("u"))
+        .when(how == 4, F.concat(F.array(F.lit("Zq4 first.")), rest, F.array(F.lit("Zq5 last."))))
+        .otherwise(F.concat("u", F.array(*many)))
+    )
+    t = talks(spark, sf_dir).where("note is not null").select("conv_id", "note", u.alias("u"), kind.alias("kind")).where("size(u) > 0")
+    t = t.select("conv_id", "note", "kind", F.array_join(made, "\n").alias("edited"))
+    out = edits.edit_acceptance(t, "note", "edited", "kind")
+    return out.select("conv_id", "kind", (F.col("n_blocks") == 1).alias("one"), "tag", "units_out", "units_in", "changed_words", "accepted_first", "accepted_second")
+
+
+STOPPED = ", ".join(f"'{w}'" for w in edits.LITTLE)
+TOLD = "list_distinct(list_filter(regexp_extract_all(lower({x}), '[a-z'']+'), lambda w: length(w) > 2 AND w NOT IN (" + STOPPED + ")))"
+
+
+@query(rf"""WITH {TALK_SQL}, n AS (SELECT conv_id, transcript, {TOLD.format(x="note")} AS w FROM t WHERE note IS NOT NULL), l AS (SELECT conv_id, w, unnest(string_split_regex(transcript, '\r\n|\r|\n')) AS line, generate_subscripts(string_split_regex(transcript, '\r\n|\r|\n'), 1) - 1 AS i FROM n),
+c AS (SELECT conv_id, i, line, len(list_intersect(w, {TOLD.format(x="line")})) AS share FROM l), m AS (SELECT *, arg_min(i, {{'s': -share, 'i': i}}) OVER (PARTITION BY conv_id) AS mid FROM c),
+d AS (SELECT *, min(share) OVER (PARTITION BY conv_id, sign(i - mid) ORDER BY abs(i - mid)) AS least FROM m),
+s AS (SELECT *, coalesce(sum(length(line)) OVER (PARTITION BY conv_id ORDER BY CAST(i <> mid AS INT), least DESC, sign(i - mid), abs(i - mid) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) < 400 AS held FROM d),
+g AS (SELECT conv_id, min(i) FILTER (held) AS first, max(i) FILTER (held) AS last, max(i) AS stop, string_agg(line, chr(10) ORDER BY i) FILTER (held) AS body FROM s GROUP BY conv_id)
+SELECT conv_id, first, last, CASE WHEN first > 0 THEN '[...]' || chr(10) ELSE '' END || regexp_replace(body, '^\s+|\s+$', '', 'g') || CASE WHEN last < stop THEN chr(10) || '[...]' ELSE '' END AS excerpt FROM g""")
 def best_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of each transcript that say most of what its note says."""
-    t = talks(spark, sf_dir).where("note is not null")
-    return t.select("conv_id", notes.excerpt("transcript", "note", F.lit(400)).alias("e")).select("conv_id", "e.*")
+    return edits.excerpts(talks(spark, sf_dir).where("note is not null"), "conv_id", "transcript", "note", 400)
 
 
 @query()

@@ -214,17 +214,7 @@ def test_text_functions(spark):
     assert [r["l"] for r in leak] == [True, False, False]
 
 
-def test_note_udfs(spark):
-    df = spark.createDataFrame([("one two  three", "two\nthree"), ("aa bb aa", "aa"), (None, "x"), ("t", None), ("t", "")], "t string, s string")
-    spans = [tuple(r["f"]) for r in df.select(notes.find_span("t", "s").alias("f")).collect()]
-    assert spans == [(4, 14, 1), (None, None, 2), (None, None, 0), (None, None, 0), (None, None, 0)]
-    d = spark.createDataFrame([("a b c", "a x c d"), (None, "q"), ("", "")], "a string, b string").select(notes.word_diff("a", "b").alias("d")).collect()
-    assert [tuple(r["d"]) for r in d] == [(2, 2, 1, 2), (0, 1, 0, 1), (0, 0, 0, 0)]
-    cut = spark.createDataFrame([("1. one\n2. two\n3. three", "2. two"), ("aa aa", "aa")], "t string, s string").select(notes.without_span("t", "s").alias("c")).collect()
-    assert cut[0]["c"] == "1. one\n2. three" and cut[1]["c"] is None
-    odd = [("Plan  \n3. x \n7. y", "x", "Plan  \n7. y"), ("He is well , and sad today.", "and sad", "He is well , today."), ("one gone. two", "gone", "one. two"), ("a\n  gone \n b ", "gone", "a\n b")]
-    left = spark.createDataFrame([x[:2] for x in odd], "t string, s string").select(notes.without_span("t", "s").alias("c")).collect()
-    assert [r["c"] for r in left][2:] == [x[2] for x in odd][2:]
+def test_places_of_quotes(spark):
     long = "the patient was walking " * 5
     cases = [("The Quick fox", "quick  FOX", "exact"), ("alpha1 beta", "gamma unique alpha1", "unique_word"), ("alpha1 alpha1", "alpha1 x", "word"), ("x", None, "no_quote"), ("x", "N/A", "no_quote"), ("alpha", "other words", "not_found")]
     cases += [(long, long[:90] + "q", "prefix80"), (long, long[:60] + "q", "prefix50"), (long, long[:35] + "q", "prefix30"), (None, "x", "no_quote")]
@@ -250,8 +240,6 @@ def test_groups_of_vectors(spark):
     assert {r["k"]: r["cluster"] for r in notes.greedy_clusters(items, "g", "k", "t").collect()} == {1: 0, 2: 0, 3: 1}
     best = spark.createDataFrame([("n", 1, "a b c d"), ("n", 2, "e f g h"), ("n", 3, "a b e f g")], "g string, k int, t string")
     assert {r["k"]: r["cluster"] for r in notes.greedy_clusters(best, "g", "k", "t", 0.25).collect()} == {1: 0, 2: 1, 3: 1}
-    twins = spark.createDataFrame([("n", 1, "a b c"), ("n", 2, "a b c"), ("n", 3, "x"), ("n", 4, "x y"), ("n", 5, None)], "g string, k int, t string")
-    assert [(r["k"], r["moved"]) for r in notes.apart(twins, "g", "k", "t").orderBy("place").collect()] == [(1, False), (3, True), (2, False), (4, False), (5, False)]
     two = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, "b", "x"), (4, "b", "y")], "i int, s string, r string")
     assert [r["i"] for r in notes.spread(two, ["s", "r"], "i", 3).orderBy("place").collect()] == [1, 4, 2]
     pool = spark.createDataFrame([(i, "a" if i < 8 else "b") for i in range(10)], "i int, s string")
@@ -272,10 +260,7 @@ def test_provenance(spark):
     assert got == {"x": (3, True), "y": (0, False)}
 
 
-def test_excerpts_turns_and_edits(spark):
-    df = spark.createDataFrame([("one two\nalpha beta\nbeta\nfour", "The Alpha beta!"), ("", "x"), (None, None), ("aaa\nbbb", "bbb")], "t string, q string")
-    got = [tuple(r["e"]) for r in df.select(notes.excerpt("t", "q", F.lit(12)).alias("e")).collect()]
-    assert got == [(1, 2, "[...]\nalpha beta\nbeta\n[...]"), (0, 0, ""), (0, 0, ""), (0, 1, "aaa\nbbb")]
+def test_turns_and_edits(spark):
     script = spark.createDataFrame([(1, "lost\nDoctor: Hello there. How are you?\nPatient: fine\nthanks"), (2, None)], "k int, t string")
     rows = [(r["turn"], r["speaker"], r["part"], r["said"]) for r in notes.speaker_turns(script, "k", "t", longest=16).orderBy("turn", "part").collect()]
     assert rows == [(0, "Doctor", 0, "Hello there."), (0, "Doctor", 1, "How are you?"), (1, "Patient", 0, "fine thanks")]
