@@ -168,17 +168,37 @@ def search_tree(df: DataFrame, asks: Column, k: int = 20, recall: float = 0.95,
     asked = queries.mapInArrow(to_shards, f"shard long, vec_id long, vector {kind}")
 
     def score(ids: np.ndarray, x: np.ndarray, asking: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        s = q @ x.T
-        s[asking[:, None] == ids[None, :]] = -np.inf
-        top = best(s, ids, min(k, len(ids)))
-        row, place = np.nonzero(top >= 0)
-        col = top[row, place]
-        return row, col, s[row, col]
+        return finalists(ids, x, asking, q, k)
 
     found = search(shards, asked, tasks, score, "double")
     return ranked(found, k, "double"), {"rows": n, "leaves": tree.leaves, "visits": visits, "recall": reached}
 
 
+def finalists(ids: np.ndarray, x: np.ndarray, asking: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of queries and of their k best candidates, and scores: sums in the order of components, so that equal vectors score equally.
+
+    A matrix product's last bits depend on where a vector stands, so it only says which candidates can be among the best. Sums that
+    overflow count as infinite, those without a value as least.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        s = np.nan_to_num(q @ x.T, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+        other = asking[:, None] != ids[None, :]
+        s[~other] = -np.inf
+        n = s.shape[1]
+        least = np.partition(s, n - min(k, n), axis=1)[:, n - min(k, n)]
+        slack = 4 * q.shape[1] * np.finfo(float).eps * np.sqrt((q * q).sum(axis=1)) * np.sqrt((x * x).sum(axis=1).max())
+        least = np.where(np.isfinite(least), least - np.where(np.isfinite(slack), slack, np.inf), least)
+        row, col = np.nonzero((s >= least[:, None]) & other)
+        score = np.zeros(len(row))
+        for d in range(q.shape[1]):
+            score += q[row, d] * x[col, d]
+    score = np.nan_to_num(score, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+    order = np.lexsort((ids[col], -score, row))
+    row, col, score = row[order], col[order], score[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[first], col[first], score[first]
+
+
 def ranked(found: DataFrame, k: int, kind: str) -> DataFrame:
     """The k best of each query over all shards."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

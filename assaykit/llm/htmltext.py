@@ -32,15 +32,18 @@ from assaykit.llm._text import bounded, project
 
 BITS = 14
 #: Fixed values of HTML: elements whose content is no text, that never have content, and that don't start a block.
-SILENT = ("script", "style", "template", "svg", "iframe")
+SILENT = ("script", "style", "template", "svg", "iframe", "textarea")
+#: Of these, the ones that go on to the page's end where they are not closed.
+ENDLESS = ("script", "style", "textarea")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mspace mpadded semantics".split())
 #: Elements that end when one of the named elements starts.
 ENDED_BY = {"p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
+ENDERS = frozenset().union(*ENDED_BY.values())
 #: Elements that an open p, li and the like is not looked for beyond.
 SCOPE = frozenset("ul ol dl table div article section aside main body blockquote td".split())
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=(?!\s*[\"']))*+)(?:>|\Z)", re.S)
+TAG = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=(?!\s*[\"']))*+)(?:>|\Z)", re.S)
 NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PARTS = re.compile(r"[A-Za-z][a-z]+|[A-Z]+")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
@@ -53,6 +56,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
     stack: list[tuple[str, str]] = []
     text: list[str] = []
     links = linked = at = 0
+    unclosed: set[str] = set()
 
     def close() -> None:
         nonlocal linked
@@ -93,8 +97,10 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
                         break
             continue
         if name in SILENT:
-            end = None if name == "svg" and m[3].endswith("/") else re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page) if name in ("script", "style") else at
+            end = None if name in unclosed or (name == "svg" and m[3].endswith("/")) else re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            if end is None and not m[3].endswith("/"):
+                unclosed.add(name)  # no end from here on: not looked for again
+            at = end.end() if end else len(page) if name in ENDLESS else at
             if name != "svg":
                 close()
             continue
@@ -106,7 +112,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
             continue
         close()
         links = 0
-        for k in range(len(stack) - 1, -1, -1):
+        for k in range(len(stack) - 1, -1, -1) if name in ENDERS else ():
             if name in ENDED_BY.get(stack[k][0], ()):
                 del stack[k:]
                 break
@@ -239,7 +245,7 @@ class Chain:
         return node, edge
 
 
-def labelled_pages(n: int = 400, seed: int = 11) -> Iterator[tuple[str, set[str]]]:
+def labelled_pages(n: int = 440, seed: int = 11) -> Iterator[tuple[str, set[str]]]:
     """Composed pages in varied layouts, each with the texts of its main blocks."""
     rnd = random.Random(seed)
     syllables = "ba co de fi gu la me no pe ri so tu va ze al en is or un st".split()
@@ -264,8 +270,16 @@ def labelled_pages(n: int = 400, seed: int = 11) -> Iterator[tuple[str, set[str]
     def person() -> str:
         return words(1, 2).title()
 
-    for _ in range(n):
+    for number in range(n):
         main: set[str] = set()
+        if number % 12 == 5:  # a page that is little else than a short text
+            short = [sentences(1, 3) for _ in range(rnd.choice((1, 1, 2)))]
+            main.update(short)
+            tag = rnd.choice(("p", "div", "p", "div", "")) if len(short) == 1 else rnd.choice(("p", "div"))
+            inner = "".join(f"<{tag}>{x}</{tag}>" if tag else x for x in short)
+            head = rnd.choice(("", f"<head><title>{words(2, 6)}</title></head>"))
+            yield rnd.choice((inner, f"<html>{head}<body>{inner}</body></html>", f"<body>{inner}{maybe(0.5, lambda: f'<footer>&copy; {sentences(1, 1)}</footer>')}</body>")), main
+            continue
         bare = rnd.choice([0, 0, 0, 0.1, 0.9])  # share of paragraphs that are plain div elements
 
         def keep(text: str, main: set[str] = main) -> str:
@@ -310,16 +324,17 @@ def labelled_pages(n: int = 400, seed: int = 11) -> Iterator[tuple[str, set[str]
             article = body() if rnd.random() < 0.6 else "".join(paragraph() for _ in range(rnd.randint(1, 6)))
         elif rnd.random() < 0.2:
             article = f"<main>{article}</main>"
-        comments = maybe(0.35, lambda: box("section div ol ul", "comments comment-list responses discussion feedback user-comments", f"<h3>{rnd.randint(2, 40)} comments</h3>" + "".join(box("div li article p", "- comment reply comment-body response post-comment feedback-item", f"<b>{person()}</b><p>{sentences(1, 4)}</p>") for _ in range(rnd.randint(1, 5)))))
+        comments = maybe(0.35, lambda: box("section div ol ul", "comments comment-list responses discussion feedback user-comments disqus_thread fb-comments thread replies", f"<h3>{rnd.randint(2, 40)} comments</h3>" + "".join(box("div li article p", "- comment reply comment-body response post-comment feedback-item", f"<b>{person()}</b><p>{sentences(1, 4)}</p>") for _ in range(rnd.randint(1, 5)))))
         menu = maybe(0.9, lambda: box("nav nav nav div ul", "- menu navbar navigation nav top-links", f"<ul>{links(3, 8)}</ul>"))
         header = maybe(0.5, lambda: box("header header div", "- header site-header masthead top", f"<div>{words(1, 3).title()}</div><span>{sentences(1, 1)}</span>"))
         side = maybe(0.5, lambda: box("aside aside div", "- sidebar side widget rail", f"<h3>{words(1, 3).title()}</h3><p>{sentences(1, 3)}</p><ul>{links(2, 6)}</ul>"))
         notice = maybe(0.4, lambda: box("div div section p", "cookie-banner notice consent cookie-notice alert popup gdpr", f"{rnd.choice(['We use cookies. ', 'By going on you consent. ', ''])}{sentences(1, 2)}<button>{words(1, 2)}</button>"))
         ad = maybe(0.5, lambda: box("div div aside", "ad ads advert advertisement sponsor ad-slot promo", sentences(1, 3)))
         form = maybe(0.25, lambda: f"<form action=/x><label>{words(1, 3)}</label><select><option>{words(1, 2)}<option>{words(1, 2)}</select><p>{sentences(1, 1)}</p><button>{words(1, 1)}</button></form>")
+        script = maybe(0.2, lambda: f"<noscript>{rnd.choice(['', '<p>'])}{sentences(1, 2)}</noscript>")
         crumbs = maybe(0.2, lambda: box("div nav ol", "breadcrumbs breadcrumb", links(2, 4, "span")))
         footer = maybe(0.9, lambda: box("footer footer footer div", "- footer site-footer bottom", f"{rnd.choice(['&copy; ', ''])}{sentences(1, 2)}{maybe(0.4, lambda: f'<ul>{links(2, 5)}</ul>')}"))
-        before = [menu, header, ad, notice, crumbs]
+        before = [menu, header, ad, notice, crumbs, script]
         after = [comments, side, form]
         rnd.shuffle(before)
         rnd.shuffle(after)
@@ -329,7 +344,7 @@ def labelled_pages(n: int = 400, seed: int = 11) -> Iterator[tuple[str, set[str]
 
 
 @lru_cache(maxsize=1)
-def trained(n: int = 400, seed: int = 11) -> Chain:
+def trained(n: int = 440, seed: int = 11) -> Chain:
     """The model, trained on n composed pages."""
     pages = []
     for page, main in labelled_pages(n, seed):

@@ -6,9 +6,10 @@ score of the shard is known. For a query, terms are ordered by the span between
 far as threshold, the essential terms are those without which no row could reach it: all but the longest tail of terms whose
 spans together can't make up the difference. Essential postings are traversed for all rows; the others are probed, term group
 by term group, only for rows whose score so far plus the most that the remaining terms can add still competes. Shards give
-their best, and these are merged. All sums are integers in double precision below 2**53, so they are exact.
+their best, and these are merged. Sums are exact: where a query's largest possible sum in a shard is below 2**52, they are integers in double
+precision; else that query's scores in the shard are summed in integers of any size.
 
-Defined cases: vectors that are null, empty or hold null or non-finite components, and rows with null ids, take no part; zero
+Defined cases: a score beyond the range of long counts as that range's end; vectors that are null, empty or hold null or non-finite components, and rows with null ids, take no part; zero
 vectors do; a vector shorter than the longest has zeros in the components that it lacks; ties go to the smaller id; repeated ids
 are candidates each; fewer candidates than k give that many rows.
 """
@@ -29,9 +30,23 @@ SHARD = 4096
 SEED, STEP = 256, 8
 
 
+#: Largest sum that double precision holds with all that is added to it, and the largest score.
+EXACT, MOST = 2.0**52, 2**63 - 1
+
+
 def quantize(vector: str, scale: int = 1024) -> Column:
-    """floor(scale * x) of each component x, in double precision."""
-    return F.transform(F.col(vector).cast(VECTOR), lambda x: F.floor(x * scale).cast("double"))
+    """floor(scale * x) of each component x, in double precision; numbers from 2**52 on have no fraction."""
+    x = F.col(vector).cast(VECTOR)
+    return F.transform(x, lambda c: F.when(F.abs(c * scale) < EXACT, F.floor(c * scale).cast("double")).otherwise(c * scale))
+
+
+def large_rows(ids: np.ndarray, rows: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``top_rows`` for sums of any size."""
+    mine = np.flatnonzero(ids != own)
+    q = [int(x) for x in query.tolist()]
+    score = np.array([max(-MOST, min(MOST, sum(a * int(b) for a, b in zip(q, row, strict=True) if a and b))) for row in rows[mine].tolist()], np.int64)
+    pick = np.lexsort((ids[mine], -score))[:k]
+    return mine[pick], score[pick]
 
 
 def top_rows(ids: np.ndarray, postings: np.ndarray, high: np.ndarray, low: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +82,7 @@ def top_rows(ids: np.ndarray, postings: np.ndarray, high: np.ndarray, low: np.nd
     mine = ids[rows] != own
     rows, score = rows[mine], score[mine]
     pick = np.lexsort((ids[rows], -score))[:k]
-    return rows[pick], score[pick]
+    return rows[pick], score[pick].astype(np.int64)
 
 
 def search_exact(df: DataFrame, asks: Column, k: int = 10, scale: int = 1024, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -85,7 +100,9 @@ def search_exact(df: DataFrame, asks: Column, k: int = 10, scale: int = 1024, ke
     def score(ids: np.ndarray, x: np.ndarray, asking: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         postings = np.ascontiguousarray(x.T)
         high, low = postings.max(axis=1), postings.min(axis=1)
-        out = [top_rows(ids, postings, high, low, v, own, k) for own, v in zip(asking.tolist(), q, strict=True)]
+        with np.errstate(over="ignore"):
+            fits = np.abs(q) @ np.maximum(np.abs(high), np.abs(low)) < EXACT
+        out = [top_rows(ids, postings, high, low, v, own, k) if small else large_rows(ids, x, v, own, k) for own, v, small in zip(asking.tolist(), q, fits.tolist(), strict=True)]
         return np.repeat(np.arange(len(q)), [len(c) for c, _ in out]), np.concatenate([c for c, _ in out]), np.concatenate([s for _, s in out])
 
-    return ranked(search(dealt, asked, tasks, score, "double"), k, "long")
+    return ranked(search(dealt, asked, tasks, score, "long"), k, "long")

@@ -4,6 +4,7 @@ import html
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -429,6 +430,35 @@ def test_pages_of_another_make(body, want):
     assert htmltext.main_text(htmltext.trained(), page).split("\n\n") == want
 
 
+SHORT = "The bridge opens on Monday. Walkers may cross it from then."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<div>{SHORT}</div>", [SHORT]),
+        (f"<p>{SHORT}</p>", [SHORT]),
+        (SHORT, [SHORT]),
+        (f"<html><head><title>News</title></head><body><p>{SHORT}</p></body></html>", [SHORT]),
+        (f"<html><body>{SHORT}</body></html>", [SHORT]),
+        (f"<article><h1>A day</h1><!--><p>{DAY}</p><!---><p>{SHORT}</p><!-- x --!><p>{DAY} {DAY}</p><!-- <p>gone</p> --></article>", ["A day", DAY, SHORT, f"{DAY} {DAY}"]),
+        (f"<article><h1>A day</h1><p>{DAY}</p></article><form><textarea name=x>Write here. It is free of charge.</textarea></form><noscript>Please enable JavaScript. It is needed.</noscript>", ["A day", DAY]),
+        (f'<article><h1>A day</h1><p>{DAY}</p><p>{DAY} {DAY}</p></article><div id="disqus_thread"><div class="post">I liked this very much.</div><div class="post">Me too, thanks for it.</div></div>', ["A day", DAY, f"{DAY} {DAY}"]),
+    ],
+)
+def test_short_pages_odd_comments_and_threads(page, want):
+    assert htmltext.main_text(htmltext.trained(), page).split("\n\n") == want
+
+
+def test_unclosed_elements_are_looked_for_once():
+    began = time.process_time()
+    for name in ("svg", "iframe", "noscript", "template"):
+        page = f"<p>{DAY}</p>" + f"<{name}>" * 40_000
+        assert htmltext.blocks(page)[0][1] == DAY
+    assert htmltext.blocks(f"<p>{DAY}</p><textarea>{DAY}")[1:] == []
+    assert time.process_time() - began < 4
+
+
 def plain_article(page):
     """The article element of the driver's pages by plain cuts: a reference that shares no code with the operator."""
     inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]

@@ -101,3 +101,44 @@ def test_maxscore_of_few_and_zero(spark):
     rows = maxscore.search_exact(df, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows if r["query_id"] == 0] == [(0, 1, 1, 0), (0, 2, 100, 0), (0, 3, 100, 0)]
     assert maxscore.search_exact(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_equal_vectors_tie_whatever_their_place():
+    rnd = np.random.default_rng(3)
+    for trial in range(40):
+        x = rnd.standard_normal((200, 37))
+        x[rnd.choice(200, 60, replace=False)] = x[0]  # copies side by side and apart
+        ids = rnd.permutation(200) + 7
+        q = rnd.standard_normal((5, 37)) if trial % 2 else np.repeat(x[:1], 5, axis=0)
+        asking = np.array([1, 2, 3, int(ids[0]), int(ids[5])])
+        row, col, score = ann.finalists(ids, x, asking, q, 30)
+        for i in range(5):
+            exact = []
+            for j in range(200):
+                total = 0.0
+                for a, b in zip(q[i].tolist(), x[j].tolist()):
+                    total += a * b
+                if ids[j] != asking[i]:
+                    exact.append((-total, int(ids[j])))
+            assert [(-s, int(ids[c])) for c, s in zip(col[row == i], score[row == i])] == sorted(exact)[:30]
+
+
+def test_products_that_overflow_are_candidates(spark):
+    df = spark.createDataFrame([(0, [1e200, 0.0]), (1, [1e200, 1.0]), (2, [1.0, 1.0]), (3, [-1e200, 0.0])], "vec_id long, embedding array<double>")
+    got = ann.search_tree(df, F.col("vec_id") == 0, k=5)[0].orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, float("inf")), (2, 1e200), (3, float("-inf"))]
+
+
+def test_large_components_are_summed_exactly(spark):
+    rnd = np.random.default_rng(5)
+    rows = [(i, [float(v) for v in rnd.uniform(-1, 1, 4) * 10.0 ** rnd.integers(0, 10, 4)]) for i in range(60)] + [(100, [100000.3, 100000.3, 0.0, 1.0]), (101, [1e9, -1e9, 1e9, 1.0]), (102, [1e300, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in maxscore.search_exact(df, F.col("vec_id") % 20 == 0, k=10).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    import math
+
+    ints = {i: [math.floor(1024 * x) for x in v] for i, v in rows}
+    for q in got:
+        scores = sorted((-max(1 - 2**63, min(2**63 - 1, sum(a * b for a, b in zip(ints[q], ints[i])))), i) for i in ints if i != q)[:10]
+        assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(scores)]
