@@ -8,7 +8,7 @@ change cuts the text into groups. All texts of a batch lie in one array, where t
 and looks the pairs up; the pairs' counts are broadcast in slices of at most ``PAIRS``, and each slice adds its share to the
 sums of a text, so that any number of different pairs is met by the same bounded tables.
 
-Side A is a byte-level vocabulary, encoded by ``_bpe`` without special tokens. Side B is a sentencepiece model with byte fallback
+Side A is a byte-level vocabulary, encoded by ``_bpe`` without special tokens; its tokens always spell the text. Side B is a sentencepiece model with byte fallback
 and a space mark before the text. No piece of it goes on behind a space mark after another character, so each run of spaces with
 what follows is encoded by the library by itself, each distinct one once.
 
@@ -23,6 +23,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ PAIRS = 4_000_000
 #: Different pairs that a task sums before it hands them on.
 HELD = 2_000_000
 #: A run of spaces and what follows up to the next.
+#: Different pre-tokens and chunks that a task remembers.
+KEPT = 400_000
 CHUNK = re.compile(" +[^ ]*")
 MARK = "▁"
 
@@ -75,36 +78,61 @@ def decimals(n: int) -> tuple[np.ndarray, np.ndarray]:
     return runs_of([b"%d," % i for i in range(n)])
 
 
+class Numbers(dict):
+    """0, 1, .. in the order in which keys are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 class PieceEncoder:
     """Ids of a sentencepiece model for batches of texts, each distinct chunk once; keeps about ``limit`` of them between batches."""
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = KEPT):
         self.model, self.limit = pieces(path), limit
         self.mark = self.model.piece_to_id(MARK)
+        self.values, self.at = bytes_of_b(path)
         self.clear()
 
     def clear(self) -> None:
-        self.rows: dict[str, int] = {}
+        self.rows = Numbers()
         self.ids = np.zeros(0, np.int32)
         self.offsets = np.zeros(1, np.int64)
-
-    def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, which are not empty, in one array, and the number of ids of each."""
+        self.same = np.zeros(0, bool)
+
+    def learn(self, new: list[str]) -> None:
+        made = self.model.encode([c[1:] for c in new], num_threads=1)  # the library sets one mark before each
+        if " " in new:
+            made[new.index(" ")] = [self.mark]
+        ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, made), np.int64, len(made)))))
+        ids = np.fromiter(chain.from_iterable(made), np.int32, int(ends[-1]))
+        spelled = take_runs(self.values, self.at, ids).tobytes()
+        stops = np.concatenate(([0], np.cumsum(self.at[ids + 1] - self.at[ids])))[ends]
+        whole = "".join(new)
+        lengths = np.fromiter((len(c) if whole.isascii() else len(c.encode("utf-8", "surrogatepass")) for c in new), np.int64, len(new))
+        same = np.diff(stops) == lengths
+        if not same.all() or spelled != whole.encode("utf-8", "surrogatepass"):
+            at = stops.tolist()
+            same = np.array([spelled[x:y] == c.encode("utf-8", "surrogatepass") for x, y, c in zip(at, at[1:], new, strict=False)], bool)
+        self.ids = np.concatenate((self.ids, ids))
+        self.offsets = np.concatenate((self.offsets, self.offsets[-1] + ends[1:]))
+        self.same = np.concatenate((self.same, same))
+
+    def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts, which are not empty, in one array, the number of ids of each, and whether they spell the text."""
         if len(self.rows) > self.limit:
             self.clear()
+        before = len(self.rows)
         chunks = [CHUNK.findall(f" {t}") for t in texts]
-        flat = [c for own in chunks for c in own]
-        new = [c for c in dict.fromkeys(flat) if c not in self.rows]
-        if new:
-            self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
-            made = self.model.encode([c[1:] for c in new], num_threads=1)  # the library sets one mark before each
-            made = [ids if c != " " else [self.mark] for c, ids in zip(new, made, strict=True)]
-            self.ids = np.concatenate((self.ids, np.array([i for ids in made for i in ids], np.int32)))
-            self.offsets = np.concatenate((self.offsets, self.offsets[-1] + np.cumsum([len(x) for x in made])))
-        rows = np.fromiter(map(self.rows.__getitem__, flat), np.int64, len(flat))
+        counts = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        rows = np.fromiter(map(self.rows.__getitem__, chain.from_iterable(chunks)), np.int64, int(counts.sum()))
+        if len(self.rows) > before:
+            self.learn(list(islice(self.rows, before, None)))
         sizes = np.concatenate(([0], np.cumsum(self.offsets[rows + 1] - self.offsets[rows])))
-        ends = np.cumsum([0, *map(len, chunks)])
-        return take_runs(self.ids, self.offsets, rows), np.diff(sizes[ends])
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        wrong = np.concatenate(([0], np.cumsum(~self.same[rows])))
+        return take_runs(self.ids, self.offsets, rows), np.diff(sizes[ends]), np.diff(wrong[ends]) == 0
 
 
 class Aligned:
@@ -114,22 +142,13 @@ class Aligned:
         own = [i for i, t in enumerate(texts) if t]
         whole = [f" {texts[i]}" for i in own]
         ids_a, n_a = a.texts(whole)
-        ids_b, n_b = b.texts([t[1:] for t in whole]) if whole else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-        raw = [t.encode("utf-8", "surrogatepass") for t in whole]
-        size = np.fromiter(map(len, raw), np.int64, len(raw))
-        good = np.ones(len(raw), bool)
-        for ids, n, (values, at) in ((ids_a, n_a, of_a), (ids_b, n_b, of_b)):
-            spelled = take_runs(values, at, ids)
-            length = np.diff(np.concatenate(([0], np.cumsum(at[ids + 1] - at[ids])))[np.concatenate(([0], np.cumsum(n)))])
-            good &= length == size
-            if good.all() and spelled.tobytes() == b"".join(raw):
-                continue
-            ends = np.cumsum(length)
-            for i in np.flatnonzero(good).tolist():
-                good[i] = spelled[ends[i] - length[i] : ends[i]].tobytes() == raw[i]
-        ids_a, ids_b = ids_a[np.repeat(good, n_a)], ids_b[np.repeat(good, n_b)]
-        n_a, n_b = n_a[good], n_b[good]
-        owner_a, owner_b = (np.repeat(np.arange(len(ids), dtype=np.int32), at[ids + 1] - at[ids]) for ids, (_, at) in ((ids_a, of_a), (ids_b, of_b)))
+        ids_b, n_b, good = b.texts([t[1:] for t in whole]) if whole else (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, bool))
+        bytes_a, bytes_b = (at[ids + 1] - at[ids] for ids, (_, at) in ((ids_a, of_a), (ids_b, of_b)))
+        if not good.all():
+            bytes_a, bytes_b = bytes_a[np.repeat(good, n_a)], bytes_b[np.repeat(good, n_b)]
+            ids_a, ids_b = ids_a[np.repeat(good, n_a)], ids_b[np.repeat(good, n_b)]
+            n_a, n_b = n_a[good], n_b[good]
+        owner_a, owner_b = (np.repeat(np.arange(len(n), dtype=np.int32), n) for n in (bytes_a, bytes_b))
         change_a, change_b = (np.concatenate(([True], x[1:] != x[:-1])) if len(x) else np.zeros(0, bool) for x in (owner_a, owner_b))
         starts = np.flatnonzero(change_a | change_b)
         self.left, self.right = ids_a[owner_a[starts]], ids_b[owner_b[starts]]
@@ -176,7 +195,7 @@ def links(df: DataFrame, path_a: str, path_b: str, text: str = "text") -> DataFr
     rows = project(df, _text=text).where("_text <> ''")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, of_a, of_b = Encoder(vocabulary(path_a), specials=False), PieceEncoder(path_b), bytes_of_a(path_a), bytes_of_b(path_b)
+        a, b, of_a, of_b = Encoder(vocabulary(path_a), KEPT, specials=False), PieceEncoder(path_b), bytes_of_a(path_a), bytes_of_b(path_b)
         keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
         fresh: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -216,7 +235,7 @@ def align(df: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text: st
         last = at == slices - 1
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            a, b, of_a, of_b = Encoder(vocabulary(path_a), specials=False), PieceEncoder(path_b), bytes_of_a(path_a), bytes_of_b(path_b)
+            a, b, of_a, of_b = Encoder(vocabulary(path_a), KEPT, specials=False), PieceEncoder(path_b), bytes_of_a(path_a), bytes_of_b(path_b)
             keys, times, best = table.value
             for batch in bounded(batches, "_text"):
                 x = Aligned(batch.column(1).to_pylist(), a, b, of_a, of_b)

@@ -145,6 +145,7 @@ def test_chunks_are_encoded_as_in_whole_texts():
     lib, enc = sentencepiece.SentencePieceProcessor(model_file=PIECE), alignment.PieceEncoder(PIECE, limit=50)
     texts = [t for t in odd_texts() if t and "▁" not in t]
     for t in texts:
-        ids, counts = enc.texts([t, t])
+        ids, counts, same = enc.texts([t, t])
+        assert same.all()
         assert ids.tolist() == lib.encode(t) * 2 and counts.tolist() == [len(ids) // 2] * 2
     assert not any("▁" in lib.id_to_piece(i).lstrip("▁") for i in range(lib.vocab_size()))
