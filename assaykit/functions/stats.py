@@ -121,3 +121,61 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     expect = F.col("_a") * F.col("_b") / (F.col("n") * (F.col("n") - 1) / 2)
     most = (F.col("_a") + F.col("_b")) / 2
     return whole.select("n", F.when(most == expect, F.lit(1.0)).otherwise((F.col("_i") - expect) / (most - expect)).alias("ari"))
+
+
+def kolmogorov(d: Column | str, n: Column | str) -> Column:
+    """The chance of a distance of at least d between n uniform values and their distribution, by the limit for many values.
+
+    The limit's two series are each used where a few terms suffice.
+    """
+    x = _c(d) * F.sqrt(_c(n))
+    far = sum(((-1) ** (k - 1) * 2 * F.exp(-2 * k * k * x * x) for k in range(1, 9)), F.lit(0.0))
+    near = 1 - math.sqrt(2 * math.pi) / x * sum((F.exp(-((2 * k - 1) ** 2) * math.pi**2 / (8 * x * x)) for k in range(1, 9)), F.lit(0.0))
+    return F.when(x <= 0.04, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(x < 1.18, near).otherwise(far))))
+
+
+def against_uniform(df: DataFrame, x: str, group: str) -> DataFrame:
+    """(group, n, mean, d, p, deciles, first, last, skew) of values in [0, 1]: the largest distance from the uniform distribution with its
+    chance, counts of tenths, shares below 0.3 and from 0.7, and to which side the mean leans. Counts by value come before any window;
+    equal values are one step of the distribution."""
+    counts = df.where(F.col(x).isNotNull()).groupBy(group, F.col(x).alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    r = ranked(counts, [group], [F.col("_x")], F.col("_x"), "_i")
+    own = Window.partitionBy(group)
+    r = r.withColumn("_n", F.sum("_c").over(own)).withColumn("_upto", F.sum("_c").over(own.orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)))
+    gap = F.greatest(F.col("_upto") / F.col("_n") - F.col("_x"), F.col("_x") - (F.col("_upto") - F.col("_c")) / F.col("_n"))
+    tenth = F.least(F.lit(9), F.floor(F.col("_x") * 10)).cast("int")
+    sums = [F.sum(F.when(tenth == i, F.col("_c")).otherwise(0)) for i in range(10)]
+    out = r.groupBy(group).agg(
+        F.sum("_c").alias("n"),
+        (F.sum(F.col("_x") * F.col("_c")) / F.sum("_c")).alias("mean"),
+        F.max(gap).alias("d"),
+        F.array(*sums).alias("deciles"),
+        (F.sum(F.when(F.col("_x") < 0.3, F.col("_c")).otherwise(0)) / F.sum("_c")).alias("first"),
+        (F.sum(F.when(F.col("_x") >= 0.7, F.col("_c")).otherwise(0)) / F.sum("_c")).alias("last"),
+    )
+    skew = F.when(F.col("mean") < 0.45, "early").when(F.col("mean") > 0.55, "late").otherwise("roughly uniform")
+    return out.select(group, "n", "mean", "d", kolmogorov("d", "n").alias("p"), "deciles", "first", "last", skew.alias("skew"))
+
+
+def least_squares(sums: DataFrame, names: list[str], target: str) -> DataFrame:
+    """sums with the coefficients ``c_<name>`` of least squares without an intercept, from columns ``<a>_<b>`` that hold the sums of products.
+
+    The equations are solved by Cholesky's factors, column by column. If one is no more than rounding, all coefficients are null.
+    """
+    size = len(names)
+    low: dict[tuple[int, int], Column] = {}
+    out = sums
+    for j in range(size):
+        own = F.col(f"{names[j]}_{names[j]}")
+        rest = own - sum((low[j, k] * low[j, k] for k in range(j)), F.lit(0.0))
+        out = out.withColumn(f"_l{j}{j}", F.when(rest > 1e-9 * own, F.sqrt(rest)))
+        low[j, j] = F.col(f"_l{j}{j}")
+        for i in range(j + 1, size):
+            both = F.col(f"{names[j]}_{names[i]}") - sum((low[i, k] * low[j, k] for k in range(j)), F.lit(0.0))
+            out = out.withColumn(f"_l{i}{j}", both / low[j, j])
+            low[i, j] = F.col(f"_l{i}{j}")
+    for j in range(size):
+        out = out.withColumn(f"_z{j}", (F.col(f"{names[j]}_{target}") - sum((low[j, k] * F.col(f"_z{k}") for k in range(j)), F.lit(0.0))) / low[j, j])
+    for j in reversed(range(size)):
+        out = out.withColumn(f"c_{names[j]}", (F.col(f"_z{j}") - sum((low[k, j] * F.col(f"c_{names[k]}") for k in range(j + 1, size)), F.lit(0.0))) / low[j, j])
+    return out.drop(*(f"_l{i}{j}" for i in range(size) for j in range(i + 1)), *(f"_z{j}" for j in range(size)))

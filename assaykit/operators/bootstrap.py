@@ -6,7 +6,7 @@ md5(seed|d|s) modulo their count. Draws and slots are joined to clusters by numb
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaykit.operators.numbering import numbered
@@ -37,6 +37,46 @@ def bootstrap(clusters: DataFrame, cluster: str, num: str, den: str, draws: int
     return resampled(clusters, cluster, [num, den], F.col(num) / F.nullif(F.col(den), F.lit(0)), draws, seed, least)
 
 
+def multiplicities(clusters: DataFrame, cluster: str, draws: int, seed: str = "7") -> DataFrame:
+    """(draw, cluster, times): how often each draw takes each cluster, by the hashes of ``resampled``; one row for each that is taken."""
+    rows = numbered(clusters.select(F.col(cluster).alias("_c")).distinct(), "_c", "_i")
+    n = rows.count()
+    slots = clusters.sparkSession.range(draws * n).select(F.floor(F.col("id") / F.lit(max(n, 1))).cast("long").alias("draw"), (F.col("id") % F.lit(max(n, 1))).alias("slot"))
+    hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "draw", "slot").cast("binary")), 1, 8), 16, 10).cast("long")
+    times = slots.select("draw", (hashed % F.lit(max(n, 1))).alias("_i")).groupBy("draw", "_i").agg(F.count(F.lit(1)).alias("times"))
+    return times.join(rows, "_i").select("draw", F.col("_c").alias(cluster), "times")
+
+
+def weighted_spearman(cells: DataFrame, groups: list[str], x: str, y: str, weight: str) -> DataFrame:
+    """(groups, n, rho) of weighted pairs of values: ranks are those of as many rows as the weights say, ties at their middle.
+
+    rho is null below three rows or where either side has one value.
+    """
+    own = Window.partitionBy(*groups)
+
+    def middle(c: str) -> Column:
+        upto = F.sum(weight).over(own.orderBy(c).rangeBetween(Window.unboundedPreceding, 0))
+        return upto - (F.sum(weight).over(Window.partitionBy(*groups, c)) - 1) / 2
+
+    w = F.col(weight)
+    ranks = cells.withColumns({"_x": middle(x), "_y": middle(y)})
+    s = ranks.groupBy(*groups).agg(F.sum(w).alias("n"), *(F.sum(w * v).alias(k) for k, v in (("sx", F.col("_x")), ("sy", F.col("_y")), ("xx", F.col("_x") ** 2), ("yy", F.col("_y") ** 2), ("xy", F.col("_x") * F.col("_y")))))
+    n = F.col("n")
+    spread = (n * F.col("xx") - F.col("sx") ** 2) * (n * F.col("yy") - F.col("sy") ** 2)
+    return s.select(*groups, "n", F.when((n >= 3) & (spread > 0), (n * F.col("xy") - F.col("sx") * F.col("sy")) / F.sqrt(spread)).alias("rho"))
+
+
+def interval(values: DataFrame, value: str) -> DataFrame:
+    """(valid, low, median, high): 95 % of the draws' values."""
+    return values.agg(F.count(value).alias("valid"), *(F.percentile(value, F.lit(q)).alias(n) for q, n in ((0.025, "low"), (0.5, "median"), (0.975, "high"))))
+
+
+def slots_sql(clusters: str, draws: int, seed: str = "7") -> str:
+    """``multiplicities`` for DuckDB, from a query that gives c."""
+    return f"""cl AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS i FROM ({clusters})), nn AS (SELECT count(*) AS n FROM cl), sl AS (SELECT id // n AS draw, id % n AS slot, n FROM nn, LATERAL (SELECT unnest(range({draws} * n)) AS id)),
+tm AS (SELECT draw, c, count(*) AS times FROM (SELECT draw, CAST('0x' || substr(md5('{seed}|' || draw || '|' || slot), 1, 8) AS BIGINT) % n AS i FROM sl) JOIN cl USING (i) GROUP BY draw, c)"""
+
+
 def resampled_sql(clusters: str, sums: list[str], value: str, draws: int = 200, seed: str = "7", least: int = 20) -> str:
     """The same for DuckDB, from a query that gives c and the sums, and an expression over them."""
     added = ", ".join(f"CAST(sum({c}) AS DOUBLE) AS {c}" for c in sums)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaykit.operators.rounds import kept
+
 
 def newest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in ``order`` (which should be total)."""
@@ -95,3 +97,20 @@ def any_by_cluster(df: DataFrame, cluster: str, arm: str, hit: Column, arms: tup
 def outstanding(planned: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """What is planned and not yet stored."""
     return planned.join(done.select(*keys).distinct(), keys, "left_anti")
+
+
+def depths(df: DataFrame, key: str, parent: str) -> DataFrame:
+    """(key, root, depth): how far each key is below its outermost ancestor, in rounds that double the distance looked up.
+
+    A key whose parent is null, itself or not there is a root. Keys on or below a ring of parents have no root and are left out.
+    """
+    every = kept(df.select(F.col(key).alias("id"), F.col(parent).alias("up")).where("id is not null").dropDuplicates(["id"]))
+    known = every.select(F.col("id").alias("up"), F.lit(True).alias("_known"))
+    up = every.join(known, "up", "left").select("id", F.when(F.col("_known") & (F.col("up") != F.col("id")), F.col("up")).alias("up"))
+    up = kept(up.select("id", "up", F.coalesce("up", "id").alias("root"), F.col("up").isNotNull().cast("int").alias("depth")))
+    total, rounds = up.count(), 0
+    while 2**rounds <= total and not up.where("up is not null").isEmpty():
+        above = up.toDF("up", "_up", "_root", "_depth")
+        up = kept(up.join(above, "up", "left").select("id", F.col("_up").alias("up"), F.coalesce("_root", "root").alias("root"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).cast("int").alias("depth")))
+        rounds += 1
+    return up.where("up is null").select(F.col("id").alias(key), "root", "depth")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from assaykit.streaming.latest import work_folder
 
 
 def kept(df: DataFrame) -> DataFrame:
     """df, computed and written once to the folder in spark.checkpoint.dir; its lineage ends there."""
+    from assaykit.streaming.latest import work_folder  # which stands on the records that stand on this
+
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or work_folder(df.sparkSession, "rounds"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assaykit.functions import stats, text
-from assaykit.operators import bootstrap, edits, metrics, records, sampling
+from assaykit.operators import bootstrap, edits, matching, metrics, records, sampling
 from assaykit.operators.numbering import numbered
 from assaykit.plans.aggregates import _rounded
 from assaykit.plans.judging import N, T, low_high_sql, now, pairs
@@ -195,18 +195,33 @@ def bootstrap_standard_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(bootstrap.bootstrap(per, "user_id", "num", "den"))
 
 
-@query()
+@query(f"""{N}, {bootstrap.slots_sql("SELECT DISTINCT user_id AS c FROM j", 100)}, pc AS (SELECT user_id, score, count(*) FILTER (role = 'errored') AS pos, count(*) FILTER (role = 'clean') AS neg FROM j WHERE score IS NOT NULL GROUP BY ALL),
+dc AS (SELECT draw, score AS s, sum(times * pos) AS pos, sum(times * neg) AS neg FROM tm JOIN pc ON pc.user_id = tm.c GROUP BY ALL), ab AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY draw ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM dc),
+au AS (SELECT draw, CAST(sum(2 * pos * above + pos * neg) AS DOUBLE) / nullif(2 * sum(pos) * sum(neg), 0) AS auc FROM ab GROUP BY draw) SELECT count(auc) AS valid, round(quantile_cont(auc, 0.025), 9) AS low, round(quantile_cont(auc, 0.5), 9) AS median, round(quantile_cont(auc, 0.975), 9) AS high FROM au""")
 def bootstrap_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval of an AUC, which no sums per cluster give: scores are counted per draw, and each draw's curve is its own group."""
-    j = now(spark, sf_dir)
-    clusters = numbered(j.select("user_id").distinct(), "user_id", "_i")
-    n = clusters.count()
-    slots = spark.range(100 * n).select(F.floor(F.col("id") / max(n, 1)).cast("long").alias("draw"), (F.col("id") % max(n, 1)).alias("slot"))
-    hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("7"), "draw", "slot").cast("binary")), 1, 8), 16, 10).cast("long")
-    times = slots.select("draw", (hashed % max(n, 1)).alias("_i")).groupBy("draw", "_i").agg(F.count(F.lit(1)).alias("times")).join(clusters, "_i")
-    per = j.groupBy("user_id", "score").agg(F.count_if(F.col("role") == "errored").alias("pos"), F.count_if(F.col("role") == "clean").alias("neg"))
-    counts = times.join(per, "user_id").groupBy("draw", F.col("score").alias("s")).agg(F.sum(F.col("times") * F.col("pos")).alias("pos"), F.sum(F.col("times") * F.col("neg")).alias("neg"))
-    return metrics.auc(counts, ["draw"]).agg(F.count("auc").alias("valid"), F.percentile("auc", F.lit(0.025)).alias("low"), F.percentile("auc", F.lit(0.5)).alias("median"), F.percentile("auc", F.lit(0.975)).alias("high"))
+    j = now(spark, sf_dir).where("score is not null")
+    per = j.groupBy("user_id", F.col("score").alias("s")).agg(F.count_if(F.col("role") == "errored").alias("pos"), F.count_if(F.col("role") == "clean").alias("neg"))
+    drawn = bootstrap.multiplicities(j, "user_id", 100).join(per, "user_id")
+    counts = drawn.groupBy("draw", "s").agg(F.sum(F.col("times") * F.col("pos")).alias("pos"), F.sum(F.col("times") * F.col("neg")).alias("neg"))
+    return bootstrap.interval(metrics.auc(counts, ["draw"]), "auc").withColumns({c: F.round(c, 9) for c in ("low", "median", "high")})
+
+
+@query(f"""{T}, mg AS (SELECT user_id, CASE severity WHEN 'critical' THEN 3 WHEN 'supporting' THEN 2 ELSE 1 END AS x, round(avg(clean_score - score), 6) AS y FROM tw WHERE pair_type = 'omit' AND NOT parse_failure AND NOT clean_failure GROUP BY user_id, event_type, severity),
+{bootstrap.slots_sql("SELECT DISTINCT user_id AS c FROM mg", 100)}, pc AS (SELECT user_id, x, y, count(*) AS n FROM mg GROUP BY ALL), dw AS (SELECT draw, x, y, sum(times * n) AS w FROM tm JOIN pc ON pc.user_id = tm.c GROUP BY ALL),
+mr AS (SELECT *, sum(w) OVER (PARTITION BY draw ORDER BY x RANGE UNBOUNDED PRECEDING) - (sum(w) OVER (PARTITION BY draw, x) - 1) / 2 AS rx, sum(w) OVER (PARTITION BY draw ORDER BY y RANGE UNBOUNDED PRECEDING) - (sum(w) OVER (PARTITION BY draw, y) - 1) / 2 AS ry FROM dw),
+sm AS (SELECT draw, CAST(sum(w) AS DOUBLE) AS n, sum(w * rx) AS sx, sum(w * ry) AS sy, sum(w * rx * rx) AS xx, sum(w * ry * ry) AS yy, sum(w * rx * ry) AS xy FROM mr GROUP BY draw),
+rh AS (SELECT CASE WHEN n >= 3 AND (n * xx - sx * sx) * (n * yy - sy * sy) > 0 THEN (n * xy - sx * sy) / sqrt((n * xx - sx * sx) * (n * yy - sy * sy)) END AS rho FROM sm)
+SELECT count(rho) AS valid, round(quantile_cont(rho, 0.025), 7) AS low, round(quantile_cont(rho, 0.5), 7) AS median, round(quantile_cont(rho, 0.975), 7) AS high FROM rh""")
+def bootstrap_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interval of the rank correlation between an omission's importance and its score gap; ranks are formed in each draw, from counts."""
+    x = F.when(F.col("severity") == "critical", 3).when(F.col("severity") == "supporting", 2).otherwise(1)
+    sound = pairs(spark, sf_dir).where("pair_type = 'omit' and not parse_failure and not clean_failure")
+    gaps = sound.groupBy("user_id", "event_type", x.alias("x")).agg(F.round(F.avg(F.col("clean_score") - F.col("score")), 6).alias("y"))
+    per = gaps.groupBy("user_id", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    drawn = bootstrap.multiplicities(gaps, "user_id", 100).join(per, "user_id")
+    cells = drawn.groupBy("draw", "x", "y").agg(F.sum(F.col("times") * F.col("n")).cast("double").alias("w"))
+    return bootstrap.interval(bootstrap.weighted_spearman(cells, ["draw"], "x", "y", "w"), "rho").withColumns({c: F.round(c, 7) for c in ("low", "median", "high")})
 
 
 @query(f"""{N}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY md5('smoke' || event_id), event_id) AS i FROM j), o AS (SELECT event_id, user_id, stratum, pair_type, row_number() OVER (PARTITION BY stratum ORDER BY md5('smoke' || event_id), event_id) AS t FROM r WHERE i = 1) SELECT event_id, user_id, stratum, coalesce(pair_type, 'none') AS pair_type FROM o WHERE t <= 4""")
@@ -252,15 +267,9 @@ i AS (SELECT item_id, sum(idf) AS total FROM x JOIN d USING (word) GROUP BY item
 c AS (SELECT doc_id, item_id, round(got / total, 9) AS share FROM s JOIN i USING (item_id)), m AS (SELECT *, max(share) OVER (PARTITION BY doc_id) AS best FROM c) SELECT doc_id, count(*) AS near_best, min(item_id) AS item_id, max(share) AS share FROM m WHERE share >= 0.28 AND share >= best - 0.005 GROUP BY doc_id""")
 def tfidf_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IDF-weighted containment of each item in each document, behind a gate: 0.28 or more, and within 0.005 of the best."""
-    b = read(spark, sf_dir, "benchmark").where("text is not null").select("item_id", F.explode(F.array_distinct(text.words(F.col("text")))).alias("word"))
-    n = read(spark, sf_dir, "benchmark").where("text is not null").count()
-    idf = b.groupBy("word").agg((F.log(F.lit(float(n)) / (1 + F.count(F.lit(1)))) + 1).alias("idf"))
-    weighted = b.join(idf, "word")
-    total = weighted.groupBy("item_id").agg(F.sum("idf").alias("total"))
-    q = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.explode(F.array_distinct(text.words(F.col("text")))).alias("word"))
-    got = q.join(weighted, "word").groupBy("doc_id", "item_id").agg(F.sum("idf").alias("got"))
-    share = got.join(total, "item_id").select("doc_id", "item_id", F.round(F.col("got") / F.col("total"), 9).alias("share"))
-    gated = share.withColumn("_b", F.max("share").over(Window.partitionBy("doc_id"))).where("share >= 0.28 and share >= _b - 0.005")
+    found = matching.contained(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents"), "item_id", "doc_id", "text", 0.28)
+    share = found.withColumn("share", F.round("share", 9)).where("share >= 0.28")
+    gated = share.withColumn("_b", F.max("share").over(Window.partitionBy("doc_id"))).where("share >= _b - 0.005")
     return gated.groupBy("doc_id").agg(F.count(F.lit(1)).alias("near_best"), F.min("item_id").alias("item_id"), F.max("share").alias("share"))
 
 
@@ -302,9 +311,9 @@ def capture_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH RECURSIVE n AS (SELECT DISTINCT user_id AS id, CAST(floor(user_id / 3) AS BIGINT) AS parent FROM events), t AS (SELECT id, 0 AS depth FROM n WHERE id = 0 UNION ALL SELECT n.id, t.depth + 1 FROM n JOIN t ON n.parent = t.id AND n.id <> 0) SELECT id, CAST(depth AS INTEGER) AS depth FROM t""")
 def lineage_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Depth of each candidate below the first, level by level over (id, parent)."""
-    read(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.floor(F.col("user_id") / 3).cast("long").alias("parent")).distinct().createOrReplaceTempView("_lineage")
-    return spark.sql("WITH RECURSIVE t AS (SELECT id, 0 AS depth FROM _lineage WHERE id = 0 UNION ALL SELECT n.id, t.depth + 1 FROM _lineage n JOIN t ON n.parent = t.id AND n.id <> 0) SELECT id, depth FROM t")
+    """Depth of each candidate below the first, over (id, parent)."""
+    n = read(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.floor(F.col("user_id") / 3).cast("long").alias("parent")).distinct()
+    return records.depths(n, "id", "parent").where(F.col("root") == 0).select("id", "depth")
 
 
 @query(f"""{N}, m AS (SELECT CAST(floor(event_id / 500) AS BIGINT) AS chunk, count(*) AS n, count(*) FILTER (flagged) AS kept FROM j GROUP BY 1) SELECT chunk, CAST(sum(n) OVER w AS BIGINT) AS seen, CAST(sum(kept) OVER w AS BIGINT) AS kept, CAST(sum(kept) OVER w AS DOUBLE) / sum(n) OVER w AS survival FROM m WINDOW w AS (ORDER BY chunk ROWS UNBOUNDED PRECEDING)""")

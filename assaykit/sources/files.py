@@ -75,3 +75,24 @@ def long_table(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each key and measure, for tab-separated output."""
     rest = [c for c in df.columns if c not in keys]
     return df.select(*keys, F.explode(F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).cast("string").alias("value")) for c in rest))).alias("_m")).select(*keys, "_m.measure", "_m.value")
+
+
+def lines_in_order(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file, block, place) of every line: (file, block, place) rises in the order of lines in files taken by name.
+
+    A file that is cut into splits has one block for each, by where it starts; place counts on within a task, which reads its
+    splits from start to end.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    return lines.withColumn("place", F.monotonically_increasing_id())
+
+
+def last_lines(spark: SparkSession, path: str, schema: T.StructType, keys: list[str]) -> DataFrame:
+    """The last sound JSON line of each key in file order; torn and blank lines are passed over."""
+    wide = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
+    rows = lines_in_order(spark, path).where(F.trim("value") != "")
+    rows = rows.withColumn("_r", F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}))
+    sound = rows.where(F.col("_r").isNotNull() & F.col(f"_r.{BAD}").isNull()).select("_r.*", F.struct("file", "block", "place").alias("_at")).drop(BAD)
+    rest = [f.name for f in schema.fields if f.name not in keys]
+    last = sound.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_at").alias("_l"))
+    return last.select(*keys, "_l.*").select(*(f.name for f in schema.fields))
