@@ -50,7 +50,7 @@ WORDS, SKETCH = -(-SEGMENTS * 23 // 64), 3
 #: Sets of fewer than SMALL hashes have ``MORE``, since sums of few hashes are often zero.
 FAR, SMALL, MORE = 62, 16, 12
 #: Documents, and hashes of documents, that a task goes through at once.
-BLOCK, HASHES = 2048, 2_000_000
+BLOCK, HASHES = 2048, 1_000_000
 #: Texts -> the sorted distinct hashes of each.
 Sets = Callable[[list[str | None]], list[np.ndarray]]
 
