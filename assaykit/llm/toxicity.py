@@ -112,13 +112,12 @@ def features(automaton: ahocorasick.Automaton, text: str | None) -> tuple[float,
 
 
 def candidates(folded: str) -> Counter:
-    """What may become an entry: each word, each beginning of a word, from four letters to twelve; with how often, ``PER_TEXT`` at most."""
+    """What may become an entry: each word, and each beginning of a word from four letters to twelve; with how often, ``PER_TEXT`` at most."""
     out: Counter = Counter()
     for w, n in Counter(folded.split()).items():
-        if len(w) > 3:
-            for k in range(4, min(len(w), 12) + 1):
-                out[" " + w[:k]] += n
-            out[f" {w} "] += n
+        for k in range(4, min(len(w), 12) + 1):
+            out[" " + w[:k]] += n
+        out[f" {w} "] += n
     return Counter({t: min(n, PER_TEXT) for t, n in out.items()})
 
 
@@ -175,7 +174,7 @@ def learn(df: DataFrame, labels: DataFrame, per_class: int = 4000, margin: float
 
 
 def _exceptions(rows: DataFrame, lexicon: Lexicon, n: dict) -> list[str]:
-    """Whole words and word pairs that hold an entry and that clean texts have no less than toxic ones, in three texts or more."""
+    """Whole words that hold an entry, also with the word before or after them, that clean texts have no less than toxic ones, in three texts or more."""
     shared = rows.sparkSession.sparkContext.broadcast(lexicon)
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,6 +190,8 @@ def _exceptions(rows: DataFrame, lexicon: Lexicon, n: dict) -> list[str]:
                     nxt = folded.find(" ", stop + 1)
                     if nxt > 0:
                         own.add(folded[start : nxt + 1])
+                    if start > 0:
+                        own.add(folded[folded.rindex(" ", 0, start) : stop + 1])
                 seen[label > 0].update(own)
         terms = list(seen[0].keys() | seen[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in seen)], names=["term", "clean", "toxic"])
