@@ -71,6 +71,18 @@ def interval(values: DataFrame, value: str) -> DataFrame:
     return values.agg(F.count(value).alias("valid"), *(F.percentile(value, F.lit(q)).alias(n) for q, n in ((0.025, "low"), (0.5, "median"), (0.975, "high"))))
 
 
+def percentile_rules(values: DataFrame, value: str, least: int = 20) -> DataFrame:
+    """(rule, valid, low, high): the ends of a 95 % interval of draws by four rules. ``linear`` lies between the two nearest draws;
+    the others take the draw at 0.025 and 0.975 of their number rounded down, of the sorted draws counted from 0; ``inner`` the one
+    below the upper, ``outer`` the one below the lower. Fewer than ``least`` draws with a value give no ends.
+    """
+    s = values.agg(F.array_sort(F.collect_list(value)).alias("l"), F.percentile(value, F.lit(0.025)).alias("a"), F.percentile(value, F.lit(0.975)).alias("z")).withColumn("n", F.size("l"))  # as many as draws
+    lo, hi = F.floor(F.col("n") * 0.025).cast("int"), F.floor(F.col("n") * 0.975).cast("int")
+    ends = {"linear": (F.col("a"), F.col("z")), "floor": (F.get("l", lo), F.get("l", hi)), "inner": (F.get("l", lo), F.get("l", hi - 1)), "outer": (F.get("l", lo - 1), F.get("l", hi))}
+    rows = F.array(*(F.struct(F.lit(r).alias("rule"), F.col("n").cast("long").alias("valid"), F.when(F.col("n") >= least, a).alias("low"), F.when(F.col("n") >= least, z).alias("high")) for r, (a, z) in ends.items()))
+    return s.select(F.explode(rows).alias("_r")).select("_r.*")
+
+
 def slots_sql(clusters: str, draws: int, seed: str = "7") -> str:
     """``multiplicities`` for DuckDB, from a query that gives c."""
     return f"""cl AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS i FROM ({clusters})), nn AS (SELECT count(*) AS n FROM cl), sl AS (SELECT id // n AS draw, id % n AS slot, n FROM nn, LATERAL (SELECT unnest(range({draws} * n)) AS id)),

@@ -18,6 +18,18 @@ def paired(twins: DataFrame, groups: list[str]) -> DataFrame:
     return out.withColumn("paired", (2 * F.col("wins") + F.col("ties")) / (2 * F.col("n")))
 
 
+def paired_with_failures(twins: DataFrame, groups: list[str], failures: str) -> DataFrame:
+    """``paired`` where pairs of which a reply could not be read count as a ``tie`` or a ``loss``, or are left ``out``."""
+    if failures not in ("tie", "loss", "out"):
+        raise ValueError("failures must be tie, loss or out")
+    bad = F.col("parse_failure") | F.col("clean_failure")
+    e, c = F.col("score"), F.col("clean_score")
+    rows = twins.where(~bad) if failures == "out" else twins
+    ties = ~bad & (e == c) | (bad if failures == "tie" else F.lit(False))
+    out = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.count_if(~bad & (e < c)).alias("wins"), F.count_if(ties).alias("ties"))
+    return out.withColumn("paired", (2 * F.col("wins") + F.col("ties")) / (2 * F.col("n")))
+
+
 def paired_over_replicates(twins: DataFrame, groups: list[str], replicate: str = "replicate") -> DataFrame:
     """Mean over replicates of each replicate's discrimination."""
     return paired(twins, [*groups, replicate]).groupBy(*groups).agg(F.count(F.lit(1)).alias("replicates"), F.sum("n").alias("n"), F.avg("paired").alias("paired"))

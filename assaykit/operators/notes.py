@@ -78,7 +78,7 @@ def greedy_clusters(df: DataFrame, group: str, key: str, text: str, least: float
 
 
 def cosine_groups(df: DataFrame, note: list[str], key: str, vector: str, levels: tuple[float, ...] = (0.8, 0.85, 0.9)) -> DataFrame:
-    """(note, level, items, groups): near-duplicate groups of each note's vectors at several cosines, linked transitively.
+    """(note, level, items, groups, pairs): near-duplicate groups of each note's vectors at several cosines, linked transitively.
 
     A note holds one document's findings. Pairs are compared inside a note's own matrix; nothing of them is handed on.
     """
@@ -96,11 +96,12 @@ def cosine_groups(df: DataFrame, note: list[str], key: str, vector: str, levels:
                 if (low == label).all():
                     break
                 label = low
-            out.append((*(items[c].iloc[0] for c in note), level, len(x), len(set(label.tolist()))))
-        return pd.DataFrame(out, columns=[*note, "level", "items", "groups"])
+            pairs = int((np.triu(near, 1) >= level).sum())
+            out.append((*(items[c].iloc[0] for c in note), level, len(x), len(set(label.tolist())), pairs))
+        return pd.DataFrame(out, columns=[*note, "level", "items", "groups", "pairs"])
 
     kinds = dict(df.dtypes)
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in note), "level double", "items long", "groups long"])
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in note), "level double", "items long", "groups long", "pairs long"])
     return df.where(F.col(vector).isNotNull()).groupBy(*note).applyInPandas(run, schema)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assaykit.plans import aggregates, clusters, contrasts, judging, models, notes, places, readouts, releases, sampling, texts  # noqa: F401
+from assaykit.plans import aggregates, clusters, contrasts, judging, models, notes, places, readouts, releases, sampling, texts, variants  # noqa: F401
 from assaykit.plans.registry import ORACLES, QUERIES, Query
 
 

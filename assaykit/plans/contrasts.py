@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assaykit.functions import stats, text
 from assaykit.operators import bootstrap, edits, matching, metrics, records, sampling
-from assaykit.operators.numbering import numbered
+from assaykit.operators.numbering import numbered, ranked
 from assaykit.plans.aggregates import _rounded
 from assaykit.plans.judging import N, T, low_high_sql, now, pairs
 from assaykit.plans.registry import query
@@ -283,19 +283,20 @@ def leak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.withColumn("fails", (F.col("runs") >= 15) | (F.col("share") >= 0.2))
 
 
-@query(r"""WITH q AS (SELECT conv_id, turn, text, unnest(regexp_extract_all(replace(text, '. ', '" "'), '"([^"]{20,})"', 1)) AS quote FROM conversations WHERE text IS NOT NULL) SELECT conv_id, turn, md5(quote) AS quote, contains(text, quote) AS verbatim FROM q""")
+@query(r"""WITH q AS (SELECT conv_id, turn, text, unnest(regexp_extract_all(replace(text, '. ', '" "'), '"([^"]{20,})"', 1)) AS quote FROM conversations WHERE text IS NOT NULL) SELECT conv_id, turn, md5(quote) AS quote, contains(text, quote) AS verbatim FROM (SELECT conv_id, turn, text, CASE WHEN (conv_id + turn) % 3 = 0 THEN replace(quote, 'e', 'ee') ELSE quote END AS quote FROM q)""")
 def quoted_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quoted spans (here: sentences put in quotes), and whether they stand in the text word for word."""
+    """Quoted spans (here: sentences put in quotes, a third of them spoilt), and whether they stand in the text word for word."""
     quoted = F.regexp_extract_all(F.replace("text", F.lit(". "), F.lit('" "')), F.lit('"([^"]{20,})"'), 1)
     q = read(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", "text", F.explode(quoted).alias("quote"))
+    q = q.withColumn("quote", F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, F.replace("quote", F.lit("e"), F.lit("ee"))).otherwise(F.col("quote")))
     return q.select("conv_id", "turn", F.md5("quote").alias("quote"), F.contains("text", F.col("quote")).alias("verbatim"))
 
 
-@query("""WITH g AS (SELECT conv_id, count(*) AS items, count(DISTINCT md5(text)) AS groups FROM conversations WHERE role = 'user' GROUP BY conv_id), a AS (SELECT DISTINCT conv_id FROM conversations) SELECT CAST(sum(coalesce(items, 0)) AS BIGINT) AS items, CAST(sum(coalesce(groups, 0)) AS BIGINT) AS distinct_items, count(*) FILTER (items IS NULL) AS unmerged_notes FROM a LEFT JOIN g USING (conv_id)""")
+@query("""WITH g AS (SELECT conv_id, count(*) AS items, count(DISTINCT md5(left(text, 1))) AS groups FROM conversations WHERE role = 'user' AND conv_id % 7 <> 3 GROUP BY conv_id), a AS (SELECT DISTINCT conv_id FROM conversations) SELECT CAST(sum(coalesce(items, 0)) AS BIGINT) AS items, CAST(sum(coalesce(groups, 0)) AS BIGINT) AS distinct_items, count(*) FILTER (items IS NULL) AS unmerged_notes FROM a LEFT JOIN g USING (conv_id)""")
 def distinct_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings after grouping within notes; notes without groups count unmerged."""
+    """Findings after grouping within notes by their first letter; notes without groups count unmerged."""
     c = read(spark, sf_dir, "conversations")
-    g = c.where("role = 'user'").groupBy("conv_id").agg(F.count(F.lit(1)).alias("items"), F.count_distinct(F.md5("text")).alias("groups"))
+    g = c.where("role = 'user' and conv_id % 7 <> 3").groupBy("conv_id").agg(F.count(F.lit(1)).alias("items"), F.count_distinct(F.md5(F.substring("text", 1, 1))).alias("groups"))
     a = c.select("conv_id").distinct().join(g, "conv_id", "left")
     return a.agg(F.sum(F.coalesce("items", F.lit(0))).alias("items"), F.sum(F.coalesce("groups", F.lit(0))).alias("distinct_items"), F.count_if(F.col("items").isNull()).alias("unmerged_notes"))
 
@@ -305,8 +306,7 @@ def capture_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources not yet captured, with their place in the queue."""
     j = now(spark, sf_dir)
     q = records.outstanding(j.select("stratum", "user_id").distinct(), j.where("replicate = 1 and flagged and severity = 'critical' and score <= 1"), ["user_id"])
-    w = Window.partitionBy("stratum")
-    return q.select("stratum", "user_id", F.row_number().over(w.orderBy("user_id")).cast("long").alias("sequence"), F.count(F.lit(1)).over(w).alias("queued"))
+    return ranked(q.select("stratum", "user_id"), ["stratum"], [F.col("user_id")], F.col("user_id"), "sequence", "queued")
 
 
 @query("""WITH RECURSIVE n AS (SELECT DISTINCT user_id AS id, CAST(floor(user_id / 3) AS BIGINT) AS parent FROM events), t AS (SELECT id, 0 AS depth FROM n WHERE id = 0 UNION ALL SELECT n.id, t.depth + 1 FROM n JOIN t ON n.parent = t.id AND n.id <> 0) SELECT id, CAST(depth AS INTEGER) AS depth FROM t""")

@@ -175,12 +175,12 @@ def survivor_options(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {C}, i AS (SELECT conv_id, ['omission', 'addition', 'other'][(conv_id + turn) % 11 // 5 + 1] AS kind, turn % 4 <> 3 OR conv_id % 3 = 0 AS fine, conv_id % 5 AS h FROM c)
-SELECT conv_id, bool_and(kind <> 'other') AND h <> 0 AS valid, CASE WHEN bool_and(kind <> 'other') AND h <> 0 THEN bool_and(fine) END AS passes, true AS claimed FROM i GROUP BY conv_id, h""")
+SELECT conv_id, bool_and(kind <> 'other') AND h <> 0 AS valid, CASE WHEN bool_and(kind <> 'other') AND h <> 0 THEN bool_and(fine) END AS passes, conv_id % 4 <> 1 AS claimed FROM i GROUP BY conv_id, h""")
 def audit_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audits of a sound form (known kinds, a note of 40 characters); whether they pass follows from their items, not from what they claim."""
     conv, turn = F.col("conv_id"), F.col("turn")
     item = F.to_json(F.struct(F.element_at(F.array(*map(F.lit, ("omission", "addition", "other"))), (F.floor((conv + turn) % 11 / 5) + 1).cast("int")).alias("kind"), F.when((turn % 4 != 3) | (conv % 3 == 0), "ok").otherwise("bad").alias("verdict")))
-    landed = _listed(_turns(spark, sf_dir), item, "audit", ', "pass": true').select("conv_id", F.from_json(F.regexp_extract("reply", r"(?s)(\{.*\})", 1), "audit array<struct<kind: string, verdict: string>>, pass boolean").alias("r"))
+    landed = _listed(_turns(spark, sf_dir), item, "audit", ', "pass": true').withColumn("reply", F.when(conv % 4 == 1, F.replace("reply", F.lit('"pass": true'), F.lit('"pass": false'))).otherwise(F.col("reply"))).select("conv_id", F.from_json(F.regexp_extract("reply", r"(?s)(\{.*\})", 1), "audit array<struct<kind: string, verdict: string>>, pass boolean").alias("r"))
     note = F.when(conv % 5 == 0, "too short").otherwise(F.repeat(F.lit("a verified note "), F.lit(4)))
     valid = F.coalesce(F.forall("r.audit", lambda x: x["kind"].isin("omission", "addition")), F.lit(False)) & (F.length(F.trim(note)) >= 40)
     return landed.select("conv_id", valid.alias("valid"), F.when(valid, F.forall("r.audit", lambda x: x["verdict"] == "ok")).alias("passes"), F.col("r.pass").alias("claimed"))

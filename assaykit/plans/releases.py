@@ -66,7 +66,9 @@ def text_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcripts whose names say source and id; variants are left out."""
     kind = F.when(F.col("conv_id") % 4 == 0, "__short").otherwise("")
     named = talks(spark, sf_dir).select(F.concat(F.lit("talk__"), F.col("conv_id").cast("string"), kind).alias("name"), F.col("transcript").alias("value"))
-    return files.named(named, "name", "value").select("source", "id", F.md5("text").alias("digest"))
+    folder = work_folder(spark, "texts")
+    named.repartition("name").write.partitionBy("name").option("lineSep", "\n").text(folder)  # a file for each name
+    return files.named_folders(spark, folder).select("source", "id", F.md5("text").alias("digest"))
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS name, coalesce(lang, 'none') AS value FROM documents UNION ALL SELECT 'id', 'lang'")
@@ -94,5 +96,5 @@ def answer_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT l.doc_id, l.quality, md5(d.text) AS digest FROM labels l JOIN documents d USING (doc_id)""")
 def side_table_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled items with the texts that a side table holds for them."""
-    side = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return read(spark, sf_dir, "labels").join(side, "doc_id").select("doc_id", "quality", F.md5("text").alias("digest"))
+    side = read(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("digest"))
+    return read(spark, sf_dir, "labels").join(side, "doc_id").select("doc_id", "quality", "digest")

@@ -158,10 +158,13 @@ def duplicate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.duplicates(d, ["digest"])
 
 
-@query("""WITH a AS (SELECT doc_id, sha256(concat_ws(chr(31), text, lang)) AS h FROM documents WHERE doc_id % 2 = 0), b AS (SELECT DISTINCT sha256(concat_ws(chr(31), text, lang)) AS h FROM documents WHERE doc_id % 2 = 1) SELECT doc_id FROM a ANTI JOIN b USING (h)""")
+@query("""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 11 < 2 THEN NULL ELSE text END AS text, CASE doc_id % 22 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 11 THEN NULL ELSE lang END AS lang FROM documents)
+SELECT doc_id FROM d a WHERE doc_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM d b WHERE b.doc_id % 2 = 1 AND b.text IS NOT DISTINCT FROM a.text AND b.lang IS NOT DISTINCT FROM a.lang)""")
 def content_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of one release (even ids) whose content the other (odd ids) lacks."""
-    d = read(spark, sf_dir, "documents")
+    """Rows of one release (even ids) whose content the other (odd ids) lacks; a null is content of its own, not an empty string."""
+    n = F.col("doc_id")
+    lang = F.when((n % 22).isin(0, 11), F.lit(None)).when(n % 22 == 1, "").otherwise(F.col("lang"))
+    d = read(spark, sf_dir, "documents").select("doc_id", F.when(n % 11 >= 2, F.col("text")).alias("text"), lang.alias("lang"))
     return records.by_content(d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1"), ["text", "lang"]).select("doc_id")
 
 

@@ -49,6 +49,13 @@ def named_texts(spark: SparkSession, path: str) -> DataFrame:
     return named(files.withColumn("_n", F.url_decode("_n")), "_n", "value")
 
 
+def named_folders(spark: SparkSession, path: str) -> DataFrame:
+    """(source, id, text) of text files in folders ``name=<source>__<id>``; the line end that a writer puts last is no text."""
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    name = F.url_decode(F.regexp_extract("_metadata.file_path", r"/name=([^/]*)/[^/]*$", 1))
+    return named(files.select(name.alias("_n"), F.regexp_replace("value", r"\n\z", "").alias("value")), "_n", "value")
+
+
 def named(df: DataFrame, name: str, text: str) -> DataFrame:
     """(source, id, text) of rows named ``<source>__<id>``; names with more or fewer parts are left out."""
     parts = F.split(name, "__")
