@@ -76,3 +76,18 @@ def quota_backfill(df: DataFrame, bucket: str, quotas: dict[str, int], total: in
     inside = F.row_number().over(Window.partitionBy(*groups, bucket).orderBy(*order)) <= quota
     ranked = df.withColumn("_in", inside)
     return ranked.withColumn("_r", F.row_number().over(Window.partitionBy(*groups).orderBy(F.desc("_in"), *order))).where(F.col("_r") <= total).withColumn("by", F.when(F.col("_in"), "quota").otherwise("back-fill")).drop("_in", "_r")
+
+
+def carve(df: DataFrame, item: str, categories: str, total: int, salt: str) -> DataFrame:
+    """(item, stratum, carved): ``total`` items set apart in proportion to the exact sets of categories, by stable order in each.
+
+    A stratum is an item's sorted categories; items without any are stratum ``(none)`` and stay. Fewer items with categories than ``total`` all go.
+    """
+    rows = df.select(item, F.array_join(F.array_sort(F.array_distinct(categories)), "|").alias("stratum"))
+    pool = rows.where("stratum <> ''")
+    sizes = pool.groupBy("stratum").agg(F.count(F.lit(1)).alias("_size"))
+    seats = apportion(sizes, "stratum", "_size", min(total, pool.count())).select(F.col("stratum").alias("_s"), "seats")  # a row for each set of categories
+    digest = stable(F.col(item), salt)
+    placed = ranked(pool, ["stratum"], [digest, F.col(item)], hex_cut(digest), "_rank")
+    drawn = placed.join(seats, F.col("stratum") == F.col("_s")).select(item, "stratum", (F.col("_rank") <= F.col("seats")).alias("carved"))
+    return drawn.unionByName(rows.where("stratum = ''").select(item, F.lit("(none)").alias("stratum"), F.lit(False).alias("carved")))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.operators import bootstrap, metrics, notes
+from assaykit.operators import bootstrap, metrics, notes, sampling
 from assaykit.operators.sections import STRENGTH
 from assaykit.plans.judging import N, T, now, pairs
 from assaykit.plans.registry import query
+from assaykit.sources.files import newest_release
 from assaykit.sources.tables import read
+from assaykit.streaming.latest import work_folder
 
 DRAWN_SQL = f"""{T}, {bootstrap.slots_sql("SELECT DISTINCT user_id AS c FROM tw", 200)}, sm AS (SELECT user_id, sum(2 * CAST(score < clean_score AS INT) + CAST(score = clean_score AS INT)) AS num, 2 * count(*) AS den FROM tw GROUP BY user_id),
 dv AS (SELECT draw, CAST(sum(times * num) AS DOUBLE) / sum(times * den) AS v FROM tm JOIN sm ON sm.user_id = tm.c GROUP BY draw), dl AS (SELECT list_sort(list(v)) AS l, count(v) AS n FROM dv)"""
@@ -111,3 +113,77 @@ def cosine_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = v.select("vec_id", "note", F.concat(F.transform("e", lambda x: x / F.col("_s")), F.array(F.lit(2.2))).alias("v"))
     per = notes.cosine_groups(v, ["note"], "vec_id", "v", (0.8, 0.85, 0.9))
     return per.groupBy("level").agg(F.sum("items").alias("items"), F.sum("pairs").alias("merged_pairs"), F.sum("groups").alias("n_distinct"), F.round(F.sum("items") / F.sum("groups"), 3).alias("factor"))
+
+
+@query(f"""{N}, {bootstrap.resampled_sql("SELECT user_id AS c, count(*) FILTER (flagged AND severity = 'critical') AS a, count(*) FILTER (severity = 'critical') AS b, count(*) FILTER (flagged AND severity = 'peripheral') AS d, count(*) FILTER (severity = 'peripheral') AS e FROM j GROUP BY user_id", ["a", "b", "d", "e"], "a / nullif(b, 0) - d / nullif(e, 0)")}""")
+def bootstrap_standard_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Difference of two standards' rates, resampling consultations."""
+    j = now(spark, sf_dir)
+    parts = {n: F.count_if(c).cast("double") for s, (n1, n2) in (("critical", "ab"), ("peripheral", "de")) for n, c in ((n1, F.col("flagged") & (F.col("severity") == s)), (n2, F.col("severity") == s))}
+    per = j.groupBy("user_id").agg(*(c.alias(n) for n, c in parts.items()))
+    value = F.col("a") / F.nullif(F.col("b"), F.lit(0.0)) - F.col("d") / F.nullif(F.col("e"), F.lit(0.0))
+    return bootstrap.resampled(per, "user_id", ["a", "b", "d", "e"], value).withColumns({c: F.round(c, 9) for c in ("estimate", "low", "high")})
+
+
+@query(f"""{N}, f AS (SELECT user_id, CASE severity WHEN 'critical' THEN 4.0 WHEN 'supporting' THEN 2.0 ELSE 1.0 END::DOUBLE AS w, CASE WHEN score > 7 THEN 1.0 WHEN score > 3 THEN 0.5 ELSE 0.0 END::DOUBLE AS c, score > 3 AND k % 6 = 0 AS flipped FROM j)
+SELECT user_id, round(sum(w * c) / sum(w), 9) AS refuted, round(sum(w * CASE WHEN flipped THEN 0.0 ELSE c END) / sum(w), 9) AS unrefuted, count(*) FILTER (flipped) AS flips FROM f GROUP BY user_id""")
+def coverage_without_refutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted coverage as judged, and with what a second look turned from absent turned back."""
+    w = F.when(F.col("severity") == "critical", 4.0).when(F.col("severity") == "supporting", 2.0).otherwise(1.0)
+    credit = F.when(F.col("score") > 7, 1.0).when(F.col("score") > 3, 0.5).otherwise(0.0)
+    flipped = (F.col("score") > 3) & (F.col("k") % 6 == 0)
+    f = now(spark, sf_dir).select("user_id", w.alias("w"), credit.alias("c"), flipped.alias("flipped"))
+    return f.groupBy("user_id").agg(F.round(F.sum(F.col("w") * F.col("c")) / F.sum("w"), 9).alias("refuted"), F.round(F.sum(F.when(F.col("flipped"), 0.0).otherwise(F.col("w") * F.col("c"))) / F.sum("w"), 9).alias("unrefuted"), F.count_if("flipped").alias("flips"))
+
+
+AUC_SQL = "CAST(sum(2 * pos * above + pos * neg) AS DOUBLE) / nullif(2 * sum(pos) * sum(neg), 0)"
+
+
+@query(f"""{T}, sc AS (SELECT replicate, score AS s, count(*) FILTER (role = 'errored') AS pos, count(*) FILTER (role = 'clean') AS neg FROM j WHERE score IS NOT NULL GROUP BY ALL), ab AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY replicate ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM sc), au AS (SELECT replicate, {AUC_SQL} AS auc FROM ab GROUP BY replicate),
+g AS (SELECT replicate, CASE severity WHEN 'critical' THEN 3 WHEN 'supporting' THEN 2 ELSE 1 END AS x, clean_score - score AS y, count(*) AS w FROM tw WHERE pair_type = 'omit' AND NOT parse_failure AND NOT clean_failure GROUP BY ALL),
+mr AS (SELECT *, sum(w) OVER (PARTITION BY replicate ORDER BY x RANGE UNBOUNDED PRECEDING) - (sum(w) OVER (PARTITION BY replicate, x) - 1) / 2 AS rx, sum(w) OVER (PARTITION BY replicate ORDER BY y RANGE UNBOUNDED PRECEDING) - (sum(w) OVER (PARTITION BY replicate, y) - 1) / 2 AS ry FROM g),
+sm AS (SELECT replicate, CAST(sum(w) AS DOUBLE) AS n, sum(w * rx) AS sx, sum(w * ry) AS sy, sum(w * rx * rx) AS xx, sum(w * ry * ry) AS yy, sum(w * rx * ry) AS xy FROM mr GROUP BY replicate), rh AS (SELECT replicate, (n * xy - sx * sy) / sqrt((n * xx - sx * sx) * (n * yy - sy * sy)) AS rho, n FROM sm)
+SELECT count(*) AS runs, round(avg(auc), 9) AS auc_mean, round(stddev_samp(auc), 9) AS auc_sd, round(avg(rho), 9) AS rho_mean, round(stddev_samp(rho), 9) AS rho_sd, CAST(min(n) AS BIGINT) AS fewest_pairs FROM au JOIN rh USING (replicate)""")
+def cell_rank_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cell's AUC and its rank correlation of importance with the score gap: mean and deviation over runs."""
+    j = now(spark, sf_dir)
+    auc = metrics.auc(metrics.score_counts(j, ["replicate"], "score", F.col("role") == "errored"), ["replicate"]).select("replicate", "auc")
+    x = F.when(F.col("severity") == "critical", 3).when(F.col("severity") == "supporting", 2).otherwise(1)
+    sound = pairs(spark, sf_dir).where("pair_type = 'omit' and not parse_failure and not clean_failure")
+    cells = sound.groupBy("replicate", x.alias("x"), (F.col("clean_score") - F.col("score")).alias("y")).agg(F.count(F.lit(1)).cast("double").alias("w"))
+    both = auc.join(bootstrap.weighted_spearman(cells, ["replicate"], "x", "y", "w"), "replicate")
+    out = both.agg(F.count(F.lit(1)).alias("runs"), *(f(c).alias(f"{c}_{n}") for c in ("auc", "rho") for f, n in ((F.avg, "mean"), (F.stddev_samp, "sd"))), F.min("n").cast("long").alias("fewest_pairs"))
+    return out.withColumns({c: F.round(c, 9) for c in ("auc_mean", "auc_sd", "rho_mean", "rho_sd")})
+
+
+@query(f"""{T}, e AS (SELECT pair_type, count(*) AS n, count(*) FILTER (score <= 7) AS own, count(*) FILTER (score < 2) AS swept, count(*) FILTER (parse_failure) AS unread FROM tw GROUP BY pair_type)
+SELECT pair_type, n, round(own / CAST(n AS DOUBLE), 9) AS own_rule, round(swept / CAST(n AS DOUBLE), 9) AS at_swept, unread FROM e""")
+def detection_by_error_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detection of each type of error by the judge's own rule, and at one threshold chosen over all of them."""
+    e, s = pairs(spark, sf_dir).groupBy("pair_type"), F.col("score")
+    n = F.count(F.lit(1))
+    return e.agg(n.alias("n"), F.round(F.count_if(s <= 7) / n, 9).alias("own_rule"), F.round(F.count_if(s < 2) / n, 9).alias("at_swept"), F.count_if("parse_failure").alias("unread"))
+
+
+CARRIED_SQL = "it AS (SELECT doc_id AS item, list_sort(list_filter(['long', 'en', 'cap'], lambda c: (c = 'long' AND length(text) > 1500) OR (c = 'en' AND lang = 'en') OR (c = 'cap' AND regexp_matches(text, '[A-Z][A-Z]')))) AS cats FROM documents WHERE text IS NOT NULL)"
+
+
+@query(f"""WITH {CARRIED_SQL}, pl AS (SELECT item, array_to_string(cats, '|') AS stratum FROM it WHERE len(cats) > 0), sz AS (SELECT stratum, count(*) AS size FROM pl GROUP BY stratum), q AS (SELECT *, 50 * size / CAST(sum(size) OVER () AS DOUBLE) AS q FROM sz), b AS (SELECT *, floor(q) AS base, q - floor(q) AS rest FROM q),
+s AS (SELECT stratum, size, CAST(least(base + CASE WHEN row_number() OVER (ORDER BY round(rest, 9) DESC, stratum) <= 50 - sum(base) OVER () THEN 1 ELSE 0 END, size) AS BIGINT) AS seats FROM b), r AS (SELECT pl.*, row_number() OVER (PARTITION BY stratum ORDER BY md5('carve' || item), item) AS n FROM pl)
+SELECT item, coalesce(stratum, '(none)') AS stratum, coalesce(n <= seats, false) AS carved FROM it LEFT JOIN r USING (item) LEFT JOIN s USING (stratum)""")
+def carved_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty items set apart, in proportion to the exact sets of categories that items carry; items without any stay."""
+    t = F.col("text")
+    cats = F.array_sort(F.array_compact(F.array(F.when(F.length(t) > 1500, "long"), F.when(F.col("lang") == "en", "en"), F.when(t.rlike("[A-Z][A-Z]"), "cap"))))
+    items = read(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("item"), cats.alias("categories"))
+    return sampling.carve(items, "item", "categories", 50, "carve")
+
+
+@query("""SELECT doc_id, lang, CAST(2 AS BIGINT) AS release FROM documents WHERE doc_id % 3 <> 0""")
+def newest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the newest of several releases in versioned folders: 1.10 comes after 1.9."""
+    folder = work_folder(spark, "releases")
+    d = read(spark, sf_dir, "documents").select("doc_id", "lang")
+    d.where("doc_id % 5 = 0").withColumn("release", F.lit(1)).write.option("header", True).csv(f"{folder}/data/1.9/files")
+    d.where("doc_id % 3 <> 0").withColumn("release", F.lit(2)).write.option("header", True).csv(f"{folder}/data/1.10/files")
+    return newest_release(spark, folder, "doc_id long, lang string, release long")

@@ -103,3 +103,14 @@ def last_lines(spark: SparkSession, path: str, schema: T.StructType, keys: list[
     rest = [f.name for f in schema.fields if f.name not in keys]
     last = sound.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_at").alias("_l"))
     return last.select(*keys, "_l.*").select(*(f.name for f in schema.fields))
+
+
+def newest_release(spark: SparkSession, path: str, schema: str, pattern: str = r"/(\d+(?:\.\d+)*)/") -> DataFrame:
+    """Rows of the CSV files below ``path`` whose folder has the highest version; numbers count as numbers, a longer version after its beginning."""
+    files = spark.read.options(header=True, multiLine=True, quote='"', escape='"', recursiveFileLookup=True).schema(schema).csv(path)
+    version = F.transform(F.split(F.regexp_extract(F.substring_index("_metadata.file_path", path.rstrip("/").rsplit("/", 1)[-1], -1), pattern, 1), r"\."), lambda x: x.try_cast("long"))
+    names = [f.name for f in files.schema.fields]
+    rows = files.select(*names, version.alias("_v"))
+    last = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    top = last.select(F.max(F.transform(F.split(F.regexp_extract(F.substring_index("path", path.rstrip("/").rsplit("/", 1)[-1], -1), pattern, 1), r"\."), lambda x: x.try_cast("long"))).alias("_top"))
+    return rows.join(F.broadcast(top), F.col("_v") == F.col("_top")).select(*names)
