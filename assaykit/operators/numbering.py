@@ -76,6 +76,26 @@ def ranked(df: DataFrame, groups: list[str], order: list[Column], cut: Column, r
     return out.select(*df.columns, (F.col("_before") + F.col("_own")).alias(rank), *([F.col("_total").alias(total)] if total else []))
 
 
+def running(df: DataFrame, groups: list[str], order: list[Column], cut: Column, amount: str, out: str, part: int = PART) -> DataFrame:
+    """df with the sum of ``amount`` over each group's rows up to each row by ``order``; ``cut`` as for ``ranked``.
+
+    Quantiles of the cut deal every group over parts; sums of the parts before give each part what it carries on from.
+    """
+    x = df.withColumn("_cut", cut)
+    x = x.withColumn("_part", _part(_cuts(x, F.col("_cut"), part), F.col("_cut"))).drop("_cut")
+    folder = work_folder(df.sparkSession, "sums")
+    x.write.parquet(folder)
+    x = df.sparkSession.read.schema(x.schema).parquet(folder)
+    own = F.sum(amount).over(Window.partitionBy(*groups, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    sums = x.groupBy(*groups, "_part").agg(F.sum(amount).alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each part
+    carried = sums.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)), F.col("_part").alias("_p"), before.alias("_before"))
+    same = F.col("_part") == F.col("_p")
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return x.withColumn("_own", own).join(carried, same).select(*df.columns, (F.coalesce("_before", F.lit(0)) + F.coalesce("_own", F.lit(0))).alias(out))
+
+
 def hex_cut(digest: Column) -> Column:
     """A number that rises with a hexadecimal digest."""
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaykit.operators.numbering import hex_cut, ranked
+from assaykit.operators.rounds import kept
 
 
 def stable(key: Column, salt: str = "") -> Column:
@@ -91,3 +92,21 @@ def carve(df: DataFrame, item: str, categories: str, total: int, salt: str) -> D
     placed = ranked(pool, ["stratum"], [digest, F.col(item)], hex_cut(digest), "_rank")
     drawn = placed.join(seats, F.col("stratum") == F.col("_s")).select(item, "stratum", (F.col("_rank") <= F.col("seats")).alias("carved"))
     return drawn.unionByName(rows.where("stratum = ''").select(item, F.lit("(none)").alias("stratum"), F.lit(False).alias("carved")))
+
+
+def disjoint(df: DataFrame, item: str, sections: dict[str, tuple[Column, int]], salt: str) -> DataFrame:
+    """(section, item, place): n items for each section, of those that meet its condition and that no section before it drew.
+
+    Items of a section come in stable order. A section takes its n smallest and no more, so what is drawn stays as small as the numbers asked for.
+    """
+    taken: DataFrame | None = None
+    for i, (name, (holds, n)) in enumerate(sections.items()):
+        digest = stable(F.col(item), f"{salt}|{name}|")
+        pool = df.where(holds).select(F.col(item).alias("_i"), digest.alias("_d")).distinct()
+        if taken is not None:
+            pool = pool.join(F.broadcast(taken.select("_i")), "_i", "left_anti")  # at most the numbers asked for
+        drawn = pool.orderBy("_d", "_i").limit(n)
+        place = F.row_number().over(Window.orderBy("_d", "_i"))  # n rows
+        drawn = kept(drawn.select(F.lit(name).alias("section"), F.lit(i).alias("_n"), "_i", place.alias("place")))
+        taken = drawn if taken is None else taken.unionByName(drawn)
+    return taken.select("section", F.col("_i").alias(item), F.col("place").cast("long").alias("place"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assaykit.operators import records, sampling
-from assaykit.operators.numbering import numbered
+from assaykit.operators.numbering import numbered, running
 from assaykit.plans.judging import N, now
 from assaykit.plans.registry import query
 from assaykit.sources.tables import JUDGEMENTS_SQL, judgements, read
@@ -101,9 +101,8 @@ SELECT run, total, w.id AS warn_at, s.id AS stop_at FROM b""")
 def spend_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running spend per run, and the calls at which it first passes the warning and the stop."""
     e = read(spark, sf_dir, "events").select((F.col("user_id") % 8).alias("run"), "event_id", "ts", F.floor(F.col("value") * 100).cast("long").alias("cents"))
-    spent = F.sum("cents").over(Window.partitionBy("run").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
     at = F.struct("ts", "event_id")
-    g = e.withColumn("_s", spent).groupBy("run").agg(F.sum("cents").alias("total"), F.min(F.when(F.col("_s") > 100_000, at)).alias("_w"), F.min(F.when(F.col("_s") > 500_000, at)).alias("_x"))
+    g = running(e, ["run"], [F.col("ts"), F.col("event_id")], F.unix_micros(F.col("ts").cast("timestamp")), "cents", "_s").groupBy("run").agg(F.sum("cents").alias("total"), F.min(F.when(F.col("_s") > 100_000, at)).alias("_w"), F.min(F.when(F.col("_s") > 500_000, at)).alias("_x"))
     return g.select("run", "total", F.col("_w.event_id").alias("warn_at"), F.col("_x.event_id").alias("stop_at"))
 
 

@@ -187,3 +187,21 @@ def newest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     d.where("doc_id % 5 = 0").withColumn("release", F.lit(1)).write.option("header", True).csv(f"{folder}/data/1.9/files")
     d.where("doc_id % 3 <> 0").withColumn("release", F.lit(2)).write.option("header", True).csv(f"{folder}/data/1.10/files")
     return newest_release(spark, folder, "doc_id long, lang string, release long")
+
+
+#: Sections of a sitting: which judgements each may show, in SQL that both engines read, and how many.
+SITTING = {"omissions": ("pair_type = 'omit' AND severity = 'critical' AND NOT parse_failure", 12), "near misses": ("role = 'errored' AND score BETWEEN 7 AND 8", 10), "clean": ("role = 'clean' AND flagged", 8), "any": ("true", 10)}
+
+
+def sitting_sql() -> str:
+    parts = []
+    for i, (name, (holds, n)) in enumerate(SITTING.items()):
+        out = "".join(f" AND event_id NOT IN (SELECT event_id FROM s{k})" for k in range(i))
+        parts.append(f"s{i} AS (SELECT '{name}' AS section, event_id, row_number() OVER (ORDER BY md5('sit|{name}|' || event_id), event_id) AS place FROM j WHERE {holds}{out} QUALIFY place <= {n})")
+    return f"{N}, {', '.join(parts)} {' UNION ALL '.join(f'SELECT section, event_id, place FROM s{i}' for i in range(len(SITTING)))}"
+
+
+@query(sitting_sql())
+def sitting_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judgements for the sections of a sitting; none is shown twice."""
+    return sampling.disjoint(now(spark, sf_dir), "event_id", {name: (F.expr(holds), n) for name, (holds, n) in SITTING.items()}, "sit")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assaykit.functions import replies, stats, text
 from assaykit.operators import aggregate, bootstrap, decisions, metrics, notes, provenance, records, sampling
-from assaykit.operators.numbering import numbered, ranked
+from assaykit.operators.numbering import numbered, ranked, running
 
 
 def one(spark, row, **columns):
@@ -187,6 +187,14 @@ def test_ranks_in_hot_groups(spark):
         got = ranked(df, ["g"], [F.col("x"), F.col("i")], F.col("x"), "r", "n", part).collect()
         assert {r["i"]: (r["r"], r["n"]) for r in got} == want and len(got) == 600
     assert ranked(df.limit(0), ["g"], [F.col("x")], F.col("x"), "r").count() == 0
+    sums = {}
+    for g in ("a", "b", None):
+        total = 0
+        for r in sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+            sums[r[2]] = total = total + r[2]
+    for part in (5, 90, 10_000):
+        got = running(df, ["g"], [F.col("x"), F.col("i")], F.col("x"), "i", "s", part).collect()
+        assert {r["i"]: r["s"] for r in got} == sums and len(got) == 600
 
 
 def test_apportion(spark):
