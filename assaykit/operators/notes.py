@@ -219,34 +219,48 @@ def edit_checks(before: Column, after: Column, removed: Column, kept: Column) ->
     return F.array_compact(flags)
 
 
-def allocate(supply: DataFrame, row: str, column: str, item: str, matched: str, caps: dict[tuple[str, str], int]) -> DataFrame:
-    """(row, column, item, by): items for the cells of a grid up to each cell's cap, each item once.
+def allocate(supply: DataFrame, row: str, column: str, fact: str, consultation: str, built: str, seats: int, caps: tuple[int, int] = (2, 3), relaxed: tuple[int, int] = (5, 7), salt: str = "") -> DataFrame:
+    """(row, column, fact, place, by): facts for the cells of a grid of row and column, ``seats`` for each cell.
 
-    Cells with the least to choose from come first, and prefer items whose ``matched`` key another chosen item has; what is
-    left open takes any unused item in a second pass. Of each cell no more than the sum of all caps, in item order and with the
-    matched ones first, can ever be chosen, so only these meet in one task.
+    The cell that lacks most comes next (of equal ones the last). It takes what is built already, then a fact that another row has, then one of the
+    consultation with the fewest pairs so far, then by stable order. ``caps``: facts and pairs of a consultation at most; cells that are
+    short then go on with ``relaxed`` caps (by ``beyond``). supply has one row for each fact and row.
+
+    One choice bears on the next, so choices are made in one task, but over a bounded pool: with P seats in all, P choices touch at most P
+    consultations, so a cell's first P + 1 by best row, with as many rows of each as caps allow, hold every row that can win, beside all rows of their facts.
     """
-    need = sum(caps.values())
-    shared = F.count(F.lit(1)).over(Window.partitionBy(matched)) > 1
-    order = Window.partitionBy(row, column).orderBy(F.desc("_shared"), item)
-    pool = supply.select(row, column, item, matched).withColumn("_shared", shared).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= need).withColumn("_all", F.lit("all"))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        cells = {c: rows[(rows[row] == c[0]) & (rows[column] == c[1])].sort_values(item) for c in caps}
-        used, keys, out = set(), set(), []
-        for passing, by in ((True, "matched"), (False, "relaxed")):
-            for cell in sorted(caps, key=lambda c: (len(cells[c]), c)):
-                left = caps[cell] - sum(o[:2] == cell for o in out)
-                for r in cells[cell].to_dict("records"):
-                    if left <= 0:
-                        break
-                    if r[item] in used or (passing and keys and r[matched] not in keys):
-                        continue
-                    used.add(r[item])
-                    keys.add(r[matched])
-                    out.append((*cell, r[item], by))
-                    left -= 1
-        return pd.DataFrame(out, columns=[row, column, item, "by"])
+    order = [F.desc("_b"), "_j", "_f"]
+    rows = supply.select(F.col(row).alias("_r"), F.col(column).alias("_c"), F.col(fact).alias("_f"), F.col(consultation).alias("_k"), F.coalesce(built, F.lit(False)).alias("_b"))
+    rows = rows.dropDuplicates(["_r", "_c", "_f"]).withColumn("_j", F.md5(F.concat_ws("|", F.lit(salt), F.col("_f").cast("string"))))
+    cells = rows.select("_r", "_c").distinct().count()
+    near = F.row_number().over(Window.partitionBy("_r", "_c", "_k").orderBy(*order))
+    first = rows.withColumn("_near", near).where(F.col("_near") <= sum(relaxed))
+    best = first.where("_near = 1").withColumn("_n", F.row_number().over(Window.partitionBy("_r", "_c").orderBy(*order))).where(F.col("_n") <= cells * seats + 1).select("_r", "_c", "_k")
+    facts = first.join(F.broadcast(best), ["_r", "_c", "_k"], "left_semi").select("_f").distinct()
+    pool = rows.join(F.broadcast(facts), "_f", "left_semi").withColumn("_all", F.lit(1))
+
+    def choose(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values(["_j", "_f"], ignore_index=True)
+        cell, names = pd.factorize(pd.MultiIndex.from_frame(x[["_r", "_c"]]), sort=True)
+        f, k = pd.factorize(x["_f"])[0], pd.factorize(x["_k"])[0]
+        fresh, used = np.ones(len(x), bool), np.zeros(f.max() + 1, bool)
+        facts_of, pairs_of, lacks = np.zeros(k.max() + 1, int), np.zeros(k.max() + 1, int), np.full(len(names), seats)
+        out = []
+        for by, (most_facts, most_pairs) in (("within", caps), ("beyond", relaxed)):
+            open_ = np.ones(len(names), bool)
+            while (lacks[open_] > 0).any():
+                at = max(np.flatnonzero(open_), key=lambda i: (lacks[i], i))
+                may = np.flatnonzero((cell == at) & fresh & (pairs_of[k] < most_pairs) & (used[f] | (facts_of[k] < most_facts)))
+                if not len(may):
+                    open_[at] = False
+                    continue
+                i = may[np.lexsort((may, pairs_of[k[may]], ~used[f[may]], ~x["_b"].to_numpy(bool)[may]))[0]]
+                facts_of[k[i]] += not used[f[i]]
+                pairs_of[k[i]] += 1
+                used[f[i]], fresh[i] = True, False
+                lacks[at] -= 1
+                out.append((*x.loc[i, ["_r", "_c", "_f"]], len(out) + 1, by))
+        return pd.DataFrame(out, columns=[row, column, fact, "place", "by"])
 
     kinds = dict(supply.dtypes)
-    return pool.groupBy("_all").applyInPandas(run, f"{row} {kinds[row]}, {column} {kinds[column]}, {item} {kinds[item]}, by string")
+    return pool.groupBy("_all").applyInPandas(choose, f"{row} {kinds[row]}, {column} {kinds[column]}, {fact} {kinds[fact]}, place long, by string")

@@ -316,6 +316,7 @@ def edit_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def grid_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three judgements for each cell of pair type and severity, preferring consultations that are chosen already."""
-    caps = {(p, s): 3 for p in ("add", "change", "omit") for s in ("critical", "supporting", "peripheral")}
-    return notes.allocate(now(spark, sf_dir).where("role = 'errored'"), "pair_type", "severity", "event_id", "user_id", caps)
+    """Ten facts for each cell of error type and severity, few of one consultation, those that are built already first."""
+    j = now(spark, sf_dir).where("role = 'errored'")
+    supply = j.select("pair_type", "severity", F.concat_ws("|", F.col("user_id").cast("string"), "severity").alias("fact"), (F.col("user_id") % 40).alias("consultation"), (F.col("user_id") % 7 == 0).alias("built"))
+    return notes.allocate(supply, "pair_type", "severity", "fact", "consultation", "built", 10, salt="grid")

@@ -1,5 +1,6 @@
 """Statistics, samples and metrics on literal tables: golden values, properties, and guards for odd input."""
 
+import hashlib
 import math
 import random
 from math import comb
@@ -277,10 +278,34 @@ def test_turns_and_edits(spark):
 
 
 def test_allocation(spark):
-    rows = [("r", "c", i, i % 2) for i in range(6)] + [("r", "d", 6, 0), ("r", "d", 7, 9)]
-    df = spark.createDataFrame(rows, "a string, b string, i int, m int")
-    got = sorted((r["b"], r["i"], r["by"]) for r in notes.allocate(df, "a", "b", "i", "m", {("r", "c"): 2, ("r", "d"): 2}).collect())
-    assert got == [("c", 0, "matched"), ("c", 2, "matched"), ("d", 6, "matched"), ("d", 7, "relaxed")]
+    rnd = random.Random(9)
+    for trial in range(4):
+        rows = []
+        for n in range(90):
+            grade, own = rnd.choice("xyz"), f"f{n}"
+            rows += [(level, grade, own, rnd.randrange(3) if trial == 0 else n % 25, rnd.random() < 0.2) for level in rnd.sample("abc", rnd.randint(1, 3))]
+        rows = [(level, g, f, {r[2]: r[3] for r in rows}[f], b) for level, g, f, _, b in rows]  # a fact is one consultation's
+        seats, caps, relaxed = 4, (2, 3), (4, 6)
+        jitter = {f: hashlib.md5(f"s|{f}".encode()).hexdigest() for _, _, f, _, _ in rows}
+        cells = {(level, g): [] for level, g, *_ in rows}
+        levels, facts, pairs, want = {}, {}, {}, []
+        for by, (most_facts, most_pairs) in (("within", caps), ("beyond", relaxed)):
+            stuck = set()
+            while short := [(seats - len(v), c) for c, v in cells.items() if len(v) < seats and c not in stuck]:
+                level, grade = cell = max(short)[1]
+                may = [r for r in rows if r[:2] == cell and level not in levels.get(r[2], ()) and pairs.get(r[3], 0) < most_pairs and (levels.get(r[2]) or facts.get(r[3], 0) < most_facts)]
+                if not may:
+                    stuck.add(cell)
+                    continue
+                r = min(may, key=lambda r: (not r[4], not levels.get(r[2]), pairs.get(r[3], 0), jitter[r[2]]))
+                facts[r[3]] = facts.get(r[3], 0) + (not levels.get(r[2]))
+                pairs[r[3]] = pairs.get(r[3], 0) + 1
+                levels.setdefault(r[2], set()).add(level)
+                cells[cell].append(r[2])
+                want.append((*cell, r[2], len(want) + 1, by))
+        df = spark.createDataFrame(rows, "l string, g string, f string, k int, b boolean")
+        got = sorted(map(tuple, notes.allocate(df, "l", "g", "f", "k", "b", seats, caps, relaxed, "s").collect()), key=lambda r: r[3])
+        assert got == want and (trial or "beyond" in {r[4] for r in want})
 
 
 def test_lists_in_replies(spark):
