@@ -25,12 +25,14 @@ def held_out() -> Column:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; learned from those that are not held out and have one. A null doc_id has a null held_out and is not learned from."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs.where(~held_out()))
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def op2_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors with the largest inner product found for each vec_id divisible by 20."""
     return ann.search_tree(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)[0]
 
 
@@ -39,6 +41,7 @@ FEW = 2_000_000
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of every document under models of good and of all documents."""
     good = table(spark, sf_dir, "labels").where("quality = 1 and doc_id is not null").select("doc_id", F.lit(True).alias("target")).distinct()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     sides = docs.join(F.broadcast(good) if good.count() <= FEW else good, "doc_id", "left")
@@ -46,19 +49,23 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; fingerprints link at four or fewer differing bits."""
     groups = simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, and its number of code points."""
     return htmltext.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op6_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 highest integer inner products for each vec_id divisible by 100."""
     return maxscore.search_exact(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, and whether it is 0.7 or more; learned from those that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lexicon = toxicity.learn(docs.where(~held_out()), table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, lexicon)
@@ -66,10 +73,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all documents' tokens in sequences of 2048."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' tokens read back from record files, with where each starts and a checksum."""
     read = records.token_records(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,6 +93,7 @@ def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the text that they decode to."""
     path = public_tokenizers.path("word_bpe_49k.json")
     rows = bpe.bpe_decode(bpe.bpe_encode(table(spark, sf_dir, "documents"), path), path)
     return rows.select(
