@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assaykit.functions import stats
 from assaykit.operators import bootstrap, metrics, notes, sampling
 from assaykit.operators.sections import STRENGTH
 from assaykit.plans.judging import N, T, now, pairs
@@ -205,3 +206,26 @@ def sitting_sql() -> str:
 def sitting_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judgements for the sections of a sitting; none is shown twice."""
     return sampling.disjoint(now(spark, sf_dir), "event_id", {name: (F.expr(holds), n) for name, (holds, n) in SITTING.items()}, "sit")
+
+
+@query(f"""{T}, pr AS (SELECT stratum, CASE WHEN pair_type = 'omit' THEN 'o' ELSE 'c' END AS side, replicate, (2.0 * count(*) FILTER (score < clean_score) + count(*) FILTER (score = clean_score)) / (2 * count(*)) AS p FROM tw WHERE NOT parse_failure AND NOT clean_failure GROUP BY ALL),
+pm AS (SELECT stratum, avg(p) FILTER (side = 'o') AS paired_omissions, avg(p) FILTER (side = 'c') AS paired_commissions FROM pr GROUP BY stratum),
+ab AS (SELECT stratum, count(*) FILTER (pair_type = 'omit') AS n1, count(*) FILTER (pair_type = 'omit' AND flagged AND NOT parse_failure) AS k1, count(*) FILTER (role = 'clean') AS n2, count(*) FILTER (role = 'clean' AND flagged AND NOT parse_failure) AS k2 FROM j GROUP BY stratum), ap AS (SELECT *, CAST(k1 + k2 AS DOUBLE) / (n1 + n2) AS q FROM ab),
+sc AS (SELECT stratum, score, CAST(pair_type IS NOT NULL AS BOOLEAN) AS err FROM j WHERE NOT parse_failure AND (pair_type = 'omit' OR role = 'clean')), th AS (SELECT DISTINCT stratum, CAST(score AS DOUBLE) AS t FROM sc UNION SELECT stratum, max(score) + 1 FROM sc GROUP BY stratum),
+sw AS (SELECT th.stratum, t, count(*) FILTER (err AND score < t) / CAST(count(*) FILTER (err) AS DOUBLE) AS det, count(*) FILTER (NOT err AND score < t) / CAST(count(*) FILTER (NOT err) AS DOUBLE) AS fa FROM th JOIN sc USING (stratum) GROUP BY ALL),
+bs AS (SELECT stratum, det, fa FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY det DESC, fa, t DESC) AS n FROM sw WHERE fa <= 0.5) WHERE n = 1)
+SELECT stratum, round(paired_omissions, 9) AS paired_omissions, round(paired_commissions, 9) AS paired_commissions, round(CAST(k1 AS DOUBLE) / n1, 9) AS det, round(CAST(k2 AS DOUBLE) / n2, 9) AS fa, round(CASE WHEN q * (1 - q) > 0 THEN (CAST(k1 AS DOUBLE) / n1 - CAST(k2 AS DOUBLE) / n2) / sqrt(q * (1 - q) * (1.0 / n1 + 1.0 / n2)) END, 7) AS z, round(bs.det, 9) AS swept_det, round(bs.fa, 9) AS swept_fa FROM ap JOIN pm USING (stratum) LEFT JOIN bs USING (stratum)""")
+def arm_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An arm's read-out by stratum: discrimination as a mean over runs of read pairs, detection against false alarms with z, and the best point at half of false alarms."""
+    j = now(spark, sf_dir)
+    omit, clean = F.col("pair_type") == "omit", F.col("role") == "clean"
+    side = F.when(omit, "omissions").otherwise("commissions")
+    runs = metrics.paired_with_failures(pairs(spark, sf_dir).withColumn("side", side), ["stratum", "side", "replicate"], "out").groupBy("stratum", "side").agg(F.avg("paired").alias("p"))
+    paired = runs.groupBy("stratum").agg(*(F.max(F.when(F.col("side") == s, F.col("p"))).alias(f"paired_{s}") for s in ("omissions", "commissions")))
+    hit = F.col("flagged") & ~F.col("parse_failure")
+    plain = j.groupBy("stratum").agg(F.count_if(omit).alias("n1"), F.count_if(omit & hit).alias("k1"), F.count_if(clean).alias("n2"), F.count_if(clean & hit).alias("k2"))
+    counts = metrics.score_counts(j.where(~F.col("parse_failure") & (omit | clean)), ["stratum"], "score", ~clean)
+    best = metrics.best_at(metrics.sweep(counts, ["stratum"]), ["stratum"], 0.5).select("stratum", F.col("det").alias("swept_det"), F.col("fa").alias("swept_fa"))
+    out = plain.join(paired, "stratum").join(best, "stratum", "left")
+    out = out.withColumns({"det": F.col("k1") / F.col("n1"), "fa": F.col("k2") / F.col("n2"), "z": F.round(stats.two_proportion_z("k1", "n1", "k2", "n2"), 7)}).drop("n1", "n2", "k1", "k2")
+    return out.withColumns({c: F.round(c, 9) for c in ("paired_omissions", "paired_commissions", "det", "fa", "swept_det", "swept_fa")})
