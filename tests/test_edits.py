@@ -96,13 +96,12 @@ def test_accepted_edits(spark):
 
 
 def grown(lines, shares, size):
-    """The window of an excerpt, line by line."""
-    mid = max(range(len(lines)), key=lambda i: (shares[i], -i))
-    lo = hi = mid
-    while sum(map(len, lines[lo : hi + 1])) < size and (lo or hi < len(lines) - 1):
-        up, down = shares[lo - 1] if lo else -1, shares[hi + 1] if hi < len(lines) - 1 else -1
-        lo, hi = (lo - 1, hi) if up >= down else (lo, hi + 1)
-    return lo, hi
+    """The window of an excerpt, one line after the other."""
+    inside = [shares.index(max(shares))]
+    while sum(len(lines[i]) for i in inside) < size and len(inside) < len(lines):
+        beside = {min(inside) - 1, max(inside) + 1} & set(range(len(lines)))
+        inside.append(max(beside, key=lambda i: (shares[i], -i)))
+    return min(inside), max(inside)
 
 
 def test_excerpts(spark):
