@@ -45,7 +45,7 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").where("quality = 1 and doc_id is not null").select("doc_id", F.lit(True).alias("target")).distinct()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     sides = docs.join(F.broadcast(good) if good.count() <= FEW else good, "doc_id", "left")
-    return lmscore.score(docs, lmscore.fit(sides, "target"))
+    return lmscore.differences(sides, "target")
 
 
 def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

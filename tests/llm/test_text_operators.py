@@ -303,6 +303,65 @@ def test_lm_scores_hold_when_nothing_is_common_enough_to_broadcast(spark, monkey
             assert x == pytest.approx(y)
 
 
+def lm_rows():
+    rnd = random.Random(8)
+    rare = [f"rare{i}" for i in range(40)]
+    texts = [talk(rnd, EN if i % 2 else DE, 12) + " " + " ".join(rnd.choices(rare, k=6)) + f" once{i}" for i in range(150)]
+    return [(i if i % 9 else None, t, i % 2 == 1) for i, t in enumerate([*texts, *texts[:40], "the the the the", "", None])]
+
+
+def by_value(df):
+    return sorted(([-1 if x is None else x for x in r] for r in df.collect()), key=lambda r: (r[0], r[1], round(r[4], 9)))
+
+
+def test_lm_occurrences_meet_over_buckets_and_chunks(spark, monkeypatch):
+    df = spark.createDataFrame(lm_rows(), "doc_id long, text string, target boolean").repartition(3)
+    whole = by_value(lmscore.score(df, lmscore.fit(df, "target")))
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = spark.conf.get(batch)
+    try:
+        spark.conf.set(batch, "7")
+        for word, pair, chunk, bucket, owed in ((1.0, 1.0, 50, 40, 10), (0.02, 0.04, 300, 300, 40), (0.001, 0.001, 1 << 20, 1, 1)):
+            for name, value in (("WORD_SHARE", word), ("PAIR_SHARE", pair), ("CHUNK", chunk), ("BUCKET", bucket), ("OWED", owed)):
+                monkeypatch.setattr(lmscore, name, value)
+            m = lmscore.fit(df, "target")
+            chunks = lmscore._occurrences(m.rows, spark.sparkContext.broadcast(m.tables), 3, True, True).where("_kind <> 0").select("_chunk").distinct().count()
+            assert chunks > 20 if chunk == 50 else chunks > 6 if chunk == 300 else chunks == 3
+            for got in (lmscore.differences(df, "target"), lmscore.score(df, m)):
+                for x, y in zip(by_value(got), whole, strict=True):
+                    assert x == pytest.approx(y)
+    finally:
+        spark.conf.set(batch, rows)
+
+
+def test_lm_occurrences_are_shuffled_once_and_in_few_rows(spark):
+    """A row of each document and a block of each bucket, where a row for each different word and bigram of a document was shuffled."""
+    df = spark.createDataFrame(lm_rows(), "doc_id long, text string, target boolean").coalesce(2)
+    m = lmscore.fit(df, "target")
+    assert m.tokens > 3000
+    buckets = 4
+    got = lmscore._occurrences(m.rows, spark.sparkContext.broadcast(m.tables), buckets, True, True)
+    blocks = got.where("_kind <> 0")
+    assert got.where("_kind = 0").count() == df.count()
+    assert blocks.count() <= 2 * 3 * buckets  # tasks, kinds of bigrams
+    assert 0 < blocks.agg(F.sum("_n")).first()[0] <= m.tokens
+
+
+def test_lm_chunks_number_their_documents_in_the_bits_they_have(spark, monkeypatch):
+    """Batches without a bound on their rows: no two documents share a row's number."""
+    df = spark.createDataFrame(lm_rows(), "doc_id long, text string, target boolean").coalesce(1)
+    whole = by_value(lmscore.differences(df, "target"))
+    monkeypatch.setattr(lmscore, "LINES", 4)
+    for x, y in zip(by_value(lmscore.differences(df, "target")), whole, strict=True):
+        assert x == pytest.approx(y)
+
+
+def test_lm_columns_are_packed_whole():
+    x = np.array([-(2**63), -5, -5, 0, 1, 2**63 - 1], np.int64)
+    assert lmscore.unpacked(lmscore.packed(x), len(x)).tolist() == lmscore.unpacked_sorted(lmscore.packed_sorted(x), len(x)).tolist() == x.tolist()
+    assert lmscore.unpacked(lmscore.packed(x[:0]), 0).tolist() == []
+
+
 # toxicity
 
 
