@@ -1,13 +1,25 @@
 """Texts matched by weighted words: cosine and containment, at or above a gate.
 
-Weights are ``tf * idf`` with idf = ln(n / (1 + df)) + 1 from the references, and ln(n) + 1 for words that no reference has. Only pairs that
-can reach the gate are formed. Words are ordered rare first; what a text can still add from a word on (the length of the rest of its vector, or
-the rest of its weight) falls along that order, and a pair at the gate must share a word on which both, for containment the
-note, have enough left. Frequent words therefore make no pairs. Candidates meet the whole word lists afterwards.
+Weights are ``tf * idf`` with idf = ln(n / (1 + df)) + 1 from the references, and ln(n) + 1 for words that no reference has.
+
+Cosines at a low gate are most pairs' (at 0.2 one pair in seven of the driver's conversations), so that no filter by rare words saves
+much, and rows of pairs and words would be many times the result. Notes and references therefore meet in blocks of at most about
+``BLOCK`` texts and ``POSTINGS`` words; a task multiplies two blocks tile by tile, frequent words as matrices and others by their
+postings, and hands on only what reaches the gate. Work and result are quadratic in the texts; a task's memory is not.
+
+For containment only pairs that can reach the gate are formed. Words are ordered rare first; what an item can still add from a word on (the
+weight of the rest) falls along that order, and a pair at the gate must share a word on which the item has enough left. Frequent words
+therefore make no pairs. Candidates meet the whole word lists afterwards.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +30,10 @@ from assaykit.operators.rounds import kept
 FEW = 2_000_000
 #: Room for rounding in bounds.
 SLACK = 1e-9
+#: Texts and words of texts in a block, texts in a tile, and products that are spread out at once.
+BLOCK, POSTINGS, TILE, SPREAD = 8192, 4_000_000, 1024, 500_000
+#: Words that at least one in so many pairs of a block's texts share are multiplied as matrices.
+DENSE = 256
 
 
 def counted(df: DataFrame, key: str, tokens: Column) -> DataFrame:
@@ -43,22 +59,100 @@ def left_over(rows: DataFrame, amount: Column) -> DataFrame:
     return rows.withColumn("rest", F.sum(amount).over(after))
 
 
-def cosine_matches(notes: DataFrame, references: DataFrame, nkey: str, rkey: str, text: str, least: float, tokens=words) -> DataFrame:
+class Side:
+    """One side of two blocks in tiles: matrices of the first ``dense`` words, and the other words' postings in the order of words."""
+
+    def __init__(self, doc: np.ndarray, word: np.ndarray, w: np.ndarray, texts: int, dense: int, vocabulary: int, tile: int) -> None:
+        self.tiles = []
+        of = doc // tile
+        for t in range(-(-texts // tile)):
+            own = np.flatnonzero(of == t)
+            own = own[np.argsort(word[own], kind="stable")]
+            d, g, x = doc[own] - t * tile, word[own], w[own]
+            n = np.searchsorted(g, dense)
+            matrix = np.zeros((min(tile, texts - t * tile), dense))
+            matrix[d[:n], g[:n]] = x[:n]
+            self.tiles.append((matrix, d[n:], g[n:], x[n:], np.searchsorted(g[n:], np.arange(vocabulary + 1))))
+
+
+def products(a: tuple, b: tuple, least: float, tile: int = TILE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, product) of vectors of two blocks whose product is ``least`` or more, tile by tile.
+
+    A block: the number of its vectors, and for each component other than zero its vector, word and value.
+    """
+    (texts_a, doc_a, word_a, x), (texts_b, doc_b, word_b, y) = a, b
+    (u, n), (v, m) = (np.unique(words, return_counts=True) for words in (word_a, word_b))
+    both, at_u, at_v = np.intersect1d(u, v, assume_unique=True, return_indices=True)
+    if not len(both):
+        return
+    often = n[at_u] * m[at_v] * DENSE >= texts_a * texts_b
+    number = np.empty(len(both), np.int64)
+    number[np.argsort(~often, kind="stable")] = np.arange(len(both))
+    sides = []
+    for texts, doc, word, w in (a, b):
+        place = np.minimum(np.searchsorted(both, word), len(both) - 1)
+        held = both[place] == word
+        sides.append(Side(doc[held], number[place[held]], w[held], texts, int(often.sum()), len(both), tile))
+    for i, (p, da, ga, xa, _) in enumerate(sides[0].tiles):
+        for j, (q, db, _, xb, first) in enumerate(sides[1].tiles):
+            out = p @ q.T
+            met = first[ga + 1] - first[ga]  # of each posting of a: the postings of b with its word
+            end = np.cumsum(met)
+            cuts = [*np.searchsorted(end, np.arange(0, end[-1] if len(end) else 0, SPREAD), side="right"), len(met)]
+            for lo, hi in pairwise(cuts):
+                of = np.repeat(np.arange(lo, hi), met[lo:hi])
+                to = np.arange(len(of)) + np.repeat(first[ga[lo:hi]] - (end[lo:hi] - met[lo:hi]) + (end[lo] - met[lo]), met[lo:hi])
+                out += np.bincount(da[of] * len(q) + db[to], xa[of] * xb[to], minlength=out.size).reshape(out.shape)
+            r, c = np.nonzero(out >= least)
+            if len(r):
+                yield r + i * tile, c + j * tile, out[r, c]
+
+
+def cosine_matches(notes: DataFrame, references: DataFrame, nkey: str, rkey: str, text: str, least: float, tokens=words, block: int = BLOCK, tile: int = TILE) -> DataFrame:
     """(nkey, rkey, cosine) of pairs whose tf-idf vectors have a cosine of ``least`` or more, which must be above 0."""
     n = references.where(F.col(text).isNotNull()).count()
-    right = kept(counted(references, rkey, tokens(F.col(text))))
+    right = counted(references, rkey, tokens(F.col(text)))
     idf = kept(weights(right, n))
+    # words are numbered: their place within a partition, and the partition
+    place, parts = F.monotonically_increasing_id(), idf.rdd.getNumPartitions()
+    idf = kept(idf.select("word", "idf", (place.bitwiseAND((1 << 33) - 1) * parts + F.shiftright(place, 33)).cast("int").alias("number")))
+    known = F.broadcast(idf) if idf.count() <= FEW else idf
 
-    def unit(rows: DataFrame) -> DataFrame:
-        rows = weighted(rows, idf, n)
-        return kept(rows.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") ** 2).over(Window.partitionBy("id")))))
+    def unit(counts: DataFrame) -> DataFrame:
+        """(id, words, x): components of the words that references have."""
+        w = F.col("tf") * F.coalesce("idf", F.log(F.lit(float(max(n, 1)))) + 1)
+        rows = counts.join(known, "word", "left").select("id", "number", w.alias("w"))
+        held = F.collect_list(F.when(F.col("number").isNotNull(), F.struct("number", "w"))).alias("all")
+        docs = rows.where("id is not null").groupBy("id").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("size"), held)
+        return kept(docs.select("id", F.col("all.number").alias("words"), F.transform("all.w", lambda w: w / F.col("size")).alias("x")))
 
     a, b = unit(counted(notes, nkey, tokens(F.col(text)))), unit(right)
-    heads = [left_over(x, F.col("w") ** 2).where(F.sqrt("rest") >= least - SLACK) for x in (a, b)]
-    pairs = heads[0].select(F.col("id").alias("u"), "word").join(heads[1].select(F.col("id").alias("v"), "word"), "word").select("u", "v").distinct()
-    met = pairs.join(a.select(F.col("id").alias("u"), "word", F.col("w").alias("x")), "u").join(b.select(F.col("id").alias("v"), "word", F.col("w").alias("y")), ["v", "word"])
-    both = met.groupBy("u", "v").agg(F.sum(F.col("x") * F.col("y")).alias("cosine"))
-    return both.select(F.col("u").alias(nkey), F.col("v").alias(rkey), "cosine").where(F.col("cosine") >= least)
+    sizes = [x.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("words")), F.lit(0))).first() for x in (a, b)]
+    blocks = [max(-(-docs // block), -(-postings // POSTINGS), min(4, -(-docs // tile)), 1) for docs, postings in sizes]
+
+    def dealt(docs: DataFrame, own: str, other: str, side: int) -> DataFrame:
+        mine, others = F.pmod(F.xxhash64("id"), F.lit(blocks[side])), F.explode(F.sequence(F.lit(0), F.lit(blocks[1 - side] - 1)).cast("array<long>"))
+        return docs.select(mine.alias(own), others.alias(other), F.col("id").alias("uv"[side]), F.lit(side).alias("side"), "words", "x")
+
+    met = dealt(a, "i", "j", 0).unionByName(dealt(b, "j", "i", 1), allowMissingColumns=True)
+    out = f"u {a.schema['id'].dataType.simpleString()}, v {b.schema['id'].dataType.simpleString()}, cosine double"
+
+    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches).combine_chunks()
+        ids, sides = [], []
+        for side, key in enumerate(("u", "v")):
+            own = rows.filter(pc.equal(rows["side"], side)).combine_chunks()
+            if not own.num_rows:
+                return
+            held, x = own["words"].combine_chunks(), own["x"].combine_chunks()
+            doc = np.repeat(np.arange(len(held)), np.diff(held.offsets.to_numpy()))
+            ids.append(own[key].combine_chunks())
+            sides.append((len(held), doc, held.flatten().to_numpy(), x.flatten().to_numpy()))
+        for i, j, cosine in products(*sides, least, tile):
+            yield pa.RecordBatch.from_arrays([ids[0].take(pa.array(i)), ids[1].take(pa.array(j)), pa.array(cosine)], names=["u", "v", "cosine"])
+
+    found = met.repartition(blocks[0] * blocks[1], "i", "j").groupBy("i", "j").applyInArrow(matched, out)
+    return found.select(F.col("u").alias(nkey), F.col("v").alias(rkey), "cosine")
 
 
 def contained(items: DataFrame, texts: DataFrame, ikey: str, tkey: str, text: str, least: float, tokens=words) -> DataFrame:

@@ -149,3 +149,19 @@ def test_matches_are_those_of_all_pairs(spark):
                     expected[i, j] = pytest.approx(share)
         got = {(r.r, r.n): r.share for r in matching.contained(frames[1], frames[0], "r", "n", "t", least).collect()}
         assert got == expected and expected
+
+
+def test_cosines_of_blocks_are_those_of_all_pairs(spark):
+    rnd = np.random.default_rng(4)
+    a, b = (np.where(rnd.random((n, 50)) < rnd.choice((0.02, 0.9), 50), rnd.random((n, 50)), 0) for n in (23, 31))
+    sides = [(len(x), *np.nonzero(x), x[np.nonzero(x)]) for x in (a, b)]
+    got = {(i, j): x for part in matching.products(*sides, 0.7, tile=7) for i, j, x in zip(*(c.tolist() for c in part), strict=True)}
+    assert got == {(i, j): pytest.approx((a @ b.T)[i, j]) for i, j in zip(*np.nonzero(a @ b.T >= 0.7), strict=True)}
+    assert 0 < len(got) < 23 * 31
+    texts = [(i, " ".join(["all", "some" if i % 3 else "other", *(f"w{rnd.integers(0, 9)}" for _ in range(4))])) for i in range(60)]
+    df = spark.createDataFrame([*texts, (None, "all some")], "n long, t string")
+    one, many = (matching.cosine_matches(df, df.withColumnRenamed("n", "r"), "n", "r", "t", 0.2, block=block, tile=tile) for block, tile in ((10**6, 10**6), (13, 5)))
+    rows = {(x.n, x.r): pytest.approx(x.cosine) for x in one.collect()}
+    assert rows == {(x.n, x.r): x.cosine for x in many.collect()} and len(rows) > 1000
+    # nearly all pairs reach the gate: no row of a pair and a word is made to find them
+    assert "Join" not in one._jdf.queryExecution().optimizedPlan().toString()
