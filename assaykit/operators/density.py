@@ -9,8 +9,10 @@ inside it; points in no chosen cluster are noise. A cluster is named by its smal
 One tree serves every cluster size. Trees, of any numbers of neighbours and samples or any projection, are rows of the same tables
 (``tree``), so that a grid of parameters costs one run.
 
-At scale: neighbours are exact and come from pairs of blocks of ``BLOCK`` points, so their cost is quadratic in the points, in bounded tasks.
-The tree is built in rounds that halve the components (``spanning_trees``); the merges are gone through in slices of
+At scale: neighbours are exact, so their cost is quadratic in the points. A task holds at most ``BLOCK`` points and goes through all others as
+they come; sums in single precision, with room for their error, tell which pairs are measured in double (``Nearest``). A spanning
+forest of some of the edges holds all of theirs that a forest of the whole can have, so that tasks thin what they have before it meets (``thinned``,
+``spanning_trees``); above ``SPAN`` edges that thinning doesn't reduce, rounds halve the components. The merges are gone through in slices of
 ``SLICE`` edges by rank, each in one task with the components it meets, whose state is their size, the clusters they are in, and their points
 only while there are too few for a cluster.
 
@@ -21,8 +23,12 @@ neighbours do not connect stay apart at every density. The whole pool is no clus
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +36,12 @@ from assaykit.functions import stats
 from assaykit.operators.numbering import ranked
 from assaykit.operators.rounds import kept
 
-#: Points of a block, and edges that one task takes in.
-BLOCK, SLICE = 2048, 200_000
+#: Points whose neighbours one task finds, at most and (if there are cores) at least; their numbers at most.
+BLOCK, LEAST, NUMBERS = 131_072, 2048, 1 << 24
+#: Points of a tile, and others it is held against at once.
+ROWS, WIDE = 512, 1024
+#: Edges that one task takes in: for a spanning forest, for merges; points whose core distances are broadcast.
+SPAN, SLICE, FEW = 4_000_000, 200_000, 1_000_000
 CLOSEST = 1e-9
 
 
@@ -50,64 +60,242 @@ def projected(vectors: DataFrame, dims: int, seed: int) -> DataFrame:
     if long <= dims:
         return vectors
     directions = np.random.RandomState(seed).standard_normal((dims, long))
-    rows = F.array(*(F.array(*map(F.lit, d)) for d in directions.tolist()))
-    low = F.transform(rows, lambda d: F.aggregate(F.arrays_zip(d.alias("a"), F.col("v").alias("b")), F.lit(0.0), lambda s, p: s + p["a"] * F.coalesce(p["b"], F.lit(0.0))))
-    return unit_vectors(vectors.select("node", low.alias("v")), "node", "v")
+
+    def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, out = matrix(batch["v"], long), np.zeros((batch.num_rows, dims))
+            for c in range(long):  # in this order, which no library's choice of kernel changes
+                out += x[:, c : c + 1] * directions[:, c]
+            size = np.sqrt(sum((out[:, c] ** 2 for c in range(dims)), np.zeros(len(out))))
+            keep = (size > 0) & np.isfinite(size)
+            unit = pa.ListArray.from_arrays(pa.array(np.arange(keep.sum() + 1) * dims, pa.int32()), pa.array((out[keep] / size[keep, None]).ravel()))
+            yield pa.RecordBatch.from_arrays([batch["node"].filter(pa.array(keep)), unit], names=["node", "v"])
+
+    return vectors.select("node", "v").mapInArrow(low, "node long, v array<double>")
+
+
+class Nearest:
+    """The k nearest of points that come in any order, for each of a task's own points: distances, and ties to smaller keys."""
+
+    def __init__(self, node: np.ndarray, x: np.ndarray, k: int) -> None:
+        self.node, self.x, self.low, self.k = node, x, x.astype(np.float32), k
+        self.d, self.v = np.full((len(node), k), np.inf), np.full((len(node), k), np.iinfo(np.int64).max)
+        self.room = x.shape[1] * 2.0**-22 + 2.0**-20  # more than a sum of products errs by in single precision
+        self.waiting: list[list[tuple]] = [[] for _ in range(0, len(node), ROWS)]
+
+    def add(self, node: np.ndarray, x: np.ndarray) -> None:
+        low = x.astype(np.float32)
+        for t, s in enumerate(range(0, len(self.node), ROWS)):
+            own = self.low[s : s + ROWS]
+            for c in range(0, len(node), WIDE):
+                bound = self.d[s : s + ROWS, -1]
+                least = (1 - bound**2 / 2 - self.room).astype(np.float32)
+                near = own @ low[c : c + WIDE].T
+                if len(least) and least.min() == -np.inf and near.shape[1] > self.k + 1:  # k others of these alone, and perhaps itself
+                    kth = near.shape[1] - self.k - 1
+                    least = np.maximum(least, np.partition(near, kth, axis=1)[:, kth] - np.float32(2 * self.room))
+                i, j = np.divmod(np.flatnonzero(near >= least[:, None]), near.shape[1])
+                if len(i):
+                    self._measure(t, s, i, node[c + j], x[c + j])
+
+    def _measure(self, t: int, s: int, i: np.ndarray, v: np.ndarray, y: np.ndarray) -> None:
+        d = np.round(np.sqrt(np.maximum(0.0, 2 - 2 * np.einsum("ij,ij->i", self.x[s + i], y))), 9)
+        most, last = self.d[s + i, -1], self.v[s + i, -1]
+        nearer = ((d < most) | (d == most) & (v < last)) & (v != self.node[s + i])
+        self.waiting[t].append((i[nearer], d[nearer], v[nearer]))
+        if sum(len(w[0]) for w in self.waiting[t]) >= min(ROWS, len(self.node) - s) * self.k:
+            self._settle(t)
+
+    def _settle(self, t: int) -> None:
+        own = slice(t * ROWS, min((t + 1) * ROWS, len(self.node)))
+        n = own.stop - own.start
+        i, d, v = (np.concatenate([first, *rest]) for first, *rest in zip((np.repeat(np.arange(n), self.k), self.d[own].ravel(), self.v[own].ravel()), *self.waiting[t], strict=True))
+        order = np.lexsort((v, d, i))
+        first = np.searchsorted(i[order], np.arange(n))
+        best = order[(first[:, None] + np.arange(self.k)).ravel()]
+        self.d[own], self.v[own], self.waiting[t] = d[best].reshape(n, self.k), v[best].reshape(n, self.k), []
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        for t, waiting in enumerate(self.waiting):
+            if waiting:
+                self._settle(t)
+        for s in range(0, len(self.node), 10_000):
+            d, v = self.d[s : s + 10_000], self.v[s : s + 10_000]
+            real = np.isfinite(d)
+            ends = pa.array(np.concatenate([[0], np.cumsum(real.sum(axis=1))]), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(self.node[s : s + 10_000]), *(pa.ListArray.from_arrays(ends, pa.array(x[real])) for x in (v, d))], names=["u", "v", "d"])
+
+
+def matrix(vectors: pa.ListArray, dims: int) -> np.ndarray:
+    """Vectors as rows, short ones filled up with zeros."""
+    held, long = vectors.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+    if (long == dims).all():
+        return held.reshape(len(long), dims)
+    out = np.zeros((len(long), dims))
+    out[np.arange(dims) < long[:, None]] = held
+    return out
+
+
+def nearest(vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """(u, v, d): of each of (node, v) the k nearest other points, nearest first, and their distances."""
+    n, dims = vectors.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    tasks = max(1, -(-n // min(block, max(1, NUMBERS // max(dims, 1)))), min(vectors.sparkSession.sparkContext.defaultParallelism, -(-n // LEAST)))
+    own = F.pmod(F.xxhash64("node"), F.lit(tasks))
+    dealt = vectors.select(F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task"), own.alias("own"), "node", "v")
+    dealt = dealt.select("task", (F.col("task") != F.col("own")).alias("other"), "node", "v")
+
+    def closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, near = None, [], None  # the task, its own points, and what is found for them
+
+        def begun() -> Nearest:
+            own = Nearest(*(np.concatenate(x) for x in zip(*held, strict=True)), k)
+            own.add(own.node, own.x)
+            return own
+
+        for batch in batches:
+            task, other = (batch[c].to_numpy(zero_copy_only=False) for c in ("task", "other"))
+            ends = [*(np.flatnonzero((np.diff(task) != 0) | (np.diff(other.astype(int)) != 0)) + 1), len(task)]
+            for s, e in zip([0, *ends], ends, strict=False):
+                if s == e:
+                    continue
+                if task[s] != at:
+                    if held:
+                        yield from (near or begun()).found()
+                    at, held, near = task[s], [], None
+                rows = batch["node"].slice(s, e - s).to_numpy(), matrix(batch["v"].slice(s, e - s), dims)
+                if not other[s]:
+                    held.append(rows)
+                elif held:
+                    near = near or begun()
+                    near.add(*rows)
+        if held:
+            yield from (near or begun()).found()
+
+    rows = dealt.repartitionByRange(tasks, "task").sortWithinPartitions("task", "other")  # a task's own points first
+    return kept(rows.mapInArrow(closest, "u long, v array<long>, d array<double>"))
 
 
 def neighbours(vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """(u, v, d, rank): the k nearest other points of each of (node, v)."""
-    vectors = kept(vectors)
-    blocks = max(1, -(-vectors.count() // block))
-    own = F.pmod(F.xxhash64("node"), F.lit(blocks))
-    dealt = vectors.select("node", "v", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
-    pairs = dealt.select("node", "v", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-
-    def closest(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("node")
-        dims = rows["v"].map(len).max()
-        x = np.zeros((len(rows), dims))
-        for i, v in enumerate(rows["v"]):
-            x[i, : len(v)] = v
-        node, side = rows["node"].to_numpy(), rows["own"].to_numpy()
-        low, high = rows["low"].iloc[0], rows["high"].iloc[0]
-        out = []
-        for a, b in {(low, high), (high, low)}:
-            i, j = np.flatnonzero(side == a), np.flatnonzero(side == b)
-            d = np.round(np.sqrt(np.maximum(0.0, 2 - 2 * (x[i] @ x[j].T))), 9)
-            if low == high:
-                np.fill_diagonal(d, np.inf)
-            best = np.argsort(d, axis=1, kind="stable")[:, :k]
-            value = np.take_along_axis(d, best, axis=1)
-            real = np.isfinite(value)
-            out.append(pd.DataFrame({"u": np.repeat(node[i], real.sum(axis=1)), "v": node[j][best[real]], "d": value[real]}))
-        return pd.concat(out)
-
-    near = pairs.groupBy("low", "high").applyInPandas(closest, "u long, v long, d double")
-    rank = F.row_number().over(Window.partitionBy("u").orderBy("d", "v"))  # k candidates from each block
-    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+    near = nearest(vectors, k, block).select("u", F.posexplode(F.arrays_zip(F.col("v"), F.col("d"))).alias("place", "n"))
+    return near.select("u", "n.v", "n.d", (F.col("place") + 1).alias("rank"))
 
 
 def reachability(near: DataFrame, trees: list[tuple[int, int, int]]) -> DataFrame:
-    """(tree, u, v, w) for each (tree, neighbours, min_samples): edges u < v with their mutual reachability."""
-    wanted = F.array(*(F.struct(F.lit(t).alias("tree"), F.lit(k).alias("k"), F.lit(m).alias("m")) for t, k, m in trees))
-    rows = near.withColumn("t", F.explode(wanted)).select("t.*", "u", "v", "d", "rank")
-    core = kept(rows.where("rank = m").select("tree", "u", F.col("d").alias("core")))
-    edges = rows.where("rank <= k").select("tree", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "d")
-    edges = kept(edges.groupBy("tree", "u", "v").agg(F.min("d").alias("d")))
-    both = edges.join(core.toDF("tree", "u", "core_u"), ["tree", "u"]).join(core.toDF("tree", "v", "core_v"), ["tree", "v"])
-    return both.select("tree", "u", "v", F.greatest("d", "core_u", "core_v").alias("w"))
+    """(tree, u, v, w) for each (tree, neighbours, min_samples): edges u < v with their mutual reachability, perhaps twice."""
+    samples = sorted({m for _, _, m in trees})
+    core = kept(near.where(F.col("rank").isin(samples)).groupBy("u").agg(*(F.max(F.when(F.col("rank") == m, F.col("d"))).alias(f"c{m}") for m in samples)))
+    known = F.broadcast(core) if core.count() <= FEW else core
+    ends = [known.select(F.col("u").alias(end), F.struct(*(f"c{m}" for m in samples)).alias(f"core_{end}")) for end in "uv"]
+    both = near.where(F.col("rank") <= max(k for _, k, _ in trees)).join(ends[0], "u").join(ends[1], "v")
+
+    def weight(m: int):
+        cores = [F.col(f"core_{end}.c{m}") for end in "uv"]
+        return F.when(cores[0].isNotNull() & cores[1].isNotNull(), F.greatest("d", *cores))
+
+    each = F.array(*(F.struct(F.lit(t).alias("tree"), F.when(F.col("rank") <= k, weight(m)).alias("w")) for t, k, m in trees))
+    edges = both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.explode(each).alias("e"))
+    return edges.select("e.tree", "u", "v", "e.w").where("w is not null")
+
+
+def forest(a: np.ndarray, b: np.ndarray, w: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Places of the edges of a least spanning forest of the components a and b that edges join; equal weights in the order of u, v."""
+    order = np.lexsort((v, u, w))
+    names, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    p, q, left, every, taken = place[: len(a)][order], place[len(a) :][order], order, np.arange(len(names)), [order[:0]]
+    while (apart := p != q).any():
+        p, q, left = p[apart], q[apart], left[apart]
+        least = np.full((2, len(names)), len(left))
+        for ends, first in zip((p, q), least, strict=True):
+            first[ends[::-1]] = np.arange(len(left))[::-1]  # the last that is written stays: the least
+        least = least.min(axis=0)
+        some = np.flatnonzero(least < len(left))
+        up = every.copy()
+        up[some] = p[least[some]] + q[least[some]] - some
+        up = np.where((up[up] == every) & (every < up), every, up)
+        taken.append(left[np.unique(least[some])])
+        while not np.array_equal(further := up[up], up):
+            up = further
+        p, q = up[p], up[q]
+    return np.concatenate(taken)
+
+
+EDGES = "tree int, u long, v long, w double, a long, b long"
+
+
+def thinned(few: int):
+    """A function that goes through edges of any trees and hands on a least spanning forest of those it holds, at most about ``few`` a tree.
+
+    Edges without a, b join their points themselves.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
+        sizes: dict[int, int] = {}
+
+        def thin(tree: int) -> tuple:
+            u, v, w, a, b = (np.concatenate(x) for x in zip(*held.pop(tree), strict=True))
+            keep = forest(a, b, w, u, v)
+            return tuple(x[keep] for x in (u, v, w, a, b))
+
+        def told(tree: int, edges: tuple) -> Iterator[pa.RecordBatch]:
+            for s in range(0, len(edges[0]), 100_000):
+                part = [x[s : s + 100_000] for x in edges]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), tree, np.int32)), *map(pa.array, part)], names=["tree", "u", "v", "w", "a", "b"])
+
+        for batch in batches:
+            of = batch["tree"].to_numpy()
+            columns = [batch[c].to_numpy() for c in ("u", "v", "w", *(("a", "b") if "a" in batch.schema.names else ("u", "v")))]
+            for tree in np.unique(of).tolist():
+                own = of == tree
+                held.setdefault(tree, []).append(tuple(x[own] for x in columns))
+                sizes[tree] = sizes.get(tree, 0) + int(own.sum())
+                if sizes[tree] >= few:
+                    edges = thin(tree)
+                    sizes[tree] = len(edges[0])
+                    if 2 * sizes[tree] > few:
+                        yield from told(tree, edges)
+                        sizes[tree] = 0
+                    else:
+                        held[tree] = [edges]
+        for tree in list(held):
+            yield from told(tree, thin(tree))
+
+    return run
 
 
-def spanning_trees(edges: DataFrame, few: int = SLICE) -> DataFrame:
-    """(tree, u, v, w): the edges of a least spanning forest of each tree; equal weights in the order of u, v.
+def spanning_trees(edges: DataFrame, few: int = SPAN, most: int | None = None) -> DataFrame:
+    """(tree, u, v, w): the edges of a least spanning forest of each tree; equal weights in the order of u, v. ``most``: edges of a tree at most.
 
-    Each round every component takes its least edge, and components that are joined so become one: at least half of them go. What is left
-    is thinned to the least edge between two components. Below ``few`` edges a tree is finished in one task.
+    Tasks thin the edges they have before they meet in parts of about ``few``. Where more are left of a tree, parts are thinned again as long as
+    that halves them, and else every component takes its least edge, and components that are joined so become one: at least half of them go. What
+    is left is thinned to the least edge between two components. Below ``few`` edges a tree is finished in one task.
     """
     order = F.struct("w", "u", "v")
-    left, taken = kept(edges.select("tree", "u", "v", "w", F.col("u").alias("a"), F.col("v").alias("b")).where("u <> v")), None
-    while (most := left.groupBy("tree").count().agg(F.max("count")).first()[0] or 0) > few:
+    taken = None
+
+    def forests(df: DataFrame, parts: int) -> DataFrame:
+        run = thinned(few if parts > 1 else 1 << 62)
+
+        def of_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from run(batches)
+
+        return kept(df.groupBy("tree", F.pmod(F.xxhash64("u", "v"), F.lit(parts)).alias("part")).applyInArrow(of_group, EDGES))
+
+    def counts(df: DataFrame) -> tuple[int, int]:
+        """Edges of the tree with the most, and of all."""
+        each = df.groupBy("tree").count().agg(F.max("count"), F.sum("count")).first()
+        return each[0] or 0, each[1] or 0
+
+    left = edges.where("u <> v").select("tree", "u", "v", "w")
+    most = counts(left)[0] if most is None else most
+    left = forests(left.mapInArrow(thinned(few // 2 or 1), EDGES).drop("a", "b"), max(1, -(-most // few)))
+    most, every = counts(left)
+    while most > few:
+        left = forests(left, -(-2 * most // few))
+        before, (most, every) = every, counts(left)
+        if most <= few or 2 * every <= before:
+            continue
         both = left.unionByName(left.select("tree", "u", "v", "w", F.col("b").alias("a"), F.col("a").alias("b")))
         least = kept(both.groupBy("tree", "a").agg(F.min(F.struct("w", "u", "v", F.col("b").alias("to"))).alias("e")).select("tree", "a", "e.*"))
         chosen = least.select("tree", "u", "v", "w").distinct()
@@ -122,18 +310,9 @@ def spanning_trees(edges: DataFrame, few: int = SLICE) -> DataFrame:
         moved = left.join(up.withColumnRenamed("to", "x"), ["tree", "a"]).join(up.toDF("tree", "b", "y"), ["tree", "b"]).where("x <> y")
         thin = moved.groupBy("tree", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min(order).alias("e"))
         left = kept(thin.select("tree", "e.u", "e.v", "e.w", "a", "b"))
-
-    def finish(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["w", "u", "v"], ignore_index=True)
-        join, keep = Union(), []
-        for i, (a, b) in enumerate(zip(rows["a"].tolist(), rows["b"].tolist(), strict=True)):
-            if join.find(a) != join.find(b):
-                join.put(a, b)
-                keep.append(i)
-        return rows.loc[keep, ["tree", "u", "v", "w"]]
-
-    rest = left.groupBy("tree").applyInPandas(finish, "tree int, u long, v long, w double") if most else left.select("tree", "u", "v", "w")
-    return kept(rest if taken is None else taken.unionByName(rest))
+        most, every = counts(left)
+    rest = forests(left, 1).select("tree", "u", "v", "w")
+    return rest if taken is None else kept(taken.unionByName(rest))
 
 
 class Union:
@@ -158,13 +337,13 @@ class Union:
 
 
 STATE = "comp long, to long, points long, members array<long>, cluster array<long>, mass array<double>, inner array<double>"
-EVENTS = f"tree int, kind string, size int, node long, cluster long, parent long, own boolean, {STATE}"
+EVENTS = f"tree int, kind string, size int, nodes array<long>, cluster long, parent long, own boolean, {STATE}"
 
 
 def merged_slice(sizes: list[int]):
     """A function that goes through one tree's edges of a slice with the components they meet, and tells what happens.
 
-    kind ``point``: node leaves cluster; ``cluster``: a cluster gave way to parent, own says whether its excess is at least that
+    kind ``points``: nodes leave cluster; ``cluster``: a cluster gave way to parent, own says whether its excess is at least that
     chosen inside it; ``state``: component comp is part of to, whose state goes with the row where both are the same.
     """
 
@@ -172,7 +351,7 @@ def merged_slice(sizes: list[int]):
         if not len(edges):
             return pd.DataFrame(columns=[c.split()[0] for c in EVENTS.split(", ")])
         tree, out, join, top = int(edges["tree"].iloc[0]), [], Union(), max(sizes)
-        comps = {}
+        comps, gone = {}, {}
         for r in states.itertuples():  # nulls in arrays come as nan
             cluster, inner = ([None if x is None or x != x else kind(x) for x in own] for own, kind in ((r.cluster, int), (r.inner, float)))
             comps[r.comp] = [r.points, None if r.members is None else [int(x) for x in r.members], cluster, list(r.mass), inner]
@@ -195,28 +374,29 @@ def merged_slice(sizes: list[int]):
                     cluster[i], mass[i], inner[i] = r.rank, n * density, total
                 elif ca[i] is not None or cb[i] is not None:
                     big, x, inside, small = (ca[i], xa[i], ia[i], mb) if ca[i] is not None else (cb[i], xb[i], ib[i], ma)
-                    out += [(tree, "point", least, p, big, None, None) for p in small]
+                    gone.setdefault((least, big), []).extend(small)
                     cluster[i], mass[i], inner[i] = big, x + len(small) * density, inside
                 elif n >= least:
-                    out += [(tree, "point", least, p, r.rank, None, None) for p in ma + mb]
+                    gone.setdefault((least, r.rank), []).extend(ma + mb)
                     cluster[i], mass[i] = r.rank, n * density
             to = join.put(a, b)
             del comps[max(a, b)]
             comps[to] = [n, ma + mb if n < top else None, cluster, mass, inner]
+        out += [(tree, "points", least, nodes, cluster, None, None) for (least, cluster), nodes in gone.items()]
         events = [(*e, *[None] * 7) for e in out]
         seen = {*edges["a"].tolist(), *edges["b"].tolist()}
         for x in seen:
             to = join.find(x)
             own = comps[to] if to == x else [None] * 5
             events.append((tree, "state", *[None] * 5, x, to, *own))
-        return pd.DataFrame(events, columns=[c.split()[0] for c in EVENTS.split(", ")]).astype({"size": "Int32", "node": "Int64", "cluster": "object", "parent": "Int64", "own": "boolean", "comp": "Int64", "to": "Int64", "points": "Int64"})
+        return pd.DataFrame(events, columns=[c.split()[0] for c in EVENTS.split(", ")]).astype({"size": "Int32", "cluster": "object", "parent": "Int64", "own": "boolean", "comp": "Int64", "to": "Int64", "points": "Int64"})
 
     return run
 
 
 def condensed(edges: DataFrame, sizes: list[int], part: int = SLICE) -> tuple[DataFrame, DataFrame]:
-    """Of spanning trees (tree, u, v, w): (tree, size, node, cluster) where points leave, and (tree, size, cluster, parent, own)."""
-    events = f"tree int, kind string, size int, node long, leaves long, parent long, own boolean, {STATE}"
+    """Of spanning trees (tree, u, v, w): (tree, size, nodes, cluster) where points leave, and (tree, size, cluster, parent, own)."""
+    events = f"tree int, kind string, size int, nodes array<long>, leaves long, parent long, own boolean, {STATE}"
 
     def run(e: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         return merged_slice(sizes)(e, s).set_axis([c.split()[0] for c in events.split(", ")], axis=1)
@@ -243,7 +423,7 @@ def condensed(edges: DataFrame, sizes: list[int], part: int = SLICE) -> tuple[Da
         states = kept(kept_on)
     none = spark.createDataFrame([], events)
     told = none if told is None else told
-    points = told.where("kind = 'point'").select("tree", "size", "node", F.col("leaves").alias("cluster"))
+    points = told.where("kind = 'points'").select("tree", "size", "nodes", F.col("leaves").alias("cluster"))
     closed = told.where("kind = 'cluster'").select("tree", "size", F.col("leaves").alias("cluster"), "parent", "own")
     at = F.array(*map(F.lit, sizes))
     each = F.explode(F.arrays_zip(at.alias("size"), F.col("cluster").alias("cluster"), F.col("mass").alias("mass"), F.col("inner").alias("inner")))
@@ -253,23 +433,44 @@ def condensed(edges: DataFrame, sizes: list[int], part: int = SLICE) -> tuple[Da
     return points, closed.unionByName(open_)
 
 
-def chosen(clusters: DataFrame) -> DataFrame:
-    """(tree, size, cluster, top): the outermost cluster with ``own`` that holds each cluster, in rounds that double the reach; null without any."""
+def chosen(clusters: DataFrame, few: int = SLICE) -> DataFrame:
+    """(tree, size, cluster, top): the outermost cluster with ``own`` that holds each cluster; null without any.
+
+    The clusters of one tree and size are gone through in one task if they are at most ``few``, else in rounds that double the reach.
+    """
     up = kept(clusters.select("tree", "size", "cluster", F.col("parent").alias("up"), F.when(F.col("own"), F.col("cluster")).alias("top")))
+
+    def reach(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("cluster", ignore_index=True)
+        names, above = rows["cluster"].to_numpy(), rows["up"].fillna(-1).to_numpy(np.int64)
+        at = np.where(above < 0, -1, np.searchsorted(names, above))
+        top = rows["top"].fillna(-1).to_numpy(np.int64)
+        while (further := at >= 0).any():
+            top = np.where(further & (top[at] >= 0), top[at], top)
+            at = np.where(further, at[at], -1)
+        return rows[["tree", "size", "cluster"]].assign(top=pd.array(top, dtype="Int64")).assign(top=lambda x: x["top"].mask(x["top"] < 0))
+
+    if (up.groupBy("tree", "size").count().agg(F.max("count")).first()[0] or 0) <= few:
+        return up.groupBy("tree", "size").applyInPandas(reach, "tree int, size int, cluster long, top long")
     while not up.where("up is not null").isEmpty():
         above = up.select("tree", "size", F.col("cluster").alias("up"), F.col("up").alias("_up"), F.col("top").alias("_top"))
         up = kept(up.join(above, ["tree", "size", "up"], "left").select("tree", "size", "cluster", F.col("_up").alias("up"), F.coalesce("_top", "top").alias("top")))
     return up.select("tree", "size", "cluster", "top")
 
 
-def density_labels(nodes: DataFrame, edges: DataFrame, sizes: list[int], trees: list[int], few: int = SLICE) -> DataFrame:
+def placed(edges: DataFrame, sizes: list[int], few: int = SLICE, most: int | None = None) -> DataFrame:
+    """(tree, size, top, nodes): points that leave within each chosen cluster, in any number of rows; ``few`` bounds tasks below their own bounds."""
+    points, clusters = condensed(spanning_trees(edges, SPAN if few == SLICE else few, most), sizes, few)
+    return points.join(chosen(clusters, few).where("top is not null"), ["tree", "size", "cluster"]).select("tree", "size", "top", "nodes")
+
+
+def density_labels(nodes: DataFrame, edges: DataFrame, sizes: list[int], trees: list[int], few: int = SLICE, most: int | None = None) -> DataFrame:
     """(tree, size, node, cluster) of every node under each tree and least cluster size: the smallest node of its cluster; null for noise."""
-    points, clusters = condensed(spanning_trees(edges, few), sizes, few)
-    placed = kept(points.join(chosen(clusters).where("top is not null"), ["tree", "size", "cluster"]).select("tree", "size", "node", "top"))
-    named = kept(placed.groupBy("tree", "size", "top").agg(F.min("node").alias("cluster")))
-    placed = placed.join(named, ["tree", "size", "top"]).select("tree", "size", "node", "cluster")
+    held = kept(placed(edges, sizes, few, most))
+    named = kept(held.groupBy("tree", "size", "top").agg(F.min(F.array_min("nodes")).alias("cluster")))
+    labels = held.join(named, ["tree", "size", "top"]).select("tree", "size", F.explode("nodes").alias("node"), "cluster")
     asked = F.array(*(F.struct(F.lit(t).alias("tree"), F.lit(s).alias("size")) for t in trees for s in sizes))
-    return nodes.select("node", F.explode(asked).alias("_q")).select("_q.*", "node").join(kept(placed), ["tree", "size", "node"], "left")
+    return nodes.select("node", F.explode(asked).alias("_q")).select("_q.*", "node").join(labels, ["tree", "size", "node"], "left")
 
 
 def density_clusters(df: DataFrame, key: str, vector: str, k: int = 10, min_cluster_size: int = 10, min_samples: int = 5, dims: int | None = 15, seed: int = 42) -> DataFrame:
@@ -277,7 +478,7 @@ def density_clusters(df: DataFrame, key: str, vector: str, k: int = 10, min_clus
     vectors = unit_vectors(df, key, vector)
     vectors = kept(vectors if dims is None else projected(vectors, dims, seed))
     edges = reachability(neighbours(vectors, max(k, min_samples)), [(0, k, min_samples)])
-    return density_labels(vectors, edges, [min_cluster_size], [0]).select(F.col("node").alias(key), "cluster")
+    return density_labels(vectors, edges, [min_cluster_size], [0], most=k * vectors.count()).select(F.col("node").alias(key), "cluster")
 
 
 def cluster_grid(df: DataFrame, key: str, vector: str, k: tuple[int, ...] = (10, 15), sizes: tuple[int, ...] = (10, 8, 6, 5), samples: tuple[int, ...] = (1, 2, 3), dims: int | None = 15, seed: int = 42, few: int = SLICE) -> DataFrame:
@@ -288,21 +489,20 @@ def cluster_grid(df: DataFrame, key: str, vector: str, k: tuple[int, ...] = (10,
     vectors = unit_vectors(df, key, vector)
     vectors = kept(vectors if dims is None else projected(vectors, dims, seed))
     trees = [(i, n, m) for i, (n, m) in enumerate((n, m) for n in k for m in samples)]
-    edges = reachability(kept(neighbours(vectors, max(*k, *samples))), trees)
-    labels = kept(density_labels(vectors, edges, list(sizes), [t for t, _, _ in trees], few))
-    counted = labels.groupBy("tree", "size", "cluster").agg(F.count(F.lit(1)).alias("n"))
-    held = F.col("cluster").isNotNull()
+    edges, n = reachability(neighbours(vectors, max(*k, *samples)), trees), vectors.count()
+    held = placed(edges, list(sizes), few, max(k) * n)
+    counted = held.groupBy("tree", "size", "top").agg(F.sum(F.size("nodes")).alias("n"))
     # sums of rows to clusters; only the largest twelve sizes are ever listed
-    place = F.row_number().over(Window.partitionBy("tree", "size").orderBy(F.desc(F.when(held, F.col("n")))))
-    counted = counted.withColumn("_place", place)
-    per = counted.groupBy("tree", "size").agg(
-        F.count_if(held).alias("n_clusters"),
-        F.coalesce(F.sum(F.when(~held, F.col("n"))), F.lit(0)).alias("noise"),
-        F.sum("n").alias("_all"),
-        F.reverse(F.array_sort(F.collect_list(F.when(held & (F.col("_place") <= 12), F.col("n"))))).alias("sizes"),
+    place = F.row_number().over(Window.partitionBy("tree", "size").orderBy(F.desc("n")))
+    found = counted.withColumn("_place", place).groupBy("tree", "size").agg(
+        F.count(F.lit(1)).alias("n_clusters"),
+        F.sum("n").alias("_held"),
+        F.reverse(F.array_sort(F.collect_list(F.when(F.col("_place") <= 12, F.col("n"))))).alias("sizes"),
     )
+    asked = edges.sparkSession.createDataFrame([(t, s) for t, _, _ in trees for s in sizes if n], "tree int, size int")
+    per = asked.join(found, ["tree", "size"], "left").select("tree", "size", F.coalesce("n_clusters", F.lit(0)).alias("n_clusters"), (n - F.coalesce("_held", F.lit(0))).alias("noise"), F.coalesce("sizes", F.array().cast("array<long>")).alias("sizes"))
     of_tree = F.element_at(F.array(*(F.struct(F.lit(n).alias("n_neighbors"), F.lit(m).alias("min_samples")) for _, n, m in trees)), F.col("tree") + 1)
-    good = F.col("n_clusters").between(6, 16) & (F.coalesce(F.get("sizes", F.lit(0)), F.lit(0)) <= F.col("_all") * 0.45)
+    good = F.col("n_clusters").between(6, 16) & (F.coalesce(F.get("sizes", F.lit(0)), F.lit(0)) <= n * 0.45)
     return per.select(of_tree.alias("t"), F.col("size").alias("min_cluster_size"), "n_clusters", "noise", "sizes", good.alias("good")).select("t.n_neighbors", "min_cluster_size", "t.min_samples", "n_clusters", "noise", "sizes", "good")
 
 
@@ -311,9 +511,9 @@ def seed_stability(df: DataFrame, key: str, vector: str, seeds: tuple[int, ...]
     vectors = kept(unit_vectors(df, key, vector))
     edges = None
     for i, seed in enumerate(seeds):
-        own = reachability(neighbours(projected(vectors, dims, seed), max(k, min_samples)), [(i, k, min_samples)])
+        own = reachability(neighbours(kept(projected(vectors, dims, seed)), max(k, min_samples)), [(i, k, min_samples)])
         edges = own if edges is None else edges.unionByName(own)
-    labels = kept(density_labels(vectors, kept(edges), [min_cluster_size], list(range(len(seeds)))))
+    labels = kept(density_labels(vectors, edges, [min_cluster_size], list(range(len(seeds))), most=k * vectors.count()))
     out: DataFrame | None = None
     for i in range(len(seeds)):
         for j in range(i + 1, len(seeds)):

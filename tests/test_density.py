@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,3 +162,62 @@ def test_vectors_that_take_no_part(spark):
     assert sorted(r.vec_id for r in density.density_clusters(df, "vec_id", "embedding").collect()) == [1, 7]
     assert density.density_clusters(df.limit(0), "vec_id", "embedding").count() == 0
     assert density.density_clusters(df, "vec_id", "embedding").where(F.col("cluster").isNotNull()).count() == 0
+
+
+@pytest.mark.parametrize("copies", [1, 9])
+def test_points_that_come_in_any_batches_are_measured_in_double(copies):
+    rnd = np.random.default_rng(copies)
+    x = np.repeat(clouds(5, n=1400 // copies, dims=5), copies, axis=0)
+    x = np.concatenate([x, x[:40] + rnd.standard_normal((40, 5)) * 1e-6])  # nearer than single precision tells
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    node = rnd.permutation(len(x)) * 3
+    near = density.Nearest(node[:900], x[:900], 6)
+    for s, e in ((0, 700), (700, 703), (703, len(x))):
+        near.add(node[s:e], x[s:e])
+    got = {u: (v, d) for batch in near.found() for u, v, d in zip(*(batch[c].to_pylist() for c in ("u", "v", "d")), strict=True)}
+    for i in range(900):
+        d = np.round(np.sqrt(np.maximum(0.0, 2 - 2 * np.einsum("ij,ij->i", np.broadcast_to(x[i], x.shape), x))), 9)
+        order = [j for j in np.lexsort((node, d)).tolist() if j != i][:6]
+        assert got[node[i]] == (node[order].tolist(), d[order].tolist())
+
+
+def test_a_task_thins_edges_to_forests_of_each_tree():
+    rnd = np.random.default_rng(8)
+    batches, left = [], {0: [], 1: []}
+    for _ in range(12):
+        tree, ends, w = rnd.integers(0, 2, 40), rnd.integers(0, 50, (2, 40)), rnd.integers(1, 5, 40).astype(float)
+        u, v = ends.min(axis=0), ends.max(axis=0) + 1
+        batches.append(pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(u), pa.array(v), pa.array(w)], names=["tree", "u", "v", "w"]))
+        for row in zip(tree.tolist(), w.tolist(), u.tolist(), v.tolist(), strict=True):
+            left[row[0]].append(row[1:])
+
+    def kruskal(edges):
+        join, out = density.Union(), []
+        for w, u, v in sorted(edges):
+            if join.find(u) != join.find(v):
+                join.put(u, v)
+                out.append((w, u, v))
+        return out
+
+    for few in (10**6, 60):
+        rows = [r for b in density.thinned(few)(iter(batches)) for r in zip(*(b[c].to_pylist() for c in ("tree", "w", "u", "v")), strict=True)]
+        for tree, edges in left.items():
+            own = [r[1:] for r in rows if r[0] == tree]
+            assert len(own) < len(edges) and kruskal(own) == kruskal(edges)
+            assert few < 100 or sorted(own) == kruskal(edges)
+
+
+def test_outermost_clusters_in_one_task_and_in_rounds(spark):
+    rnd = random.Random(2)
+    rows = [(0, s, c, rnd.choice([*range(c + 1, 40, 3), None]), rnd.random() < 0.4) for s in (5, 8) for c in range(0, 40, 3)]
+    rows = [(t, s, c, None if up is None else up - up % 3 if up - up % 3 > c else None, own) for t, s, c, up, own in rows]
+    df = spark.createDataFrame(rows, "tree int, size int, cluster long, parent long, own boolean")
+    one, many = (sorted(map(tuple, density.chosen(df, few).collect()), key=str) for few in (100, 3))
+    above, own = {r[1:3]: r[3] for r in rows}, {r[1:3]: r[4] for r in rows}
+    for t, s, c, top in one:
+        line, at = [], c
+        while at is not None:
+            line.append(at)
+            at = above[s, at]
+        assert top == next((x for x in reversed(line) if own[s, x]), None)
+    assert one == many and any(r[3] is None for r in one) and any(r[3] not in (None, r[2]) for r in one)
