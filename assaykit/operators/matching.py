@@ -3,13 +3,10 @@
 Weights are ``tf * idf`` with idf = ln(n / (1 + df)) + 1 from the references, and ln(n) + 1 for words that no reference has.
 
 Cosines at a low gate are most pairs' (at 0.2 one pair in seven of the driver's conversations), so that no filter by rare words saves
-much, and rows of pairs and words would be many times the result. Notes and references therefore meet in blocks of at most about
+much, and rows of pairs and words would be many times the result. The texts of both sides therefore meet in blocks of at most about
 ``BLOCK`` texts and ``POSTINGS`` words; a task multiplies two blocks tile by tile, frequent words as matrices and others by their
-postings, and hands on only what reaches the gate. Work and result are quadratic in the texts; a task's memory is not.
-
-For containment only pairs that can reach the gate are formed. Words are ordered rare first; what an item can still add from a word on (the
-weight of the rest) falls along that order, and a pair at the gate must share a word on which the item has enough left. Frequent words
-therefore make no pairs. Candidates meet the whole word lists afterwards.
+postings, and hands on only what reaches the gate. Work is quadratic in the texts; a task's memory is not. Containment is the same product, of the
+words that a text has and their shares of an item's weight.
 """
 
 from __future__ import annotations
@@ -20,7 +17,7 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.functions.text import words
@@ -46,17 +43,12 @@ def weights(references: DataFrame, n: int) -> DataFrame:
     return references.groupBy("word").agg((F.log(F.lit(float(max(n, 1))) / (1 + F.count(F.lit(1)))) + 1).alias("idf"))
 
 
-def weighted(texts: DataFrame, idf: DataFrame, n: int) -> DataFrame:
-    """(id, word, tf, idf, w) of counted texts; unseen words weigh ln(n) + 1."""
-    known = F.broadcast(idf) if idf.count() <= FEW else idf
-    out = texts.join(known, "word", "left").withColumn("idf", F.coalesce("idf", F.log(F.lit(float(max(n, 1)))) + 1))
-    return out.select("id", "word", "tf", "idf", (F.col("tf") * F.col("idf")).alias("w"))
-
-
-def left_over(rows: DataFrame, amount: Column) -> DataFrame:
-    """rows with ``rest``: the sum of amount over a text's words from each one on, rare words first (by idf, then the word)."""
-    after = Window.partitionBy("id").orderBy(F.desc("idf"), "word").rowsBetween(0, Window.unboundedFollowing)
-    return rows.withColumn("rest", F.sum(amount).over(after))
+def numbered(idf: DataFrame) -> DataFrame:
+    """(word, idf, number), to be broadcast if the words are few; numbers are their place within a partition, and the partition."""
+    idf = kept(idf)
+    place, parts = F.monotonically_increasing_id(), idf.rdd.getNumPartitions()
+    idf = kept(idf.select("word", "idf", (place.bitwiseAND((1 << 33) - 1) * parts + F.shiftright(place, 33)).cast("int").alias("number")))
+    return F.broadcast(idf) if idf.count() <= FEW else idf
 
 
 class Side:
@@ -108,25 +100,8 @@ def products(a: tuple, b: tuple, least: float, tile: int = TILE) -> Iterator[tup
                 yield r + i * tile, c + j * tile, out[r, c]
 
 
-def cosine_matches(notes: DataFrame, references: DataFrame, nkey: str, rkey: str, text: str, least: float, tokens=words, block: int = BLOCK, tile: int = TILE) -> DataFrame:
-    """(nkey, rkey, cosine) of pairs whose tf-idf vectors have a cosine of ``least`` or more, which must be above 0."""
-    n = references.where(F.col(text).isNotNull()).count()
-    right = counted(references, rkey, tokens(F.col(text)))
-    idf = kept(weights(right, n))
-    # words are numbered: their place within a partition, and the partition
-    place, parts = F.monotonically_increasing_id(), idf.rdd.getNumPartitions()
-    idf = kept(idf.select("word", "idf", (place.bitwiseAND((1 << 33) - 1) * parts + F.shiftright(place, 33)).cast("int").alias("number")))
-    known = F.broadcast(idf) if idf.count() <= FEW else idf
-
-    def unit(counts: DataFrame) -> DataFrame:
-        """(id, words, x): components of the words that references have."""
-        w = F.col("tf") * F.coalesce("idf", F.log(F.lit(float(max(n, 1)))) + 1)
-        rows = counts.join(known, "word", "left").select("id", "number", w.alias("w"))
-        held = F.collect_list(F.when(F.col("number").isNotNull(), F.struct("number", "w"))).alias("all")
-        docs = rows.where("id is not null").groupBy("id").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("size"), held)
-        return kept(docs.select("id", F.col("all.number").alias("words"), F.transform("all.w", lambda w: w / F.col("size")).alias("x")))
-
-    a, b = unit(counted(notes, nkey, tokens(F.col(text)))), unit(right)
+def met(a: DataFrame, b: DataFrame, least: float, block: int = BLOCK, tile: int = TILE) -> DataFrame:
+    """(u, v, product) of (id, words, x) of both sides, each id once and its words too, whose product is ``least`` or more, which must be above 0."""
     sizes = [x.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("words")), F.lit(0))).first() for x in (a, b)]
     blocks = [max(-(-docs // block), -(-postings // POSTINGS), min(4, -(-docs // tile)), 1) for docs, postings in sizes]
 
@@ -134,8 +109,8 @@ def cosine_matches(notes: DataFrame, references: DataFrame, nkey: str, rkey: str
         mine, others = F.pmod(F.xxhash64("id"), F.lit(blocks[side])), F.explode(F.sequence(F.lit(0), F.lit(blocks[1 - side] - 1)).cast("array<long>"))
         return docs.select(mine.alias(own), others.alias(other), F.col("id").alias("uv"[side]), F.lit(side).alias("side"), "words", "x")
 
-    met = dealt(a, "i", "j", 0).unionByName(dealt(b, "j", "i", 1), allowMissingColumns=True)
-    out = f"u {a.schema['id'].dataType.simpleString()}, v {b.schema['id'].dataType.simpleString()}, cosine double"
+    rows = dealt(a, "i", "j", 0).unionByName(dealt(b, "j", "i", 1), allowMissingColumns=True)
+    out = f"u {a.schema['id'].dataType.simpleString()}, v {b.schema['id'].dataType.simpleString()}, product double"
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(batches).combine_chunks()
@@ -148,29 +123,39 @@ def cosine_matches(notes: DataFrame, references: DataFrame, nkey: str, rkey: str
             doc = np.repeat(np.arange(len(held)), np.diff(held.offsets.to_numpy()))
             ids.append(own[key].combine_chunks())
             sides.append((len(held), doc, held.flatten().to_numpy(), x.flatten().to_numpy()))
-        for i, j, cosine in products(*sides, least, tile):
-            yield pa.RecordBatch.from_arrays([ids[0].take(pa.array(i)), ids[1].take(pa.array(j)), pa.array(cosine)], names=["u", "v", "cosine"])
+        for i, j, product in products(*sides, least, tile):
+            yield pa.RecordBatch.from_arrays([ids[0].take(pa.array(i)), ids[1].take(pa.array(j)), pa.array(product)], names=["u", "v", "product"])
+
+    return rows.repartition(blocks[0] * blocks[1], "i", "j").groupBy("i", "j").applyInArrow(matched, out)
+
+
+def cosine_matches(notes: DataFrame, references: DataFrame, nkey: str, rkey: str, text: str, least: float, tokens=words, block: int = BLOCK, tile: int = TILE) -> DataFrame:
+    """(nkey, rkey, cosine) of pairs whose tf-idf vectors have a cosine of ``least`` or more, which must be above 0."""
+    n = references.where(F.col(text).isNotNull()).count()
+    right = counted(references, rkey, tokens(F.col(text)))
+    known = numbered(weights(right, n))
+
+    def unit(counts: DataFrame) -> DataFrame:
+        """(id, words, x): components of the words that references have."""
+        w = F.col("tf") * F.coalesce("idf", F.log(F.lit(float(max(n, 1)))) + 1)
+        rows = counts.join(known, "word", "left").select("id", "number", w.alias("w"))
+        held = F.collect_list(F.when(F.col("number").isNotNull(), F.struct("number", "w"))).alias("all")
+        docs = rows.where("id is not null").groupBy("id").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("size"), held)
+        return kept(docs.select("id", F.col("all.number").alias("words"), F.transform("all.w", lambda w: w / F.col("size")).alias("x")))
 
-    found = met.repartition(blocks[0] * blocks[1], "i", "j").groupBy("i", "j").applyInArrow(matched, out)
-    return found.select(F.col("u").alias(nkey), F.col("v").alias(rkey), "cosine")
+    found = met(unit(counted(notes, nkey, tokens(F.col(text)))), unit(right), least, block, tile)
+    return found.select(F.col("u").alias(nkey), F.col("v").alias(rkey), F.col("product").alias("cosine"))
 
 
-def contained(items: DataFrame, texts: DataFrame, ikey: str, tkey: str, text: str, least: float, tokens=words) -> DataFrame:
+def contained(items: DataFrame, texts: DataFrame, ikey: str, tkey: str, text: str, least: float, tokens=words, block: int = BLOCK, tile: int = TILE) -> DataFrame:
     """(ikey, tkey, share) of pairs in which the text holds words with ``least`` or more of the item's idf; each different word counts once."""
     n = items.where(F.col(text).isNotNull()).count()
     own = kept(counted(items, ikey, tokens(F.col(text))))
-    rows = kept(weighted(own, weights(own, n), n))
-    total = rows.groupBy("id").agg(F.sum("idf").alias("total"))
-    head = left_over(rows, F.col("idf")).join(total, "id").where(F.col("rest") >= (least - SLACK) * F.col("total"))
-    head = head.select(F.col("id").alias("v"), "word")
-    said = texts.where(F.col(text).isNotNull()).select(F.col(tkey).alias("u"), F.array_distinct(tokens(F.col(text))).alias("all"))
-    few = F.broadcast(head) if head.count() <= FEW else head
-    pairs = said.select("u", F.explode("all").alias("word")).join(few, "word").select("u", "v").distinct()
-    # the texts' words of all items' words, once a text; their weights go with the items
-    vocabulary = rows.select("word").distinct()
-    vocabulary = F.broadcast(vocabulary) if vocabulary.count() <= FEW else vocabulary
-    held = said.select("u", F.explode("all").alias("word")).join(vocabulary, "word", "left_semi").groupBy("u").agg(F.collect_list("word").alias("held"))
-    whole = rows.groupBy("id").agg(F.collect_list(F.struct("word", "idf")).alias("all"), F.sum("idf").alias("total")).withColumnRenamed("id", "v")
-    both = pairs.join(held, "u").join(F.broadcast(whole) if whole.count() <= FEW // 100 else whole, "v")
-    got = F.aggregate(F.filter("all", lambda w: F.array_contains("held", w["word"])), F.lit(0.0), lambda s, w: s + w["idf"])
-    return both.select(F.col("v").alias(ikey), F.col("u").alias(tkey), (got / F.col("total")).alias("share")).where(F.col("share") >= least - SLACK)
+    known = numbered(weights(own, n))
+    whole = own.where("id is not null").join(known, "word").groupBy("id").agg(F.sum("idf").alias("total"), F.collect_list(F.struct("number", "idf")).alias("all"))
+    whole = kept(whole.select("id", F.col("all.number").alias("words"), F.transform("all.idf", lambda w: w / F.col("total")).alias("x")))
+    # the texts' words of all items' words, once a text
+    said = texts.where(F.col(text).isNotNull() & F.col(tkey).isNotNull()).select(F.col(tkey).alias("id"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("word"))
+    held = kept(said.join(known, "word").groupBy("id").agg(F.collect_set("number").alias("words")))
+    found = met(held.withColumn("x", F.transform("words", lambda _: F.lit(1.0))), whole, least - SLACK, block, tile)
+    return found.select(F.col("v").alias(ikey), F.col("u").alias(tkey), F.col("product").alias("share"))

@@ -165,3 +165,9 @@ def test_cosines_of_blocks_are_those_of_all_pairs(spark):
     assert rows == {(x.n, x.r): x.cosine for x in many.collect()} and len(rows) > 1000
     # nearly all pairs reach the gate: no row of a pair and a word is made to find them
     assert "Join" not in one._jdf.queryExecution().optimizedPlan().toString()
+    # nor to find what holds an item
+    items = df.where("n < 7").withColumnRenamed("n", "r")
+    one, many = (matching.contained(items, df, "r", "n", "t", 0.3, block=block, tile=tile) for block, tile in ((10**6, 10**6), (13, 5)))
+    rows = {(x.n, x.r): pytest.approx(x.share) for x in one.collect()}
+    assert rows == {(x.n, x.r): x.share for x in many.collect()} and len(rows) > 100
+    assert "Join" not in one._jdf.queryExecution().optimizedPlan().toString()
