@@ -47,11 +47,22 @@ CLOSEST = 1e-9
 
 def unit_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     """(node, v): vectors of length one."""
-    x = F.col(vector).cast("array<double>")
-    size = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, c: s + c * c))
-    usable = F.col(vector).isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    rows = df.where(usable & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("node"), x.alias("_x"), size.alias("_size"))
-    return rows.where("_size > 0 and _size < double('infinity')").select("node", F.transform("_x", lambda c: c / F.col("_size")).alias("v")).dropDuplicates(["node"])
+    rows = df.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("node"), F.col(vector).cast("array<double>").alias("v"))
+
+    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            long = pc.list_value_length(batch["v"]).to_numpy(zero_copy_only=False)
+            x, size = matrix(batch["v"], int(max(long, default=0))), np.zeros(len(long))
+            with np.errstate(over="ignore", invalid="ignore"):
+                for c in range(x.shape[1]):  # in this order, which no library's choice of kernel changes
+                    size += x[:, c] ** 2
+            size = np.sqrt(size)
+            keep = (size > 0) & np.isfinite(size)  # nulls come as nan
+            held = np.arange(x.shape[1]) < long[keep, None]
+            ends = pa.array(np.concatenate([[0], np.cumsum(long[keep])]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch["node"].filter(pa.array(keep)), pa.ListArray.from_arrays(ends, pa.array((x[keep] / size[keep, None])[held]))], names=["node", "v"])
+
+    return rows.mapInArrow(unit, "node long, v array<double>").dropDuplicates(["node"])
 
 
 def projected(vectors: DataFrame, dims: int, seed: int) -> DataFrame:
@@ -94,7 +105,13 @@ class Nearest:
                 if len(least) and least.min() == -np.inf and near.shape[1] > self.k + 1:  # k others of these alone, and perhaps itself
                     kth = near.shape[1] - self.k - 1
                     least = np.maximum(least, np.partition(near, kth, axis=1)[:, kth] - np.float32(2 * self.room))
-                i, j = np.divmod(np.flatnonzero(near >= least[:, None]), near.shape[1])
+                hit = (near >= least[:, None]).ravel()
+                if len(hit) % 8:
+                    at = np.flatnonzero(hit)
+                else:  # few are: eight at once first
+                    some = np.flatnonzero(hit.view(np.int64))
+                    at = (some[:, None] * 8 + np.arange(8))[hit.reshape(-1, 8)[some]]
+                i, j = np.divmod(at, near.shape[1])
                 if len(i):
                     self._measure(t, s, i, node[c + j], x[c + j])
 
